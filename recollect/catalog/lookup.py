@@ -1 +1,280 @@
+"""Lookup queries: exact, nearest-neighbour, thresholded and two-tier joins."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from recollect.catalog import inputs as I
+from recollect.catalog import query
+from recollect.catalog.vectors import DIM, sql_projection, sql_signature
+from recollect.config import CacheConfig
+from recollect.operators import calibration as C
+from recollect.operators import lookup as L
+
+CFG = CacheConfig(default_threshold=0.35, min_threshold=0.33, max_threshold=0.60)
+NOW = f"TIMESTAMP '{I.NOW}'"
+
+SQL_KEYED = f"""
+{I.SQL_QUERIES}, {I.SQL_ENTRIES},
+keyed_queries AS (SELECT *, {I.sql_key('query_text', 'tenant_id')} AS exact_key FROM queries),
+keyed_entries AS (SELECT *, {I.sql_key('query_text', 'tenant_id')} AS exact_key FROM entries)"""
+
+
+def now():
+    return F.lit(I.NOW).cast("timestamp_ntz")
+
+
+def sim(a: str, b: str) -> str:
+    return f"round(list_dot_product({a}::DOUBLE[], {b}::DOUBLE[]), 9)"
+
+
+@query(
+    "exact_lookup",
+    f"""WITH {SQL_KEYED},
+        latest AS (SELECT exact_key, max_by(entry_id, seq) AS entry_id FROM keyed_entries GROUP BY exact_key)
+        SELECT query_id, l.entry_id, l.entry_id IS NOT NULL AS hit
+        FROM keyed_queries q LEFT JOIN latest l ON q.exact_key = l.exact_key""",
+)
+def exact_lookup(spark, sf):
+    found = L.exact_lookup(I.queries(spark, sf), I.entries(spark, sf))
+    return found.select("query_id", "entry_id", F.col("entry_id").isNotNull().alias("hit"))
+
+
+def vectors(spark, sf):
+    return I.table(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("query_id"), F.col("vec_id").alias("entry_id"), F.col("vec_id").alias("seq"),
+        F.lit("all").alias("tenant_id"), "embedding", "label",
+    )
+
+
+SQL_KNN = f"""
+pairs AS (
+  SELECT q.vec_id AS query_id, e.vec_id AS entry_id, {sim('q.embedding', 'e.embedding')} AS similarity,
+         q.label = e.label AS same_label
+  FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id
+),
+knn AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, entry_id) AS rank FROM pairs)
+  WHERE rank <= 10
+)"""
+
+
+@query("knn_join", f"WITH {SQL_KNN} SELECT query_id, entry_id, round(similarity, 6) AS similarity, rank FROM knn")
+def knn_join(spark, sf):
+    v = vectors(spark, sf)
+    near = L.knn_join(v, v, 10, skip_same=True)
+    return near.select("query_id", "entry_id", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("bigint").alias("rank"))
+
+
+LSH_TABLES, LSH_BITS = 8, 4
+
+SQL_LSH = f"""
+{sql_signature('embeddings', 'vec_id, embedding', 'embedding', LSH_TABLES, LSH_BITS)},
+buckets AS (SELECT vec_id, embedding, unnest(range(1, {LSH_TABLES + 1})) AS t, unnest(sig) AS bucket FROM signatures),
+shared AS (SELECT DISTINCT q.vec_id AS query_id, e.vec_id AS entry_id FROM buckets q
+           JOIN buckets e ON q.t = e.t AND q.bucket = e.bucket AND q.vec_id <> e.vec_id),
+scored AS (SELECT query_id, entry_id, {sim('q.embedding', 'e.embedding')} AS similarity
+           FROM shared JOIN embeddings q ON q.vec_id = query_id JOIN embeddings e ON e.vec_id = entry_id),
+lsh AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, entry_id) AS rank
+                       FROM scored) WHERE rank <= 10)"""
+
+
+def lsh_pairs(spark, sf):
+    v = vectors(spark, sf)
+    return L.lsh_knn_join(v, v, 10, dim=DIM, tables=LSH_TABLES, bits=LSH_BITS, skip_same=True)
+
+
+@query("lsh_knn_join", f"WITH {SQL_LSH} SELECT query_id, entry_id, round(similarity, 6) AS similarity, rank FROM lsh")
+def lsh_knn_join(spark, sf):
+    return lsh_pairs(spark, sf).select(
+        "query_id", "entry_id", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("bigint").alias("rank")
+    )
+
+
+@query(
+    "lsh_recall",
+    f"""WITH {SQL_KNN}, {SQL_LSH} SELECT count(*) AS pairs, count(l.query_id) AS found,
+          round(count(l.query_id) / greatest(count(*), 1)::DOUBLE, 6) AS recall
+        FROM knn k LEFT JOIN lsh l ON k.query_id = l.query_id AND k.entry_id = l.entry_id""",
+)
+def lsh_recall(spark, sf):
+    v = vectors(spark, sf)
+    return L.recall(lsh_pairs(spark, sf), L.knn_join(v, v, 10, skip_same=True)).withColumn("recall", F.round("recall", 6))
+
+
+def neighbour_feedback(spark, sf):
+    """Neighbours judged by their label: feedback for the entries they point at."""
+    v = vectors(spark, sf)
+    near = L.knn_join(v, v, 10, skip_same=True)
+    q = v.select("query_id", F.col("label").alias("ql"))
+    e = v.select("entry_id", F.col("label").alias("el"))
+    return near.join(q, "query_id").join(e, "entry_id").select(
+        "entry_id", F.col("query_id").alias("seq"), "similarity", (F.col("ql") == F.col("el")).alias("was_correct")
+    )
+
+
+SQL_NEIGHBOUR_TAU = f"""
+judged AS (SELECT entry_id, query_id AS seq, similarity, same_label AS was_correct FROM knn),
+conf_scores AS (
+  SELECT entry_id, list_sort(list(CASE WHEN was_correct THEN 1.0::DOUBLE - similarity
+      ELSE least(1.0::DOUBLE, greatest(1.0::DOUBLE - similarity + 0.1::DOUBLE, 0.5::DOUBLE)) END)) AS s
+  FROM (SELECT *, row_number() OVER (PARTITION BY entry_id ORDER BY seq DESC) AS rn FROM judged) WHERE rn <= 200
+  GROUP BY entry_id
+),
+thresholds AS (
+  SELECT entry_id, CASE WHEN len(s) < 3 THEN {CFG.default_threshold}::DOUBLE ELSE
+    least(greatest(1.0::DOUBLE - s[CAST(greatest(least(ceil((1.0::DOUBLE - 0.05::DOUBLE) * (len(s) + 1)) - 1, len(s) - 1), 0) AS BIGINT) + 1],
+      {CFG.min_threshold}::DOUBLE), {CFG.max_threshold}::DOUBLE) END AS threshold
+  FROM conf_scores
+)"""
+
+SQL_SEMANTIC = f"""
+live_entries AS (SELECT * FROM keyed_entries WHERE expires_at IS NULL OR {NOW} <= expires_at),
+near AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, entry_id) AS rank FROM (
+    SELECT q.query_id, e.entry_id, {sim('q.embedding', 'e.embedding')} AS similarity
+    FROM keyed_queries q JOIN live_entries e ON q.tenant_id = e.tenant_id
+    WHERE q.embedding IS NOT NULL AND e.embedding IS NOT NULL)
+),
+passing AS (
+  SELECT n.*, coalesce(threshold, {CFG.default_threshold}::DOUBLE) AS threshold_used
+  FROM near n LEFT JOIN thresholds USING (entry_id)
+  WHERE rank <= 10 AND similarity >= coalesce(threshold, {CFG.default_threshold}::DOUBLE)
+),
+semantic AS (SELECT * FROM passing QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) = 1)"""
+
+
+@query(
+    "semantic_lookup",
+    f"""WITH {SQL_KEYED}, {SQL_KNN}, {SQL_NEIGHBOUR_TAU}, {SQL_SEMANTIC}
+        SELECT query_id, entry_id, round(similarity, 6) AS similarity, round(threshold_used, 6) AS threshold FROM semantic""",
+)
+def semantic_lookup(spark, sf):
+    tau = C.conformal_thresholds(neighbour_feedback(spark, sf), CFG)
+    hits = L.semantic_lookup(I.queries(spark, sf), L.live(I.entries(spark, sf), now()), tau, CFG)
+    return hits.select("query_id", "entry_id", F.round("similarity", 6).alias("similarity"), F.round("threshold", 6).alias("threshold"))
+
+
+@query(
+    "two_tier_lookup",
+    f"""WITH {SQL_KEYED}, thresholds AS (SELECT NULL::BIGINT AS entry_id, NULL::DOUBLE AS threshold), {SQL_SEMANTIC},
+        latest AS (SELECT exact_key, max_by(entry_id, seq) AS entry_id FROM live_entries GROUP BY exact_key)
+        SELECT q.query_id, q.tenant_id, l.entry_id IS NOT NULL OR s.entry_id IS NOT NULL AS hit,
+          CASE WHEN l.entry_id IS NOT NULL THEN 1 WHEN s.entry_id IS NOT NULL THEN 2 ELSE 0 END AS tier,
+          coalesce(l.entry_id, s.entry_id) AS entry_id,
+          round(CASE WHEN l.entry_id IS NOT NULL THEN 1.0::DOUBLE ELSE coalesce(s.similarity, 0.0::DOUBLE) END, 6) AS similarity,
+          round(CASE WHEN l.entry_id IS NOT NULL THEN 1.0::DOUBLE ELSE coalesce(s.threshold_used, 0.0::DOUBLE) END, 6) AS threshold_used
+        FROM keyed_queries q LEFT JOIN latest l ON q.exact_key = l.exact_key
+        LEFT JOIN semantic s ON q.query_id = s.query_id AND l.entry_id IS NULL""",
+)
+def two_tier_lookup(spark, sf):
+    out = L.two_tier_lookup(I.queries(spark, sf), I.entries(spark, sf), None, now(), CFG)
+    return out.select(
+        "query_id", "tenant_id", "hit", "tier", "entry_id", F.round("similarity", 6).alias("similarity"),
+        F.round("threshold_used", 6).alias("threshold_used"),
+    )
+
+
+SQL_LIGHT = f"""
+{I.SQL_QUERIES}, {I.SQL_ENTRIES},
+light AS (SELECT sha256({I.sql_light('query_text')}) AS k, max_by(entry_id, seq) AS entry_id FROM entries GROUP BY 1),
+sims AS (SELECT q.query_id, e.entry_id, {sim('q.embedding', 'e.embedding')} AS similarity
+         FROM queries q JOIN entries e ON q.embedding IS NOT NULL AND e.embedding IS NOT NULL)"""
+
+SQL_TIERS = f"""
+SELECT q.query_id, CASE WHEN l.entry_id IS NOT NULL THEN 1 WHEN b.entry_id IS NOT NULL THEN 2 ELSE 0 END AS tier,
+       coalesce(l.entry_id, b.entry_id) AS entry_id,
+       round(CASE WHEN l.entry_id IS NOT NULL THEN 1.0::DOUBLE ELSE coalesce(b.similarity, 0.0::DOUBLE) END, 6) AS similarity
+FROM queries q LEFT JOIN light l ON sha256({I.sql_light('q.query_text')}) = l.k
+LEFT JOIN best b ON q.query_id = b.query_id"""
+
+SQL_BEST = "SELECT * FROM {src} WHERE {cond} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, entry_id) = 1"
+
+
+@query(
+    "static_threshold_match",
+    f"WITH {SQL_LIGHT}, best AS ({SQL_BEST.format(src='sims', cond='similarity >= 0.35::DOUBLE')}) {SQL_TIERS}",
+)
+def static_threshold_match(spark, sf):
+    out = L.static_threshold_match(I.queries(spark, sf), I.entries(spark, sf), 0.35)
+    return out.withColumn("similarity", F.round("similarity", 6))
+
+
+SQL_VCACHE_NEIGHBOUR = f"""
+adj AS (SELECT entry_id, list_sort(list(CASE WHEN was_correct THEN similarity ELSE similarity + 0.1::DOUBLE END)) AS s
+        FROM (SELECT *, row_number() OVER (PARTITION BY entry_id ORDER BY seq DESC) AS rn FROM judged) WHERE rn <= 50
+        GROUP BY entry_id),
+own AS (SELECT entry_id, CASE WHEN len(s) < 3 THEN 0.36::DOUBLE
+          ELSE greatest(0.30::DOUBLE, least(0.45::DOUBLE, s[CAST(greatest(0, floor((1.0::DOUBLE - 0.05::DOUBLE) * len(s)) - 1) AS BIGINT) + 1])) END AS threshold
+        FROM adj)"""
+
+
+@query(
+    "entry_threshold_match",
+    f"""WITH {SQL_LIGHT}, {SQL_KNN}, judged AS (SELECT entry_id, query_id AS seq, similarity, same_label AS was_correct FROM knn),
+        {SQL_VCACHE_NEIGHBOUR},
+        ok AS (SELECT sims.* FROM sims LEFT JOIN own USING (entry_id) WHERE similarity >= coalesce(threshold, 0.36::DOUBLE)),
+        best AS ({SQL_BEST.format(src='ok', cond='true')}) {SQL_TIERS}""",
+)
+def entry_threshold_match(spark, sf):
+    own = C.vcache_thresholds(neighbour_feedback(spark, sf), default=0.36, low=0.30, high=0.45)
+    out = L.entry_threshold_match(I.queries(spark, sf), I.entries(spark, sf), own, 0.36)
+    return out.withColumn("similarity", F.round("similarity", 6))
+
+
+@query("adaptive_threshold_match")
+def adaptive_threshold_match(spark, sf):
+    """Threshold learned from the logged hits, shifted to where these vectors are similar."""
+    tau = C.learned_global_threshold(I.query_log(spark, sf).filter("hit"), floor=0.30, initial=0.82)
+    out = L.adaptive_threshold_match(
+        I.queries(spark, sf), I.entries(spark, sf), tau.scalar(), DIM, 16
+    )
+    return out.withColumn("similarity", F.round("similarity", 6))
+
+
+@query(
+    "causal_match",
+    f"""WITH sims AS (SELECT q.vec_id AS query_id, e.vec_id AS entry_id, {sim('q.embedding', 'e.embedding')} AS similarity
+          FROM embeddings q JOIN embeddings e ON e.vec_id < q.vec_id)
+        SELECT query_id, entry_id, round(similarity, 6) AS similarity FROM ({SQL_BEST.format(src='sims', cond='similarity >= 0.3::DOUBLE')})""",
+)
+def causal_match(spark, sf):
+    v = vectors(spark, sf)
+    return L.causal_match(v, v, 0.3).select("query_id", "entry_id", F.round("similarity", 6).alias("similarity"))
+
+
+@query(
+    "feedback_join",
+    f"""WITH {I.SQL_FEEDBACK} SELECT seq, entry_id, CASE WHEN l.doc_id IS NULL THEN 'error' ELSE 'ok' END AS status
+        FROM feedback f LEFT JOIN (SELECT doc_id FROM documents JOIN labels USING (doc_id)) l ON f.entry_id = l.doc_id""",
+)
+def feedback_join(spark, sf):
+    return L.feedback_join(I.feedback(spark, sf), I.entries(spark, sf)).select("seq", "entry_id", "status")
+
+
+def comparison_inputs(spark, sf):
+    """The k-th event of a user through the cache, the next one as the same question asked directly."""
+    log = I.query_log(spark, sf)
+    cached = log.select("query_id", "latency_ms", F.when(F.col("hit"), 0).otherwise(F.col("k")).alias("tokens"), "hit")
+    direct = log.select((F.col("query_id") - 1).alias("query_id"), "latency_ms", F.col("k").alias("tokens"))
+    return cached, direct
+
+
+SQL_COMPARED = I.SQL_LOG + """,
+compared AS (
+  SELECT c.query_id, c.latency_ms AS cached_ms, CASE WHEN c.hit THEN 0 ELSE c.k END AS cached_tokens, c.hit,
+         d.latency_ms AS direct_ms, d.k AS direct_tokens, d.latency_ms - c.latency_ms AS saved_ms,
+         d.k - CASE WHEN c.hit THEN 0 ELSE c.k END AS saved_tokens,
+         d.latency_ms / greatest(c.latency_ms, 0.1::DOUBLE) AS speedup
+  FROM query_log c JOIN query_log d ON d.query_id = c.query_id + 1
+)"""
+
+
+@query(
+    "paired_comparison",
+    f"WITH {SQL_COMPARED} SELECT query_id, hit, round(saved_ms, 6) AS saved_ms, saved_tokens, round(speedup, 6) AS speedup FROM compared",
+)
+def paired_comparison(spark, sf):
+    return L.paired_comparison(*comparison_inputs(spark, sf)).select(
+        "query_id", "hit", F.round("saved_ms", 6).alias("saved_ms"), "saved_tokens", F.round("speedup", 6).alias("speedup")
+    )

@@ -1 +1,167 @@
+"""Priority, eviction, admission and segment queries."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from recollect.catalog import inputs as I
+from recollect.catalog import query
+from recollect.config import CacheConfig
+from recollect.operators import retention as R
+
+def sql_priority(level: str = "0.0") -> str:
+    return f"""{I.SQL_ENTRIES},
+ranked AS (SELECT *, frequency * (llm_cost_usd * 1e6::DOUBLE + embed_cost_ms) / greatest(storage_bytes, 1) + {level}::DOUBLE AS priority,
+             created_at + to_seconds(CAST(frequency * 100 AS BIGINT)) AS last_access FROM entries)"""
+
+
+def entries(spark, sf, level=0.0, extra=0.0):
+    used = I.entries(spark, sf).withColumn(
+        "last_access", F.col("created_at") + F.make_dt_interval(secs=F.col("frequency") * 100)
+    )
+    return R.with_priority(used, level, extra)
+
+
+@query(
+    "gdsf_priority",
+    f"""WITH {sql_priority('2.5')},
+        flat AS (SELECT entry_id, frequency * (llm_cost_usd * 1e6::DOUBLE + embed_cost_ms + 50.0::DOUBLE) / greatest(storage_bytes, 1)
+                   + 2.5::DOUBLE AS p FROM entries)
+        SELECT entry_id, round(priority, 6) AS priority, round(p, 6) AS priority_flat_cost FROM ranked JOIN flat USING (entry_id)""",
+)
+def gdsf_priority(spark, sf):
+    e = entries(spark, sf, 2.5)
+    both = R.with_priority(e.withColumnRenamed("priority", "own"), 2.5, extra_ms=50.0)
+    return both.select("entry_id", F.round("own", 6).alias("priority"), F.round("priority", 6).alias("priority_flat_cost"))
+
+
+def _quota(e):
+    """A third of each tenant's entries has to go."""
+    return e.groupBy("tenant_id").agg(F.ceil(F.count(F.lit(1)) / 3).alias("n"))
+
+
+def _sql_evict(order: str) -> str:
+    return f"""{sql_priority('0.0')},
+victims AS (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY {order}, entry_id) AS rn,
+              ceil(count(*) OVER (PARTITION BY tenant_id) / 3.0) AS n FROM ranked)"""
+
+
+@query(
+    "evict_lowest",
+    f"WITH {_sql_evict('priority')} SELECT tenant_id, entry_id, round(priority, 6) AS priority FROM victims WHERE rn <= n",
+)
+def evict_lowest(spark, sf):
+    e = entries(spark, sf)
+    evicted, _, _ = R.evict_lowest(e, _quota(e))
+    return evicted.select("tenant_id", "entry_id", F.round("priority", 6).alias("priority"))
+
+
+@query(
+    "evict_lowest_inflation",
+    f"WITH {_sql_evict('priority')} SELECT tenant_id, round(max(priority), 6) AS inflation FROM victims WHERE rn <= n GROUP BY tenant_id",
+)
+def evict_lowest_inflation(spark, sf):
+    e = entries(spark, sf)
+    _, _, level = R.evict_lowest(e, _quota(e))
+    return level.withColumn("inflation", F.round("inflation", 6))
+
+
+@query("evict_lru", f"WITH {_sql_evict('last_access')} SELECT tenant_id, entry_id, last_access FROM victims WHERE rn <= n")
+def evict_lru(spark, sf):
+    e = entries(spark, sf)
+    evicted, _ = R.evict_lru(e, _quota(e))
+    return evicted.select("tenant_id", "entry_id", "last_access")
+
+
+@query(
+    "eviction_stats",
+    f"""WITH {sql_priority('1.5')} SELECT count(*) AS tracked_entries, round(min(priority), 4) AS min_priority,
+          round(max(priority), 4) AS max_priority, round(avg(priority), 4) AS avg_priority, 1.5::DOUBLE AS inflation_factor FROM ranked""",
+)
+def eviction_stats(spark, sf):
+    return R.eviction_stats(entries(spark, sf, 1.5), 1.5)
+
+
+@query(
+    "priority_histogram",
+    f"WITH {sql_priority('0.0')} SELECT CAST(floor(priority / 0.5::DOUBLE) AS BIGINT) AS bin, count(*) AS entries FROM ranked GROUP BY 1",
+)
+def priority_histogram(spark, sf):
+    return R.priority_histogram(entries(spark, sf), 0.5)
+
+
+WINDOW = 20
+
+
+def gate_inputs(spark, sf):
+    """Documents asked for admission; the window holds the conversation openings before them.
+
+    The bucket is the first letters of the answer's language and source.
+    """
+    docs = I.table(spark, sf, "documents")
+    bucket = F.concat_ws("/", "lang", "source")
+    candidates = docs.select(
+        F.col("lang").alias("tenant_id"), F.col("doc_id").alias("entry_id"), F.col("doc_id").alias("seq"),
+        bucket.alias("bucket"),
+    )
+    labels = I.table(spark, sf, "labels").join(docs, "doc_id")
+    window = labels.select(
+        F.col("lang").alias("tenant_id"), (-F.col("doc_id") - 1).alias("entry_id"), (F.col("doc_id") - 1_000_000_000_000).alias("seq"),
+        bucket.alias("bucket"),
+    )
+    return candidates, window, candidates.groupBy("bucket").agg(F.count(F.lit(1)).alias("frequency"))
+
+
+SQL_GATE = f"""
+line AS (
+  SELECT lang AS tenant_id, -doc_id - 1 AS entry_id, doc_id - 1000000000000 AS seq, lang || '/' || source AS bucket, false AS is_new
+  FROM documents JOIN labels USING (doc_id)
+  UNION ALL SELECT lang, doc_id, doc_id, lang || '/' || source, true FROM documents),
+freq AS (SELECT lang || '/' || source AS bucket, count(*) AS frequency FROM documents GROUP BY 1),
+placed AS (SELECT l.*, coalesce(frequency, 0) AS frequency, row_number() OVER (PARTITION BY tenant_id ORDER BY seq) AS at
+           FROM line l LEFT JOIN freq USING (bucket)),
+gate AS (SELECT n.tenant_id, n.entry_id, n.seq, n.frequency AS new_frequency, v.entry_id AS victim_id, v.frequency AS victim_frequency,
+           v.entry_id IS NULL OR n.frequency >= v.frequency AS admitted
+         FROM placed n LEFT JOIN placed v ON n.tenant_id = v.tenant_id AND n.at = v.at + {WINDOW} WHERE n.is_new)"""
+
+
+@query("admission_gate", f"WITH {SQL_GATE} SELECT * FROM gate")
+def admission_gate(spark, sf):
+    return R.admission_gate(*gate_inputs(spark, sf), WINDOW).drop("bucket")
+
+
+@query("admission_gate_sequential")
+def admission_gate_sequential(spark, sf):
+    return R.admission_gate_sequential(*gate_inputs(spark, sf), WINDOW)
+
+
+@query(
+    "admission_stats",
+    f"""WITH {SQL_GATE} SELECT tenant_id, count(*) AS total_checks, count(*) FILTER (admitted) AS total_admitted,
+          count(*) FILTER (NOT admitted) AS total_rejected, round(count(*) FILTER (admitted) / greatest(count(*), 1)::DOUBLE, 4) AS admission_rate
+        FROM gate GROUP BY tenant_id""",
+)
+def admission_stats(spark, sf):
+    return R.admission_stats(R.admission_gate(*gate_inputs(spark, sf), WINDOW))
+
+
+SEG = CacheConfig(capacity=100, window_fraction=0.1)
+
+SQL_SEGMENTS = f"""{sql_priority('0.0')},
+p AS (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY seq DESC, entry_id) AS place FROM ranked),
+e AS (SELECT *, place > 10 AND frequency > 1 AS eligible FROM p),
+q AS (SELECT *, row_number() OVER (PARTITION BY tenant_id, eligible ORDER BY last_access DESC, entry_id) AS recent FROM e),
+segments AS (SELECT tenant_id, entry_id, CASE WHEN place <= 10 THEN 'window' WHEN eligible AND recent <= 72 THEN 'protected'
+             ELSE 'probation' END AS segment FROM q)"""
+
+
+@query("segment_entries", f"WITH {SQL_SEGMENTS} SELECT * FROM segments")
+def segment_entries(spark, sf):
+    e = entries(spark, sf).withColumn("used_since", F.col("frequency") > 1)
+    return R.segment_entries(e, SEG).select("tenant_id", "entry_id", "segment")
+
+
+@query("segment_sizes", f"WITH {SQL_SEGMENTS} SELECT tenant_id, segment, count(*) AS entries FROM segments GROUP BY ALL")
+def segment_sizes(spark, sf):
+    e = entries(spark, sf).withColumn("used_since", F.col("frequency") > 1)
+    return R.segment_sizes(R.segment_entries(e, SEG))

@@ -14,7 +14,7 @@ from recollect.operators import sessions as SE
 @query(
     "running_hit_rate",
     f"""WITH {I.SQL_LOG} SELECT query_id, seq,
-          round(CAST(count(*) FILTER (hit) OVER w AS DOUBLE) / count(*) OVER w, 4) AS hit_rate
+          CAST(count(*) FILTER (hit) OVER w AS DOUBLE) / count(*) OVER w AS hit_rate
         FROM query_log WINDOW w AS (ORDER BY seq)""",
 )
 def running_hit_rate(spark, sf):
@@ -24,7 +24,7 @@ def running_hit_rate(spark, sf):
 @query(
     "running_hit_rate_by_tenant",
     f"""WITH {I.SQL_LOG} SELECT tenant_id, query_id, seq,
-          round(CAST(count(*) FILTER (hit) OVER w AS DOUBLE) / count(*) OVER w, 4) AS hit_rate
+          CAST(count(*) FILTER (hit) OVER w AS DOUBLE) / count(*) OVER w AS hit_rate
         FROM query_log WINDOW w AS (PARTITION BY tenant_id ORDER BY seq)""",
 )
 def running_hit_rate_by_tenant(spark, sf):
@@ -34,12 +34,14 @@ def running_hit_rate_by_tenant(spark, sf):
 @query(
     "rolling_latency",
     f"""WITH {I.SQL_LOG} SELECT query_id, hit,
-          round(avg(latency_ms) OVER (ORDER BY seq ROWS BETWEEN 999 PRECEDING AND CURRENT ROW), 9) AS avg_all,
-          round(avg(latency_ms) OVER (PARTITION BY hit ORDER BY seq ROWS BETWEEN 999 PRECEDING AND CURRENT ROW), 9) AS avg_same
+          round(avg(latency_ms) OVER (ORDER BY seq ROWS BETWEEN 999 PRECEDING AND CURRENT ROW) + 1e-12::DOUBLE, 9) AS avg_all,
+          round(avg(latency_ms) OVER (PARTITION BY hit ORDER BY seq ROWS BETWEEN 999 PRECEDING AND CURRENT ROW) + 1e-12::DOUBLE, 9) AS avg_same
         FROM query_log""",
 )
 def rolling_latency(spark, sf):
-    return M.rolling_latency(I.query_log(spark, sf))
+    # Means over a power-of-two count end in an exact half; the nudge settles which way it rounds.
+    r = M.rolling_latency(I.query_log(spark, sf))
+    return r.select("query_id", "hit", *[F.round(F.col(c) + 1e-12, 9).alias(c) for c in ("avg_all", "avg_same")])
 
 
 @query(
@@ -60,7 +62,7 @@ def requests(spark, sf):
 @query(
     "sessionize",
     f"""WITH {I.SQL_LOG},
-          f AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) > 7200 * 1000000 THEN 1 ELSE 0 END AS fresh
+          f AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) > 7200000000 THEN 1 ELSE 0 END AS fresh
                 FROM query_log WINDOW w AS (PARTITION BY tenant_id ORDER BY seq)),
           s AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY tenant_id ORDER BY seq) AS BIGINT) AS segment FROM f)
         SELECT tenant_id, query_id, segment, row_number() OVER (PARTITION BY tenant_id, segment ORDER BY seq) AS turn FROM s""",
@@ -121,9 +123,10 @@ def reuse_distance(spark, sf):
 @query(
     "miss_ratio_curve",
     f"""WITH {SQL_REUSE}, t AS (SELECT event_type, count(*) AS uses FROM d GROUP BY 1)
-        SELECT t.event_type, t.uses, c.capacity, round(1 - (count(d.seq) / t.uses::DOUBLE), 6) AS miss_ratio
-        FROM t CROSS JOIN (SELECT unnest([10, 50, 100]) AS capacity) c
-        LEFT JOIN d ON d.event_type = t.event_type AND d.distance < c.capacity GROUP BY ALL""",
+        SELECT event_type, uses, capacity, round(1 - hits / uses::DOUBLE, 6) AS miss_ratio FROM (
+          SELECT t.event_type, t.uses, c.capacity, count(d.seq) AS hits
+          FROM t CROSS JOIN (SELECT unnest([10, 50, 100]) AS capacity) c
+          LEFT JOIN d ON d.event_type = t.event_type AND d.distance < c.capacity GROUP BY t.event_type, t.uses, c.capacity)""",
 )
 def miss_ratio_curve(spark, sf):
     return M.miss_ratio_curve(_distances(spark, sf), ["event_type"], [10, 50, 100])

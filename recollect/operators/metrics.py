@@ -216,7 +216,7 @@ def running_hit_rate(log: DataFrame, by: list[str] | None = None) -> DataFrame:
         log.select(*by, "query_id", "seq", "hit"), by, ["seq"], by_width("seq"),
         hits=total(F.col("hit").cast("bigint")), queries=total(F.lit(1).cast("bigint")),
     )
-    return out.select(*by, "query_id", "seq", F.round(F.col("hits") / F.col("queries"), 4).alias("hit_rate"))
+    return out.select(*by, "query_id", "seq", (F.col("hits") / F.col("queries")).alias("hit_rate"))
 
 
 def rolling_latency(log: DataFrame, rows: int = HISTORY) -> DataFrame:
@@ -227,7 +227,7 @@ def rolling_latency(log: DataFrame, rows: int = HISTORY) -> DataFrame:
     ).drop("_n")
     return trailing_frames(
         numbered(every, ["hit"], ["seq"], by_width("seq"), "_n"), ["hit"], "_n", rows, avg_same=F.avg("latency_ms")
-    ).select("query_id", "hit", F.round("avg_all", DIGITS).alias("avg_all"), F.round("avg_same", DIGITS).alias("avg_same"))
+    ).select("query_id", "hit", "avg_all", "avg_same")
 
 
 def access_profile(log: DataFrame, key: list[str]) -> DataFrame:

@@ -1 +1,319 @@
+"""Sequential and streaming queries, the batch step and the strategy comparison."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from recollect.catalog import inputs as I
+from recollect.catalog import query
+from recollect.catalog.calibration import posterior
+from recollect.catalog.vectors import DIM
+from recollect.config import CacheConfig
+from recollect.operators import sequential as SQ
+from recollect.operators import step as ST
+from recollect.operators import strategies as SG
+from recollect.streaming import cache as SC
+from recollect.streaming import queries as Q
+
+RATE, BURST = 1 / 43_200, 3
+BREAK = CacheConfig(breaker_failures=2, breaker_reset_s=36_000.0)
+SENSITIVE = CacheConfig(drift_delta=50.0)
+
+
+def talking(spark, sf):
+    """Documents with a vector as turns of their source's session, one minute per id."""
+    q = I.queries(spark, sf).filter(F.col("embedding").isNotNull())
+    ts = F.lit(I.EPOCH).cast("timestamp") + F.make_dt_interval(secs=F.col("seq") * 60)
+    return q.select("session_id", "query_id", "seq", ts.alias("ts"), "embedding")
+
+
+SQL_FUSION = f"""RECURSIVE {I.SQL_QUERIES},
+t AS (SELECT session_id, query_id, seq, seq * 60 AS tm, embedding::DOUBLE[] AS q FROM queries WHERE embedding IS NOT NULL),
+f AS (SELECT *, CASE WHEN lag(tm) OVER w IS NULL OR tm - lag(tm) OVER w > 1800 THEN 1 ELSE 0 END AS fresh
+      FROM t WINDOW w AS (PARTITION BY session_id ORDER BY seq)),
+s AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY session_id ORDER BY seq) AS BIGINT) AS segment FROM f),
+n AS (SELECT *, row_number() OVER (PARTITION BY session_id, segment ORDER BY seq) AS turn FROM s),
+r AS (
+  SELECT session_id, segment, turn, query_id, q AS fused, q AS ctx FROM n WHERE turn = 1
+  UNION ALL
+  SELECT session_id, segment, turn, query_id,
+    list_transform(fu, lambda x: x / sqrt(list_dot_product(fu, fu))), list_transform(cu, lambda x: x / sqrt(list_dot_product(cu, cu)))
+  FROM (SELECT n.session_id, n.segment, n.turn, n.query_id,
+          list_transform(list_zip(n.q, r.ctx), lambda p: 0.85::DOUBLE * p[1] + 0.15::DOUBLE * p[2]) AS fu,
+          list_transform(list_zip(n.q, r.ctx), lambda p: 0.5::DOUBLE * p[1] + 0.5::DOUBLE * p[2]) AS cu
+        FROM r JOIN n ON n.session_id = r.session_id AND n.segment = r.segment AND n.turn = r.turn + 1)
+)"""
+
+_FUSED = """SELECT query_id, CAST(turn AS INTEGER) AS turn, round(list_sum(fused), 6) AS fused_sum, round(fused[1], 6) AS first,
+          round(fused[64], 6) AS last FROM r"""
+
+
+def _shape(fused):
+    total = F.aggregate("fused", F.lit(0.0), lambda s, x: s + x)
+    return fused.select(
+        "query_id", F.col("turn").cast("int").alias("turn"), F.round(total, 6).alias("fused_sum"),
+        F.round(F.col("fused")[0], 6).alias("first"), F.round(F.col("fused")[63], 6).alias("last"),
+    )
+
+
+@query("session_fusion", f"WITH {SQL_FUSION} {_FUSED}")
+def session_fusion(spark, sf):
+    return _shape(SQ.session_fusion(talking(spark, sf)))
+
+
+SQL_BUCKET = f"""RECURSIVE {I.SQL_LOG},
+n AS (SELECT tenant_id, seq, epoch_us(ts) / 1e6::DOUBLE AS tm, row_number() OVER (PARTITION BY tenant_id ORDER BY seq) AS i FROM query_log),
+b AS (
+  SELECT tenant_id, i, seq, tm, true AS allowed, {BURST}::DOUBLE - 1 AS tokens FROM n WHERE i = 1
+  UNION ALL
+  SELECT tenant_id, i, seq, tm, have >= 1.0, have - CASE WHEN have >= 1.0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END
+  FROM (SELECT n.tenant_id, n.i, n.seq, n.tm, least({BURST}::DOUBLE, b.tokens + (n.tm - b.tm) * (1.0::DOUBLE / 43200.0::DOUBLE)) AS have
+        FROM b JOIN n ON n.tenant_id = b.tenant_id AND n.i = b.i + 1)
+)
+SELECT tenant_id, seq, allowed, round(tokens, 4) AS tokens FROM b"""
+
+
+@query("token_bucket", f"WITH {SQL_BUCKET}")
+def token_bucket(spark, sf):
+    out = SQ.token_bucket(I.query_log(spark, sf), RATE, BURST)
+    return out.select("tenant_id", "seq", "allowed", F.round("tokens", 4).alias("tokens"))
+
+
+SQL_BREAKER = f"""RECURSIVE {I.SQL_LOG},
+n AS (SELECT tenant_id AS dependency, seq, epoch_us(ts) / 1e6::DOUBLE AS tm, event_type <> 'error' AS ok,
+        row_number() OVER (PARTITION BY tenant_id ORDER BY seq) AS i FROM query_log),
+b AS (
+  SELECT dependency, i, seq, ok, tm, 'closed' AS seen, 'closed' AS phase, CASE WHEN ok THEN 0 ELSE 1 END AS fails,
+         CASE WHEN ok THEN 0.0::DOUBLE ELSE tm END AS failed_at FROM n WHERE i = 1
+  UNION ALL
+  SELECT dependency, i, seq, ok, tm, now_phase,
+    CASE WHEN now_phase = 'open' THEN 'open' WHEN ok THEN 'closed' WHEN fails + 1 >= 2 THEN 'open' ELSE now_phase END,
+    CASE WHEN now_phase = 'open' THEN fails WHEN ok THEN 0 ELSE fails + 1 END,
+    CASE WHEN now_phase <> 'open' AND NOT ok THEN tm ELSE failed_at END
+  FROM (SELECT n.dependency, n.i, n.seq, n.ok, n.tm, b.fails, b.failed_at,
+          CASE WHEN b.phase = 'open' AND n.tm - b.failed_at >= 36000 THEN 'half_open' ELSE b.phase END AS now_phase
+        FROM b JOIN n ON n.dependency = b.dependency AND n.i = b.i + 1)
+)"""
+
+
+def calls(spark, sf):
+    return I.query_log(spark, sf).select(
+        F.col("tenant_id").alias("dependency"), "seq", "ts", (F.col("event_type") != "error").alias("ok")
+    )
+
+
+@query(
+    "breaker_states",
+    f"WITH {SQL_BREAKER} SELECT dependency, seq, ok, seen AS state, seen = 'open' AS rejected, phase AS state_after FROM b",
+)
+def breaker_states(spark, sf):
+    return SQ.breaker_states(calls(spark, sf), BREAK)
+
+
+@query(
+    "breaker_stats",
+    f"""WITH {SQL_BREAKER} SELECT dependency, count(*) AS total_calls, count(*) FILTER (seen <> 'open' AND NOT ok) AS total_failures,
+          count(*) FILTER (seen <> 'open' AND ok) AS total_successes, count(*) FILTER (seen = 'open') AS rejected_calls,
+          max_by(phase, seq) AS state FROM b GROUP BY dependency""",
+)
+def breaker_stats(spark, sf):
+    return SQ.breaker_stats(SQ.breaker_states(calls(spark, sf), BREAK))
+
+
+@query("drift_windows")
+def drift_windows(spark, sf):
+    series = I.rewards(spark, sf).filter(F.col("reward").isNotNull())
+    return SQ.drift_windows(series, ["shard_id"], SENSITIVE)
+
+
+@query("bandit_updates")
+def bandit_updates(spark, sf):
+    out = SQ.bandit_updates(I.rewards(spark, sf), SENSITIVE)
+    return out.withColumn("alpha", F.round("alpha", 6)).withColumn("beta", F.round("beta", 6))
+
+
+@query("thompson_sample")
+def thompson_sample(spark, sf):
+    return SQ.thompson_sample(posterior(spark, sf), 42)
+
+
+def log_stream(spark, sf):
+    """The event table as a file stream, with the roles of the query log."""
+    schema = I.table(spark, sf, "events").schema
+    e = Q.read_stream(spark, f"{sf}/events*.parquet", schema)
+    hit = F.col("event_type").isin("click", "view", "purchase")
+    return e.select(
+        F.col("event_id").alias("seq"), F.col("user_id").alias("tenant_id"), F.col("ts").cast("timestamp").alias("ts"),
+        hit.alias("hit"), F.when(F.col("event_type") == "click", 1).otherwise(2).alias("tier"),
+        F.col("value").alias("latency_ms"), "event_type", F.from_json("props", "k INT").getField("k").alias("k"),
+    )
+
+
+def run(spark, stream, name, **kw):
+    return Q.run_available(stream, I.scratch(spark, name), I.scratch(spark, name + "-progress"), **kw)
+
+
+@query(
+    "stream_metrics",
+    f"""WITH {I.SQL_LOG} SELECT date_trunc('hour', ts) AS start, count(*) AS queries, count(*) FILTER (hit) AS hits,
+          count(*) FILTER (hit AND tier = 1) AS tier1_hits, round(avg(latency_ms), 9) AS avg_latency_ms
+        FROM query_log GROUP BY 1 HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM query_log) - INTERVAL 10 MINUTE""",
+)
+def stream_metrics(spark, sf):
+    out = run(spark, Q.stream_metrics(log_stream(spark, sf)), "metrics")
+    return out.select(
+        F.col("start").cast("timestamp_ntz").alias("start"), "queries", "hits", "tier1_hits",
+        F.round("avg_latency_ms", 9).alias("avg_latency_ms"),
+    )
+
+
+@query(
+    "stream_sessions",
+    f"""WITH {I.SQL_LOG},
+          f AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 2 HOUR THEN 1 ELSE 0 END AS fresh
+                FROM query_log WINDOW w AS (PARTITION BY tenant_id ORDER BY seq)),
+          s AS (SELECT *, sum(fresh) OVER (PARTITION BY tenant_id ORDER BY seq) AS segment FROM f)
+        SELECT tenant_id AS session_id, min(ts) AS start, count(*) AS turn_count FROM s GROUP BY tenant_id, segment
+        HAVING max(ts) + INTERVAL 2 HOUR <= (SELECT max(ts) FROM query_log) - INTERVAL 10 MINUTE""",
+)
+def stream_sessions(spark, sf):
+    requests = log_stream(spark, sf).withColumnRenamed("tenant_id", "session_id")
+    out = run(spark, Q.stream_sessions(requests, "2 hours"), "sessions")
+    return out.select("session_id", F.col("start").cast("timestamp_ntz").alias("start"), "turn_count")
+
+
+@query("stream_exact_dedup")
+def stream_exact_dedup(spark, sf):
+    schema = I.table(spark, sf, "documents").schema
+    docs = Q.read_stream(spark, f"{sf}/documents*.parquet", schema)
+    requests = docs.select(
+        F.col("doc_id").alias("query_id"), F.col("lang").alias("tenant_id"), F.col("text").alias("query_text"),
+        (F.lit(I.EPOCH).cast("timestamp") + F.make_dt_interval(secs=F.col("doc_id") * 60)).alias("ts"),
+    )
+    return run(spark, Q.stream_exact_dedup(requests), "dedup").select("query_id", "exact_key")
+
+
+@query("stream_token_bucket", f"WITH {SQL_BUCKET}")
+def stream_token_bucket(spark, sf):
+    out = run(spark, Q.stream_token_bucket(log_stream(spark, sf), RATE, BURST), "bucket")
+    return out.select("tenant_id", "seq", "allowed", F.round("tokens", 4).alias("tokens"))
+
+
+@query(
+    "stream_breaker",
+    f"WITH {SQL_BREAKER} SELECT dependency, seq, ok, seen AS state, seen = 'open' AS rejected, phase AS state_after FROM b",
+)
+def stream_breaker(spark, sf):
+    c = log_stream(spark, sf).select(
+        F.col("tenant_id").alias("dependency"), "seq", "ts", (F.col("event_type") != "error").alias("ok")
+    )
+    return run(spark, Q.stream_breaker(c, BREAK), "breaker")
+
+
+def _reward_stream(spark, sf):
+    s = log_stream(spark, sf)
+    return s.select(
+        F.concat(F.lit("shard-"), (F.col("tenant_id") % 4).cast("string")).alias("shard_id"), "seq",
+        (F.col("k") % 10).alias("arm"), F.when(F.col("event_type") == "error", 0.0).otherwise(1.0).alias("reward"),
+    )
+
+
+@query("drift_stream")
+def drift_stream(spark, sf):
+    return run(spark, Q.stream_drift(_reward_stream(spark, sf), "shard_id", SENSITIVE), "drift")
+
+
+@query("bandit_stream")
+def bandit_stream(spark, sf):
+    return run(spark, Q.stream_bandit(_reward_stream(spark, sf), SENSITIVE), "bandit")
+
+
+@query("stream_session_fusion", f"WITH {SQL_FUSION} {_FUSED}")
+def stream_session_fusion(spark, sf):
+    """The turns written as files and read back as a stream."""
+    path = I.scratch(spark, "turns")
+    rows = talking(spark, sf)
+    rows.write.mode("overwrite").parquet(path)
+    return _shape(run(spark, Q.stream_session_fusion(Q.read_stream(spark, path, rows.schema)), "fusion"))
+
+
+@query(
+    "stream_ttl",
+    f"WITH {I.SQL_ENTRIES} SELECT entry_id, expires_at AS expired_at FROM entries WHERE expires_at < (SELECT max(created_at) FROM entries)",
+)
+def stream_ttl(spark, sf):
+    path = I.scratch(spark, "entries")
+    rows = I.entries(spark, sf).select(
+        "entry_id", F.col("created_at").cast("timestamp").alias("ts"), F.col("expires_at").cast("timestamp").alias("expires_at")
+    )
+    rows.write.mode("overwrite").parquet(path)
+    out = run(spark, Q.stream_ttl(Q.read_stream(spark, path, rows.schema)), "ttl")
+    return out.select("entry_id", F.col("expired_at").cast("timestamp_ntz").alias("expired_at"))
+
+
+STEP = CacheConfig(
+    capacity=300, window_fraction=0.2, default_threshold=0.35, min_threshold=0.33, max_threshold=0.6, ttl_s=0
+)
+
+
+def step_inputs(spark, sf):
+    """All documents as queries; their texts have a known answer where a label exists."""
+    q = I.queries(spark, sf)
+    ts = F.lit(I.EPOCH).cast("timestamp") + F.make_dt_interval(secs=F.col("seq") * 60)
+    batch = q.select("query_id", "seq", "tenant_id", "session_id", ts.alias("ts"), "query_text", "embedding")
+    from recollect.functions import text as T
+
+    docs = I.table(spark, sf, "documents").join(I.table(spark, sf, "labels"), "doc_id")
+    responses = docs.select(
+        T.exact_key(F.col("text"), F.col("lang")).alias("exact_key"), F.col("text").alias("response_text"),
+        T.word_count(F.col("text")).cast("bigint").alias("output_tokens"),
+        (T.word_count(F.col("text")) / 1000 * F.lit(0.015)).alias("cost_usd"), (F.col("n_chars") / 10.0).alias("latency_ms"),
+    )
+    return batch, responses
+
+
+@query("cache_step")
+def cache_step(spark, sf):
+    """All documents asked in one batch of an empty cache, then all once more."""
+    batch, responses = step_inputs(spark, sf)
+    root = I.scratch(spark, "cache")
+    now = F.lit(I.EPOCH).cast("timestamp")
+    first = ST.cache_step(spark, root, 0, batch, responses, now, DIM, None, STEP)
+    again = ST.cache_step(spark, root, 1, batch, responses, now, DIM, None, STEP)
+    return first.withColumn("batch", F.lit(0)).unionByName(again.withColumn("batch", F.lit(1)))
+
+
+@query("stream_cache")
+def stream_cache(spark, sf):
+    batch, responses = step_inputs(spark, sf)
+    path, root = I.scratch(spark, "queries"), I.scratch(spark, "streamed")
+    batch.write.mode("overwrite").parquet(path)
+    stream = Q.read_stream(spark, path, batch.schema)
+    SC.stream_cache(
+        stream, responses, root, I.scratch(spark, "cache-progress"), DIM, None, STEP, now=F.lit(I.EPOCH).cast("timestamp")
+    ).awaitTermination()
+    return ST.read_log(spark, root)
+
+
+@query("feedback_step")
+def feedback_step(spark, sf):
+    """Every event as a judgement of the entry numbered like its user; new thresholds per entry."""
+    new = I.feedback(spark, sf).withColumn("shard_id", F.concat(F.lit("shard-"), (F.col("entry_id") % 4).cast("string")))
+    old = I.feedback(spark, sf).limit(0)
+    _, tau, _ = ST.feedback_step(old, new, I.entries(spark, sf), posterior(spark, sf))
+    return tau.withColumn("threshold", F.round("threshold", 6))
+
+
+@query("compare_strategies")
+def compare_strategies(spark, sf):
+    """Seven configurations; thresholds lie where the vectors of these tables are similar."""
+    q = I.queries(spark, sf).filter(F.col("embedding").isNotNull())
+    work = q.join(I.table(spark, sf, "documents").select(F.col("doc_id").alias("query_id"), "n_chars"), "query_id").select(
+        "query_id", "seq", "tenant_id", "query_text", "embedding",
+        F.concat(F.lit("label-"), F.col("label").cast("string")).alias("answer"), (F.col("n_chars") / 10.0).alias("latency_ms"),
+    )
+    cfg = CacheConfig(default_threshold=0.35, min_threshold=0.30, max_threshold=0.45, tenant_scoped=False)
+    plans = SG.standard_strategies(DIM, 16, low=0.33, high=0.38, default=0.35, cfg=cfg)
+    return SG.compare_strategies(
+        work, DIM, capacity=200, target=16, strategies=plans, default=0.30, initial=0.50, floor=0.30, limits=(0.28, 0.45), cfg=cfg
+    )

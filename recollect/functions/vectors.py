@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -54,21 +54,31 @@ def _rows(arr: pa.Array) -> np.ndarray:
     return flat.reshape(len(arr), -1)
 
 
+def _row_lists(batch: pa.Array, made: Callable[[np.ndarray], np.ndarray], item: pa.DataType) -> pa.Array:
+    """One output list per vector of the batch; null for a null or empty vector."""
+    lengths = batch.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    known = lengths > 0
+    if not known.any():
+        return pa.nulls(len(batch), pa.list_(item))
+    out = made(_rows(batch.filter(pa.array(known))))
+    offsets = np.concatenate([[0], np.cumsum(np.where(known, out.shape[1], 0))]).astype(np.int32)
+    return pa.ListArray.from_arrays(
+        pa.array(offsets), pa.array(out.ravel(), item), mask=pa.array(~known)
+    )
+
+
 def lsh_signature(vector: Column, dim: int, tables: int = 4, bits: int = 8, seed: int = 42) -> Column:
     """array<int> with one sign-bit hash per table, first plane in the highest bit."""
     planes = gaussian_planes(dim, tables, bits, seed).astype(np.float64).reshape(tables * bits, dim)
     weights = (1 << np.arange(bits - 1, -1, -1)).astype(np.int64)
 
+    def hashes(vectors: np.ndarray) -> np.ndarray:
+        return ((vectors @ planes.T > 0).reshape(-1, tables, bits) * weights).sum(axis=2).astype(np.int32)
+
     @F.arrow_udf("array<int>")
     def signature(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            if len(batch) == 0:
-                yield pa.array([], pa.list_(pa.int32()))
-                continue
-            signs = (_rows(batch) @ planes.T > 0).reshape(-1, tables, bits)
-            hashes = (signs * weights).sum(axis=2).astype(np.int32)
-            offsets = pa.array(np.arange(0, hashes.size + 1, tables, dtype=np.int32))
-            yield pa.ListArray.from_arrays(offsets, pa.array(hashes.ravel()))
+            yield _row_lists(batch, hashes, pa.int32())
 
     return signature(vector)
 
@@ -88,17 +98,15 @@ def projected(vector: Column, dim: int, target: int, seed: int = 42) -> Column:
     """Orthogonal random projection to ``target`` dimensions, renormalised."""
     matrix = orthogonal_projection(dim, target, seed).astype(np.float64)
 
+    def low(vectors: np.ndarray) -> np.ndarray:
+        out = vectors @ matrix
+        size = np.linalg.norm(out, axis=1, keepdims=True)
+        return np.divide(out, size, out=out.copy(), where=size > 0)
+
     @F.arrow_udf("array<double>")
     def project(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            if len(batch) == 0:
-                yield pa.array([], pa.list_(pa.float64()))
-                continue
-            low = _rows(batch) @ matrix
-            size = np.linalg.norm(low, axis=1, keepdims=True)
-            low = np.divide(low, size, out=low.copy(), where=size > 0)
-            offsets = pa.array(np.arange(0, low.size + 1, low.shape[1], dtype=np.int32))
-            yield pa.ListArray.from_arrays(offsets, pa.array(low.ravel()))
+            yield _row_lists(batch, low, pa.float64())
 
     return project(vector)
 

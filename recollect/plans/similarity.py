@@ -68,9 +68,9 @@ def _cell_kernel(
                 if entries is None:
                     if not blocks:
                         continue
-                    table = pa.Table.from_batches(blocks).combine_chunks().sort_by("_id")
+                    table = pa.Table.from_batches(blocks).combine_chunks().sort_by("_eid")
                     entries = {
-                        "id": table.column("_id"),
+                        "id": table.column("_eid"),
                         "vec": _matrix(table.column("_vec")),
                         "limit": table.column("_limit").to_numpy(),
                         "seq": table.column("_seq").to_numpy(),
@@ -83,7 +83,7 @@ def _cell_kernel(
                     allowed = sims >= (-2.0 if floor is None else floor)
                     if obey_limit:
                         allowed &= sims >= entries["limit"][None, :]
-                    qid = strip.column("_id").to_numpy(zero_copy_only=False)
+                    qid = strip.column("_qid").to_numpy(zero_copy_only=False)
                     if skip_same:
                         allowed &= qid[:, None] != entries["ids"].to_numpy(zero_copy_only=False)[None, :]
                     if earlier_only:
@@ -92,7 +92,7 @@ def _cell_kernel(
                     if len(rows):
                         yield pa.RecordBatch.from_arrays(
                             [
-                                strip.column("_id").take(pa.array(rows)),
+                                strip.column("_qid").take(pa.array(rows)),
                                 entries["ids"].take(pa.array(cols)),
                                 pa.array(sims[rows, cols]),
                                 pa.array(entries["limit"][cols]),
@@ -162,10 +162,13 @@ def best_matches(
         placed = side.join(big_q, cols, "left").join(big_e, cols, "left")
         placed = placed.withColumn("_own", own).withColumn("_other", other)
         qp, ep = ("_own", "_other") if is_query else ("_other", "_own")
+        # Ids of the two sides may differ in type, so each keeps a column of its own.
+        here, there = ("_qid", "_eid") if is_query else ("_eid", "_qid")
+        foreign = out_types["entry_id" if is_query else "query_id"].dataType
         return placed.select(
             F.concat_ws("\u0000", F.col(qp), F.col(ep), *[F.col(c).cast("string") for c in cols]).alias("_cell"),
             F.lit(1 if is_query else 0).alias("_side"),
-            "_id", "_vec", "_limit", "_seq",
+            F.col("_id").alias(here), F.lit(None).cast(foreign).alias(there), "_vec", "_limit", "_seq",
         )
 
     both = cells(e, False).unionByName(cells(q, True))

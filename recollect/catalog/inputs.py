@@ -88,7 +88,7 @@ def entries(spark: SparkSession, sf: str) -> DataFrame:
             F.col("text").alias("query_text"),
             "embedding",
             "label",
-            (T.word_count(F.col("text")) / 1000 * F.lit(0.015)).alias("llm_cost_usd"),
+            (F.col("n_chars") / 6000.0 * F.lit(0.015)).alias("llm_cost_usd"),
             F.lit(5.0).alias("embed_cost_ms"),
             F.octet_length("text").cast("bigint").alias("storage_bytes"),
             (F.lit(1) + F.col("quality") * 2 + F.col("toxic")).cast("bigint").alias("frequency"),
@@ -102,7 +102,7 @@ SQL_ENTRIES = f"""
 entries AS (
   SELECT doc_id AS entry_id, doc_id AS seq, lang AS tenant_id, source AS session_id, text AS query_text,
          v.embedding, v.label,
-         CAST(len({sql_words('text')}) AS DOUBLE) / 1000 * 0.015::DOUBLE AS llm_cost_usd, 5.0::DOUBLE AS embed_cost_ms,
+         n_chars / 6000.0::DOUBLE * 0.015::DOUBLE AS llm_cost_usd, 5.0::DOUBLE AS embed_cost_ms,
          CAST(strlen(text) AS BIGINT) AS storage_bytes,
          CAST(1 + quality * 2 + toxic AS BIGINT) AS frequency,
          TIMESTAMP '{EPOCH}' + to_seconds(doc_id * 60) AS created_at,

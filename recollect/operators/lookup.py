@@ -13,6 +13,7 @@ from recollect.config import DEFAULT, CacheConfig
 from recollect.functions import scoring as S
 from recollect.functions import text as T
 from recollect.functions import vectors as V
+from recollect.plans.materialize import checkpointed
 from recollect.plans.similarity import best_matches
 from recollect.plans.spread import spread_join
 
@@ -123,18 +124,23 @@ def two_tier_lookup(
     """
     usable = entries if now is None else live(entries, now)
     first = entries if now is None or not cfg.exact_checks_ttl else usable
-    probed = exact_lookup(queries, first).withColumnRenamed("entry_id", "_exact")
-    rest = probed.filter(F.col("_exact").isNull())
-    near = semantic_lookup(rest, usable, thresholds, cfg)
-    out = probed.drop("embedding").join(near, "query_id", "left")
-    exact = F.col("_exact").isNotNull()
+    # The narrow result of the first tier is written once: it decides three times below, and
+    # normalising and hashing the texts is the most expensive part of the whole lookup.
+    asked = queries.select(*[c for c in ("query_id", "tenant_id", "query_text", "exact_key") if c in queries.columns])
+    exact = checkpointed(exact_lookup(asked, first).select("query_id", F.col("entry_id").alias("_exact")))
+    rest = queries.select("query_id", "tenant_id", "embedding").join(
+        exact.filter(F.col("_exact").isNull()), "query_id", "left_semi"
+    )
+    near = semantic_lookup(rest, usable, thresholds, cfg, sizes_from=queries)
+    out = queries.drop("embedding").join(exact, "query_id", "left").join(near, "query_id", "left")
+    found = F.col("_exact").isNotNull()
     return out.select(
         *[c for c in queries.columns if c != "embedding"],
-        (exact | F.col("entry_id").isNotNull()).alias("hit"),
-        F.when(exact, 1).when(F.col("entry_id").isNotNull(), 2).otherwise(0).alias("tier"),
+        (found | F.col("entry_id").isNotNull()).alias("hit"),
+        F.when(found, 1).when(F.col("entry_id").isNotNull(), 2).otherwise(0).alias("tier"),
         F.coalesce("_exact", "entry_id").alias("entry_id"),
-        F.when(exact, 1.0).otherwise(F.coalesce("similarity", F.lit(0.0))).alias("similarity"),
-        F.when(exact, 1.0).otherwise(F.coalesce("threshold", F.lit(0.0))).alias("threshold_used"),
+        F.when(found, 1.0).otherwise(F.coalesce("similarity", F.lit(0.0))).alias("similarity"),
+        F.when(found, 1.0).otherwise(F.coalesce("threshold", F.lit(0.0))).alias("threshold_used"),
     )
 
 

@@ -1,7 +1,8 @@
 """Small per-key state machines, shared by batch scans and streaming state.
 
-Each machine is a plain function ``(state, rows) -> (state, columns)`` over the ordered rows of
-one key; ``state`` is a tuple of simple values so that a stream can keep it.  Times are seconds.
+Each machine is a plain function ``(state, rows, fresh) -> (state, columns)`` over ordered rows;
+``fresh`` marks where another key begins and the state starts over.  ``state`` is a tuple of
+simple values so that a stream can keep it; None is the start.  Times are seconds.
 """
 
 from __future__ import annotations
@@ -17,10 +18,12 @@ SIDE, WHOLE = 10, 20
 def token_bucket(rate: float, burst: int):
     """allowed, tokens left and seconds to wait for each arrival; state (tokens, last refill)."""
 
-    def advance(state: tuple | None, rows: pd.DataFrame):
+    def advance(state: tuple | None, rows: pd.DataFrame, fresh: np.ndarray):
         tokens, last = state if state is not None else (float(burst), None)
         allowed, left, wait = [], [], []
-        for at in rows["at"].to_numpy():
+        for at, first in zip(rows["at"].tolist(), fresh.tolist()):
+            if first:
+                tokens, last = float(burst), None
             if last is not None:
                 tokens = min(float(burst), tokens + (at - last) * rate)
             last = at
@@ -37,10 +40,12 @@ def token_bucket(rate: float, burst: int):
 def breaker(failures: int, reset_s: float):
     """State seen by each call, whether it was rejected, state after; state (phase, count, last failure)."""
 
-    def advance(state: tuple | None, rows: pd.DataFrame):
+    def advance(state: tuple | None, rows: pd.DataFrame, fresh: np.ndarray):
         phase, count, failed_at = state if state is not None else (CLOSED, 0, 0.0)
         seen, rejected, after = [], [], []
-        for at, ok in zip(rows["at"].to_numpy(), rows["ok"].to_numpy()):
+        for at, ok, first in zip(rows["at"].tolist(), rows["ok"].tolist(), fresh.tolist()):
+            if first:
+                phase, count, failed_at = CLOSED, 0, 0.0
             if phase == OPEN and at - failed_at >= reset_s:
                 phase = HALF_OPEN
             seen.append(phase)
@@ -70,11 +75,15 @@ def session_context(alpha: float, decay: float):
     a carried context (``is_context``) only sets the state.
     """
 
-    def advance(state: tuple | None, rows: pd.DataFrame):
+    def advance(state: tuple | None, rows: pd.DataFrame, fresh: np.ndarray):
         context, turns = state if state is not None else (None, 0)
+        if context is not None:
+            context = np.asarray(context, dtype=np.float64)
         fused, contexts, counts = [], [], []
         flags = rows["is_context"] if "is_context" in rows else np.zeros(len(rows), bool)
-        for vec, flag, carried in zip(rows["embedding"], flags, rows["turn"]):
+        for vec, flag, carried, first in zip(rows["embedding"], flags, rows["turn"], fresh.tolist()):
+            if first:
+                context, turns = None, 0
             q = np.asarray(vec, dtype=np.float64)
             if flag:
                 context, turns, out = q, int(carried), q
@@ -90,12 +99,7 @@ def session_context(alpha: float, decay: float):
             "fused": fused, "context": contexts, "turn": counts,
         }
 
-    def restored(state, rows):
-        if state is not None and state[0] is not None:
-            state = (np.asarray(state[0], dtype=np.float64), state[1])
-        return advance(state, rows)
-
-    return restored
+    return advance
 
 
 def _split(window: np.ndarray, delta: float) -> int:
@@ -112,19 +116,23 @@ def _split(window: np.ndarray, delta: float) -> int:
     return int(left[hit[0]]) if len(hit) else 0
 
 
+def _add(window: list, value: float, delta: float, max_window: int) -> tuple[list, int]:
+    """Window after one more value, and the place it was cut at."""
+    window.append(float(value))
+    if len(window) > max_window:
+        window.pop(0)
+    cut = _split(np.asarray(window), delta)
+    return (window[cut:] if cut else window), cut
+
+
 def drift(delta: float, max_window: int):
     """Change flag, place of the cut and window length per value; state (window,)."""
 
-    def advance(state: tuple | None, rows: pd.DataFrame):
+    def advance(state: tuple | None, rows: pd.DataFrame, fresh: np.ndarray):
         window = list(state[0]) if state is not None else []
         changed, cuts, sizes = [], [], []
-        for value in rows["reward"].to_numpy():
-            window.append(float(value))
-            if len(window) > max_window:
-                window.pop(0)
-            cut = _split(np.asarray(window), delta)
-            if cut:
-                window = window[cut:]
+        for value, first in zip(rows["reward"].tolist(), fresh.tolist()):
+            window, cut = _add([] if first else window, value, delta, max_window)
             changed.append(cut > 0)
             cuts.append(cut)
             sizes.append(len(window))
@@ -138,15 +146,16 @@ def bandit(arms: int, delta: float, max_window: int):
 
     A missing arm means the arm that is best at that moment.
     """
-    test = drift(delta, max_window)
 
-    def advance(state: tuple | None, rows: pd.DataFrame):
-        if state is None:
-            alpha, beta, window, resets = [1.0] * arms, [1.0] * arms, [], 0
-        else:
-            alpha, beta, window, resets = list(state[0]), list(state[1]), list(state[2]), int(state[3])
+    def start() -> tuple:
+        return [1.0] * arms, [1.0] * arms, [], 0
+
+    def advance(state: tuple | None, rows: pd.DataFrame, fresh: np.ndarray):
+        alpha, beta, window, resets = start() if state is None else (*(list(x) for x in state[:3]), int(state[3]))
         used, a_out, b_out, reset_out, count_out = [], [], [], [], []
-        for arm, reward in zip(rows["arm"].to_numpy(), rows["reward"].to_numpy()):
+        for arm, reward, first in zip(rows["arm"].tolist(), rows["reward"].tolist(), fresh.tolist()):
+            if first:
+                alpha, beta, window, resets = start()
             if pd.isna(arm):
                 a, b = np.asarray(alpha), np.asarray(beta)
                 arm = int(np.argmax(a / (a + b)))
@@ -154,8 +163,8 @@ def bandit(arms: int, delta: float, max_window: int):
             if not pd.isna(reward) and reward != 0.5:
                 alpha[arm] += float(reward)
                 beta[arm] += 1.0 - float(reward)
-                (window,), found = test((window,), pd.DataFrame({"reward": [reward]}))
-                if found["changed"][0]:
+                window, cut = _add(window, reward, delta, max_window)
+                if cut:
                     alpha, beta, resets, reset = [2.0] * arms, [2.0] * arms, resets + 1, True
             used.append(arm)
             a_out.append(alpha[arm])

@@ -6,6 +6,8 @@ last_access and, for eviction, priority.
 
 from __future__ import annotations
 
+from collections import deque
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -106,12 +108,6 @@ def admission_gate(
     )
 
 
-class _Gate:
-    def __init__(self) -> None:
-        self.line: list = []
-        self.head = 0
-
-
 def admission_gate_sequential(
     candidates: DataFrame, window: DataFrame, frequencies: DataFrame, size: int, by: str = "tenant_id"
 ) -> DataFrame:
@@ -126,27 +122,27 @@ def admission_gate_sequential(
         "frequency", F.coalesce("frequency", F.lit(0))
     ).select(by, "entry_id", "seq", "bucket", "is_new", "frequency")
 
-    def advance(state: _Gate, rows):
+    def advance(state, rows, fresh):
+        # State: the window as a queue of (entry_id, frequency), oldest first.
         admitted, victims = [], []
-        for eid, freq, is_new in zip(rows["entry_id"], rows["frequency"], rows["is_new"]):
-            full = len(state.line) - state.head >= size
-            victim = state.line[state.head] if full and is_new else None
+        for eid, freq, is_new, first in zip(rows["entry_id"], rows["frequency"], rows["is_new"], fresh):
+            if first:
+                state = deque()
+            victim = state[0] if is_new and len(state) >= size else None
             ok = victim is None or freq >= victim[1]
             if ok:
-                if victim is not None:
-                    state.head += 1
-                state.line.append((eid, freq))
+                if len(state) >= size:
+                    state.popleft()
+                state.append((eid, freq))
             victims.append(None if victim is None else str(victim[0]))
             admitted.append(ok)
-            if state.head > 100_000:
-                state.line, state.head = state.line[state.head:], 0
         out = rows.copy()
         out["victim_id"], out["admitted"] = victims, admitted
-        return out.loc[out["is_new"], [by, "entry_id", "seq", "bucket", "frequency", "victim_id", "admitted"]]
+        return state, out.loc[out["is_new"], [by, "entry_id", "seq", "bucket", "frequency", "victim_id", "admitted"]]
 
     types = dict(counted.dtypes)
     schema = ", ".join(f"{c} {types[c]}" for c in (by, "entry_id", "seq", "bucket", "frequency"))
-    return ordered_scan(counted, [by], ["seq"], _Gate, advance, schema + ", victim_id string, admitted boolean")
+    return ordered_scan(counted, [by], ["seq"], advance, schema + ", victim_id string, admitted boolean")
 
 
 def admission_stats(decisions: DataFrame, by: str = "tenant_id") -> DataFrame:

@@ -22,23 +22,19 @@ def seconds(ts: str = "ts") -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(1e6)
 
 
-class _Box:
-    state = None
-
-
 def scan(df: DataFrame, keys: list[str], machine, keep: list[str], added: str) -> DataFrame:
     """Run a machine over the rows of each key in order of seq; output ``keep`` plus its columns."""
     types = dict(df.dtypes)
     schema = ", ".join(f"`{c}` {types[c]}" for c in keep) + ", " + added
 
-    def advance(box: _Box, rows: pd.DataFrame) -> pd.DataFrame:
-        box.state, columns = machine(box.state, rows)
+    def advance(state, rows: pd.DataFrame, fresh):
+        state, columns = machine(state, rows, fresh)
         out = rows[keep].copy()
         for name, values in columns.items():
             out[name] = values
-        return out
+        return state, out
 
-    return ordered_scan(df, keys, ["seq"], _Box, advance, schema)
+    return ordered_scan(df, keys, ["seq"], advance, schema)
 
 
 def _pieces(df: DataFrame, by: list[str], opens: Column) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -12,28 +13,27 @@ def ordered_scan(
     df: DataFrame,
     keys: list[str],
     order: list[str],
-    start: Callable[[], object],
-    advance: Callable[[object, pd.DataFrame], pd.DataFrame],
+    advance: Callable[[object, pd.DataFrame, np.ndarray], tuple[object, pd.DataFrame]],
     schema: str,
 ) -> DataFrame:
-    """Feed the rows of each key, in order, to ``advance(state, rows)``.
+    """Feed sorted rows to ``advance(state, rows, fresh)``, which returns (state, output).
 
-    Spark shuffles and sorts; a task keeps one state object and one Arrow batch, never a whole
-    key.  Callers cut keys into independent segments first wherever the semantics allow it.
+    ``fresh`` marks the rows where a new key begins.  Spark shuffles and sorts; a task keeps one
+    state and one Arrow batch, never a whole key.  Callers cut keys into independent pieces
+    first wherever the semantics allow it.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state = None, None
+        last, state = None, None
         for batch in batches:
             if batch.empty:
                 continue
             frame = batch[keys]
-            runs = (frame != frame.shift()).any(axis=1).cumsum()
-            for _, part in batch.groupby(runs.to_numpy(), sort=False):
-                key = tuple(part[keys].iloc[0])
-                if key != current:
-                    current, state = key, start()
-                yield advance(state, part)
+            fresh = (frame != frame.shift()).any(axis=1).to_numpy(copy=True)
+            fresh[0] = last is None or tuple(frame.iloc[0]) != last
+            last = tuple(frame.iloc[-1])
+            state, out = advance(state, batch, fresh)
+            yield out
 
     placed = df.repartition(*keys).sortWithinPartitions(*keys, *order)
     return placed.mapInPandas(run, schema)

@@ -120,6 +120,7 @@ def best_matches(
     query_seq: str = "seq",
     entry_seq: str = "seq",
     once_per_pair: bool = True,
+    sizes_from: DataFrame | None = None,
     entry_block: int = ENTRY_BLOCK,
     query_block: int = QUERY_BLOCK,
 ) -> DataFrame:
@@ -128,7 +129,8 @@ def best_matches(
     Similarity is the dot product of unit vectors.  ``floor`` drops pairs below a similarity
     all callers would reject; ``entry_limit`` is a per-entry least similarity, applied before
     the k best are taken, or only reported as ``threshold`` with ``obey_limit=False``.
-    Set ``once_per_pair=False`` when one pair can meet in several groups.
+    Set ``once_per_pair=False`` when one pair can meet in several groups.  ``sizes_from`` is a
+    cheaper table with at least the queries' ids and groups, to size the blocks by.
     """
     group = group or []
     out_types = StructType([
@@ -152,8 +154,13 @@ def best_matches(
         (entry_limit if entry_limit is not None else F.lit(-2.0)).cast("double").alias("_limit"),
         (F.col(entry_seq).cast("bigint") if earlier_only else F.lit(0).cast("bigint")).alias("_seq"),
     )
-    big_q = F.broadcast(hot_keys(q, cols, query_block).withColumnRenamed("_parts", "_qparts"))
-    big_e = F.broadcast(hot_keys(e, cols, entry_block).withColumnRenamed("_parts", "_eparts"))
+
+    def large(side: DataFrame, key: str, block: int, name: str) -> DataFrame:
+        rows = side.select(*[F.col(g) for g in group], *constant, F.col(key).alias("_id"))
+        return F.broadcast(hot_keys(rows, cols, block, "_id").withColumnRenamed("_parts", name))
+
+    big_q = large(queries if sizes_from is None else sizes_from, query_id, query_block, "_qparts")
+    big_e = large(entries, entry_id, entry_block, "_eparts")
     qn, en = F.coalesce("_qparts", F.lit(1)), F.coalesce("_eparts", F.lit(1))
 
     def cells(side: DataFrame, is_query: bool) -> DataFrame:

@@ -8,16 +8,22 @@ from pyspark.sql import functions as F
 HOT_ROWS = 1_000_000
 
 
-def hot_keys(df: DataFrame, keys: list[str], limit: int) -> DataFrame:
-    """Keys with more than ``limit`` rows and the number of parts to cut them into.
+def hot_keys(df: DataFrame, keys: list[str], limit: int, row_id: str) -> DataFrame:
+    """Keys with more than about ``limit`` rows and the number of parts to cut them into.
 
-    At most rows / limit keys can qualify, which bounds the size of what is broadcast.
+    Sizes are estimated from the rows whose ``row_id`` hashes into a fixed share, so that a
+    costly key expression is not evaluated twice over; the estimate decides how work is spread,
+    never which rows take part.  At most rows / limit keys can qualify, which bounds what is
+    broadcast.
     """
+    share = max(1, min(64, limit // 512))
+    probe = df if share == 1 else df.filter(F.pmod(F.xxhash64(row_id), F.lit(share)) == 0)
+    rows = F.col("_rows") * share
     return (
-        df.groupBy(*keys)
+        probe.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_rows"))
-        .filter(F.col("_rows") > limit)
-        .select(*keys, F.ceil(F.col("_rows") / limit).cast("int").alias("_parts"))
+        .filter(rows > limit)
+        .select(*keys, F.ceil(rows / limit).cast("int").alias("_parts"))
     )
 
 
@@ -33,7 +39,7 @@ def spread_join(
 
     Right rows of hot keys are repeated once per part, all others stay single.
     """
-    hot = F.broadcast(hot_keys(left, keys, limit))
+    hot = F.broadcast(hot_keys(left, keys, limit, row_id))
     parts = F.coalesce(F.col("_parts"), F.lit(1))
     salted_left = left.join(hot, keys, "left").withColumn(
         "_salt", F.pmod(F.xxhash64(row_id), parts).cast("int")

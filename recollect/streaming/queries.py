@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,14 +56,16 @@ def stream_sessions(requests: DataFrame, gap: str = "30 minutes", late: str = "1
     )
 
 
-def _stateful(df: DataFrame, keys: list[str], machine, keep: list[str], added: str, state_schema: str, initial=None) -> DataFrame:
+def _stateful(df: DataFrame, keys: list[str], machine, keep: list[str], added: str, state_schema: str) -> DataFrame:
     """Run a machine per key over the rows of each micro-batch in order of seq."""
     types = dict(df.dtypes)
     schema = ", ".join(f"`{c}` {types[c]}" for c in keep) + ", " + added
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(batches), ignore_index=True).sort_values("seq", ignore_index=True)
-        current, columns = machine(state.get if state.exists else initial, rows)
+        fresh = np.zeros(len(rows), bool)
+        fresh[0] = not state.exists
+        current, columns = machine(state.get if state.exists else None, rows, fresh)
         state.update(current)
         out = rows[keep].copy()
         for name, values in columns.items():
@@ -108,19 +111,12 @@ def stream_session_fusion(requests: DataFrame, cfg: CacheConfig = DEFAULT) -> Da
     """Fused vectors; an idle session starts afresh (state: context, turns, last activity)."""
     blend = MC.session_context(cfg.session_alpha, cfg.session_decay)
 
-    def machine(state: tuple | None, rows: pd.DataFrame):
+    def machine(state: tuple | None, rows: pd.DataFrame, fresh: np.ndarray):
         inner, last = (None, None) if state is None else ((state[0], state[1]), state[2])
-        fused, turns = [], []
-        for i in range(len(rows)):
-            row = rows.iloc[[i]]
-            at = float(row["at"].iloc[0])
-            if last is not None and at - last > cfg.session_timeout_s:
-                inner = None
-            inner, columns = blend(inner, row)
-            last = at
-            fused += columns["fused"]
-            turns += columns["turn"]
-        return (inner[0], int(inner[1]), last), {"fused": fused, "turn": turns}
+        at = rows["at"].to_numpy()
+        before = np.concatenate([[at[0] if last is None else last], at[:-1]])
+        inner, columns = blend(inner, rows, fresh | (at - before > cfg.session_timeout_s))
+        return (inner[0], int(inner[1]), float(at[-1])), {"fused": columns["fused"], "turn": columns["turn"]}
 
     timed = requests.select(
         "session_id", "query_id", "seq", "embedding", F.lit(0).alias("turn"), (F.unix_micros("ts") / F.lit(1e6)).alias("at")

@@ -33,13 +33,17 @@ def live(entries: DataFrame, now: Column) -> DataFrame:
 
 def latest_per_key(entries: DataFrame) -> DataFrame:
     """exact_key -> entry stored last; an aggregation, so hot keys combine before the shuffle."""
-    return entries.groupBy("exact_key").agg(F.max_by("entry_id", F.struct("seq", "entry_id")).alias("entry_id"))
+    return entries.groupBy("exact_key").agg(F.max_by("entry_id", "seq").alias("entry_id"))
 
 
 def exact_lookup(queries: DataFrame, entries: DataFrame) -> DataFrame:
     """All query columns plus entry_id of the exact tier, null where it misses."""
     q = queries if "exact_key" in queries.columns else with_exact_key(queries)
     e = entries if "exact_key" in entries.columns else with_exact_key(entries)
+    # Keys that cannot be null need no null filter, which would evaluate the hash once more;
+    # the stand-ins for a missing text differ, so they never match.
+    q = q.withColumn("exact_key", F.coalesce("exact_key", F.lit("no query")))
+    e = e.withColumn("exact_key", F.coalesce("exact_key", F.lit("no entry")))
     return spread_join(q, latest_per_key(e), ["exact_key"], "left", "query_id")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from recollect.config import DEFAULT
 from recollect.functions import text as T
+from recollect.plans.materialize import checkpointed
 from recollect.plans.quantiles import exact_quantiles
 from recollect.plans.running import by_width, highest, numbered, running, total, trailing_frames
 
@@ -297,7 +298,7 @@ def sketch_frequency(keys: DataFrame, key: str, counters: DataFrame) -> DataFram
     )
 
 
-RADIX = 4
+RADIX = 16
 
 
 def reuse_distance(log: DataFrame, by: list[str], item: str) -> DataFrame:
@@ -311,15 +312,16 @@ def reuse_distance(log: DataFrame, by: list[str], item: str) -> DataFrame:
     """
     base = log.select(*by, F.col(item).alias("_item"), "seq")
     placed = numbered(base, by, ["seq"], by_width("seq"), "_x")
-    linked = running(
-        placed, [*by, "_item"], ["seq"], by_width("seq"), _p=highest(F.col("_x"), inclusive=False)
+    # Written once (a few narrow columns): it is read three times below.
+    linked = checkpointed(
+        running(placed, [*by, "_item"], ["seq"], by_width("seq"), _p=highest(F.col("_x"), inclusive=False))
     )
     again = linked.filter(F.col("_p").isNotNull())
     rows = log.agg(F.count(F.lit(1)).alias("n")).scalar()
-    levels = F.ceil(F.log(rows + 2) / F.log(F.lit(float(RADIX)))).cast("int")
+    top = F.ceil(F.log(rows + 2) / F.log(F.lit(float(RADIX)))).cast("int") - 1
     scale = F.pow(F.lit(RADIX), F.col("_level")).cast("bigint")
     digits = (
-        again.select(*by, "seq", "_x", "_p", F.explode(F.sequence(F.lit(0), levels)).alias("_level"))
+        again.select(*by, "seq", "_x", "_p", F.explode(F.sequence(F.lit(0), F.greatest(top, F.lit(0)))).alias("_level"))
         .withColumn("_digit", F.floor(F.col("_x") / scale) % RADIX)
         .withColumn("_prefix", F.floor(F.col("_x") / (scale * RADIX)))
         .withColumn("_down", -F.col("_p"))

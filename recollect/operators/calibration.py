@@ -117,7 +117,8 @@ def learned_global_threshold(
     """One row: the global threshold after all hits, the initial one if there were none."""
     last = hits.select("seq", "similarity").orderBy(F.desc("seq")).limit(window)
     spread = F.avg("similarity") - F.stddev_pop("similarity")
-    return last.agg(F.coalesce(F.greatest(F.lit(floor), spread), F.lit(initial)).alias("threshold"))
+    known = F.when(F.count(F.lit(1)) > 0, F.greatest(F.lit(floor), spread))
+    return last.agg(F.coalesce(known, F.lit(initial)).alias("threshold"))
 
 
 def quantile_position(n: int, error: float = DEFAULT.target_error) -> int:

@@ -96,7 +96,7 @@ def cache_step(
     ``batch``: query_id, seq, tenant_id, session_id, ts, query_text, embedding.
     ``responses``: exact_key, response_text, output_tokens, cost_usd, latency_ms.
     Repeats of a missed key inside the batch are exact hits on the first of them if it is
-    admitted, else misses.  Bucket frequencies count the whole batch.
+    admitted, else misses.  Bucket frequencies count the whole batch before anything is admitted.
     """
     stored = read_entries(spark, root, batch_id)
     live = L.live(stored, now)
@@ -113,23 +113,26 @@ def cache_step(
     hits = probed.filter(hit_id.isNotNull()).withColumn("entry_id", hit_id)
     missed = probed.filter(hit_id.isNull())
 
-    firsts = missed.groupBy("exact_key").agg(F.min("seq").alias("seq"))
+    firsts = missed.groupBy("exact_key").agg(
+        F.min("seq").alias("seq"), F.count(F.lit(1)).alias("asked"), F.max("ts").alias("asked_last")
+    )
     answers = responses.groupBy("exact_key").agg(
         F.min_by(F.struct("response_text", "output_tokens", "cost_usd", "latency_ms"), "response_text").alias("a")
     )
     # One row per key from here on, so no key is hot any more.
     candidates = checkpointed(
-        missed.join(firsts, ["exact_key", "seq"], "left_semi")
+        missed.join(firsts, ["exact_key", "seq"])
         .join(answers, "exact_key", "left")
         .withColumn("entry_id", F.concat(F.lit("e"), F.col("query_id").cast("string")))
         .withColumn("bucket", _bucket(F.col("embedding"), dim, cfg))
     )
     answered = candidates.filter(F.col("a").isNotNull())
 
-    seen = answered.select("bucket").unionByName(
-        spread_join(hits.select("entry_id", "query_id"), live.select("entry_id", "bucket"), ["entry_id"], "inner", "query_id")
-        .select("bucket")
-    ).filter(F.col("bucket").isNotNull()).groupBy("bucket").agg(F.count(F.lit(1)).alias("frequency"))
+    touched = checkpointed(hits.groupBy("entry_id").agg(F.count(F.lit(1)).alias("_n"), F.max("ts").alias("_ts")))
+    # Every answered query counts for its bucket: repeats of a new key and hits on stored ones too.
+    seen = answered.select("bucket", F.col("asked").alias("n")).unionByName(
+        touched.join(live.select("entry_id", "bucket"), "entry_id").select("bucket", F.col("_n").alias("n"))
+    ).filter(F.col("bucket").isNotNull()).groupBy("bucket").agg(F.sum("n").alias("frequency"))
     if buckets is not None:
         seen = buckets.unionByName(seen).groupBy("bucket").agg(F.sum("frequency").alias("frequency"))
     seen = checkpointed(seen)
@@ -148,7 +151,6 @@ def cache_step(
         ).filter("_in").drop("_all", "_in")
         total_new = cfg.capacity
 
-    touched = hits.groupBy("entry_id").agg(F.count(F.lit(1)).alias("_n"), F.max("ts").alias("_ts"))
     used = live.join(touched, "entry_id", "left").select(
         *[c for c in ENTRY_COLUMNS if c not in ("frequency", "last_access", "priority")],
         (F.col("frequency") + F.coalesce("_n", F.lit(0))).alias("frequency"),
@@ -172,7 +174,7 @@ def cache_step(
         "embedding", "bucket", "session_id", F.col("a.cost_usd").alias("llm_cost_usd"), F.lit(0.0).alias("embed_cost_ms"),
         F.col("a.output_tokens").cast("bigint").alias("output_tokens"),
         S.storage_bytes(F.lit(0), F.col("a.response_text")).alias("storage_bytes"),
-        F.lit(1).cast("bigint").alias("frequency"), "seq", F.col("ts").alias("last_access"), F.col("ts").alias("created_at"),
+        F.col("asked").alias("frequency"), "seq", F.col("asked_last").alias("last_access"), F.col("ts").alias("created_at"),
         S.stamp_expiry(F.col("ts"), F.lit(cfg.ttl_s)).alias("expires_at"),
     )
     entries = used.select(*ENTRY_COLUMNS).unionByName(R.with_priority(fresh, level).select(*ENTRY_COLUMNS))

@@ -222,7 +222,17 @@ def entry_threshold_match(spark, sf):
     return out.withColumn("similarity", F.round("similarity", 6))
 
 
-@query("adaptive_threshold_match")
+@query(
+    "adaptive_threshold_match",
+    f"""WITH {SQL_LIGHT}, {I.SQL_LOG}, {sql_projection('embeddings', 'vec_id', 'embedding', 16)},
+        low AS (SELECT vec_id, p::FLOAT[]::DOUBLE[] AS p FROM projected),
+        tau AS (SELECT greatest(0.30::DOUBLE, avg(similarity) - stddev_pop(similarity)) AS t FROM (
+                SELECT similarity FROM query_log WHERE hit ORDER BY seq DESC LIMIT 200)),
+        low_sims AS (SELECT q.query_id, e.entry_id, round(list_dot_product(a.p, b.p), 9) AS similarity
+          FROM queries q JOIN low a ON q.query_id = a.vec_id JOIN entries e ON true JOIN low b ON e.entry_id = b.vec_id),
+        top AS ({SQL_BEST.format(src='low_sims', cond='true')}),
+        best AS (SELECT * FROM top WHERE similarity >= (SELECT t FROM tau)) {SQL_TIERS}""",
+)
 def adaptive_threshold_match(spark, sf):
     """Threshold learned from the logged hits, shifted to where these vectors are similar."""
     tau = C.learned_global_threshold(I.query_log(spark, sf).filter("hit"), floor=0.30, initial=0.82)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from recollect.catalog import inputs as I
 from recollect.catalog import query
-from recollect.catalog.calibration import posterior
+from recollect.catalog.calibration import SCORE, posterior, sql_tau
 from recollect.catalog.vectors import DIM
 from recollect.config import CacheConfig
 from recollect.operators import sequential as SQ
@@ -295,7 +295,14 @@ def stream_cache(spark, sf):
     return ST.read_log(spark, root)
 
 
-@query("feedback_step")
+@query(
+    "feedback_step",
+    f"""WITH {I.SQL_FEEDBACK},
+        w AS (SELECT entry_id, {SCORE} AS score, row_number() OVER (PARTITION BY entry_id ORDER BY seq DESC) AS age
+              FROM feedback WHERE entry_id IN (SELECT doc_id FROM labels)),
+        s AS (SELECT entry_id, list(score) AS sc FROM w WHERE age <= 200 GROUP BY entry_id)
+        SELECT entry_id, CAST(len(sc) AS BIGINT) AS n_scores, round({sql_tau('sc')}, 6) AS threshold FROM s""",
+)
 def feedback_step(spark, sf):
     """Every event as a judgement of the entry numbered like its user; new thresholds per entry."""
     new = I.feedback(spark, sf).withColumn("shard_id", F.concat(F.lit("shard-"), (F.col("entry_id") % 4).cast("string")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from recollect.config import DEFAULT, CacheConfig
 from recollect.operators.calibration import score_arrays
+from recollect.plans.spread import spread_join
 
 
 def load_live_entries(entries: DataFrame, now: Column) -> DataFrame:
@@ -26,10 +27,17 @@ def upsert(stored: DataFrame, new: DataFrame, key: list[str], version: list[str]
     return stored.join(latest.select(*key), key, "left_anti").unionByName(latest)
 
 
+def _without(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of other entries.  A log with a seq may be mostly about one entry, so it is spread."""
+    if "seq" in rows.columns:
+        return spread_join(rows, ids, ["entry_id"], "left_anti", "seq")
+    return rows.join(ids, "entry_id", "left_anti")
+
+
 def delete_entries(entries: DataFrame, scores: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both tables without the given entries."""
     ids = gone.select("entry_id")
-    return entries.join(ids, "entry_id", "left_anti"), scores.join(ids, "entry_id", "left_anti")
+    return entries.join(ids, "entry_id", "left_anti"), _without(scores, ids)
 
 
 def purge_expired(
@@ -40,7 +48,7 @@ def purge_expired(
     gone = entries.filter(expired).select("entry_id")
     kept = entries.filter(~expired)
     counted = entries.agg(F.count_if(expired).alias("removed"))
-    return kept, [d.join(gone, "entry_id", "left_anti") for d in dependents], counted
+    return kept, [_without(d, gone) for d in dependents], counted
 
 
 def clear_entries(entries: DataFrame, tenant: str | None = None) -> tuple[DataFrame, DataFrame]:

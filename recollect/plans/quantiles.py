@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recollect.plans.running import running, total
+from recollect.plans.spread import spread_join
 
 
 def exact_quantiles(
@@ -22,7 +23,10 @@ def exact_quantiles(
     )
     cum = running(counts, keys, [value], block, _upto=total(F.col("_n")))
     sizes = counts.groupBy(*keys).agg(F.sum("_n").alias("_size"))
-    cum = cum.join(sizes, keys) if keys else cum.join(F.broadcast(sizes))
+    if keys:
+        cum = spread_join(cum, sizes, keys, "inner", value)
+    else:
+        cum = cum.withColumn("_size", sizes.scalar())
     first, last = F.col("_upto") - F.col("_n"), F.col("_upto") - 1
 
     def holds(rank: Column) -> Column:

@@ -20,9 +20,9 @@ from pyspark.sql.types import StructField, StructType, DoubleType
 
 from recollect.plans.spread import hot_keys
 
-ENTRY_BLOCK = 8192
+ENTRY_BLOCK = 16_384
 QUERY_BLOCK = 65_536
-QUERY_STRIP = 512
+QUERY_STRIP = 256
 SIM_DIGITS = 9
 
 

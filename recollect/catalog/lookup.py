@@ -59,11 +59,11 @@ knn AS (
 )"""
 
 
-@query("knn_join", f"WITH {SQL_KNN} SELECT query_id, entry_id, round(similarity, 6) AS similarity, rank FROM knn")
+@query("knn_join", f"WITH {SQL_KNN} SELECT query_id, entry_id, round(similarity, 9) AS similarity, rank FROM knn")
 def knn_join(spark, sf):
     v = vectors(spark, sf)
     near = L.knn_join(v, v, 10, skip_same=True)
-    return near.select("query_id", "entry_id", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("bigint").alias("rank"))
+    return near.select("query_id", "entry_id", F.round("similarity", 9).alias("similarity"), F.col("rank").cast("bigint").alias("rank"))
 
 
 LSH_TABLES, LSH_BITS = 8, 4
@@ -84,10 +84,10 @@ def lsh_pairs(spark, sf):
     return L.lsh_knn_join(v, v, 10, dim=DIM, tables=LSH_TABLES, bits=LSH_BITS, skip_same=True)
 
 
-@query("lsh_knn_join", f"WITH {SQL_LSH} SELECT query_id, entry_id, round(similarity, 6) AS similarity, rank FROM lsh")
+@query("lsh_knn_join", f"WITH {SQL_LSH} SELECT query_id, entry_id, round(similarity, 9) AS similarity, rank FROM lsh")
 def lsh_knn_join(spark, sf):
     return lsh_pairs(spark, sf).select(
-        "query_id", "entry_id", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("bigint").alias("rank")
+        "query_id", "entry_id", F.round("similarity", 9).alias("similarity"), F.col("rank").cast("bigint").alias("rank")
     )
 
 
@@ -147,12 +147,12 @@ semantic AS (SELECT * FROM passing QUALIFY row_number() OVER (PARTITION BY query
 @query(
     "semantic_lookup",
     f"""WITH {SQL_KEYED}, {SQL_KNN}, {SQL_NEIGHBOUR_TAU}, {SQL_SEMANTIC}
-        SELECT query_id, entry_id, round(similarity, 6) AS similarity, round(threshold_used, 6) AS threshold FROM semantic""",
+        SELECT query_id, entry_id, round(similarity, 9) AS similarity, round(threshold_used, 9) AS threshold FROM semantic""",
 )
 def semantic_lookup(spark, sf):
     tau = C.conformal_thresholds(neighbour_feedback(spark, sf), CFG)
     hits = L.semantic_lookup(I.queries(spark, sf), L.live(I.entries(spark, sf), now()), tau, CFG)
-    return hits.select("query_id", "entry_id", F.round("similarity", 6).alias("similarity"), F.round("threshold", 6).alias("threshold"))
+    return hits.select("query_id", "entry_id", F.round("similarity", 9).alias("similarity"), F.round("threshold", 9).alias("threshold"))
 
 
 @query(
@@ -162,16 +162,16 @@ def semantic_lookup(spark, sf):
         SELECT q.query_id, q.tenant_id, l.entry_id IS NOT NULL OR s.entry_id IS NOT NULL AS hit,
           CASE WHEN l.entry_id IS NOT NULL THEN 1 WHEN s.entry_id IS NOT NULL THEN 2 ELSE 0 END AS tier,
           coalesce(l.entry_id, s.entry_id) AS entry_id,
-          round(CASE WHEN l.entry_id IS NOT NULL THEN 1.0::DOUBLE ELSE coalesce(s.similarity, 0.0::DOUBLE) END, 6) AS similarity,
-          round(CASE WHEN l.entry_id IS NOT NULL THEN 1.0::DOUBLE ELSE coalesce(s.threshold_used, 0.0::DOUBLE) END, 6) AS threshold_used
+          round(CASE WHEN l.entry_id IS NOT NULL THEN 1.0::DOUBLE ELSE coalesce(s.similarity, 0.0::DOUBLE) END, 9) AS similarity,
+          round(CASE WHEN l.entry_id IS NOT NULL THEN 1.0::DOUBLE ELSE coalesce(s.threshold_used, 0.0::DOUBLE) END, 9) AS threshold_used
         FROM keyed_queries q LEFT JOIN latest l ON q.exact_key = l.exact_key
         LEFT JOIN semantic s ON q.query_id = s.query_id AND l.entry_id IS NULL""",
 )
 def two_tier_lookup(spark, sf):
     out = L.two_tier_lookup(I.queries(spark, sf), I.entries(spark, sf), None, now(), CFG)
     return out.select(
-        "query_id", "tenant_id", "hit", "tier", "entry_id", F.round("similarity", 6).alias("similarity"),
-        F.round("threshold_used", 6).alias("threshold_used"),
+        "query_id", "tenant_id", "hit", "tier", "entry_id", F.round("similarity", 9).alias("similarity"),
+        F.round("threshold_used", 9).alias("threshold_used"),
     )
 
 
@@ -184,7 +184,7 @@ sims AS (SELECT q.query_id, e.entry_id, {sim('q.embedding', 'e.embedding')} AS s
 SQL_TIERS = f"""
 SELECT q.query_id, CASE WHEN l.entry_id IS NOT NULL THEN 1 WHEN b.entry_id IS NOT NULL THEN 2 ELSE 0 END AS tier,
        coalesce(l.entry_id, b.entry_id) AS entry_id,
-       round(CASE WHEN l.entry_id IS NOT NULL THEN 1.0::DOUBLE ELSE coalesce(b.similarity, 0.0::DOUBLE) END, 6) AS similarity
+       round(CASE WHEN l.entry_id IS NOT NULL THEN 1.0::DOUBLE ELSE coalesce(b.similarity, 0.0::DOUBLE) END, 9) AS similarity
 FROM queries q LEFT JOIN light l ON sha256({I.sql_light('q.query_text')}) = l.k
 LEFT JOIN best b ON q.query_id = b.query_id"""
 
@@ -197,7 +197,7 @@ SQL_BEST = "SELECT * FROM {src} WHERE {cond} QUALIFY row_number() OVER (PARTITIO
 )
 def static_threshold_match(spark, sf):
     out = L.static_threshold_match(I.queries(spark, sf), I.entries(spark, sf), 0.35)
-    return out.withColumn("similarity", F.round("similarity", 6))
+    return out.withColumn("similarity", F.round("similarity", 9))
 
 
 SQL_VCACHE_NEIGHBOUR = f"""
@@ -219,7 +219,7 @@ own AS (SELECT entry_id, CASE WHEN len(s) < 3 THEN 0.36::DOUBLE
 def entry_threshold_match(spark, sf):
     own = C.vcache_thresholds(neighbour_feedback(spark, sf), default=0.36, low=0.30, high=0.45)
     out = L.entry_threshold_match(I.queries(spark, sf), I.entries(spark, sf), own, 0.36)
-    return out.withColumn("similarity", F.round("similarity", 6))
+    return out.withColumn("similarity", F.round("similarity", 9))
 
 
 @query(
@@ -239,18 +239,18 @@ def adaptive_threshold_match(spark, sf):
     out = L.adaptive_threshold_match(
         I.queries(spark, sf), I.entries(spark, sf), tau.scalar(), DIM, 16
     )
-    return out.withColumn("similarity", F.round("similarity", 6))
+    return out.withColumn("similarity", F.round("similarity", 9))
 
 
 @query(
     "causal_match",
     f"""WITH sims AS (SELECT q.vec_id AS query_id, e.vec_id AS entry_id, {sim('q.embedding', 'e.embedding')} AS similarity
           FROM embeddings q JOIN embeddings e ON e.vec_id < q.vec_id)
-        SELECT query_id, entry_id, round(similarity, 6) AS similarity FROM ({SQL_BEST.format(src='sims', cond='similarity >= 0.3::DOUBLE')})""",
+        SELECT query_id, entry_id, round(similarity, 9) AS similarity FROM ({SQL_BEST.format(src='sims', cond='similarity >= 0.3::DOUBLE')})""",
 )
 def causal_match(spark, sf):
     v = vectors(spark, sf)
-    return L.causal_match(v, v, 0.3).select("query_id", "entry_id", F.round("similarity", 6).alias("similarity"))
+    return L.causal_match(v, v, 0.3).select("query_id", "entry_id", F.round("similarity", 9).alias("similarity"))
 
 
 @query(

@@ -157,17 +157,24 @@ def best_matches(
 
     def large(side: DataFrame, key: str, block: int, name: str) -> DataFrame:
         rows = side.select(*[F.col(g) for g in group], *constant, F.col(key).alias("_id"))
-        return F.broadcast(hot_keys(rows, cols, block, "_id").withColumnRenamed("_parts", name))
+        return hot_keys(rows, cols, block, "_id").withColumnRenamed("_parts", name)
 
     big_q = large(queries if sizes_from is None else sizes_from, query_id, query_block, "_qparts")
     big_e = large(entries, entry_id, entry_block, "_eparts")
+
+    def with_parts(side: DataFrame) -> DataFrame:
+        """Add the number of query and entry parts of the row's group."""
+        if not group:  # one group: its two numbers are scalars
+            parts = {n: d.select(n).scalar() for n, d in (("_qparts", big_q), ("_eparts", big_e))}
+            return side.withColumns(parts)
+        return side.join(F.broadcast(big_q), cols, "left").join(F.broadcast(big_e), cols, "left")
+
     qn, en = F.coalesce("_qparts", F.lit(1)), F.coalesce("_eparts", F.lit(1))
 
     def cells(side: DataFrame, is_query: bool) -> DataFrame:
         own = F.pmod(F.xxhash64("_id"), qn if is_query else en).cast("int")
         other = F.explode(F.sequence(F.lit(0), (en if is_query else qn) - 1))
-        placed = side.join(big_q, cols, "left").join(big_e, cols, "left")
-        placed = placed.withColumn("_own", own).withColumn("_other", other)
+        placed = with_parts(side).withColumn("_own", own).withColumn("_other", other)
         qp, ep = ("_own", "_other") if is_query else ("_other", "_own")
         # Ids of the two sides may differ in type, so each keeps a column of its own.
         here, there = ("_qid", "_eid") if is_query else ("_eid", "_qid")

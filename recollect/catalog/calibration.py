@@ -97,10 +97,12 @@ def adaptive_global_threshold(spark, sf):
     return t.withColumn("threshold", F.round("threshold", 6))
 
 
-RESETS_AT = 2000
+# A very slow answer stands for a detected change of its shard.
+SLOW_MS = 300
 
 SQL_POSTERIOR = f"""{I.SQL_REWARDS},
-resets AS (SELECT shard_id, max(seq) AS reset_seq FROM rewards WHERE seq % {RESETS_AT} = 0 GROUP BY shard_id),
+resets AS (SELECT 'shard-' || CAST(tenant_id % 4 AS VARCHAR) AS shard_id, max(seq) AS reset_seq FROM query_log
+           WHERE latency_ms > {SLOW_MS} GROUP BY 1),
 grid AS (SELECT shard_id, arm, round(0.65::DOUBLE + arm * (0.95::DOUBLE - 0.65::DOUBLE) / 9, 6) AS threshold
          FROM (SELECT DISTINCT shard_id FROM rewards), (SELECT unnest(range(10)) AS arm)),
 kept AS (SELECT r.*, reset_seq FROM rewards r LEFT JOIN resets USING (shard_id)
@@ -114,9 +116,10 @@ posterior AS (SELECT g.shard_id, CAST(g.arm AS INTEGER) AS arm, g.threshold,
 
 
 def posterior(spark, sf):
-    r = I.rewards(spark, sf)
-    resets = r.filter(F.col("seq") % RESETS_AT == 0).groupBy("shard_id").agg(F.max("seq").alias("reset_seq"))
-    return B.bandit_posterior(r, resets)
+    shard = F.concat(F.lit("shard-"), (F.col("tenant_id") % 4).cast("string"))
+    slow = I.query_log(spark, sf).filter(F.col("latency_ms") > SLOW_MS)
+    resets = slow.groupBy(shard.alias("shard_id")).agg(F.max("seq").alias("reset_seq"))
+    return B.bandit_posterior(I.rewards(spark, sf), resets)
 
 
 @query(

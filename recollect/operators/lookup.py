@@ -148,7 +148,7 @@ def two_tier_lookup(
     )
 
 
-def _tiers(queries: DataFrame, entries: DataFrame, best: DataFrame) -> DataFrame:
+def after_exact(queries: DataFrame, entries: DataFrame, best: DataFrame) -> DataFrame:
     """Exact tier on the light key, then the given best matches."""
     light = F.sha2(T.normalize_light(F.col("query_text")), 256)
     probed = exact_lookup(with_exact_key(queries, light), with_exact_key(entries, light))
@@ -164,7 +164,7 @@ def _tiers(queries: DataFrame, entries: DataFrame, best: DataFrame) -> DataFrame
 
 def static_threshold_match(queries: DataFrame, entries: DataFrame, tau: float, **options) -> DataFrame:
     """Exact match, else the nearest entry if it reaches one fixed threshold."""
-    return _tiers(queries, entries, best_matches(queries, entries, 1, floor=tau, **options))
+    return after_exact(queries, entries, best_matches(queries, entries, 1, floor=tau, **options))
 
 
 def entry_threshold_match(
@@ -176,7 +176,7 @@ def entry_threshold_match(
     best = best_matches(
         queries, e, 1, entry_limit=F.coalesce("_own", F.lit(default)), **options
     )
-    return _tiers(queries, entries, best)
+    return after_exact(queries, entries, best)
 
 
 def adaptive_threshold_match(
@@ -189,7 +189,7 @@ def adaptive_threshold_match(
         return known.withColumn("embedding", V.projected(F.col("embedding"), dim, target).cast("array<float>"))
 
     best = best_matches(low(queries), low(entries), 1, **options)
-    return _tiers(queries, entries, best.filter(F.col("similarity") >= tau))
+    return after_exact(queries, entries, best.filter(F.col("similarity") >= tau))
 
 
 def causal_match(queries: DataFrame, entries: DataFrame, tau: float, **options) -> DataFrame:

@@ -37,7 +37,7 @@ def _exact_only(probe, entries, shared):
     none = "query_id {0}, entry_id {1}, similarity double".format(
         dict(probe.dtypes)["query_id"], dict(entries.dtypes)["entry_id"]
     )
-    return L._tiers(probe, entries, probe.sparkSession.createDataFrame([], none))
+    return L.after_exact(probe, entries, probe.sparkSession.createDataFrame([], none))
 
 
 def _static(tau: float):

@@ -21,7 +21,7 @@ from pyspark.sql.types import StructField, StructType, DoubleType
 from recollect.plans.spread import hot_keys
 
 ENTRY_BLOCK = 16_384
-QUERY_BLOCK = 65_536
+QUERY_BLOCK = 16_384
 QUERY_STRIP = 256
 SIM_DIGITS = 9
 

@@ -68,6 +68,13 @@ def test_spread_join_keeps_every_row(spark, log, how, limit):
     assert sorted(out.select("seq", "w").collect(), key=str) == sorted(want.select("seq", "w").collect(), key=str)
 
 
+@pytest.mark.parametrize("limit", [3, 1_000_000])
+def test_spread_anti_join(spark, log, limit):
+    gone = spark.createDataFrame([("hot",), ("k2",)], "key string")
+    out = spread_join(log, gone, ["key"], "left_anti", "seq", limit)
+    assert sorted(r.seq for r in out.collect()) == sorted(r.seq for r in log.join(gone, "key", "left_anti").collect())
+
+
 def test_quantiles_interpolate(log):
     out = exact_quantiles(log, ["key"], "v", {"p50": 0.5, "p95": 0.95}, F.floor(F.col("v") / 2).cast("bigint"))
     got = {r.key: (r.p50, r.p95) for r in out.collect()}

@@ -2,26 +2,48 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named in ``spark.checkpoint.dir``; a private one only in local mode."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
+def is_local(master: str) -> bool:
+    """True where driver and executors are one process, so that a private folder is shared by all of them."""
+    return re.fullmatch(r"local(\[.*\])?", master) is not None
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder ``spark.checkpoint.dir`` names; a temporary one only where it is unset in local mode."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
-        sc.setCheckpointDir(configured)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="recollect-checkpoint-"))
-    else:
+        return configured
+    if not is_local(spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    folder = tempfile.mkdtemp(prefix="recollect-shared-")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the checkpoint folder and read it from there afterwards."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path of its own below the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as Parquet below the shared folder; later reads take only the columns they need."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -144,8 +144,8 @@ def neighbours(vectors: DataFrame) -> DataFrame:
 
 
 SQL = """
-with v as (select vec_id, list_transform(embedding, x -> floor(256 * x::double)) e from embeddings
-  where embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 s as (select q.vec_id query_id, c.vec_id, list_inner_product(q.e, c.e)::bigint score from v q join v c on q.vec_id <> c.vec_id
   where q.vec_id % 50 = 0),
 r as (select *, row_number() over (partition by query_id order by score desc, vec_id) rank from s)

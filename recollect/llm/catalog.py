@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from recollect.llm import lines, phrases, topk
+from recollect.llm import lines, phrases, simhash, tokencounts, tokenfiles, topk
 from recollect.llm.tables import table
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -20,12 +21,24 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfiles.token_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencounts.count_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_digest(table(spark, sf_dir, "documents"))
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Builder]:
-    return {f.__name__: f for f in (op2_topk, op3_decontaminate, op9_line_dedup)}
+    return {f.__name__: f for f in (op2_topk, op3_decontaminate, op5_token_files, op8_token_counts, op9_line_dedup, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -49,46 +49,46 @@ def packed(vectors: DataFrame, scale: int) -> DataFrame:
 
 
 class SortedLists:
-    """The lists of one block: for each dimension its rows by ascending value."""
+    """The lists of one block: for each dimension its rows by falling and by rising value."""
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray):
-        self.ids, self.rows = ids, rows
-        self.order = np.ascontiguousarray(np.argsort(rows, axis=0, kind="stable").T)
-        self.values = np.take_along_axis(rows.T, self.order, axis=1).astype(np.float64)
-        self.low, self.high = self.values[:, 0], self.values[:, -1]
+        self.ids, self.rows, self.plain = ids, rows, rows.astype(np.float64)
+        rising = np.argsort(rows, axis=0, kind="stable").T
+        self.order = np.ascontiguousarray([rising, rising[:, ::-1]])
+        self.values = np.take_along_axis(self.plain.T[None], self.order, axis=2)
+        self.depth = max(64, len(ids) // 16)
 
     def top(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best rows, the query's own id left out."""
         n, weight = len(self.ids), query.astype(np.float64)
         live = np.flatnonzero(weight)
-        rest = self._survivors(weight[live], live, k + 1, n) if n > 4 * k and len(live) else np.arange(n)
+        rest = self._survivors(weight[live], live, k + 1, n) if n > 4 * (k + 1) and len(live) else np.arange(n)
         rest = rest[self.ids[rest] != query_id]
         score = self.rows[rest] @ query
         best = np.lexsort((self.ids[rest], -score))[:k]
         return self.ids[rest][best], score[best]
 
     def _survivors(self, weight: np.ndarray, live: np.ndarray, k: int, n: int) -> np.ndarray:
-        """Rows that may be among the k best; one more than asked for covers the query itself."""
-        up = weight > 0
-        worst = np.where(up, weight * self.low[live], weight * self.high[live])
-        slack = 1e-9 * np.abs(weight).dot(np.maximum(np.abs(self.low[live]), np.abs(self.high[live])))
-        depth = min(n, max(64, n // 16))
+        """Rows that may be among the k best; one more than asked for covers the query itself.
+
+        The first step reads about as far as the query before had to, later ones twice as far.
+        """
+        way, depth = (weight > 0).astype(np.int64), min(n, self.depth)
+        worst = weight * self.values[way, live, -1]
+        slack = 1e-9 * np.abs(weight).dot(np.abs(self.values[:, live][:, :, [0, -1]]).max(axis=(0, 2)))
         while True:
-            places = np.where(up[:, None], n - 1 - np.arange(depth), np.arange(depth))
-            lists = live[:, None]
-            rows, gains = self.order[lists, places].ravel(), weight[:, None] * self.values[lists, places]
+            rows, gains = self.order[way, live, :depth].ravel(), weight[:, None] * self.values[way, live, :depth]
             last = gains[:, -1]
             upper = last.sum() + np.bincount(rows, (gains - last[:, None]).ravel(), n)
             lower = worst.sum() + np.bincount(rows, (gains - worst[:, None]).ravel(), n)
-            floor = np.partition(lower, n - k)[n - k] if n > k else -np.inf
-            # the rows that look best are resolved to raise the k-th score that outsiders have to reach
-            if n > 4 * k:
-                likely = np.argpartition(upper, n - 4 * k)[n - 4 * k :]
-                floor = max(floor, np.sort(self.rows[likely][:, live] @ weight)[-k])
+            # the rows that look best are resolved, which raises the k-th score that outsiders have to reach
+            likely = np.argpartition(upper, n - 4 * k)[n - 4 * k :]
+            floor = max(np.partition(lower, n - k)[n - k], np.sort(self.plain[likely][:, live] @ weight)[-k])
             candidates = np.flatnonzero(upper >= floor - slack)
             unread = last.sum() >= floor - slack
-            if depth == n or (not unread and len(candidates) <= max(8 * k, n // 8)):
-                return candidates
+            if depth == n or (not unread and len(candidates) <= n // 2):
+                self.depth = depth if len(candidates) > n // 8 else max(64, 3 * depth // 4)
+                return candidates  # their final scores cost less than reading on
             depth = min(n, 2 * depth)
 
 

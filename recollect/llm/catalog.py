@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from recollect.llm import language_model, lines, phrases, simhash, tokencounts, tokenfiles, topk, toxicity
+from recollect.llm import language_model, lines, mixing, phrases, simhash, tokencounts, tokenfiles, topk, toxicity
 from recollect.llm.tables import table
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.token_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_digest(table(spark, sf_dir, "documents"))
+
+
 def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score_digest(table(spark, sf_dir, "documents"))
 
@@ -46,8 +50,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Builder]:
-    return {f.__name__: f for f in (op2_topk, op3_decontaminate, op4_toxicity, op5_token_files, op7_lm_scores, op8_token_counts, op9_line_dedup, op10_simhash)}
+    return {f.__name__: f for f in (op2_topk, op3_decontaminate, op4_toxicity, op5_token_files, op6_mix_sources, op7_lm_scores, op8_token_counts, op9_line_dedup, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk": topk.SQL, "op3_decontaminate": phrases.SQL, "op7_lm_scores": language_model.SQL, "op9_line_dedup": lines.SQL}
+    return {"op2_topk": topk.SQL, "op3_decontaminate": phrases.SQL, "op6_mix_sources": mixing.SQL, "op7_lm_scores": language_model.SQL, "op9_line_dedup": lines.SQL}

@@ -7,12 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from recollect.llm import language_model, lines, mixing, phrases, simhash, tokencounts, tokenfiles, topk, toxicity
+from recollect.llm import language_model, lines, mixing, phrases, quality, simhash, tokencounts, tokenfiles, topk, toxicity
 from recollect.llm.tables import table
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.neighbours(table(spark, sf_dir, "embeddings"))
 
@@ -50,8 +54,15 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Builder]:
-    return {f.__name__: f for f in (op2_topk, op3_decontaminate, op4_toxicity, op5_token_files, op6_mix_sources, op7_lm_scores, op8_token_counts, op9_line_dedup, op10_simhash)}
+    found = (
+        op1_quality, op2_topk, op3_decontaminate, op4_toxicity, op5_token_files, op6_mix_sources, op7_lm_scores, op8_token_counts,
+        op9_line_dedup, op10_simhash,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk": topk.SQL, "op3_decontaminate": phrases.SQL, "op6_mix_sources": mixing.SQL, "op7_lm_scores": language_model.SQL, "op9_line_dedup": lines.SQL}
+    return {
+        "op2_topk": topk.SQL, "op3_decontaminate": phrases.SQL, "op6_mix_sources": mixing.SQL,
+        "op7_lm_scores": language_model.SQL, "op9_line_dedup": lines.SQL,
+    }

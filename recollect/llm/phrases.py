@@ -214,6 +214,8 @@ def phrase_hits(
     size = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slices = -(-size // slice_bytes) or 1
     number = F.pmod(F.xxhash64("item", "text"), F.lit(slices))
+    if slices > 1:
+        docs = stored(docs, "numbered")  # so that every slice sees the same row numbers
     parts = []
     for i in range(slices):
         rows = named.filter(number == i).select("item", F.encode("text", "UTF-8").alias("t")).collect()

@@ -238,6 +238,7 @@ def token_counts(
     """
     rows = narrow(docs, id=id_col, text=text_col).withColumn("row", F.monotonically_increasing_id())
     kind = dict(rows.dtypes)["id"]
+    carry = ("row", "id", "n_bytes")
     long = F.coalesce(F.char_length("text") > chunk_chars, F.lit(False))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,36 +251,43 @@ def token_counts(
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for i, text in enumerate(batch.column("text").to_pylist()):
                 text = (SPACE + text).replace(" ", SPACE)
-                chunks = [text[i : i + chunk_chars] for i in range(0, len(text), chunk_chars)]
+                chunks = [text[at : at + chunk_chars] for at in range(0, len(text), chunk_chars)]
+                same = pa.array([i] * len(chunks))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([row] * len(chunks), pa.int64()), pa.array(range(len(chunks)), pa.int32()), pa.array(chunks)],
-                    names=["row", "place", "chunk"],
+                    [*(batch.column(c).take(same) for c in carry), pa.array(range(len(chunks)), pa.int32()), pa.array(chunks)],
+                    names=[*carry, "place", "chunk"],
                 )
 
     def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = transducer(model)
         for batch in batches:
-            heads, counts, ends = zip(*map(counter.chunk_map, batch.column("chunk").to_pylist()), strict=True) if batch.num_rows else ((), (), ())
+            found = [counter.chunk_map(c) for c in batch.column("chunk").to_pylist()]
+            kinds = (pa.string(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), batch.column("place"), pa.array(heads, pa.string()), pa.array(counts, pa.int64()), pa.array(ends, pa.string())],
-                names=["row", "place", "head", "count", "end"],
+                [*(batch.column(c) for c in (*carry, "place")), *(pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds))],
+                names=[*carry, "place", "head", "count", "end"],
             )
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = transducer(model)
         for batch in batches:
             counts = [counter.compose([(m["head"], m["count"], m["end"]) for m in row]) for row in batch.column("maps").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(counts, pa.int64())], names=["row", "n_tokens"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), batch.column("n_bytes"), pa.array(counts, pa.int64())], names=["id", "n_bytes", "n_tokens"]
+            )
 
     sized = rows.withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint"))
     short = sized.filter(~long).select("id", "text", "n_bytes").mapInArrow(whole, f"id {kind}, n_bytes bigint, n_tokens bigint")
-    chunks = rows.filter(long).select("row", "text").mapInArrow(split, "row bigint, place int, chunk string")
-    mapped = chunks.repartition("row", "place").mapInArrow(maps, "row bigint, place int, head string, count bigint, end string")
-    in_order = mapped.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("place", "head", "count", "end"))).alias("maps"))
-    counted = in_order.mapInArrow(scan, "row bigint, n_tokens bigint")
-    chunked = sized.filter(long).select("row", "id", "n_bytes").join(counted, "row").select("id", "n_bytes", "n_tokens")
+    named = f"row bigint, id {kind}, n_bytes bigint, place int"
+    chunks = sized.filter(long).select(*carry, "text").mapInArrow(split, f"{named}, chunk string")
+    mapped = chunks.repartition("row", "place").mapInArrow(maps, f"{named}, head string, count bigint, end string")
+    in_order = mapped.groupBy("row").agg(
+        F.first("id").alias("id"), F.first("n_bytes").alias("n_bytes"),
+        F.array_sort(F.collect_list(F.struct("place", "head", "count", "end"))).alias("maps"),
+    )
+    chunked = in_order.mapInArrow(scan, f"id {kind}, n_bytes bigint, n_tokens bigint")
     return short.unionByName(chunked).withColumnRenamed("id", id_col)
 
 

@@ -27,7 +27,7 @@ from recollect.llm.tables import narrow
 #: The space symbol of the vocabulary, a fixed value.
 SPACE = "▁"
 CHUNK_CHARS = 65_536
-KEPT_STATES = 60_000
+KEPT_STATES = 150_000
 KEPT_WORDS = 300_000
 
 Key = tuple[str, tuple[tuple[str | None, int], ...]]
@@ -48,6 +48,8 @@ class State:
 
 
 START: Key = ("", ((None, 0),))
+#: A place where no later token can begin.
+UNUSED = (None, 0)
 
 
 class Transducer:
@@ -67,7 +69,7 @@ class Transducer:
         self.inside = {p[i : i + 2] for p in self.scores for i in range(len(p) - 1)}
         if any(pair[1] == SPACE and pair[0] != SPACE for pair in self.inside):
             raise ValueError("pieces with a space after a word are not supported")
-        self.alone: dict[str, bool] = {}
+        self.tokens = {p for p in self.scores if self.merge(p) == [p]}
         self.apart: dict[tuple[str, str], bool] = {}
         self.words: dict[str, int] = {}
         self.states: dict[Key, State] = {}
@@ -99,12 +101,6 @@ class Transducer:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def is_token(self, piece: str) -> bool:
-        known = self.alone.get(piece)
-        if known is None:
-            known = self.alone[piece] = piece in self.scores and self.merge(piece) == [piece]
-        return known
-
     def stay_apart(self, a: str, b: str) -> bool:
         if a[-1] + b[0] not in self.inside:
             return True
@@ -128,22 +124,25 @@ class Transducer:
         if char not in self.scores:  # its bytes are tokens, and nothing merges with them
             step = self.state(START), len(char.encode("utf-8", "surrogatepass"))
         else:
-            text = state.prefix + char
-            for k in range(len(text)):
-                last, behind = state.past[k]
+            text, past, tokens, beginnings = state.prefix + char, state.past, self.tokens, self.beginnings
+            size = len(text)
+            for k in range(size):
                 piece = text[k:]
-                if self.is_token(piece) and (last is None or self.stay_apart(last, piece)):
-                    break
+                if piece in tokens:
+                    last, behind = past[k]
+                    if last is None or self.stay_apart(last, piece):
+                        break
             else:
                 raise AssertionError(f"no token ends at {text!r}")
-            change = behind + 1
-            keep = next((i for i in range(len(text)) if text[i:] in self.beginnings), len(text))
-            past = [
-                (a if a is not None and a[-1] + text[i] in self.inside else None, c - change)
-                for i, (a, c) in enumerate(state.past[keep:], keep)
-                if i < len(text)
-            ]
-            step = self.state((text[keep:], (*past, (piece, 0)))), change
+            change, keep, own = behind + 1, size, []
+            for i in range(size):
+                if text[i:] in beginnings:  # a later token may begin here
+                    keep = min(keep, i)
+                    a, c = past[i]
+                    own.append((a if a is not None and a[-1] + text[i] in self.inside else None, c - change))
+                elif keep < size:
+                    own.append(UNUSED)
+            step = self.state((text[keep:], (*own, (piece, 0)))), change
         state.steps[char] = step
         return step
 

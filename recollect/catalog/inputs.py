@@ -245,12 +245,6 @@ questions AS (
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder on the storage the session names for checkpoints."""
-    import tempfile
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return tempfile.mkdtemp(prefix=f"recollect-{name}-")
+    from recollect.plans.materialize import new_path
+
+    return new_path(spark, name)

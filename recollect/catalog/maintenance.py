@@ -150,16 +150,19 @@ def rename_sessions(spark, sf):
     return renamed.select("session_id", "title", "updated_at")
 
 
-@query(
-    "snapshot_compact",
-    """SELECT doc_id AS entry_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)
-         OR (SELECT count(*) FROM labels WHERE toxic = 1) < 10""",
-)
+@query("snapshot_compact", "SELECT doc_id AS entry_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
 def snapshot_compact(spark, sf):
-    compact = MA.snapshot_compact(I.entries(spark, sf).select("entry_id", "tenant_id"), _toxic(spark, sf), min_removals=10)
+    compact = MA.snapshot_compact(I.entries(spark, sf).select("entry_id", "tenant_id"), _toxic(spark, sf))
     return _stored(spark, sf, compact, "compact").select("entry_id")
 
 
+@query("snapshot_compact_few", "SELECT doc_id AS entry_id FROM labels WHERE doc_id <> (SELECT min(doc_id) FROM labels)")
+def snapshot_compact_few(spark, sf):
+    """A single tombstone: too few to rewrite files, yet never seen."""
+    e = I.entries(spark, sf).select("entry_id", "tenant_id")
+    return MA.snapshot_compact(e, e.agg(F.min("entry_id").alias("entry_id"))).select("entry_id")
+
+
 @query(
     "purge_expired",
     f"""WITH {I.SQL_ENTRIES}, {I.SQL_FEEDBACK}, gone AS (SELECT entry_id FROM entries WHERE TIMESTAMP '{NOW}' > expires_at)

@@ -90,13 +90,13 @@ def priority_histogram(spark, sf):
     return R.priority_histogram(entries(spark, sf), 0.5)
 
 
-WINDOW = 20
+WINDOW, SHARDS = 20, 4
 
 
 def gate_inputs(spark, sf):
-    """Documents asked for admission; the window holds the conversation openings before them.
+    """Documents ask for admission; the window holds the labelled ones, which were seen before.
 
-    The bucket is the first letters of the answer's language and source.
+    The bucket is the answer's language and source.
     """
     docs = I.table(spark, sf, "documents")
     bucket = F.concat_ws("/", "lang", "source")
@@ -106,43 +106,61 @@ def gate_inputs(spark, sf):
     )
     labels = I.table(spark, sf, "labels").join(docs, "doc_id")
     window = labels.select(
-        F.col("lang").alias("tenant_id"), (-F.col("doc_id") - 1).alias("entry_id"), (F.col("doc_id") - 1_000_000_000_000).alias("seq"),
+        F.col("lang").alias("tenant_id"), (-F.col("doc_id") - 1).alias("entry_id"), F.col("doc_id").alias("seq"),
         bucket.alias("bucket"),
     )
-    return candidates, window, candidates.groupBy("bucket").agg(F.count(F.lit(1)).alias("frequency"))
+    return candidates, window, window.groupBy("bucket").agg(F.count(F.lit(1)).alias("frequency"))
 
 
-SQL_GATE = f"""
+def sql_gate(shards: int) -> str:
+    """The chain row by row: each step takes the next row of every shard and carries its window."""
+    return f"""
 line AS (
-  SELECT lang AS tenant_id, -doc_id - 1 AS entry_id, doc_id - 1000000000000 AS seq, lang || '/' || source AS bucket, false AS is_new
+  SELECT lang AS tenant_id, -doc_id - 1 AS entry_id, doc_id AS seq, lang || '/' || source AS bucket, false AS is_new
   FROM documents JOIN labels USING (doc_id)
   UNION ALL SELECT lang, doc_id, doc_id, lang || '/' || source, true FROM documents),
-freq AS (SELECT lang || '/' || source AS bucket, count(*) AS frequency FROM documents GROUP BY 1),
-placed AS (SELECT l.*, coalesce(frequency, 0) AS frequency, row_number() OVER (PARTITION BY tenant_id ORDER BY seq) AS at
-           FROM line l LEFT JOIN freq USING (bucket)),
-gate AS (SELECT n.tenant_id, n.entry_id, n.seq, n.frequency AS new_frequency, v.entry_id AS victim_id, v.frequency AS victim_frequency,
-           v.entry_id IS NULL OR n.frequency >= v.frequency AS admitted
-         FROM placed n LEFT JOIN placed v ON n.tenant_id = v.tenant_id AND n.at = v.at + {WINDOW} WHERE n.is_new)"""
-
-
-@query("admission_gate", f"WITH {SQL_GATE} SELECT * FROM gate")
+dealt AS (SELECT *, CAST('0x' || substr(md5(bucket), 1, 4) AS INTEGER) % {shards} AS shard FROM line),
+base AS (SELECT bucket, count(*) AS n FROM dealt WHERE NOT is_new GROUP BY bucket),
+asked AS (SELECT bucket, list(seq ORDER BY seq) AS seqs FROM dealt WHERE is_new GROUP BY bucket),
+hist AS (SELECT bucket, coalesce(n, 0) AS n, coalesce(seqs, []) AS seqs FROM base FULL JOIN asked USING (bucket)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY tenant_id, shard ORDER BY is_new, seq) AS spot FROM dealt),
+chain AS (
+  SELECT DISTINCT tenant_id, shard, CAST(0 AS BIGINT) AS spot, CAST([] AS STRUCT(id BIGINT, bucket VARCHAR)[]) AS held, CAST(NULL AS BIGINT) AS entry_id,
+    CAST(NULL AS BIGINT) AS seq, false AS is_new, CAST(NULL AS BIGINT) AS new_frequency, CAST(NULL AS BIGINT) AS victim_id,
+    CAST(NULL AS BIGINT) AS victim_frequency, true AS admitted FROM placed
+  UNION ALL
+  SELECT tenant_id, shard, spot, CASE WHEN NOT admitted THEN held
+      ELSE list_append(CASE WHEN len(held) >= {max(1, WINDOW // shards)} THEN held[2:] ELSE held END, own) END,
+    own.id, seq, is_new, new_frequency, CASE WHEN is_new THEN victim_id END, CASE WHEN is_new THEN victim_frequency END, admitted
+  FROM (SELECT *, NOT is_new OR victim_id IS NULL OR new_frequency >= victim_frequency AS admitted FROM (
+    SELECT p.tenant_id, p.shard, p.spot, c.held, {{'id': p.entry_id, 'bucket': p.bucket}} AS own, p.seq, p.is_new,
+      h.n + len(list_filter(h.seqs, lambda x: x <= p.seq)) AS new_frequency,
+      CASE WHEN len(c.held) >= {max(1, WINDOW // shards)} THEN c.held[1].id END AS victim_id,
+      CASE WHEN len(c.held) >= {max(1, WINDOW // shards)} THEN v.n + len(list_filter(v.seqs, lambda x: x <= p.seq)) END AS victim_frequency
+    FROM chain c JOIN placed p ON p.tenant_id = c.tenant_id AND p.shard = c.shard AND p.spot = c.spot + 1
+    JOIN hist h ON h.bucket = p.bucket LEFT JOIN hist v ON v.bucket = c.held[1].bucket))),
+gate AS (SELECT tenant_id, entry_id, seq, new_frequency, victim_id, victim_frequency, admitted FROM chain WHERE is_new)"""
+
+
+@query("admission_gate", f"WITH RECURSIVE {sql_gate(SHARDS)} SELECT * FROM gate")
 def admission_gate(spark, sf):
-    return R.admission_gate(*gate_inputs(spark, sf), WINDOW).drop("bucket")
+    return R.admission_gate(*gate_inputs(spark, sf), WINDOW, shards=SHARDS).drop("bucket", "holder_id")
 
 
-@query("admission_gate_sequential")
+@query("admission_gate_sequential", f"WITH RECURSIVE {sql_gate(1)} SELECT * FROM gate")
 def admission_gate_sequential(spark, sf):
-    return R.admission_gate_sequential(*gate_inputs(spark, sf), WINDOW)
+    """One shard: the plain rule."""
+    return R.admission_gate(*gate_inputs(spark, sf), WINDOW).drop("bucket", "holder_id")
 
 
 @query(
     "admission_stats",
-    f"""WITH {SQL_GATE} SELECT tenant_id, count(*) AS total_checks, count(*) FILTER (admitted) AS total_admitted,
+    f"""WITH RECURSIVE {sql_gate(SHARDS)} SELECT tenant_id, count(*) AS total_checks, count(*) FILTER (admitted) AS total_admitted,
           count(*) FILTER (NOT admitted) AS total_rejected, round(count(*) FILTER (admitted) / greatest(count(*), 1)::DOUBLE, 4) AS admission_rate
         FROM gate GROUP BY tenant_id""",
 )
 def admission_stats(spark, sf):
-    return R.admission_stats(R.admission_gate(*gate_inputs(spark, sf), WINDOW))
+    return R.admission_stats(R.admission_gate(*gate_inputs(spark, sf), WINDOW, shards=SHARDS))
 
 
 SEG = CacheConfig(capacity=100, window_fraction=0.1)

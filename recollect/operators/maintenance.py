@@ -57,15 +57,14 @@ def clear_entries(entries: DataFrame, tenant: str | None = None) -> tuple[DataFr
     return entries.filter(~doomed), entries.agg(F.count_if(doomed).alias("cleared"))
 
 
-def snapshot_compact(entries: DataFrame, tombstones: DataFrame, min_removals: int = 500) -> DataFrame:
-    """Entries without tombstoned rows once enough of them piled up, else unchanged."""
-    enough = tombstones.agg(F.count(F.lit(1)).alias("n")).scalar() >= F.lit(min_removals)
-    ids = tombstones.select("entry_id", F.lit(True).alias("_gone"))
-    return (
-        entries.join(ids, "entry_id", "left")
-        .filter(F.col("_gone").isNull() | ~enough)
-        .drop("_gone")
-    )
+def snapshot_compact(entries: DataFrame, tombstones: DataFrame) -> DataFrame:
+    """Entries without tombstoned rows, however few those are."""
+    return _without(entries, tombstones)
+
+
+def compaction_due(tombstones: DataFrame, min_removals: int = 500) -> bool:
+    """Whether enough tombstones piled up to rewrite the files; what readers see does not depend on it."""
+    return tombstones.limit(min_removals).count() >= min_removals
 
 
 def calibration_store(feedback: DataFrame, cfg: CacheConfig = DEFAULT) -> DataFrame:

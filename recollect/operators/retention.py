@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections import deque
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +16,6 @@ from recollect.config import DEFAULT, CacheConfig
 from recollect.functions import scoring as S
 from recollect.plans.ordered import ordered_scan
 from recollect.plans.ranks import first_rows
-from recollect.plans.running import by_width, numbered
 from recollect.plans.spread import spread_join
 
 
@@ -71,78 +71,87 @@ def window_size(capacity: int, fraction: float) -> int:
     return max(1, int(capacity * fraction))
 
 
+#: Rows of an admission line: what the window held, a counted access, a request for admission.
+HELD, ACCESS, ASKS = 0, 1, 2
+
+
+def admission_shard(bucket: Column, shards: int) -> Column:
+    """Shard of a bucket, the same for all rows of a bucket."""
+    return F.coalesce(F.conv(F.substring(F.md5(bucket.cast("string").cast("binary")), 1, 4), 16, 10).cast("int") % shards, F.lit(0))
+
+
 def admission_gate(
     candidates: DataFrame,
     window: DataFrame,
     frequencies: DataFrame,
     size: int,
     by: str = "tenant_id",
+    shards: int = 1,
+    accesses: DataFrame | None = None,
 ) -> DataFrame:
-    """Candidates with victim_id, new_frequency, victim_frequency and admitted.
-
-    While the window has free places a candidate is admitted.  After that the i-th further
-    candidate meets the i-th oldest row of the window followed by the candidates themselves
-    and is admitted if its bucket was seen at least as often.  This equals the one-by-one rule
-    as long as none is refused; ``admission_gate_sequential`` is exact beyond that.
-
-    ``candidates``: by, entry_id, seq, bucket.  ``window``: by, entry_id, seq, bucket.
-    ``frequencies``: bucket, frequency.
-    """
-    line = window.select(by, "entry_id", "seq", "bucket", F.lit(False).alias("_new")).unionByName(
-        candidates.select(by, "entry_id", "seq", "bucket", F.lit(True).alias("_new"))
-    )
-    # Window rows arrived before every candidate, so one numbering along seq serves both sides.
-    placed = numbered(line, [by], ["seq"], by_width("seq"), "_at")
-    counted = spread_join(placed, frequencies, ["bucket"], "left", "entry_id").withColumn(
-        "frequency", F.coalesce("frequency", F.lit(0))
-    )
-    victims = counted.select(
-        by, (F.col("_at") + size).alias("_at"), F.col("entry_id").alias("victim_id"),
-        F.col("frequency").alias("victim_frequency"),
-    )
-    new = counted.filter("_new").join(victims, [by, "_at"], "left")
-    admitted = F.col("victim_id").isNull() | (F.col("frequency") >= F.col("victim_frequency"))
-    return new.select(
-        by, "entry_id", "seq", "bucket", F.col("frequency").alias("new_frequency"), "victim_id", "victim_frequency",
-        admitted.alias("admitted"),
-    )
+    """Candidates with new_frequency, victim_id, victim_frequency, admitted and holder_id, one by one.
 
+    Every request first counts for its bucket.  While the window has free places it is admitted; after that
+    it has to be seen at least as often, as of now, as the bucket of the oldest row of the window, which it
+    then replaces.  A refused request leaves the same victim in front.  A request whose ``key`` was admitted
+    before is no new one: ``holder_id`` names the row that answers it.
 
-def admission_gate_sequential(
-    candidates: DataFrame, window: DataFrame, frequencies: DataFrame, size: int, by: str = "tenant_id"
-) -> DataFrame:
-    """The one-by-one rule: a refused candidate leaves the same victim in front.
+    Rows are dealt to ``shards`` chains per ``by`` by their bucket, each with its share of the window, so
+    counts stay inside a chain; one shard is the plain rule.  A chain keeps its window, one count per bucket
+    and one entry per admitted key; its rows stream through.
 
-    State per tenant (or shard) is the window itself, at most ``size`` rows; rows stream through.
+    ``candidates``: by, entry_id, seq, bucket and, optionally, key.  ``window``: by, entry_id, seq, bucket, all
+    before the candidates whatever their seq.  ``frequencies``: bucket, frequency (before the candidates).
+    ``accesses``: by, seq, bucket of further accesses among the candidates.  A null bucket is never counted.
     """
-    line = window.select(by, "entry_id", "seq", "bucket", F.lit(False).alias("is_new")).unionByName(
-        candidates.select(by, "entry_id", "seq", "bucket", F.lit(True).alias("is_new"))
+    kind = dict(candidates.dtypes)["entry_id"]
+    key = F.col("key") if "key" in candidates.columns else F.col("entry_id")
+    columns = lambda df, of, k: df.select(
+        by, "entry_id", "seq", "bucket", F.lit(of).alias("kind"), k.cast("string").alias("key")
+    )
+    line = columns(window, HELD, F.lit(None)).unionByName(columns(candidates, ASKS, key))
+    if accesses is not None:
+        line = line.unionByName(columns(accesses.withColumn("entry_id", F.lit(None).cast(kind)), ACCESS, F.lit(None)))
+    counted = spread_join(line, frequencies.select("bucket", "frequency"), ["bucket"], "left", "seq").select(
+        by, admission_shard(F.col("bucket"), shards).alias("shard"), (F.col("kind") != HELD).alias("later"), "seq", "kind", "key",
+        "entry_id", "bucket", F.coalesce("frequency", F.lit(0)).cast("bigint").alias("frequency"),
     )
-    counted = spread_join(line, frequencies, ["bucket"], "left", "entry_id").withColumn(
-        "frequency", F.coalesce("frequency", F.lit(0))
-    ).select(by, "entry_id", "seq", "bucket", "is_new", "frequency")
+    share = max(1, size // shards)
 
     def advance(state, rows, fresh):
-        # State: the window as a queue of (entry_id, frequency), oldest first.
-        admitted, victims = [], []
-        for eid, freq, is_new, first in zip(rows["entry_id"], rows["frequency"], rows["is_new"], fresh):
-            if first:
-                state = deque()
-            victim = state[0] if is_new and len(state) >= size else None
-            ok = victim is None or freq >= victim[1]
-            if ok:
-                if len(state) >= size:
-                    state.popleft()
-                state.append((eid, freq))
-            victims.append(None if victim is None else str(victim[0]))
-            admitted.append(ok)
-        out = rows.copy()
-        out["victim_id"], out["admitted"] = victims, admitted
-        return state, out.loc[out["is_new"], [by, "entry_id", "seq", "bucket", "frequency", "victim_id", "admitted"]]
+        # State: window as a queue of (entry_id, bucket), counts by bucket, holders by key.
+        out = []
+        for i, (eid, bucket, known, kind, key) in enumerate(
+            zip(rows["entry_id"], rows["bucket"], rows["frequency"], rows["kind"], rows["key"], strict=True)
+        ):
+            if fresh[i]:
+                state = deque(), {}, {}
+            held, counts, holders = state
+            now = 0 if bucket is None else counts.get(bucket, known) + (kind != HELD)
+            counts[bucket] = now
+            if kind == ASKS:
+                holder = holders.get(key)
+                full = holder is None and len(held) >= share
+                victim = held[0] if full else (None, None)
+                worth = counts[victim[1]] if full else None
+                admitted = holder is None and (not full or now >= worth)
+                out.append((now, victim[0], worth, admitted, holder))
+                if admitted:
+                    holders[key] = eid
+            if kind == HELD or (kind == ASKS and admitted):
+                if len(held) >= share:
+                    held.popleft()
+                held.append((eid, bucket))
+        asks = rows.loc[rows["kind"] == ASKS, [by, "entry_id", "seq", "bucket"]].reset_index(drop=True)
+        added = pd.DataFrame(out, columns=["new_frequency", "victim_id", "victim_frequency", "admitted", "holder_id"], dtype=object)
+        return state, pd.concat([asks, added], axis=1)
 
     types = dict(counted.dtypes)
-    schema = ", ".join(f"{c} {types[c]}" for c in (by, "entry_id", "seq", "bucket", "frequency"))
-    return ordered_scan(counted, [by], ["seq"], advance, schema + ", victim_id string, admitted boolean")
+    schema = ", ".join(f"{c} {types[c]}" for c in (by, "entry_id", "seq", "bucket"))
+    return ordered_scan(
+        counted, [by, "shard"], ["later", "seq", "kind"], advance,
+        f"{schema}, new_frequency bigint, victim_id {kind}, victim_frequency bigint, admitted boolean, holder_id {kind}",
+    )
 
 
 def admission_stats(decisions: DataFrame, by: str = "tenant_id") -> DataFrame:

@@ -261,19 +261,58 @@ def gate_rows(spark, rows):
     return spark.createDataFrame(rows, "tenant_id string, entry_id string, seq bigint, bucket string")
 
 
-def test_admission_gate_and_its_sequential_form(spark):
-    window = gate_rows(spark, [("t", "w0", -2, "rare"), ("t", "w1", -1, "often")])
+def test_admission_follows_the_one_by_one_rule(spark):
+    # Window rows come first whatever their seq.
+    window = gate_rows(spark, [("t", "w0", 8, "rare"), ("t", "w1", 9, "often")])
     new = gate_rows(spark, [("t", "c0", 0, "often"), ("t", "c1", 1, "rare"), ("t", "c2", 2, "often")])
     freq = spark.createDataFrame([("rare", 1), ("often", 5)], "bucket string, frequency bigint")
-    batch = {r.entry_id: (r.victim_id, r.admitted) for r in R.admission_gate(new, window, freq, 2).collect()}
-    assert batch == {"c0": ("w0", True), "c1": ("w1", False), "c2": ("c0", True)}
-    chain = {r.entry_id: (r.victim_id, r.admitted) for r in R.admission_gate_sequential(new, window, freq, 2).collect()}
-    # After c1 is refused the same victim stays in front.
-    assert chain == {"c0": ("w0", True), "c1": ("w1", False), "c2": ("w1", True)}
+    got = {r.entry_id: (r.new_frequency, r.victim_id, r.victim_frequency, r.admitted) for r in R.admission_gate(new, window, freq, 2).collect()}
+    # After c1 is refused the same victim stays in front; counts are those at the time of asking.
+    assert got == {"c0": (6, "w0", 1, True), "c1": (2, "w1", 6, False), "c2": (7, "w1", 7, True)}
     free = R.admission_gate(new, window, freq, 10).collect()
     assert all(r.admitted and r.victim_id is None for r in free)
 
 
+def test_admission_of_repeated_keys_and_accesses(spark):
+    window = gate_rows(spark, [("t", "w0", 0, "a")])
+    freq = spark.createDataFrame([("a", 2)], "bucket string, frequency bigint")
+    asks = gate_rows(spark, [("t", f"c{i}", i, "b") for i in range(1, 6)]).withColumn("key", F.lit("same"))
+    hits = spark.createDataFrame([("t", 2, "a")], "tenant_id string, seq bigint, bucket string")
+    got = {r.entry_id: (r.new_frequency, r.victim_frequency, r.admitted, r.holder_id) for r in R.admission_gate(asks, window, freq, 1, accesses=hits).collect()}
+    assert got == {"c1": (1, 2, False, None), "c2": (2, 3, False, None), "c3": (3, 3, True, None), "c4": (4, None, False, "c3"), "c5": (5, None, False, "c3")}
+
+
+@pytest.mark.parametrize("shards", [1, 3])
+def test_admission_equals_a_plain_loop(spark, shards):
+    import random
+    from collections import defaultdict, deque
+
+    r = random.Random(shards)
+    rows = [("t", f"c{i}", i, f"b{min(r.randint(0, 12), r.randint(0, 12))}") for i in range(400)]
+    held = [("t", f"w{i}", i, f"b{r.randint(0, 12)}") for i in range(30)]
+    base = {f"b{i}": r.randint(0, 9) for i in range(10)}
+    size, shard = 9, lambda b: int(__import__("hashlib").md5(b.encode()).hexdigest()[:4], 16) % shards
+    lines, want = defaultdict(deque), {}
+    counts = defaultdict(int, base)
+    for _, i, _, b in held:
+        lines[shard(b)].append((i, b))
+    for line in lines.values():
+        while len(line) > size // shards:
+            line.popleft()
+    for _, i, _, b in rows:
+        counts[b] += 1
+        line = lines[shard(b)]
+        victim = line[0] if len(line) >= size // shards else None
+        want[i] = (victim and victim[0], victim is None or counts[b] >= counts[victim[1]])
+        if want[i][1]:
+            if victim:
+                line.popleft()
+            line.append((i, b))
+    freq = spark.createDataFrame(list(base.items()), "bucket string, frequency bigint")
+    got = R.admission_gate(gate_rows(spark, rows), gate_rows(spark, held), freq, size, shards=shards)
+    assert {x.entry_id: (x.victim_id, x.admitted) for x in got.collect()} == want
+
+
 def test_segments(spark):
     e = entries(spark, 12).withColumn("used_since", F.col("seq") % 2 == 0)
     cfg = CacheConfig(capacity=6, window_fraction=0.34)  # window 2, main 4, protected 3
@@ -293,7 +332,8 @@ def test_upsert_takes_the_last_copy(spark):
 def test_compaction_waits_for_enough_removals(spark):
     e = spark.createDataFrame([(i,) for i in range(5)], "entry_id int")
     gone = spark.createDataFrame([(1,), (2,)], "entry_id int")
-    assert MA.snapshot_compact(e, gone, 3).count() == 5 and MA.snapshot_compact(e, gone, 2).count() == 3
+    assert MA.snapshot_compact(e, gone).count() == 3
+    assert MA.compaction_due(gone, 2) and not MA.compaction_due(gone, 3)
 
 
 def test_expiry_boundary_in_lookup_and_load(spark):

@@ -35,6 +35,7 @@ class CacheConfig:
     breaker_reset_s: float = 30.0
     tenant_scoped: bool = True
     exact_checks_ttl: bool = True
+    admission_shards: int = 1
 
     def __post_init__(self) -> None:
         unit = (
@@ -44,7 +45,7 @@ class CacheConfig:
         for name in unit:
             if not 0.0 <= getattr(self, name) <= 1.0:
                 raise ValueError(f"{name} must lie in [0, 1]")
-        for name in ("capacity", "min_scores", "max_scores", "top_k", "lsh_tables", "lsh_bits", "arms"):
+        for name in ("capacity", "min_scores", "max_scores", "top_k", "lsh_tables", "lsh_bits", "arms", "admission_shards"):
             if getattr(self, name) < 1:
                 raise ValueError(f"{name} must be at least 1")
         if self.min_threshold > self.max_threshold:

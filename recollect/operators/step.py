@@ -25,7 +25,7 @@ ENTRY_SCHEMA = (
     "entry_id STRING, tenant_id STRING, exact_key STRING, query_text STRING, response_text STRING, "
     "embedding ARRAY<DOUBLE>, bucket STRING, session_id STRING, llm_cost_usd DOUBLE, embed_cost_ms DOUBLE, "
     "output_tokens BIGINT, storage_bytes BIGINT, frequency BIGINT, seq BIGINT, last_access TIMESTAMP, "
-    "created_at TIMESTAMP, expires_at TIMESTAMP, priority DOUBLE"
+    "created_at TIMESTAMP, expires_at TIMESTAMP, priority DOUBLE, batch BIGINT"
 )
 ENTRY_COLUMNS = [part.strip().split(" ")[0] for part in ENTRY_SCHEMA.split(", ")]
 
@@ -95,8 +95,10 @@ def cache_step(
 
     ``batch``: query_id, seq, tenant_id, session_id, ts, query_text, embedding.
     ``responses``: exact_key, response_text, output_tokens, cost_usd, latency_ms.
-    Repeats of a missed key inside the batch are exact hits on the first of them if it is
-    admitted, else misses.  Bucket frequencies count the whole batch before anything is admitted.
+    A missed query asks for admission in its turn, with bucket counts as of then; later repeats of its key are
+    exact hits on it once it is admitted.  All rows of a missed key count for the bucket of its first row.
+    What exceeds the capacity is evicted at the end of the batch: stored rows first, then, if the batch alone
+    exceeds it, admitted ones, always those of lowest priority.  Sessions idle at the end of the batch go.
     """
     stored = read_entries(spark, root, batch_id)
     live = L.live(stored, now)
@@ -113,43 +115,39 @@ def cache_step(
     hits = probed.filter(hit_id.isNotNull()).withColumn("entry_id", hit_id)
     missed = probed.filter(hit_id.isNull())
 
-    firsts = missed.groupBy("exact_key").agg(
-        F.min("seq").alias("seq"), F.count(F.lit(1)).alias("asked"), F.max("ts").alias("asked_last")
-    )
+    firsts = missed.groupBy("exact_key").agg(F.min_by("embedding", "seq").alias("_first"))
     answers = responses.groupBy("exact_key").agg(
         F.min_by(F.struct("response_text", "output_tokens", "cost_usd", "latency_ms"), "response_text").alias("a")
     )
-    # One row per key from here on, so no key is hot any more.
-    candidates = checkpointed(
-        missed.join(firsts, ["exact_key", "seq"])
-        .join(answers, "exact_key", "left")
-        .withColumn("entry_id", F.concat(F.lit("e"), F.col("query_id").cast("string")))
-        .withColumn("bucket", _bucket(F.col("embedding"), dim, cfg))
+    keys = firsts.join(answers, "exact_key").withColumn("bucket", _bucket(F.col("_first"), dim, cfg)).drop("_first")
+    asks = checkpointed(
+        spread_join(missed, keys, ["exact_key"], "inner", "query_id").withColumn("entry_id", F.concat(F.lit("e"), F.col("query_id").cast("string")))
     )
-    answered = candidates.filter(F.col("a").isNotNull())
-
     touched = checkpointed(hits.groupBy("entry_id").agg(F.count(F.lit(1)).alias("_n"), F.max("ts").alias("_ts")))
-    # Every answered query counts for its bucket: repeats of a new key and hits on stored ones too.
-    seen = answered.select("bucket", F.col("asked").alias("n")).unionByName(
-        touched.join(live.select("entry_id", "bucket"), "entry_id").select("bucket", F.col("_n").alias("n"))
-    ).filter(F.col("bucket").isNotNull()).groupBy("bucket").agg(F.sum("n").alias("frequency"))
-    if buckets is not None:
-        seen = buckets.unionByName(seen).groupBy("bucket").agg(F.sum("frequency").alias("frequency"))
-    seen = checkpointed(seen)
+    accesses = spread_join(hits.select("entry_id", "seq"), live.select("entry_id", "bucket"), ["entry_id"], "inner", "seq")
 
     one = F.lit("all").alias("_all")
     size = R.window_size(cfg.capacity, cfg.window_fraction)
-    window = R.first_rows(live.select("entry_id", "seq", "bucket", one), ["_all"], [-F.col("seq")], size, "entry_id", "_in")
-    decided = R.admission_gate(
-        answered.select("entry_id", "seq", "bucket", one), window.filter("_in"), seen, size, by="_all"
+    known = buckets if buckets is not None else spark.createDataFrame([], "bucket string, frequency bigint")
+    window = R.first_rows(
+        live.select("entry_id", "batch", "seq", "bucket", one), ["_all"], [-F.col("batch"), -F.col("seq")], size, "entry_id", "_in"
+    ).filter("_in")
+    # One order over all batches: older batches first.
+    window = window.withColumn("seq", F.struct("batch", "seq")).drop("batch", "_in")
+    in_turn = lambda df: df.withColumn("seq", F.struct(F.lit(batch_id).cast("bigint").alias("batch"), "seq"))
+    decided = checkpointed(R.admission_gate(
+        in_turn(asks.select("entry_id", "seq", "bucket", one, F.col("exact_key").alias("key"))), window, known, size, by="_all",
+        shards=cfg.admission_shards, accesses=in_turn(accesses.select("seq", "bucket", one)),
+    ).select("entry_id", "admitted", "holder_id"))
+    asks = checkpointed(asks.join(decided, "entry_id"))
+    counted = asks.select("bucket").unionByName(accesses.select("bucket")).filter(F.col("bucket").isNotNull())
+    seen = known.unionByName(counted.groupBy("bucket").agg(F.count(F.lit(1)).alias("frequency")))
+    seen = checkpointed(seen.groupBy("bucket").agg(F.sum("frequency").alias("frequency")))
+    repeats = asks.filter(F.col("holder_id").isNotNull()).groupBy(F.col("holder_id").alias("entry_id")).agg(
+        F.count(F.lit(1)).alias("_more"), F.max("ts").alias("_last")
     )
-    admitted = checkpointed(answered.join(decided.filter("admitted").select("entry_id"), "entry_id", "left_semi"))
+    admitted = checkpointed(asks.filter("admitted").join(repeats, "entry_id", "left"))
     total_new = admitted.count()
-    if total_new > cfg.capacity:
-        admitted = R.first_rows(
-            admitted.withColumn("_all", F.lit("all")), ["_all"], [-F.col("seq")], cfg.capacity, "entry_id", "_in"
-        ).filter("_in").drop("_all", "_in")
-        total_new = cfg.capacity
 
     used = live.join(touched, "entry_id", "left").select(
         *[c for c in ENTRY_COLUMNS if c not in ("frequency", "last_access", "priority")],
@@ -160,32 +158,33 @@ def cache_step(
     used = R.with_priority(used, inflation).withColumn(
         "priority", F.when(F.col("_used"), F.col("priority")).otherwise(F.col("_old"))
     ).withColumn("_all", F.lit("all"))
-    overflow = max(0, live.count() + total_new - cfg.capacity)
-    level = inflation
-    if overflow:
-        marked = checkpointed(
-            R.first_rows(used, ["_all"], [F.col("priority"), F.col("entry_id")], overflow, "entry_id", "_out")
-        )
-        level = marked.filter("_out").agg(F.max("priority")).head()[0]
-        level = inflation if level is None else float(level)
-        used = marked.filter(~F.col("_out"))
+    total_old = live.count()
+    overflow = max(0, total_old + total_new - cfg.capacity)
+    used, level = _evict(used, min(overflow, total_old), inflation)
     fresh = admitted.select(
         "entry_id", "tenant_id", "exact_key", "query_text", F.col("a.response_text").alias("response_text"),
         "embedding", "bucket", "session_id", F.col("a.cost_usd").alias("llm_cost_usd"), F.lit(0.0).alias("embed_cost_ms"),
         F.col("a.output_tokens").cast("bigint").alias("output_tokens"),
         S.storage_bytes(F.lit(0), F.col("a.response_text")).alias("storage_bytes"),
-        F.col("asked").alias("frequency"), "seq", F.col("asked_last").alias("last_access"), F.col("ts").alias("created_at"),
-        S.stamp_expiry(F.col("ts"), F.lit(cfg.ttl_s)).alias("expires_at"),
+        (F.coalesce("_more", F.lit(0)) + 1).alias("frequency"), "seq", F.coalesce("_last", "ts").alias("last_access"),
+        F.col("ts").alias("created_at"), S.stamp_expiry(F.col("ts"), F.lit(cfg.ttl_s)).alias("expires_at"),
+        F.lit(batch_id).cast("bigint").alias("batch"),
+    )
+    fresh, level = _evict(
+        R.with_priority(fresh, level).withColumn("_all", F.lit("all")), max(0, overflow - total_old), level
     )
-    entries = used.select(*ENTRY_COLUMNS).unionByName(R.with_priority(fresh, level).select(*ENTRY_COLUMNS))
+    entries = used.select(*ENTRY_COLUMNS).unionByName(fresh.select(*ENTRY_COLUMNS))
 
-    log = _log_rows(probed, admitted, answered, overflow > 0)
+    log = _log_rows(probed, asks, overflow > 0)
     version = batch_id + 1
     snapshots.write_version(log, f"{root}/query_log", version)
     snapshots.write_version(seen, f"{root}/buckets", version)
     moved = SQ.last_contexts(fused)
     if contexts is not None:
         moved = contexts.join(moved, "session_id", "left_anti").unionByName(moved)
+    latest = batch.agg(F.max("ts").alias("at")).head().at
+    if latest is not None:
+        moved = moved.filter(F.col("ts") >= F.lit(latest) - F.make_dt_interval(secs=F.lit(cfg.session_timeout_s)))
     snapshots.write_version(moved, f"{root}/contexts", version)
     snapshots.write_version(entries, f"{root}/entries", version)
     counts = spark.range(1).select(
@@ -196,28 +195,36 @@ def cache_step(
     return snapshots.read_version(spark, f"{root}/query_log", version)
 
 
-def _log_rows(probed: DataFrame, admitted: DataFrame, answered: DataFrame, evicting: bool) -> DataFrame:
+def _evict(entries: DataFrame, n: int, level: float) -> tuple[DataFrame, float]:
+    """Entries without the ``n`` of lowest priority, and the inflation that leaves."""
+    if not n:
+        return entries, level
+    marked = checkpointed(R.first_rows(entries, ["_all"], [F.col("priority"), F.col("entry_id")], n, "entry_id", "_out"))
+    highest = marked.filter("_out").agg(F.max("priority")).head()[0]
+    return marked.filter(~F.col("_out")), level if highest is None else float(highest)
+
+
+def _log_rows(probed: DataFrame, asks: DataFrame, evicting: bool) -> DataFrame:
     """One log row per query; repeats of an admitted key count as exact hits on it."""
-    new = admitted.select("exact_key", F.col("entry_id").alias("_new"), F.col("seq").alias("_first"))
-    known = answered.select("exact_key", F.col("a.latency_ms").alias("_ms"))
-    keyed = spread_join(
-        spread_join(probed, new, ["exact_key"], "left", "query_id"), known, ["exact_key"], "left", "query_id"
+    outcome = asks.select(
+        "query_id", "holder_id", F.col("entry_id").alias("_own"), F.col("admitted").alias("_stored"), F.col("a.latency_ms").alias("_ms")
     )
+    keyed = probed.join(outcome, "query_id", "left")
     missing = F.col("exact_id").isNull() & F.col("near_id").isNull()
-    stored = missing & (F.col("seq") == F.col("_first"))
-    repeat = missing & (F.col("seq") > F.col("_first"))
-    hit = ~missing | F.coalesce(repeat, F.lit(False))
-    exact = F.col("exact_id").isNotNull() | F.coalesce(repeat, F.lit(False))
+    stored = F.coalesce("_stored", F.lit(False))
+    repeat = F.col("holder_id").isNotNull()
+    hit = ~missing | repeat
+    exact = F.col("exact_id").isNotNull() | repeat
     return keyed.select(
         "query_id", "seq", "tenant_id", "session_id", "ts", hit.alias("hit"),
         F.when(exact, 1).when(F.col("near_id").isNotNull(), 2).otherwise(0).alias("tier"),
-        F.coalesce("exact_id", "near_id", F.when(hit | F.coalesce(stored, F.lit(False)), F.col("_new"))).alias("entry_id"),
+        F.coalesce("exact_id", "near_id", "holder_id", F.when(stored, F.col("_own"))).alias("entry_id"),
         F.when(exact, 1.0).otherwise(F.coalesce("similarity", F.lit(0.0))).alias("similarity"),
         F.when(exact, 1.0).otherwise(F.coalesce("threshold", F.lit(0.0))).alias("threshold_used"),
         F.when(hit, 0.0).otherwise(F.col("_ms")).alias("latency_ms"),
-        (missing & F.col("_ms").isNotNull() & F.col("_new").isNull()).alias("admission_rejected"),
-        (F.lit(evicting) & F.coalesce(stored, F.lit(False))).alias("eviction_triggered"),
-        (missing & F.col("_ms").isNull()).alias("error"),
+        (missing & F.col("_ms").isNotNull() & ~stored & ~repeat).alias("admission_rejected"),
+        (F.lit(evicting) & stored).alias("eviction_triggered"),
+        (missing & F.col("_own").isNull()).alias("error"),
     )
 
 

@@ -10,6 +10,8 @@ first row; a manifest with one row per file has the offset of each, so no task n
 from __future__ import annotations
 
 import json
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -26,17 +28,20 @@ from recollect.plans.materialize import new_path
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 64 << 10
 PAGE_ROWS = 1_000
-CACHE_WORDS = 300_000
+#: Words kept in each of two generations.
+KEPT_WORDS = 400_000
+WORDS_AT_ONCE = 100
 PIECE_CHARS = 1_000_000
-#: Longer words are encoded each time rather than kept.
-KEPT_CHARS = 64
 
 
 class WordEncoder:
     """Encodes texts word by word, each distinct word once while it is kept.
 
-    Exact for tokenizers that replace white space and drop it before splitting, so that no token and no
-    normalisation reaches over a space or a line end; others are refused.
+    Exact for tokenizers whose pre-tokenizer cuts normalised text with a pattern of letters, digits and other
+    characters and drops white space, and whose tokens tell the end of a word; others are refused.  Texts in
+    Latin-1 are lower-cased and cut into words here; other texts only at spaces and line ends, where no token and no
+    normalisation reaches over.  Texts with a special token's string, or with controls that pattern libraries
+    disagree on, are encoded by the tokenizer as they are.
     """
 
     def __init__(self, path: str):
@@ -45,43 +50,96 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        steps = spec["pre_tokenizer"].get("pretokenizers", [spec["pre_tokenizer"]]) if spec["pre_tokenizer"] else []
-        first = steps[0] if steps else {}
-        apart = first.get("behavior") == "Removed" and first.get("invert") and "\\s" in str(first.get("pattern"))
-        tokens = [t["content"] for t in spec["added_tokens"]]
-        if not apart or any(c.isspace() for t in tokens for c in t) or self._ids(["a b\nc"])[0] != b"".join(self._ids(["a", "b", "c"])):
-            raise ValueError(f"{path} does not split texts at white space")
-        self.kept = {"": b""}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<i4").tobytes() for e in found]
-
-    def _piece(self, words: list[str]) -> bytes:
-        kept = self.kept
-        new = [w for w in dict.fromkeys(words) if w not in kept]
-        if len(kept) + len(new) > CACHE_WORDS:
-            kept.clear()
-            kept[""] = b""
-            new = [w for w in dict.fromkeys(words) if w]
-        kept.update(zip(new, self._ids(new), strict=True) if new else ())
-        out = b"".join(map(kept.__getitem__, words))
-        for w in new:
-            if len(w) > KEPT_CHARS:
-                del kept[w]
+        steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+        cut = steps[0] if steps else {}
+        pattern = cut.get("pattern", {}).get("Regex", "")
+        kinds = [n.get("type") for n in (spec["normalizer"] or {}).get("normalizers", [])]
+        ending = spec["model"].get("end_of_word_suffix")
+        if cut.get("behavior") != "Removed" or not cut.get("invert") or "\\p{L}" not in pattern or kinds != ["NFC", "Replace", "Lowercase"] or not ending:
+            raise ValueError(f"{path} does not cut lower-cased texts into words with marked ends")
+        latin = [chr(i) for i in range(256)]
+        letters = re.escape("".join(c for c in latin if unicodedata.category(c)[0] == "L"))
+        digits = re.escape("".join(c for c in latin if unicodedata.category(c)[0] == "N"))
+        self.cut = re.compile(pattern.replace("\\p{L}", letters).replace("\\p{N}", digits)).findall
+        self.as_is = [*"\x1c\x1d\x1e\x1f\x85", *(t["content"] for t in spec["added_tokens"])]
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(ending)]] = True
+        self.kept: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<i4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of each word; words go to the tokenizer many in a string and are told apart by their ends."""
+        groups = [words[i : i + WORDS_AT_ONCE] for i in range(0, len(words), WORDS_AT_ONCE)]
+        out: list[bytes] = []
+        for group, ids in zip(groups, self._whole([" ".join(g) for g in groups]), strict=True):
+            ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(ends) == len(group) and ends[-1] == len(ids):
+                raw = ids.tobytes()
+                out += [raw[4 * a : 4 * b] for a, b in zip([0, *ends], ends, strict=False)]
+            else:
+                out += [x.tobytes() for x in self._whole(group)]
         return out
 
+    def _pieces(self, pieces: list[list[str]], single: bool) -> list[bytes]:
+        """Ids of each list of words; new words of all lists go to the tokenizer together."""
+        kept, before = self.kept, self.before
+        new = []
+        for w in set().union(*pieces).difference(kept):
+            known = before.get(w)
+            if known is None:
+                new.append(w)
+            else:
+                kept[w] = known
+        if new:
+            found = self._encode_words(new) if single else [x.tobytes() for x in self._whole(new)]
+            kept.update(zip(new, found, strict=True))
+        out = [b"".join(map(kept.__getitem__, words)) for words in pieces]
+        if len(kept) > KEPT_WORDS:  # words that are used again come back from the generation before
+            self.kept, self.before = {}, kept
+        return out
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each whole text as little-endian 32-bit integers."""
+        parts: list[list[bytes]] = [[] for _ in texts]
+        waiting: dict[bool, list[tuple[int, list[str]]]] = {True: [], False: []}
+        chars = 0
+
+        def work() -> None:
+            for latin, todo in waiting.items():
+                for (i, _), ids in zip(todo, self._pieces([w for _, w in todo], latin), strict=True):
+                    parts[i].append(ids)
+                todo.clear()
+
+        for i, text in enumerate(texts):
+            if any(x in text for x in self.as_is):
+                parts[i].append(self._whole([text])[0].tobytes())
+                continue
+            try:
+                text.encode("latin-1")
+                latin = True
+            except UnicodeEncodeError:
+                latin = False
+            plain, at = text.lower() if latin else text.replace("\n", " "), 0
+            while at < len(plain):
+                end = len(plain) if len(plain) - at <= PIECE_CHARS else plain.rfind(" ", at, at + PIECE_CHARS) + 1
+                if end <= at:
+                    end = plain.find(" ", at) + 1 or len(plain)
+                part = plain[at:end]
+                waiting[latin].append((i, self.cut(part) if latin else part.split(" ")))
+                chars += end - at
+                at = end
+                if chars > PIECE_CHARS:
+                    work()
+                    chars = 0
+        work()
+        return [b"".join(p) for p in parts]
+
     def encode(self, text: str) -> bytes:
-        """Ids of the whole text as little-endian 32-bit integers."""
-        text = text.replace("\n", " ")
-        parts, at = [], 0
-        while at < len(text):
-            end = len(text) if len(text) - at <= PIECE_CHARS else text.rfind(" ", at, at + PIECE_CHARS) + 1
-            if end <= at:
-                end = text.find(" ", at) + 1 or len(text)
-            parts.append(self._piece(text[at:end].split(" ")))
-            at = end
-        return b"".join(parts)
+        return self.encode_all([text])[0]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -113,7 +171,8 @@ def write_tokens(
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                ids = [np.frombuffer(words.encode(t or "") + end, dtype="<i4") for t in batch.column("text").to_pylist()]
+                found = words.encode_all([t or "" for t in batch.column("text").to_pylist()])
+                ids = [np.frombuffer(x + end, dtype="<i4") for x in found]
                 sizes = np.array([len(x) for x in ids], dtype=np.int64)
                 starts = start + np.cumsum(sizes) - sizes
                 start += int(sizes.sum())

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm.tables import if_small, narrow
+from recollect.llm.tables import if_small, in_sample, narrow
 from recollect.llm.words import binary_column, list_column, plain_pieces
 from recollect.plans.materialize import stored
 
@@ -138,8 +138,8 @@ def measured(docs: DataFrame) -> DataFrame:
 def train(rows: DataFrame, labels: DataFrame, train_rows: int) -> Model:
     """Fit to at most ``train_rows`` labelled rows, by id hash."""
     joined = rows.select("doc_id", "tie", "x").join(labels, "doc_id")
-    turn = F.xxhash64("doc_id", "tie")
-    sample = joined.select(turn.alias("turn"), "label", "x").orderBy("turn").limit(train_rows).toArrow()
+    rows = joined.select(F.xxhash64("doc_id", "tie").alias("turn"), "label", "x")
+    sample = rows.filter(in_sample(F.col("turn"), joined.count(), train_rows)).orderBy("turn").limit(train_rows).toArrow()
     x = np.array(sample.column("x").to_pylist(), dtype=np.float64).reshape(-1, len(FEATURES))
     return fit(x, sample.column("label").to_numpy().astype(np.float64))
 

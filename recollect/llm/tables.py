@@ -32,3 +32,9 @@ def carried(df: DataFrame, *outputs: str) -> list[str]:
     """Columns of ``df`` that an operator passes on: those whose names its own outputs do not take."""
     taken = {o.lower() for o in outputs}
     return [c for c in df.columns if c.lower() not in taken]
+
+
+def in_sample(turn: Column, rows: int, wanted: int) -> Column:
+    """Whether a row's hash puts it among a few more than ``wanted`` of ``rows`` rows, so that few rows are sorted for a sample."""
+    share = min(1.0, (1.1 * wanted + 100) / max(1, rows))
+    return F.pmod(F.shiftright(turn, 20), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)) + 1)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm.tables import if_small, narrow
+from recollect.llm.tables import if_small, in_sample, narrow
 from recollect.llm.words import list_column
 from recollect.plans.materialize import stored
 
@@ -155,6 +155,7 @@ def train_classifier(train: DataFrame, train_rows: int = TRAIN_ROWS, features: i
             yield pa.RecordBatch.from_arrays([batch.column("turn"), batch.column("label"), list_column(places, pa.int32())], names=["turn", "label", "places"])
 
     rows = train.select(F.xxhash64("doc_id", "text").alias("turn"), "text", F.col("label").cast("int").alias("label"))
+    rows = rows.filter(in_sample(F.col("turn"), sizes[0] + sizes[1], train_rows))
     sample = rows.mapInArrow(featurise, "turn bigint, label int, places array<int>").orderBy("turn").limit(train_rows).toArrow()
     places = [np.array(x, dtype=np.int64) for x in sample.column("places").to_pylist()]
     model.weights, model.intercept = fit(places, sample.column("label").to_numpy().astype(float), model.ratios)

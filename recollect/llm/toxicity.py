@@ -24,7 +24,7 @@ SIZES = (3, 4, 5)
 #: Documented bound of the sample the regression is fitted to.
 TRAIN_ROWS = 20_000
 #: Features of the regression, and how many standard errors a log ratio must be from zero.
-FEATURES = 32_768
+FEATURES = 4_096
 DEVIATION = 4.0
 PENALTY = 1e-3
 STEPS = 400
@@ -113,10 +113,14 @@ class Classifier:
         return float(1 / (1 + np.exp(-(self.intercept + (self.weights * self.ratios)[places].sum()))))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray, penalty: float = PENALTY, steps: int = STEPS) -> tuple[np.ndarray, float]:
-    """Weights and intercept of the penalised logistic regression on ratio-scaled presences (Adam, full batches)."""
-    sizes = np.array([len(r) for r in rows])
-    column = np.concatenate(rows) if sizes.sum() else np.zeros(0, dtype=np.int64)
+def fit(
+    column: np.ndarray, sizes: np.ndarray, labels: np.ndarray, ratios: np.ndarray, penalty: float = PENALTY, steps: int = STEPS
+) -> tuple[np.ndarray, float]:
+    """Weights and intercept of the penalised logistic regression on ratio-scaled presences (Adam, full batches).
+
+    Row i holds the next ``sizes[i]`` feature numbers of ``column``.
+    """
+    rows = range(len(sizes))
     row, value = np.repeat(np.arange(len(rows)), sizes), ratios[column]
     rate = np.clip(labels.mean(), 1e-6, 1 - 1e-6)
     w = np.zeros(len(ratios) + 1)
@@ -157,8 +161,9 @@ def train_classifier(train: DataFrame, train_rows: int = TRAIN_ROWS, features: i
     rows = train.select(F.xxhash64("doc_id", "text").alias("turn"), "text", F.col("label").cast("int").alias("label"))
     rows = rows.filter(in_sample(F.col("turn"), sizes[0] + sizes[1], train_rows))
     sample = rows.mapInArrow(featurise, "turn bigint, label int, places array<int>").orderBy("turn").limit(train_rows).toArrow()
-    places = [np.array(x, dtype=np.int64) for x in sample.column("places").to_pylist()]
-    model.weights, model.intercept = fit(places, sample.column("label").to_numpy().astype(float), model.ratios)
+    places = sample.column("places").combine_chunks()
+    column, sizes = places.flatten().to_numpy(), np.diff(places.offsets.to_numpy())
+    model.weights, model.intercept = fit(column, sizes, sample.column("label").to_numpy().astype(float), model.ratios)
     return model
 
 

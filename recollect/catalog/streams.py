@@ -182,15 +182,22 @@ def stream_sessions(spark, sf):
     return out.select("session_id", F.col("start").cast("timestamp_ntz").alias("start"), "turn_count")
 
 
-@query("stream_exact_dedup")
+@query(
+    "stream_exact_dedup",
+    f"""WITH RECURSIVE r AS (SELECT doc_id AS query_id, {I.sql_key('text', 'lang')} AS exact_key, doc_id * 60 AS sec FROM documents),
+        kept AS (SELECT exact_key, min(sec) AS sec FROM r GROUP BY exact_key
+          UNION ALL SELECT k.exact_key, min(r.sec) FROM kept k JOIN r ON r.exact_key = k.exact_key AND r.sec >= k.sec + 21600 GROUP BY k.exact_key)
+        SELECT r.query_id, r.exact_key FROM r JOIN kept USING (exact_key, sec)""",
+)
 def stream_exact_dedup(spark, sf):
+    """Six hours to live; documents ask a minute apart."""
     schema = I.table(spark, sf, "documents").schema
-    docs = Q.read_stream(spark, f"{sf}/documents*.parquet", schema)
+    docs = Q.read_stream(spark, f"{sf}/documents*.parquet", schema, files_per_batch=8)
     requests = docs.select(
         F.col("doc_id").alias("query_id"), F.col("lang").alias("tenant_id"), F.col("text").alias("query_text"),
         (F.lit(I.EPOCH).cast("timestamp") + F.make_dt_interval(secs=F.col("doc_id") * 60)).alias("ts"),
     )
-    return run(spark, Q.stream_exact_dedup(requests), "dedup").select("query_id", "exact_key")
+    return run(spark, Q.stream_exact_dedup(requests, 21_600), "dedup").select("query_id", "exact_key")
 
 
 @query("stream_token_bucket", f"WITH {SQL_BUCKET}")
@@ -314,10 +321,10 @@ def feedback_step(spark, sf):
 @query("compare_strategies")
 def compare_strategies(spark, sf):
     """Seven configurations; thresholds lie where the vectors of these tables are similar."""
-    q = I.queries(spark, sf).filter(F.col("embedding").isNotNull())
+    q = I.queries(spark, sf)
     work = q.join(I.table(spark, sf, "documents").select(F.col("doc_id").alias("query_id"), "n_chars"), "query_id").select(
         "query_id", "seq", "tenant_id", "query_text", "embedding",
-        F.concat(F.lit("label-"), F.col("label").cast("string")).alias("answer"), (F.col("n_chars") / 10.0).alias("latency_ms"),
+        F.coalesce(F.concat(F.lit("label-"), F.col("label").cast("string")), F.concat(F.lit("text-"), F.md5("query_text"))).alias("answer"), (F.col("n_chars") / 10.0).alias("latency_ms"),
     )
     cfg = CacheConfig(default_threshold=0.35, min_threshold=0.30, max_threshold=0.45, tenant_scoped=False)
     plans = SG.standard_strategies(DIM, 16, low=0.33, high=0.38, default=0.35, cfg=cfg)

@@ -139,3 +139,40 @@ def scan_run_reports(spark, sf):
 def write_run_report(spark, sf):
     rows = reports.strategy_rows(_written(spark, sf))
     return rows.select("run_id", "strategy", "total_queries", "total_hits", "correct_hits")
+
+
+@query(
+    "get_report",
+    f"""WITH {I.SQL_LOG} SELECT 'run-' || CAST(tenant_id % 8 AS VARCHAR) AS run_id, CAST(count(*) AS INTEGER) AS num_questions
+        FROM query_log WHERE tenant_id % 8 = 3 GROUP BY 1""",
+)
+def get_report(spark, sf):
+    return reports.get_report(_written(spark, sf), "run-3").select("run_id", "num_questions")
+
+
+def _sql_shape(answer: str) -> str:
+    return f"""WITH turns AS (SELECT a.conv_id, a.turn, regexp_replace(a.text, '^{I.SQL_SPACE}|{I.SQL_SPACE}$', '', 'g') AS question, {answer} AS answer
+          FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1
+          WHERE a.role = 'user' AND b.role = 'assistant')
+        SELECT conv_id, turn, substr(md5(question), 1, 12) AS id, question, answer FROM turns WHERE length(question) > 0 AND length(answer) > 0"""
+
+
+def _shaped(spark, sf, answers, kind: str):
+    c = I.table(spark, sf, "conversations")
+    reply = c.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("reply"))
+    raw = c.filter("role = 'user'").join(reply, ["conv_id", "turn"]).select("conv_id", "turn", F.col("text").alias("question"), answers.alias("answers"))
+    path = I.scratch(spark, "qa")
+    raw.write.mode("overwrite").json(path)
+    return W.load_qa_workload(spark, path, "json", f"conv_id BIGINT, turn BIGINT, question STRING, answers {kind}")
+
+
+@query("load_qa_struct_list", _sql_shape("b.text"))
+def load_qa_struct_list(spark, sf):
+    """Answers as an array of structs."""
+    return _shaped(spark, sf, F.array(F.struct(F.col("reply").alias("text"))), "ARRAY<STRUCT<text: STRING>>")
+
+
+@query("load_qa_text_list", _sql_shape("b.text"))
+def load_qa_text_list(spark, sf):
+    """Answers as a plain array."""
+    return _shaped(spark, sf, F.array("reply", F.lit("other")), "ARRAY<STRING>")

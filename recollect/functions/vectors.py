@@ -38,15 +38,25 @@ def l2_normalized(df: DataFrame, vector: str, out: str) -> DataFrame:
 
 
 def gaussian_planes(dim: int, tables: int, bits: int, seed: int) -> np.ndarray:
-    """Seeded hyperplanes, shape (tables, bits, dim)."""
+    """Seeded hyperplanes, shape (tables, bits, dim).  Fixed: they define which bucket a vector is in."""
     return np.random.RandomState(seed).randn(tables, bits, dim).astype(np.float32)
 
 
 def orthogonal_projection(dim: int, target: int, seed: int = 42) -> np.ndarray:
-    """Seeded matrix with orthonormal columns, shape (dim, min(dim, target))."""
-    raw = np.random.RandomState(seed).randn(dim, target).astype(np.float32)
-    q, _ = np.linalg.qr(raw)
-    return q[:, :target]
+    """Seeded matrix with orthonormal columns, shape (dim, min(dim, target)).
+
+    Directions are drawn one by one, freed of their share in the earlier ones and turned so that their largest
+    entry is positive.
+    """
+    draw = np.random.default_rng(seed)
+    columns = np.zeros((dim, min(dim, target)))
+    for i in range(columns.shape[1]):
+        v = draw.standard_normal(dim)
+        for _ in range(2):  # the second round removes what rounding left
+            v -= columns[:, :i] @ (columns[:, :i].T @ v)
+        v /= np.linalg.norm(v)
+        columns[:, i] = v * np.sign(v[np.abs(v).argmax()])
+    return columns.astype(np.float32)
 
 
 def _rows(arr: pa.Array) -> np.ndarray:
@@ -136,6 +146,11 @@ def _plain(df: DataFrame, col: str) -> bool:
     return df.schema[col].dataType.typeName() not in ("array", "map", "struct", "binary", "variant")
 
 
+def word_slot(word: Column, dim: int) -> Column:
+    """Slot of a word in a hashed bag of words, from its md5."""
+    return (F.conv(F.substring(F.md5(word.cast("binary")), 1, 8), 16, 10).cast("bigint") % dim).cast("int")
+
+
 def _hashed_words(tokens: Column, dim: int) -> Column:
     @F.arrow_udf("array<double>")
     def encode(slots: pa.Array) -> pa.Array:
@@ -149,4 +164,4 @@ def _hashed_words(tokens: Column, dim: int) -> Column:
             pa.array(np.arange(0, out.size + 1, dim, dtype=np.int32)), pa.array(out.ravel())
         )
 
-    return encode(F.transform(tokens, lambda w: F.pmod(F.xxhash64(w), F.lit(dim)).cast("int")))
+    return encode(F.transform(tokens, lambda w: word_slot(w, dim)))

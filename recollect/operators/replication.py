@@ -148,19 +148,18 @@ def ring_ranges(
     width, top = 1 << (64 - 4 * digits), 1 << 64
     cuts = sorted({0, top, *positions, *range(0, top, width)})
     want = min(replicas, len(set(nodes)))
-    chains: dict[int, list[str]] = {}
-
-    def chain(start: int) -> list[str]:
-        if start not in chains:
-            found: list[str] = []
-            at = start
-            while len(found) < want:
-                node = placed[at][1]
-                if node not in found:
-                    found.append(node)
-                at = (at + 1) % len(placed)
-            chains[start] = found
-        return chains[start]
+    # Positions of each node in ring order; a range's replicas are the nodes whose next position comes soonest.
+    of_node: dict[str, list[int]] = {}
+    for i, (_, node) in enumerate(placed):
+        of_node.setdefault(node, []).append(i)
+
+    def chain(owner: int) -> list[str]:
+        def steps(node: str) -> int:
+            at = of_node[node]
+            after = bisect.bisect_left(at, owner)
+            return at[after] - owner if after < len(at) else at[0] + len(placed) - owner
+
+        return sorted(of_node, key=steps)[:want]
 
     rows = []
     for lo, hi in zip(cuts[:-1], cuts[1:]):

@@ -4,7 +4,7 @@ A plain ``Window.partitionBy(key)`` sends every row of a key to one task, so a k
 a third of the table stalls the job.  Here the order of a key is cut into blocks of bounded
 width: each (key, block) is a window of its own, block totals are summed up over the blocks
 of a key (one small row per block), and the carry is joined back on (key, block).
-Keys must not be null.
+A null is a key like any other.
 """
 
 from __future__ import annotations
@@ -72,7 +72,9 @@ def running(
             for n, a in aggs.items()
         ],
     )
-    joined = rows.join(carry, scope, "left")
+    carry = carry.select(*[F.col(c).alias(f"_of_{c}") for c in scope], *[f"_carry_{n}" for n in aggs])
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys] + [F.col("_block") == F.col("_of__block")]
+    joined = rows.join(carry, same, "left")
     merged = []
     for n, a in aggs.items():
         here, before = F.col(f"_local_{n}"), F.col(f"_carry_{n}")

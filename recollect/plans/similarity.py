@@ -167,7 +167,7 @@ def best_matches(
         if not group:  # one group: its two numbers are scalars
             parts = {n: d.select(n).scalar() for n, d in (("_qparts", big_q), ("_eparts", big_e))}
             return side.withColumns(parts)
-        return side.join(F.broadcast(big_q), cols, "left").join(F.broadcast(big_e), cols, "left")
+        return side.join(big_q, cols, "left").join(big_e, cols, "left")
 
     qn, en = F.coalesce("_qparts", F.lit(1)), F.coalesce("_eparts", F.lit(1))
 

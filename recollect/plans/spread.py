@@ -13,8 +13,7 @@ def hot_keys(df: DataFrame, keys: list[str], limit: int, row_id: str) -> DataFra
 
     Sizes are estimated from the rows whose ``row_id`` hashes into a fixed share, so that a
     costly key expression is not evaluated twice over; the estimate decides how work is spread,
-    never which rows take part.  At most rows / limit keys can qualify, which bounds what is
-    broadcast.
+    never which rows take part.  At most rows / limit keys can qualify.
     """
     share = max(1, min(64, limit // 512))
     probe = df if share == 1 else df.filter(F.pmod(F.xxhash64(row_id), F.lit(share)) == 0)
@@ -39,7 +38,7 @@ def spread_join(
 
     Right rows of hot keys are repeated once per part, all others stay single.
     """
-    hot = F.broadcast(hot_keys(left, keys, limit, row_id))
+    hot = hot_keys(left, keys, limit, row_id)  # adaptive execution broadcasts it where it is small
     parts = F.coalesce(F.col("_parts"), F.lit(1))
     salted_left = left.join(hot, keys, "left").withColumn(
         "_salt", F.pmod(F.xxhash64(row_id), parts).cast("int")

@@ -40,10 +40,44 @@ def stream_metrics(log: DataFrame, width: str = "1 hour", slide: str | None = No
     )
 
 
-def stream_exact_dedup(requests: DataFrame, ttl: str = "24 hours") -> DataFrame:
-    """The first request of each exact key within the time to live; repeats are answered by it."""
+def stream_exact_dedup(requests: DataFrame, ttl_s: int = 86_400, late: str = "1 hour") -> DataFrame:
+    """(query_id, exact_key, ts) of requests that an answer of their key within the time to live does not cover.
+
+    The earliest request of a key is kept and answers what follows for ``ttl_s`` seconds; the first one after
+    that is kept again.  State is the time of the last kept request, and goes once the watermark has passed the
+    end of its time.  A request older than the kept one counts as covered if it lies within that time of it.
+    """
     keyed = requests.withColumn("exact_key", T.exact_key(F.col("query_text"), F.col("tenant_id")))
-    return keyed.withWatermark("ts", ttl).dropDuplicatesWithinWatermark(["exact_key"])
+    keyed = keyed.withWatermark("ts", late).select("exact_key", "query_id", "ts")
+    span = ttl_s * 1_000_000
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        parts = [b[["query_id", "ts"]] for b in batches]
+        rows = pd.concat(parts, ignore_index=True).sort_values(["ts", "query_id"], ignore_index=True)
+        at = rows["ts"].astype("datetime64[us]").astype("int64").to_numpy()
+        last, kept, i = (state.get[0] if state.exists else None), [], 0
+        if last is None:
+            last, i = at[0], 1
+            kept.append(0)
+        else:  # late rows that no kept request covers
+            i = int(np.searchsorted(at, last - span, "right"))
+            kept.extend(range(i))
+        while (i := int(np.searchsorted(at, last + span, "left"))) < len(at):
+            kept.append(i)
+            last = at[i]
+        state.update((int(last),))
+        state.setTimeoutTimestamp(max((int(last) + span) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        out = rows.iloc[sorted(set(kept))].copy()
+        out["exact_key"] = key[0]
+        yield out[["query_id", "exact_key", "ts"]]
+
+    kind = dict(keyed.dtypes)["query_id"]
+    return keyed.groupBy("exact_key").applyInPandasWithState(
+        step, f"query_id {kind}, exact_key string, ts timestamp", "last long", "append", GroupStateTimeout.EventTimeTimeout
+    )
 
 
 def stream_sessions(requests: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from recollect.config import CacheConfig
@@ -68,11 +69,21 @@ def test_session_fusion_stream(spark, tmp_path):
 
 def test_dedup_stream_drops_repeats_across_batches(spark, tmp_path):
     rows = [(i, "t", "Same text" if i % 2 else f"text {i}") for i in range(10)]
-    df = spark.createDataFrame(rows, "seq bigint, tenant_id string, query_text string").withColumn("ts", F.timestamp_seconds(F.col("seq") + 1000))
-    got = in_two_batches(spark, df, lambda s: Q.stream_exact_dedup(s, "1 hour"), tmp_path, 5)
+    df = spark.createDataFrame(rows, "seq bigint, tenant_id string, query_text string").withColumn("query_id", F.col("seq")).withColumn("ts", F.timestamp_seconds(F.col("seq") + 1000))
+    got = in_two_batches(spark, df, lambda s: Q.stream_exact_dedup(s, 3600), tmp_path, 5)
     assert got.count() == 6
 
 
+@pytest.mark.parametrize("first", [1, 7, 30])
+def test_dedup_by_event_time_does_not_depend_on_batches(spark, tmp_path, first):
+    rows = [(i, "t", "Same text" if i % 3 else "other text") for i in range(31)]
+    df = spark.createDataFrame(rows, "seq bigint, tenant_id string, query_text string").withColumn("query_id", F.col("seq"))
+    df = df.withColumn("ts", F.timestamp_seconds(F.col("seq") * 100 + 10_000))
+    got = in_two_batches(spark, df, lambda s: Q.stream_exact_dedup(s, 1000), tmp_path, first)
+    # Each text is kept again once the kept request is 1,000 seconds old.
+    assert sorted(r.query_id for r in got.collect()) == [0, 1, 11, 12, 22, 24]
+
+
 def test_ttl_stream_emits_expired_only(spark, tmp_path):
     rows = [(0, "a", 1, 10), (1, "b", 5, 5000), (2, "c", 100, None), (3, "d", 200, 250), (4, "e", 1000, 9000)]
     df = spark.createDataFrame(rows, "seq bigint, entry_id string, at bigint, until bigint")

@@ -288,3 +288,45 @@ def paired_comparison(spark, sf):
     return L.paired_comparison(*comparison_inputs(spark, sf)).select(
         "query_id", "hit", F.round("saved_ms", 6).alias("saved_ms"), "saved_tokens", F.round("speedup", 6).alias("speedup")
     )
+
+
+#: Buckets for the similarities these lookups ask for; ``candidates_for`` chooses them from rows and floor.
+NEAR_TABLES, NEAR_BITS = 6, 3
+NEAR = L.Candidates(DIM, NEAR_TABLES, NEAR_BITS)
+
+SQL_SHARED = f"""
+{sql_signature('embeddings', 'vec_id', 'embedding', NEAR_TABLES, NEAR_BITS)},
+placed AS (SELECT vec_id, unnest(range(1, {NEAR_TABLES + 1})) AS t, unnest(sig) AS bucket FROM signatures),
+shared AS (SELECT DISTINCT q.vec_id AS query_id, e.vec_id AS entry_id FROM placed q JOIN placed e ON q.t = e.t AND q.bucket = e.bucket)"""
+
+
+@query(
+    "semantic_lookup_lsh",
+    f"""WITH {SQL_KEYED}, thresholds AS (SELECT NULL::BIGINT AS entry_id, NULL::DOUBLE AS threshold), {SQL_SHARED},
+        {SQL_SEMANTIC.replace("ON q.tenant_id = e.tenant_id", "ON q.tenant_id = e.tenant_id JOIN shared s ON s.query_id = q.query_id AND s.entry_id = e.entry_id")}
+        SELECT query_id, entry_id, round(similarity, 9) AS similarity, round(threshold_used, 9) AS threshold FROM semantic""",
+)
+def semantic_lookup_lsh(spark, sf):
+    hits = L.semantic_lookup(I.queries(spark, sf), L.live(I.entries(spark, sf), now()), None, CFG, NEAR)
+    return hits.select("query_id", "entry_id", F.round("similarity", 9).alias("similarity"), F.round("threshold", 9).alias("threshold"))
+
+
+@query(
+    "static_threshold_match_lsh",
+    f"""WITH {SQL_LIGHT}, {SQL_SHARED}, near AS (SELECT * FROM sims JOIN shared USING (query_id, entry_id)),
+        best AS ({SQL_BEST.format(src='near', cond='similarity >= 0.35::DOUBLE')}) {SQL_TIERS}""",
+)
+def static_threshold_match_lsh(spark, sf):
+    out = L.static_threshold_match(I.queries(spark, sf), I.entries(spark, sf), 0.35, NEAR)
+    return out.withColumn("similarity", F.round("similarity", 9))
+
+
+@query(
+    "causal_match_lsh",
+    f"""WITH {SQL_SHARED}, sims AS (SELECT query_id, entry_id, {sim('q.embedding', 'e.embedding')} AS similarity
+          FROM shared JOIN embeddings q ON q.vec_id = query_id JOIN embeddings e ON e.vec_id = entry_id WHERE entry_id < query_id)
+        SELECT query_id, entry_id, round(similarity, 9) AS similarity FROM ({SQL_BEST.format(src='sims', cond='similarity >= 0.3::DOUBLE')})""",
+)
+def causal_match_lsh(spark, sf):
+    v = vectors(spark, sf)
+    return L.causal_match(v, v, 0.3, NEAR).select("query_id", "entry_id", F.round("similarity", 9).alias("similarity"))

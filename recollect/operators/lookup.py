@@ -6,6 +6,9 @@ tenant_id, query_text, embedding, expires_at.
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +17,7 @@ from recollect.functions import scoring as S
 from recollect.functions import text as T
 from recollect.functions import vectors as V
 from recollect.plans.materialize import checkpointed
-from recollect.plans.similarity import best_matches
+from recollect.plans.similarity import ENTRY_BLOCK, best_matches
 from recollect.plans.spread import spread_join
 
 MAX_BULK = 100
@@ -47,11 +50,48 @@ def exact_lookup(queries: DataFrame, entries: DataFrame) -> DataFrame:
     return spread_join(q, latest_per_key(e), ["exact_key"], "left", "query_id")
 
 
+@dataclass(frozen=True)
+class Candidates:
+    """Hash tables whose shared buckets are the pairs to look at: everything else is not compared."""
+
+    dim: int
+    tables: int
+    bits: int
+    seed: int = DEFAULT.lsh_seed
+
+
+def candidates_for(rows: int, floor: float, dim: int, reach: float = 0.9, block: int = ENTRY_BLOCK) -> Candidates:
+    """Buckets of about ``block`` of ``rows`` entries, in as many tables as find a pair at ``floor`` with chance ``reach``."""
+    bits = max(1, math.ceil(math.log2(max(2.0, rows / block))))
+    same = (1 - math.acos(min(1.0, max(-1.0, floor))) / math.pi) ** bits
+    tables = 1 if same >= reach else math.ceil(math.log(1 - reach) / math.log(1 - same))
+    return Candidates(dim, tables, bits)
+
+
+def _nearest(
+    queries: DataFrame, entries: DataFrame, k: int, candidates: Candidates | None, group: list[str] | None = None, **options
+) -> DataFrame:
+    """The k best entries of each query, among all or among those sharing a bucket with it."""
+    if candidates is None:
+        return best_matches(queries, entries, k, group=group, **options)
+    c = candidates
+
+    def bucketed(df: DataFrame) -> DataFrame:
+        sig = V.lsh_signature(F.col("embedding"), c.dim, c.tables, c.bits, c.seed)
+        known = df.filter(F.col("embedding").isNotNull()).withColumn("_sig", sig)
+        return known.select("*", F.posexplode("_sig").alias("_table", "_bucket")).drop("_sig")
+
+    options.pop("sizes_from", None)  # sizes are those of the buckets
+    return best_matches(
+        bucketed(queries), bucketed(entries), k, group=["_table", "_bucket", *(group or [])], once_per_pair=False, **options
+    )
+
+
 def knn_join(
     queries: DataFrame, entries: DataFrame, k: int = DEFAULT.top_k, *, tenant_scoped: bool = False, **options
 ) -> DataFrame:
     """Exact k nearest entries per query, ties to the lower entry_id."""
-    return best_matches(queries, entries, k, group=["tenant_id"] if tenant_scoped else None, **options)
+    return _nearest(queries, entries, k, None, ["tenant_id"] if tenant_scoped else None, **options)
 
 
 def lsh_knn_join(
@@ -67,14 +107,8 @@ def lsh_knn_join(
     **options,
 ) -> DataFrame:
     """Approximate k nearest entries: exact re-rank among entries sharing a bucket in any table."""
-
-    def bucketed(df: DataFrame) -> DataFrame:
-        sig = V.lsh_signature(F.col("embedding"), dim, tables, bits, seed)
-        known = df.filter(F.col("embedding").isNotNull()).withColumn("_sig", sig)
-        return known.select("*", F.posexplode("_sig").alias("_table", "_bucket")).drop("_sig")
-
-    group = ["_table", "_bucket"] + (["tenant_id"] if tenant_scoped else [])
-    return best_matches(bucketed(queries), bucketed(entries), k, group=group, once_per_pair=False, **options)
+    wanted = Candidates(dim, tables, bits, seed)
+    return _nearest(queries, entries, k, wanted, ["tenant_id"] if tenant_scoped else None, **options)
 
 
 def recall(approximate: DataFrame, exact: DataFrame) -> DataFrame:
@@ -91,10 +125,13 @@ def semantic_lookup(
     entries: DataFrame,
     thresholds: DataFrame | None = None,
     cfg: CacheConfig = DEFAULT,
+    candidates: Candidates | None = None,
     **options,
 ) -> DataFrame:
     """Most similar of the k nearest entries that reaches its own threshold.
 
+    With ``candidates`` only entries in a shared bucket are looked at; without, all are (quadratic).
+
     ``thresholds`` holds (entry_id, threshold); other entries use the default.  No threshold
     lies below the floor, so dropping pairs under it leaves the ranking of the rest as it is.
     """
@@ -106,8 +143,8 @@ def semantic_lookup(
     else:
         own = thresholds.select("entry_id", F.col("threshold").alias("_own"))
         e = e.join(own, "entry_id", "left").withColumn("_tau", F.coalesce("_own", default)).drop("_own")
-    near = best_matches(
-        queries, e, cfg.top_k, group=["tenant_id"] if cfg.tenant_scoped else None, floor=floor,
+    near = _nearest(
+        queries, e, cfg.top_k, candidates, ["tenant_id"] if cfg.tenant_scoped else None, floor=floor,
         entry_limit=F.col("_tau"), obey_limit=False, **options,
     )
     passing = near.filter(F.col("similarity") >= F.col("threshold"))
@@ -121,6 +158,7 @@ def two_tier_lookup(
     thresholds: DataFrame | None = None,
     now: Column | None = None,
     cfg: CacheConfig = DEFAULT,
+    candidates: Candidates | None = None,
 ) -> DataFrame:
     """Exact tier first; only its misses reach the vector stage.
 
@@ -135,7 +173,7 @@ def two_tier_lookup(
     rest = queries.select("query_id", "tenant_id", "embedding").join(
         exact.filter(F.col("_exact").isNull()), "query_id", "left_semi"
     )
-    near = semantic_lookup(rest, usable, thresholds, cfg, sizes_from=queries)
+    near = semantic_lookup(rest, usable, thresholds, cfg, candidates, sizes_from=queries)
     out = queries.drop("embedding").join(exact, "query_id", "left").join(near, "query_id", "left")
     found = F.col("_exact").isNotNull()
     return out.select(
@@ -162,39 +200,46 @@ def after_exact(queries: DataFrame, entries: DataFrame, best: DataFrame) -> Data
     )
 
 
-def static_threshold_match(queries: DataFrame, entries: DataFrame, tau: float, **options) -> DataFrame:
+def static_threshold_match(
+    queries: DataFrame, entries: DataFrame, tau: float, candidates: Candidates | None = None, **options
+) -> DataFrame:
     """Exact match, else the nearest entry if it reaches one fixed threshold."""
-    return after_exact(queries, entries, best_matches(queries, entries, 1, floor=tau, **options))
+    return after_exact(queries, entries, _nearest(queries, entries, 1, candidates, floor=tau, **options))
 
 
 def entry_threshold_match(
-    queries: DataFrame, entries: DataFrame, thresholds: DataFrame, default: float, **options
+    queries: DataFrame, entries: DataFrame, thresholds: DataFrame, default: float, candidates: Candidates | None = None, **options
 ) -> DataFrame:
     """Exact match, else the nearest among all entries whose own threshold is reached."""
     own = thresholds.select("entry_id", F.col("threshold").alias("_own"))
     e = entries.join(own, "entry_id", "left")
-    best = best_matches(
-        queries, e, 1, entry_limit=F.coalesce("_own", F.lit(default)), **options
+    best = _nearest(
+        queries, e, 1, candidates, entry_limit=F.coalesce("_own", F.lit(default)), **options
     )
     return after_exact(queries, entries, best)
 
 
 def adaptive_threshold_match(
-    queries: DataFrame, entries: DataFrame, tau: Column, dim: int, target: int, **options
+    queries: DataFrame, entries: DataFrame, tau: Column, dim: int, target: int, candidates: Candidates | None = None, **options
 ) -> DataFrame:
-    """Exact match, else the nearest entry in projected space against one learned threshold."""
+    """Exact match, else the nearest entry in projected space against one learned threshold.
+
+    ``candidates`` are buckets of the projected vectors.
+    """
 
     def low(df: DataFrame) -> DataFrame:
         known = df.filter(F.col("embedding").isNotNull())
         return known.withColumn("embedding", V.projected(F.col("embedding"), dim, target).cast("array<float>"))
 
-    best = best_matches(low(queries), low(entries), 1, **options)
+    best = _nearest(low(queries), low(entries), 1, candidates, **options)
     return after_exact(queries, entries, best.filter(F.col("similarity") >= tau))
 
 
-def causal_match(queries: DataFrame, entries: DataFrame, tau: float, **options) -> DataFrame:
+def causal_match(
+    queries: DataFrame, entries: DataFrame, tau: float, candidates: Candidates | None = None, **options
+) -> DataFrame:
     """Nearest entry that arrived before the query, if it reaches ``tau``."""
-    return best_matches(queries, entries, 1, floor=tau, earlier_only=True, **options)
+    return _nearest(queries, entries, 1, candidates, floor=tau, earlier_only=True, **options)
 
 
 def feedback_join(feedback: DataFrame, entries: DataFrame) -> DataFrame:

@@ -471,3 +471,12 @@ def test_sketch_never_underestimates(spark):
 def test_config_bounds(bad):
     with pytest.raises(ValueError):
         CacheConfig(**bad)
+
+
+def test_candidates_follow_rows_and_floor():
+    small, large = L.candidates_for(1_000, 0.7, 64), L.candidates_for(1_000_000_000, 0.7, 64)
+    assert small.bits == 1 and large.bits == math.ceil(math.log2(1_000_000_000 / 16_384))
+    for c in (small, large):
+        same = (1 - math.acos(0.7) / math.pi) ** c.bits
+        assert 1 - (1 - same) ** c.tables >= 0.9
+    assert L.candidates_for(1_000_000_000, 0.95, 64).tables < large.tables

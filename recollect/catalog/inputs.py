@@ -173,12 +173,12 @@ feedback AS (
 )"""
 
 
-def rewards(spark: SparkSession, sf: str) -> DataFrame:
-    """Implicit rewards of all logged queries; shard = part of the users, arm = part of k."""
+def rewards(spark: SparkSession, sf: str, shards: int | None = 4) -> DataFrame:
+    """Implicit rewards of all logged queries; shard = part of the users (or each user), arm = part of k."""
     from recollect.functions.scoring import implicit_reward
 
     return query_log(spark, sf).select(
-        F.concat(F.lit("shard-"), (F.col("tenant_id") % 4).cast("string")).alias("shard_id"),
+        F.concat(F.lit("shard-"), (F.col("tenant_id") % shards if shards else F.col("tenant_id")).cast("string")).alias("shard_id"),
         (F.col("k") % 10).alias("arm"),
         "seq",
         F.when(F.col("hit"), implicit_reward(F.col("tier"), F.col("similarity"))).otherwise(0.0).alias("reward"),

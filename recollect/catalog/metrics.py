@@ -73,7 +73,7 @@ def metrics_rollup(spark, sf):
         round(quantile_cont(latency_ms, 0.95), 4) AS p95, round(quantile_cont(latency_ms, 0.99), 4) AS p99 FROM query_log""",
 )
 def latency_percentiles(spark, sf):
-    p = M.latency_percentiles(I.query_log(spark, sf))
+    p = M.latency_percentiles(I.query_log(spark, sf), block_rows=1_500)
     return p.select(*[F.round(c, 4).alias(c) for c in p.columns])
 
 
@@ -83,7 +83,7 @@ def latency_percentiles(spark, sf):
         round(quantile_cont(latency_ms, 0.95), 4) AS p95, round(quantile_cont(latency_ms, 0.99), 4) AS p99 FROM query_log GROUP BY tenant_id""",
 )
 def latency_percentiles_by_tenant(spark, sf):
-    p = M.latency_percentiles(I.query_log(spark, sf), ["tenant_id"])
+    p = M.latency_percentiles(I.query_log(spark, sf), ["tenant_id"], 1_500)
     return p.select("tenant_id", *[F.round(c, 4).alias(c) for c in ("p50", "p90", "p95", "p99")])
 
 

@@ -122,13 +122,13 @@ def breaker_stats(spark, sf):
 
 @query("drift_windows")
 def drift_windows(spark, sf):
-    series = I.rewards(spark, sf).filter(F.col("reward").isNotNull())
+    series = I.rewards(spark, sf, None).filter(F.col("reward").isNotNull())
     return SQ.drift_windows(series, ["shard_id"], SENSITIVE)
 
 
 @query("bandit_updates")
 def bandit_updates(spark, sf):
-    out = SQ.bandit_updates(I.rewards(spark, sf), SENSITIVE)
+    out = SQ.bandit_updates(I.rewards(spark, sf, None), SENSITIVE)
     return out.withColumn("alpha", F.round("alpha", 6)).withColumn("beta", F.round("beta", 6))
 
 
@@ -220,7 +220,7 @@ def stream_breaker(spark, sf):
 def _reward_stream(spark, sf):
     s = log_stream(spark, sf)
     return s.select(
-        F.concat(F.lit("shard-"), (F.col("tenant_id") % 4).cast("string")).alias("shard_id"), "seq",
+        F.concat(F.lit("shard-"), F.col("tenant_id").cast("string")).alias("shard_id"), "seq",
         (F.col("k") % 10).alias("arm"), F.when(F.col("event_type") == "error", 0.0).otherwise(1.0).alias("reward"),
     )
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from recollect.config import DEFAULT
 from recollect.functions import text as T
 from recollect.plans.materialize import checkpointed
-from recollect.plans.quantiles import exact_quantiles
+from recollect.plans.quantiles import BLOCK_ROWS, exact_quantiles, row_blocks
 from recollect.plans.running import by_width, highest, numbered, running, total, trailing_frames
 
 HISTORY = 1000
@@ -85,11 +85,10 @@ def metrics_rollup(log: DataFrame, levels: list[str]) -> DataFrame:
     )
 
 
-def latency_percentiles(log: DataFrame, by: list[str] | None = None, width: float = 1.0) -> DataFrame:
+def latency_percentiles(log: DataFrame, by: list[str] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """p50, p90, p95 and p99 of the latency, interpolated linearly."""
     points = {"p50": 0.50, "p90": 0.90, "p95": 0.95, "p99": 0.99}
-    block = F.floor(F.col("latency_ms") / F.lit(width)).cast("bigint")
-    return exact_quantiles(log, by or [], "latency_ms", points, block)
+    return exact_quantiles(log, by or [], "latency_ms", points, row_blocks(log, "latency_ms", block_rows))
 
 
 def latency_percentiles_approx(log: DataFrame, by: list[str], accuracy: int = 10_000) -> DataFrame:

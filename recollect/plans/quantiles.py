@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,19 @@ from recollect.plans.running import running, total
 from recollect.plans.spread import spread_join
 
 
+BLOCK_ROWS = 1_000_000
+
+
+def row_blocks(df: DataFrame, value: str, rows: int = BLOCK_ROWS) -> Column:
+    """Blocks of about ``rows`` rows each along ``value``, cut at approximate quantiles."""
+    blocks = math.ceil(df.count() / rows)
+    if blocks <= 1:
+        return F.lit(0).cast("bigint")
+    shares = [i / blocks for i in range(1, blocks)]
+    cuts = df.agg(F.percentile_approx(value, shares, max(10_000, 20 * blocks))).first()[0]
+    return F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts or [])))), lambda c: c < F.col(value))).cast("bigint")
+
+
 def exact_quantiles(
     df: DataFrame, keys: list[str], value: str, points: dict[str, float], block: Column
 ) -> DataFrame:

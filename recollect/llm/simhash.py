@@ -37,7 +37,7 @@ BLOCK_ROWS = 20_000
 #: Rows (stored and probes) for one task of the bucket join.
 TASK_ROWS = 1_000_000
 #: Pairs compared at once in a task.
-PAIRS = 2_000_000
+PAIRS = 250_000
 #: Cost of sending a probe, in comparisons.
 PROBE_COST = 40.0
 #: Widest sub-block of a partition that has a histogram of its own.

@@ -29,7 +29,7 @@ ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 64 << 10
 PAGE_ROWS = 1_000
 #: Words kept in each of two generations.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 250_000
 WORDS_AT_ONCE = 100
 PIECE_CHARS = 1_000_000
 

@@ -149,6 +149,11 @@ def log_stream(spark, sf):
     )
 
 
+def stored_log(spark, sf):
+    """The rows of ``log_stream`` as a table."""
+    return I.query_log(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def run(spark, stream, name, **kw):
     return Q.run_available(stream, I.scratch(spark, name), I.scratch(spark, name + "-progress"), **kw)
 
@@ -157,10 +162,12 @@ def run(spark, stream, name, **kw):
     "stream_metrics",
     f"""WITH {I.SQL_LOG} SELECT date_trunc('hour', ts) AS start, count(*) AS queries, count(*) FILTER (hit) AS hits,
           count(*) FILTER (hit AND tier = 1) AS tier1_hits, round(avg(latency_ms), 9) AS avg_latency_ms
-        FROM query_log GROUP BY 1 HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM query_log) - INTERVAL 10 MINUTE""",
+        FROM query_log GROUP BY 1""",
 )
 def stream_metrics(spark, sf):
+    """Closed windows from the stream, those open at its end from the stored rows."""
     out = run(spark, Q.stream_metrics(log_stream(spark, sf)), "metrics")
+    out = Q.with_open(out, stored_log(spark, sf), Q.stream_metrics, ["start"])
     return out.select(
         F.col("start").cast("timestamp_ntz").alias("start"), "queries", "hits", "tier1_hits",
         F.round("avg_latency_ms", 9).alias("avg_latency_ms"),

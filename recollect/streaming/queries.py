@@ -5,7 +5,7 @@ Event time columns are ``timestamp`` (a watermark takes no other type).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -186,6 +186,11 @@ def stream_ttl(entries: DataFrame, late: str = "0 seconds") -> DataFrame:
     )
 
 
+def with_open(emitted: DataFrame, rows: DataFrame, build: Callable[[DataFrame], DataFrame], keys: list[str]) -> DataFrame:
+    """What a stream emitted and, by the same aggregation over the stored rows, what was still open at its end."""
+    return emitted.unionByName(build(rows).join(emitted.select(*keys), keys, "left_anti"))
+
+
 def run_available(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Process what is there, append it to Parquet and return that table."""
     writer = stream.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", checkpoint)

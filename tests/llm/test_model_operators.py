@@ -291,3 +291,19 @@ def test_pipeline_runs_and_drops_what_it_should(spark, sf):
     for r in sorted(rows, key=lambda r: r.start):
         assert r.start == at and r.doc_id in kept
         at += r.n_tokens
+
+
+@pytest.mark.parametrize("pairs", [1, 7, 50, 250_000])
+def test_forest_edges_do_not_depend_on_the_pairs_compared_at_once(monkeypatch, pairs):
+    monkeypatch.setattr(simhash, "PAIRS", pairs)
+    r = random.Random(3)
+    prints, node = np.array([r.getrandbits(6) for _ in range(120)], dtype=np.uint64), np.arange(120) * 3
+    bucket, order = (prints >> np.uint64(3)).astype(np.int64), np.random.default_rng(1).permutation(240)
+    twice = [np.r_[x, x][order] for x in (bucket, node, prints)]
+    asks = np.repeat([False, True], 120)[order]
+    got, want = simhash.Forest(400), simhash.Forest(400)
+    got.link(*simhash.forest_edges(*twice, twice[2], asks, 1, 64))
+    linked = [(node[i], node[j]) for i in range(120) for j in range(i)
+              if bucket[i] == bucket[j] and int(prints[i] ^ prints[j]).bit_count() <= 1]
+    want.link(*np.array(linked).T)
+    assert (got.root == want.root).all()

@@ -22,8 +22,8 @@ def _pieces(raw: bytes) -> Iterator[list[bytes]]:
     while len(raw) - start > PIECE_BYTES:
         head = raw[start : start + PIECE_BYTES]
         at = max(head.rfind(b) for b in (b" ", b"\n", b"\t", b"\r", b"\v", b"\f"))
-        if at < 0:
-            ends = [e for b in (b" ", b"\n", b"\t", b"\r", b"\v", b"\f") if (e := raw.find(b, start)) >= 0]
+        if at <= 0:  # none, or only the blank that a piece starts with: the word goes on to the next one
+            ends = [e for b in (b" ", b"\n", b"\t", b"\r", b"\v", b"\f") if (e := raw.find(b, start + 1)) >= 0]
             at = (min(ends) if ends else len(raw)) - start
         yield raw[start : start + at].split()
         start += at

@@ -23,12 +23,13 @@ from recollect.plans.materialize import stored
 SIZES = (3, 4, 5)
 #: Documented bound of the sample the regression is fitted to.
 TRAIN_ROWS = 20_000
-#: Features of the regression, and how many standard errors a log ratio must be from zero.
-FEATURES = 4_096
+#: How many standard errors an n-gram's log ratio must be from zero to be a feature; all that are, are.
 DEVIATION = 4.0
 PENALTY = 1e-3
 STEPS = 400
 HELD_COUNTS = 4_000_000
+#: Presences the fit works on at once.
+HELD_PRESENCES = 1_000_000
 PIECE_CHARS = 2_000_000
 FILTER_BITS = 22
 
@@ -120,22 +121,29 @@ def fit(
 
     Row i holds the next ``sizes[i]`` feature numbers of ``column``.
     """
-    rows = range(len(sizes))
-    row, value = np.repeat(np.arange(len(rows)), sizes), ratios[column]
+    n, ends = len(sizes), np.r_[0, np.cumsum(sizes)]
+    cuts = np.unique(np.r_[np.searchsorted(ends, np.arange(0, ends[-1] + 1, HELD_PRESENCES)), n]) if n else np.zeros(1, dtype=int)
+    parts = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
     rate = np.clip(labels.mean(), 1e-6, 1 - 1e-6)
     w = np.zeros(len(ratios) + 1)
     w[-1] = np.log(rate / (1 - rate))
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, steps + 1):
-        margin = w[-1] + np.bincount(row, w[column] * value, len(rows))
-        error = (1 / (1 + np.exp(-margin)) - labels) / len(rows)
-        grad = np.r_[np.bincount(column, error[row] * value, len(ratios)) + penalty * w[:-1] / np.sqrt(len(rows)), error.sum()]
+        scaled, slope, bias = w[:-1] * ratios, np.zeros(len(ratios)), 0.0
+        for first, last in parts:
+            own = column[ends[first] : ends[last]]
+            row = np.repeat(np.arange(last - first), sizes[first:last])
+            margin = w[-1] + np.bincount(row, scaled[own], last - first)
+            error = (1 / (1 + np.exp(-margin)) - labels[first:last]) / n
+            slope += np.bincount(own, error[row], len(ratios))
+            bias += error.sum()
+        grad = np.r_[slope * ratios + penalty * w[:-1] / np.sqrt(n), bias]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         w -= 0.03 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
     return w[:-1], float(w[-1])
 
 
-def train_classifier(train: DataFrame, train_rows: int = TRAIN_ROWS, features: int = FEATURES) -> Classifier:
+def train_classifier(train: DataFrame, train_rows: int = TRAIN_ROWS) -> Classifier:
     """Fit to (doc_id, text, label): counts over all rows, the regression on ``train_rows`` rows by id hash."""
     spark = train.sparkSession
     sizes = train.agg(F.count(F.when(F.col("label") == 1, 1)), F.count(F.when(F.col("label") == 0, 1))).first()
@@ -146,10 +154,10 @@ def train_classifier(train: DataFrame, train_rows: int = TRAIN_ROWS, features: i
     ratio = F.log((F.col("toxic") + 1) / (sizes[0] + 2)) - F.log((F.col("clean") + 1) / (sizes[1] + 2))
     spread = F.sqrt(1 / (F.col("toxic") + 1) + 1 / (F.col("clean") + 1))
     scaled = class_counts(train).filter(F.col("toxic") + F.col("clean") > 2).select("ngram", ratio.alias("ratio"), (ratio / spread).alias("z"))
-    chosen = scaled.filter(F.abs("z") >= DEVIATION).orderBy(F.desc(F.abs("z")), "ngram").limit(features).collect()
-    chosen.sort(key=lambda r: r.ngram)
-    ngrams = np.array([r.ngram for r in chosen], dtype=np.uint32)
-    model = Classifier(ngrams, np.array([r.ratio for r in chosen]), np.ones(len(chosen)), 0.0)
+    chosen = scaled.filter(F.abs("z") >= DEVIATION).select("ngram", "ratio").toArrow()
+    ngrams = chosen.column("ngram").to_numpy().astype(np.uint32)
+    order = np.argsort(ngrams)
+    model = Classifier(ngrams[order], chosen.column("ratio").to_numpy()[order], np.ones(len(order)), 0.0)
     shared = spark.sparkContext.broadcast(model)
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,10 +168,16 @@ def train_classifier(train: DataFrame, train_rows: int = TRAIN_ROWS, features: i
 
     rows = train.select(F.xxhash64("doc_id", "text").alias("turn"), "text", F.col("label").cast("int").alias("label"))
     rows = rows.filter(in_sample(F.col("turn"), sizes[0] + sizes[1], train_rows))
-    sample = rows.mapInArrow(featurise, "turn bigint, label int, places array<int>").orderBy("turn").limit(train_rows).toArrow()
-    places = sample.column("places").combine_chunks()
-    column, sizes = places.flatten().to_numpy(), np.diff(places.offsets.to_numpy())
-    model.weights, model.intercept = fit(column, sizes, sample.column("label").to_numpy().astype(float), model.ratios)
+    sample = rows.mapInArrow(featurise, "turn bigint, label int, places array<int>").orderBy("turn").limit(train_rows)
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(b.column("places").flatten().to_numpy(), np.diff(b.column("places").offsets.to_numpy()), b.column("label").to_numpy()) for b in batches]
+        column, sizes, labels = (np.concatenate(x) for x in zip(*parts, strict=True))
+        weights, intercept = fit(column, sizes, labels.astype(float), shared.value.ratios)
+        yield pa.RecordBatch.from_arrays([list_column([weights], pa.float64()), pa.array([intercept])], names=["weights", "intercept"])
+
+    learned = sample.mapInArrow(learn, "weights array<double>, intercept double").toArrow()  # the sample stays on an executor
+    model.weights, model.intercept = learned.column("weights").combine_chunks().flatten().to_numpy(), learned.column("intercept")[0].as_py()
     return model
 
 

@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from recollect.llm import language_model, lines, mixing, phrases, quality, simhash, tokencounts, tokenfiles, topk, toxicity
+from recollect.llm import (
+    jaccard, language_model, lines, mixing, periods, phrases, quality, simhash, tokencounts, tokenfiles, topk, toxicity,
+)
 from recollect.llm.tables import table
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -53,10 +55,19 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_documents(table(spark, sf_dir, "documents"))
+
+
+def op12_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.runs_digest(table(spark, sf_dir, "documents"))
+
+
+
 def queries() -> dict[str, Builder]:
     found = (
         op1_quality, op2_topk, op3_decontaminate, op4_toxicity, op5_token_files, op6_mix_sources, op7_lm_scores, op8_token_counts,
-        op9_line_dedup, op10_simhash,
+        op9_line_dedup, op10_simhash, op11_jaccard, op12_periods,
     )
     return {f.__name__: f for f in found}
 
@@ -64,5 +75,5 @@ def queries() -> dict[str, Builder]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_topk": topk.SQL, "op3_decontaminate": phrases.SQL, "op6_mix_sources": mixing.SQL,
-        "op7_lm_scores": language_model.SQL, "op9_line_dedup": lines.SQL,
+        "op7_lm_scores": language_model.SQL, "op9_line_dedup": lines.SQL, "op11_jaccard": jaccard.SQL,
     }

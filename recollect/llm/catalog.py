@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from recollect.llm import (
-    jaccard, language_model, lines, mixing, periods, phrases, quality, simhash, tokencounts, tokenfiles, topk, toxicity,
+    jaccard, language_model, lines, mixing, periods, phrases, prefix_trie, quality, simhash, tokencounts, tokenfiles, topk, toxicity,
 )
 from recollect.llm.tables import table
 
@@ -63,11 +63,14 @@ def op12_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.runs_digest(table(spark, sf_dir, "documents"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie_digest(table(spark, sf_dir, "conversations"))
+
 
 def queries() -> dict[str, Builder]:
     found = (
         op1_quality, op2_topk, op3_decontaminate, op4_toxicity, op5_token_files, op6_mix_sources, op7_lm_scores, op8_token_counts,
-        op9_line_dedup, op10_simhash, op11_jaccard, op12_periods,
+        op9_line_dedup, op10_simhash, op11_jaccard, op12_periods, op13_prefix_trie,
     )
     return {f.__name__: f for f in found}
 
@@ -75,5 +78,5 @@ def queries() -> dict[str, Builder]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_topk": topk.SQL, "op3_decontaminate": phrases.SQL, "op6_mix_sources": mixing.SQL,
-        "op7_lm_scores": language_model.SQL, "op9_line_dedup": lines.SQL, "op11_jaccard": jaccard.SQL,
+        "op7_lm_scores": language_model.SQL, "op9_line_dedup": lines.SQL, "op11_jaccard": jaccard.SQL, "op13_prefix_trie": prefix_trie.SQL,
     }

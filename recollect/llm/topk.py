@@ -59,20 +59,22 @@ class SortedLists:
         self.depth = max(64, len(ids) // 16)
 
     def top(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best rows, the query's own id left out."""
+        """Ids and scores of the k best rows, those with the query's own id left out."""
         n, weight = len(self.ids), query.astype(np.float64)
         live = np.flatnonzero(weight)
-        rest = self._survivors(weight[live], live, k + 1, n) if n > 4 * (k + 1) and len(live) else np.arange(n)
+        wanted = k + int((self.ids == query_id).sum())  # the rows of the query's own id may all be among the best
+        rest = self._survivors(weight[live], live, wanted) if n > 4 * wanted and len(live) else np.arange(n)
         rest = rest[self.ids[rest] != query_id]
         score = self.rows[rest] @ query
         best = np.lexsort((self.ids[rest], -score))[:k]
         return self.ids[rest][best], score[best]
 
-    def _survivors(self, weight: np.ndarray, live: np.ndarray, k: int, n: int) -> np.ndarray:
-        """Rows that may be among the k best; one more than asked for covers the query itself.
+    def _survivors(self, weight: np.ndarray, live: np.ndarray, k: int) -> np.ndarray:
+        """Rows that may be among the k best, by bounds from the sequential reads alone.
 
-        The first step reads about as far as the query before had to, later ones twice as far.
+        The first step reads about as far as the query before had to, later ones half as far again.
         """
+        n = len(self.ids)
         way, depth = (weight > 0).astype(np.int64), min(n, self.depth)
         worst = weight * self.values[way, live, -1]
         slack = 1e-9 * np.abs(weight).dot(np.abs(self.values[:, live][:, :, [0, -1]]).max(axis=(0, 2)))
@@ -81,15 +83,13 @@ class SortedLists:
             last = gains[:, -1]
             upper = last.sum() + np.bincount(rows, (gains - last[:, None]).ravel(), n)
             lower = worst.sum() + np.bincount(rows, (gains - worst[:, None]).ravel(), n)
-            # the rows that look best are resolved, which raises the k-th score that outsiders have to reach
-            likely = np.argpartition(upper, n - 4 * k)[n - 4 * k :]
-            floor = max(np.partition(lower, n - k)[n - k], np.sort(self.plain[likely][:, live] @ weight)[-k])
+            floor = np.partition(lower, n - k)[n - k]
             candidates = np.flatnonzero(upper >= floor - slack)
-            unread = last.sum() >= floor - slack
-            if depth == n or (not unread and len(candidates) <= n // 2):
-                self.depth = depth if len(candidates) > n // 8 else max(64, 3 * depth // 4)
-                return candidates  # their final scores cost less than reading on
-            depth = min(n, 2 * depth)
+            unread = last.sum() >= floor - slack  # a row that no list has shown yet may still qualify
+            if depth == n or (not unread and len(candidates) <= max(4 * k, n // 16)):
+                self.depth = max(64, 3 * depth // 4)
+                return candidates  # resolved by their final scores
+            depth = min(n, depth + depth // 2)
 
 
 def _decode(table: pa.Table, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -108,7 +108,8 @@ def top_k(
     ``is_query`` is a condition on the column ``id``.  Vectors that are null or hold null or non-finite
     components, and rows without an id, take no part.  Vectors meet only vectors of their own length (all
     scores are 0 at length 0).  Ties go to the smaller id.  Rows with the same id never meet as query and
-    candidate; a row repeated exactly counts once.  Scores must fit a long.
+    candidate, however many there are; each vector of an id asks for itself, and the best of all its vectors are
+    the id's.  A row repeated exactly counts once.  An empty table gives none.  Scores must fit a long.
     """
     rows = packed(narrow(vectors, id=id_col, vec=vec_col), scale)
     counts = narrow(vectors, id=id_col).agg(F.count("id"), F.count(F.when(is_query, 1))).first()

@@ -17,6 +17,8 @@ from recollect.functions import scoring as S
 from recollect.functions import text as T
 from recollect.functions import vectors as V
 from recollect.plans.materialize import checkpointed
+from recollect.plans.bounds import Blocks, bounded_matches
+from recollect.plans.probes import Probes, placed
 from recollect.plans.similarity import ENTRY_BLOCK, best_matches
 from recollect.plans.spread import spread_join
 
@@ -68,30 +70,38 @@ def candidates_for(rows: int, floor: float, dim: int, reach: float = 0.9, block:
     return Candidates(dim, tables, bits)
 
 
-def _nearest(
-    queries: DataFrame, entries: DataFrame, k: int, candidates: Candidates | None, group: list[str] | None = None, **options
+#: What a similarity join may leave out: pairs that share no bucket (approximate), or blocks that cannot hold a match (exact).
+Reduction = Candidates | Probes | Blocks
+
+
+def nearest(
+    queries: DataFrame, entries: DataFrame, k: int, candidates: Reduction | None, group: list[str] | None = None, **options
 ) -> DataFrame:
     """The k best entries of each query, among all or among those sharing a bucket with it."""
     if candidates is None:
         return best_matches(queries, entries, k, group=group, **options)
+    options.pop("sizes_from", None)  # sizes are those of the buckets or clusters
+    if isinstance(candidates, Blocks):
+        return bounded_matches(queries, entries, k, candidates, group=group, **options)
     c = candidates
 
-    def bucketed(df: DataFrame) -> DataFrame:
+    def bucketed(df: DataFrame, asking: bool) -> DataFrame:
+        if isinstance(c, Probes):
+            return placed(df, "embedding", c, asking)
         sig = V.lsh_signature(F.col("embedding"), c.dim, c.tables, c.bits, c.seed)
         known = df.filter(F.col("embedding").isNotNull()).withColumn("_sig", sig)
         return known.select("*", F.posexplode("_sig").alias("_table", "_bucket")).drop("_sig")
 
-    options.pop("sizes_from", None)  # sizes are those of the buckets
     return best_matches(
-        bucketed(queries), bucketed(entries), k, group=["_table", "_bucket", *(group or [])], once_per_pair=False, **options
+        bucketed(queries, True), bucketed(entries, False), k, group=["_table", "_bucket", *(group or [])], once_per_pair=False, **options
     )
 
 
 def knn_join(
-    queries: DataFrame, entries: DataFrame, k: int = DEFAULT.top_k, *, tenant_scoped: bool = False, **options
+    queries: DataFrame, entries: DataFrame, k: int = DEFAULT.top_k, *, tenant_scoped: bool = False, blocks: Blocks | None = None, **options
 ) -> DataFrame:
-    """Exact k nearest entries per query, ties to the lower entry_id."""
-    return _nearest(queries, entries, k, None, ["tenant_id"] if tenant_scoped else None, **options)
+    """Exact k nearest entries per query, ties to the lower entry_id.  ``blocks`` leaves out clusters too far away to matter."""
+    return nearest(queries, entries, k, blocks, ["tenant_id"] if tenant_scoped else None, **options)
 
 
 def lsh_knn_join(
@@ -104,11 +114,16 @@ def lsh_knn_join(
     bits: int = 16,
     seed: int = DEFAULT.lsh_seed,
     tenant_scoped: bool = False,
+    probes: Probes | None = None,
     **options,
 ) -> DataFrame:
-    """Approximate k nearest entries: exact re-rank among entries sharing a bucket in any table."""
-    wanted = Candidates(dim, tables, bits, seed)
-    return _nearest(queries, entries, k, wanted, ["tenant_id"] if tenant_scoped else None, **options)
+    """Approximate k nearest entries: exact re-rank among entries sharing a bucket in any table.
+
+    With ``probes`` a query also visits neighbouring buckets, until it has met a neighbour at their floor with the
+    chance they ask for; without, it looks into its own bucket of each table only.
+    """
+    wanted = probes or Candidates(dim, tables, bits, seed)
+    return nearest(queries, entries, k, wanted, ["tenant_id"] if tenant_scoped else None, **options)
 
 
 def recall(approximate: DataFrame, exact: DataFrame) -> DataFrame:
@@ -125,7 +140,7 @@ def semantic_lookup(
     entries: DataFrame,
     thresholds: DataFrame | None = None,
     cfg: CacheConfig = DEFAULT,
-    candidates: Candidates | None = None,
+    candidates: Reduction | None = None,
     **options,
 ) -> DataFrame:
     """Most similar of the k nearest entries that reaches its own threshold.
@@ -143,7 +158,7 @@ def semantic_lookup(
     else:
         own = thresholds.select("entry_id", F.col("threshold").alias("_own"))
         e = e.join(own, "entry_id", "left").withColumn("_tau", F.coalesce("_own", default)).drop("_own")
-    near = _nearest(
+    near = nearest(
         queries, e, cfg.top_k, candidates, ["tenant_id"] if cfg.tenant_scoped else None, floor=floor,
         entry_limit=F.col("_tau"), obey_limit=False, **options,
     )
@@ -158,7 +173,7 @@ def two_tier_lookup(
     thresholds: DataFrame | None = None,
     now: Column | None = None,
     cfg: CacheConfig = DEFAULT,
-    candidates: Candidates | None = None,
+    candidates: Reduction | None = None,
 ) -> DataFrame:
     """Exact tier first; only its misses reach the vector stage.
 
@@ -201,26 +216,26 @@ def after_exact(queries: DataFrame, entries: DataFrame, best: DataFrame) -> Data
 
 
 def static_threshold_match(
-    queries: DataFrame, entries: DataFrame, tau: float, candidates: Candidates | None = None, **options
+    queries: DataFrame, entries: DataFrame, tau: float, candidates: Reduction | None = None, **options
 ) -> DataFrame:
     """Exact match, else the nearest entry if it reaches one fixed threshold."""
-    return after_exact(queries, entries, _nearest(queries, entries, 1, candidates, floor=tau, **options))
+    return after_exact(queries, entries, nearest(queries, entries, 1, candidates, floor=tau, **options))
 
 
 def entry_threshold_match(
-    queries: DataFrame, entries: DataFrame, thresholds: DataFrame, default: float, candidates: Candidates | None = None, **options
+    queries: DataFrame, entries: DataFrame, thresholds: DataFrame, default: float, candidates: Reduction | None = None, **options
 ) -> DataFrame:
     """Exact match, else the nearest among all entries whose own threshold is reached."""
     own = thresholds.select("entry_id", F.col("threshold").alias("_own"))
     e = entries.join(own, "entry_id", "left")
-    best = _nearest(
+    best = nearest(
         queries, e, 1, candidates, entry_limit=F.coalesce("_own", F.lit(default)), **options
     )
     return after_exact(queries, entries, best)
 
 
 def adaptive_threshold_match(
-    queries: DataFrame, entries: DataFrame, tau: Column, dim: int, target: int, candidates: Candidates | None = None, **options
+    queries: DataFrame, entries: DataFrame, tau: Column, dim: int, target: int, candidates: Reduction | None = None, **options
 ) -> DataFrame:
     """Exact match, else the nearest entry in projected space against one learned threshold.
 
@@ -231,15 +246,15 @@ def adaptive_threshold_match(
         known = df.filter(F.col("embedding").isNotNull())
         return known.withColumn("embedding", V.projected(F.col("embedding"), dim, target).cast("array<float>"))
 
-    best = _nearest(low(queries), low(entries), 1, candidates, **options)
+    best = nearest(low(queries), low(entries), 1, candidates, **options)
     return after_exact(queries, entries, best.filter(F.col("similarity") >= tau))
 
 
 def causal_match(
-    queries: DataFrame, entries: DataFrame, tau: float, candidates: Candidates | None = None, **options
+    queries: DataFrame, entries: DataFrame, tau: float, candidates: Reduction | None = None, **options
 ) -> DataFrame:
     """Nearest entry that arrived before the query, if it reaches ``tau``."""
-    return _nearest(queries, entries, 1, candidates, floor=tau, earlier_only=True, **options)
+    return nearest(queries, entries, 1, candidates, floor=tau, earlier_only=True, **options)
 
 
 def feedback_join(feedback: DataFrame, entries: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ leave a task, never the pairs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -159,6 +160,16 @@ def best_matches(
         rows = side.select(*[F.col(g) for g in group], *constant, F.col(key).alias("_id"))
         return hot_keys(rows, cols, block, "_id").withColumnRenamed("_parts", name)
 
+    kernel = _cell_kernel(k, floor, obey_limit and entry_limit is not None, skip_same, earlier_only, to_arrow_schema(out_types))
+
+    def kept(found: DataFrame) -> DataFrame:
+        return _ranked(found if once_per_pair else found.dropDuplicates(["query_id", "entry_id"]), k)
+
+    if earlier_only and not group:
+        cuts = order_cuts(queries.select(query_seq), entries.select(entry_seq), min(entry_block, query_block))
+        both = _earlier_cells(q, e, cuts, out_types)
+        return kept(both.repartition("_cell").sortWithinPartitions("_cell", "_side").mapInArrow(kernel, out_types))
+
     big_q = large(queries if sizes_from is None else sizes_from, query_id, query_block, "_qparts")
     big_e = large(entries, entry_id, entry_block, "_eparts")
 
@@ -187,10 +198,11 @@ def best_matches(
 
     both = cells(e, False).unionByName(cells(q, True))
     placed = both.repartition("_cell").sortWithinPartitions("_cell", "_side")
-    kernel = _cell_kernel(k, floor, obey_limit and entry_limit is not None, skip_same, earlier_only, to_arrow_schema(out_types))
-    found = placed.mapInArrow(kernel, out_types)
-    if not once_per_pair:
-        found = found.dropDuplicates(["query_id", "entry_id"])
+    return kept(placed.mapInArrow(kernel, out_types))
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    """The k best of each query, ties to the lower entry_id."""
     if k == 1:
         return (
             found.groupBy("query_id")
@@ -202,3 +214,33 @@ def best_matches(
         )
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "entry_id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def order_cuts(queries: DataFrame, entries: DataFrame, block: int) -> list[int]:
+    """Places of the order between which there are about ``block`` rows of each side."""
+    both = queries.toDF("at").unionByName(entries.toDF("at")).filter("at is not null").select(F.col("at").cast("bigint").alias("at"))
+    parts = math.ceil(both.count() / (2 * block))
+    if parts < 2:
+        return []
+    places = F.percentile_approx("at", [i / parts for i in range(1, parts)], 100 * parts)
+    return sorted(set(both.agg(places).first()[0]))
+
+
+def _earlier_cells(q: DataFrame, e: DataFrame, cuts: list[int], out_types: StructType) -> DataFrame:
+    """Both sides by cell: a query of part i meets the entry parts up to i, and no others are formed."""
+    own = F.lit(0)
+    if cuts:
+        own = F.size(F.filter(F.lit(cuts), lambda c: F.col("_seq") >= c))
+
+    def cells(side: DataFrame, is_query: bool) -> DataFrame:
+        others = F.sequence(F.lit(0), F.col("_own")) if is_query else F.sequence(F.col("_own"), F.lit(len(cuts)))
+        placed = side.filter("_seq is not null").withColumn("_own", own).withColumn("_other", F.explode(others))
+        qp, ep = ("_own", "_other") if is_query else ("_other", "_own")
+        here, there = ("_qid", "_eid") if is_query else ("_eid", "_qid")
+        foreign = out_types["entry_id" if is_query else "query_id"].dataType
+        return placed.select(
+            F.concat_ws("\u0000", F.col(qp), F.col(ep)).alias("_cell"), F.lit(1 if is_query else 0).alias("_side"),
+            F.col("_id").alias(here), F.lit(None).cast(foreign).alias(there), "_vec", "_limit", "_seq",
+        )
+
+    return cells(e, False).unionByName(cells(q, True))

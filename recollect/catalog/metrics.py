@@ -10,7 +10,9 @@ from recollect.catalog.lookup import SQL_COMPARED, comparison_inputs
 from recollect.catalog.vectors import BITS, DIM, SEED, TABLES, sql_signature
 from recollect.functions import vectors as V
 from recollect.operators import lookup as L
+from recollect.functions import text as T
 from recollect.operators import metrics as M
+from recollect.plans.materialize import stored
 from recollect.operators import sessions as SE
 
 
@@ -87,6 +89,45 @@ def latency_percentiles_by_tenant(spark, sf):
     return p.select("tenant_id", *[F.round(c, 4).alias(c) for c in ("p50", "p90", "p95", "p99")])
 
 
+POINTS = {"p50": 0.50, "p90": 0.90, "p95": 0.95, "p99": 0.99}
+
+
+@query(
+    "latency_percentiles_sketch",
+    f"""WITH {I.SQL_LOG}, t AS (SELECT event_type, count(latency_ms) AS n FROM query_log GROUP BY event_type)
+        SELECT event_type, point, n, true AS within FROM t, (SELECT unnest(['p50', 'p90', 'p95', 'p99']) AS point)""",
+)
+def latency_percentiles_sketch(spark, sf):
+    """Percentiles from sketches stored by hour and event type, and whether each lies within the stated error of its exact rank."""
+    log = I.query_log(spark, sf)
+    hours = stored(M.log_sketches(log.withColumn("hour", F.date_trunc("hour", "ts")), ["hour", "event_type"]), "sketches")
+    found = M.merged_quantiles(hours, ["event_type"], POINTS)
+    found = found.select("event_type", "n", F.explode(F.map_from_arrays(F.array(*map(F.lit, POINTS)), F.array(*POINTS))).alias("point", "value"))
+    ranks = log.join(found, "event_type").groupBy("event_type", "point", "n", "value").agg(
+        (F.count_if(F.col("latency_ms") < F.col("value")) / F.col("n")).alias("low"),
+        (F.count_if(F.col("latency_ms") <= F.col("value")) / F.col("n")).alias("high"),
+    )
+    wanted = F.create_map(*[F.lit(x) for p in POINTS.items() for x in p])[F.col("point")]
+    within = (F.col("low") - M.SKETCH_ERROR <= wanted) & (wanted <= F.col("high") + M.SKETCH_ERROR)
+    return ranks.select("event_type", "point", "n", within.alias("within"))
+
+
+@query(
+    "encode_stats_sketch",
+    f"""SELECT lang, count(*) AS requests, count(DISTINCT sha256({I.sql_normalize('text')})) AS encode_calls, true AS within
+        FROM documents GROUP BY lang""",
+)
+def encode_stats_sketch(spark, sf):
+    """Distinct texts per language from sketches stored by source and language, beside the exact number."""
+    docs = I.table(spark, sf, "documents").withColumn("key", T.memo_key(F.col("text"))).select("lang", "source", "key", F.lit(1.0).alias("latency_ms"))
+    docs = stored(docs, "keys")
+    found = M.merged_distinct(stored(M.log_sketches(docs, ["lang", "source"], key="key"), "sketches"), ["lang"])
+    exact = docs.groupBy("lang").agg(F.count_distinct("key").alias("encode_calls"))
+    both = found.join(exact, found["lang"].eqNullSafe(exact["lang"])).drop(exact["lang"])
+    near = F.abs(F.col("distinct_keys") - F.col("encode_calls")) <= F.greatest(M.DISTINCT_ERROR * F.col("encode_calls"), F.lit(1))
+    return both.select("lang", F.col("rows").alias("requests"), "encode_calls", near.alias("within"))
+
+
 @query(
     "similarity_histogram",
     f"""WITH {I.SQL_LOG}, b AS (SELECT least(CAST(floor(similarity * 20) AS BIGINT), 19) AS bin, count(*) AS n

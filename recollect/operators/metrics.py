@@ -98,6 +98,33 @@ def latency_percentiles_approx(log: DataFrame, by: list[str], accuracy: int = 10
     return picked.select(*by, *[F.col("_p")[i].alias(n) for i, n in enumerate(("p50", "p90", "p95", "p99"))])
 
 
+#: Size of the quantile sketches and the rank error that goes with it, and of the distinct-count sketches.
+SKETCH_K, SKETCH_ERROR = 400, 0.0133
+DISTINCT_LG_K, DISTINCT_ERROR = 14, 0.025
+
+
+def log_sketches(log: DataFrame, by: list[str], value: str = "latency_ms", key: str | None = None) -> DataFrame:
+    """Stored form of a log: per group its rows, a quantile sketch of ``value`` and one of distinct ``key`` values.
+
+    A sketch has a bounded size however many rows it has seen; sketches of any groups merge (``merged_quantiles``).
+    """
+    more = [] if key is None else [F.hll_sketch_agg(key, DISTINCT_LG_K).alias("keys")]
+    values = F.kll_sketch_agg_double(F.col(value).cast("double"), F.lit(SKETCH_K))
+    return log.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.count(value).alias("n"), values.alias("sketch"), *more)
+
+
+def merged_quantiles(sketches: DataFrame, by: list[str], points: dict[str, float]) -> DataFrame:
+    """Rows and quantiles per group from stored sketches, each within ``SKETCH_ERROR`` of its rank."""
+    merged = sketches.filter("n > 0").groupBy(*by).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch").alias("_s"))
+    return merged.select(*by, "n", *[F.kll_sketch_get_quantile_double("_s", F.lit(float(p))).alias(c) for c, p in points.items()])
+
+
+def merged_distinct(sketches: DataFrame, by: list[str]) -> DataFrame:
+    """Rows and about how many distinct keys per group, within ``DISTINCT_ERROR`` (three deviations)."""
+    merged = sketches.groupBy(*by).agg(F.sum("rows").alias("rows"), F.hll_union_agg("keys").alias("_k"))
+    return merged.select(*by, "rows", F.hll_sketch_estimate("_k").alias("distinct_keys"))
+
+
 def similarity_histogram(log: DataFrame, bins: int = BINS) -> DataFrame:
     """Hits per equal bin on [0, 1]; the last bin is closed, empty bins are listed."""
     hits = log.filter(F.col("hit") & (F.col("similarity") > 0))

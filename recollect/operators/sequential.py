@@ -1,25 +1,23 @@
 """Sequential rules in batch form.
 
-A key is first cut where its state is known without looking back (a full bucket, a recovered
-breaker, an idle session), so that one busy key still spreads over many tasks; the pieces are
-then scanned in order by the machines of ``machines``.
+Token bucket and breaker turn blocks of a key into maps that compose (``plans/blockscan.py``); sessions are
+cut where they are idle and, where they never are, into chunks with a lead-in.  So one busy key still spreads
+over many tasks.  Drift windows and posteriors with resets are one chain per key.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recollect.config import DEFAULT, CacheConfig
+from recollect.functions.draws import beta
 from recollect.operators import machines as MC
+from recollect.operators import rules as RL
 from recollect.operators.sessions import sessionize
+from recollect.plans.blockscan import block_scan, micros
 from recollect.plans.ordered import ordered_scan
-from recollect.plans.running import by_width, highest, running, total
-
-
-def seconds(ts: str = "ts") -> Column:
-    return F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(1e6)
 
 
 def scan(df: DataFrame, keys: list[str], machine, keep: list[str], added: str) -> DataFrame:
@@ -37,43 +35,20 @@ def scan(df: DataFrame, keys: list[str], machine, keep: list[str], added: str) -
     return ordered_scan(df, keys, ["seq"], advance, schema)
 
 
-def _pieces(df: DataFrame, by: list[str], opens: Column) -> DataFrame:
-    """Add _piece: a new one from each row where ``opens`` holds; may use _gap (s) and ok."""
-    timed = df.withColumn("at", seconds())
-    seen = running(timed, by, ["seq"], by_width("seq"), _prev=highest(F.col("at"), inclusive=False))
-    marked = seen.withColumn("_opens", opens)
-    return running(marked, by, ["seq"], by_width("seq"), _piece=total(F.col("_opens").cast("bigint")))
-
-
-def token_bucket(arrivals: DataFrame, rate: float, burst: int, by: str = "tenant_id") -> DataFrame:
-    """allowed, tokens and retry_after_s for every arrival of (by, seq, ts).
-
-    After a pause in which the bucket fills up the state is known, so a new piece starts there.
-    """
-    full = F.col("_prev").isNull() | ((F.col("at") - F.col("_prev")) * F.lit(float(rate)) >= burst)
-    pieces = _pieces(arrivals.select(by, "seq", "ts"), [by], full)
-    return scan(
-        pieces, [by, "_piece"], MC.token_bucket(rate, burst), [by, "seq"],
-        "allowed boolean, tokens double, retry_after_s double",
+def token_bucket(arrivals: DataFrame, rate: float, burst: int, by: str = "tenant_id", **spread) -> DataFrame:
+    """allowed, tokens and retry_after_s for every arrival of (by, seq, ts), also where one key never pauses."""
+    rows = arrivals.select(by, "seq", micros().alias("at"))
+    return block_scan(
+        rows, [by], RL.token_bucket(rate, burst), [by, "seq"], "allowed boolean, tokens double, retry_after_s double", **spread
     )
 
 
-def breaker_states(calls: DataFrame, cfg: CacheConfig = DEFAULT, by: str = "dependency") -> DataFrame:
-    """State before and after each call of (by, seq, ts, ok) and whether it was rejected.
-
-    A success at least the reset time after the call before it leaves the breaker closed and
-    cleared whatever happened earlier, so the next row starts a new piece.
-    """
-    timed = calls.select(by, "seq", "ts", "ok").withColumn("at", seconds())
-    seen = running(timed, [by], ["seq"], by_width("seq"), _prev=highest(F.col("at"), inclusive=False))
-    clears = F.col("ok") & (F.col("_prev").isNull() | (F.col("at") - F.col("_prev") >= cfg.breaker_reset_s))
-    marked = seen.withColumn("_clears", clears)
-    pieces = running(
-        marked, [by], ["seq"], by_width("seq"), _piece=total(F.col("_clears").cast("bigint"), inclusive=False)
-    )
-    return scan(
-        pieces, [by, "_piece"], MC.breaker(cfg.breaker_failures, cfg.breaker_reset_s), [by, "seq", "ok"],
-        "state string, rejected boolean, state_after string",
+def breaker_states(calls: DataFrame, cfg: CacheConfig = DEFAULT, by: str = "dependency", **spread) -> DataFrame:
+    """State before and after each call of (by, seq, ts, ok) and whether it was rejected, also where one key never recovers."""
+    rows = calls.select(by, "seq", "ok", micros().alias("at"))
+    return block_scan(
+        rows, [by], RL.breaker(cfg.breaker_failures, cfg.breaker_reset_s), [by, "seq", "ok"],
+        "state string, rejected boolean, state_after string", **spread,
     )
 
 
@@ -88,14 +63,24 @@ def breaker_stats(states: DataFrame, by: str = "dependency") -> DataFrame:
     )
 
 
+#: Turns of a session that one task runs through, and turns before them that it starts with.
+CHUNK_TURNS, LEAD_TURNS = 20_000, 256
+
+
 def session_fusion(
-    requests: DataFrame, cfg: CacheConfig = DEFAULT, contexts: DataFrame | None = None
+    requests: DataFrame, cfg: CacheConfig = DEFAULT, contexts: DataFrame | None = None, chunk: int = CHUNK_TURNS, lead: int = LEAD_TURNS
 ) -> DataFrame:
     """Fused vector, context and turn of every request of (session_id, query_id, seq, ts, embedding).
 
     ``contexts`` (session_id, seq, ts, embedding, turn) carries sessions over from earlier runs;
     their seq must lie below those of the requests.
+
+    A session without a pause is cut into chunks of ``chunk`` turns.  A chunk starts ``lead`` turns early, with the
+    first of them for its context: each turn shrinks what the context was before to ``decay`` of the sum's length, so
+    by 0.71 where turns are at right angles, and ``lead`` turns leave less than a double can hold.
     """
+    if not 0 < lead <= chunk:
+        raise ValueError("lead must lie between 1 and chunk")
     columns = ["session_id", "query_id", "seq", "ts", "embedding"]
     rows = requests.select(*columns, F.lit(0).alias("_turns"), F.lit(False).alias("is_context"))
     if contexts is not None:
@@ -104,13 +89,22 @@ def session_fusion(
             F.col("embedding").cast(requests.schema["embedding"].dataType), F.col("turn").cast("int").alias("_turns"),
             F.lit(True).alias("is_context"),
         ).unionByName(rows)
-    pieces = sessionize(rows, ["session_id"], cfg.session_timeout_s).drop("turn").withColumnRenamed("_turns", "turn")
+    pieces = sessionize(rows, ["session_id"], cfg.session_timeout_s).withColumnRenamed("turn", "_at").withColumnRenamed("_turns", "turn")
+    at = F.col("_at") - 1
+    copies = F.when(at % chunk >= chunk - lead, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    spread = pieces.withColumn("_lead", F.explode(copies)).withColumn("_chunk", F.floor(at / chunk).cast("bigint") + F.col("_lead"))
     scanned = scan(
-        pieces, ["session_id", "segment"], MC.session_context(cfg.session_alpha, cfg.session_decay),
-        ["session_id", "segment", "query_id", "seq", "ts", "is_context"],
+        spread, ["session_id", "segment", "_chunk"], MC.session_context(cfg.session_alpha, cfg.session_decay),
+        ["session_id", "segment", "query_id", "seq", "ts", "is_context", "_lead", "_at"],
         "fused array<double>, context array<double>, turn int",
     )
-    return scanned.filter(~F.col("is_context")).drop("is_context")
+    own = scanned.filter(~F.col("is_context") & (F.col("_lead") == 0))
+    turn = F.col("_at").cast("int")
+    if contexts is not None:  # a carried context stands for the turns before it
+        carried = pieces.filter("is_context").groupBy("session_id", "segment").agg(F.max(F.col("turn") - F.col("_at")).cast("int").alias("_before"))
+        own = own.join(carried, ["session_id", "segment"], "left")
+        turn = turn + F.coalesce("_before", F.lit(0))
+    return own.withColumn("turn", turn).select("session_id", "segment", "query_id", "seq", "ts", "fused", "context", "turn")
 
 
 def last_contexts(fused: DataFrame) -> DataFrame:
@@ -146,17 +140,8 @@ def resets_of(updates: DataFrame) -> DataFrame:
 
 
 def thompson_sample(posterior: DataFrame, seed: int) -> DataFrame:
-    """One draw per arm from its posterior; the arm with the highest draw per shard."""
-
-    @F.pandas_udf("double")
-    def draw(alpha: pd.Series, beta: pd.Series, key: pd.Series) -> pd.Series:
-        import numpy as np
-
-        return pd.Series([
-            np.random.default_rng([seed, int(k) & 0xFFFFFFFFFFFFFFFF]).beta(a, b)
-            for a, b, k in zip(alpha, beta, key)
-        ])
-
-    drawn = posterior.withColumn("_draw", draw("alpha", "beta", F.xxhash64("shard_id", "arm")))
-    best = drawn.groupBy("shard_id").agg(F.max_by(F.struct("arm", "threshold"), "_draw").alias("_b"))
-    return best.select("shard_id", "_b.*")
+    """One draw per arm from its posterior; the arm with the highest draw per shard, ties to the lowest arm."""
+    key = F.concat_ws(":", F.lit(str(seed)), F.col("shard_id").cast("string"), F.col("arm").cast("string"))
+    drawn = posterior.withColumn("draw", beta(F.col("alpha"), F.col("beta"), key))
+    best = drawn.groupBy("shard_id").agg(F.max(F.struct("draw", (-F.col("arm")).alias("m"), "threshold")).alias("b"))
+    return best.select("shard_id", (-F.col("b.m")).alias("arm"), F.col("b.threshold").alias("threshold"), F.col("b.draw").alias("draw"))

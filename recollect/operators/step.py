@@ -254,3 +254,87 @@ def feedback_step(
         (F.col("updates") + F.coalesce(F.col("_g") + F.col("_b"), F.lit(0))).alias("updates"),
     )
     return log, tau, moved
+
+
+SCORES_SCHEMA = "entry_id {}, recent array<struct<seq: bigint, score: double>>"
+ARMS_SCHEMA = "shard_id string, alpha array<double>, beta array<double>, window array<double>, resets bigint"
+
+
+def merged_scores(kept: DataFrame | None, accepted: DataFrame, cfg: CacheConfig = DEFAULT) -> DataFrame:
+    """(entry_id, recent) of the entries judged now: their newest scores, those kept so far and the new ones.
+
+    ``kept`` holds (entry_id, recent) of all entries, at most ``cfg.max_scores`` each; nothing older is needed again.
+    """
+    from recollect.operators.calibration import calibration_window
+
+    fresh = calibration_window(accepted, cfg).groupBy("entry_id").agg(F.collect_list(F.struct(F.col("seq").cast("bigint").alias("seq"), "score")).alias("_new"))
+    if kept is None:
+        both = F.col("_new")
+    else:
+        fresh = fresh.join(kept.select("entry_id", "recent"), "entry_id", "left")
+        none = F.array().cast("array<struct<seq: bigint, score: double>>")
+        both = F.concat(F.coalesce("recent", none), "_new")
+    newest = F.reverse(F.slice(F.reverse(F.array_sort(both)), 1, cfg.max_scores))
+    return fresh.select("entry_id", newest.alias("recent"))
+
+
+def moved_arms(arms: DataFrame | None, rewards: DataFrame, cfg: CacheConfig = DEFAULT) -> DataFrame:
+    """(shard_id, alpha, beta, window, resets) of the shards with new ``rewards`` (shard_id, seq, reward), from those stored.
+
+    Every reward goes to the arm that is best at that moment; when the rewards drift, the shard starts over.
+    """
+    import numpy as np
+    import pandas as pd
+
+    from recollect.operators import machines as MC
+
+    machine = MC.bandit(cfg.arms, cfg.drift_delta, cfg.drift_window)
+    columns = ("alpha", "beta", "window", "resets")
+    rows = rewards.select(F.col("shard_id").cast("string").alias("shard_id"), "seq", F.col("reward").cast("double").alias("reward"))
+    if arms is None:
+        started = rows.withColumns({f"_{c}": F.lit(None).cast("bigint" if c == "resets" else "array<double>") for c in columns})
+    else:
+        first = rows.groupBy("shard_id").agg(F.min("seq").alias("seq")).join(arms, "shard_id")
+        first = first.select("shard_id", "seq", *[F.col(c).alias(f"_{c}") for c in columns])
+        started = rows.join(first, ["shard_id", "seq"], "left")
+
+    def run(batches):
+        shard, state = None, None
+        for batch in batches:
+            for name, part in batch.groupby("shard_id", sort=False, dropna=False):
+                if name != shard:
+                    if shard is not None:
+                        yield pd.DataFrame([(shard, *state)], columns=["shard_id", *columns])
+                    kept = part["_alpha"].iloc[0]
+                    shard = name
+                    state = None if kept is None else tuple(part[f"_{c}"].iloc[0] for c in columns)
+                state, _ = machine(state, part.assign(arm=np.nan), np.zeros(len(part), bool))
+        if shard is not None:
+            yield pd.DataFrame([(shard, *state)], columns=["shard_id", *columns])
+
+    return started.repartition("shard_id").sortWithinPartitions("shard_id", "seq").mapInPandas(run, ARMS_SCHEMA)
+
+
+def feedback_merge(
+    scores: DataFrame | None, arms: DataFrame | None, new: DataFrame, entries: DataFrame, cfg: CacheConfig = DEFAULT
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(accepted judgements, newest scores, thresholds, arms) after the judgements of ``new``; the log is not read again.
+
+    ``new`` carries entry_id, seq, similarity, was_correct, shard_id; unknown entries are refused.  ``scores`` and
+    ``arms`` are what the step before stored, None at first; the results hold the entries and shards that changed.
+    """
+    from recollect.operators.calibration import threshold_of
+
+    ok = L.feedback_join(new, entries).filter("status = 'ok'").drop("status")
+    recent = merged_scores(scores, ok, cfg)
+    only = F.transform("recent", lambda s: s["score"])
+    tau = recent.select("entry_id", F.size("recent").cast("bigint").alias("n_scores"), threshold_of(only, cfg).alias("threshold"))
+    rewards = ok.select("shard_id", "seq", F.when(F.col("was_correct"), 1.0).otherwise(0.0).alias("reward"))
+    return ok, recent, tau, moved_arms(arms, rewards, cfg)
+
+
+def replaced(stored: DataFrame | None, changed: DataFrame, key: str) -> DataFrame:
+    """A stored state with its changed rows in place of the old ones."""
+    if stored is None:
+        return changed
+    return stored.join(changed.select(key), key, "left_anti").unionByName(changed)

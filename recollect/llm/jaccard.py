@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from recollect.llm.components import smallest_reachable
 from recollect.llm.copies import shingles
 from recollect.llm.tables import if_small, narrow
-from recollect.llm.words import binary_column, list_column
+from recollect.llm.words import binary_column, list_column, released, tidy
 from recollect.plans.materialize import stored
 from recollect.plans.spread import spread_join
 
@@ -55,9 +55,10 @@ BLOCK_ROWS = 2_000
 #: Lists with more postings have leaders; pairs of shorter ones are compared all at once.
 SHORT_ROWS = 32
 #: Postings for one task of the merge, and pairs of one set that are probed together.
-TASK_ROWS, PAIR_ROWS = 200_000, 1_024
-#: Texts whose sets a task holds at once; elements probed before the count is looked at; pairs compared at once.
-TEXTS, STRIP, PAIRS = 256, 1_024, 500_000
+TASK_ROWS, PAIR_ROWS = 200_000, 128
+#: Elements probed before the count is looked at; pairs compared at once.
+STRIP, PAIRS = 1_024, 500_000
+#: Rows of a list of texts that may be broadcast.
 SMALL = 1_000_000
 
 
@@ -71,15 +72,10 @@ def least_needed(n, percent: int):
     return -(n * -percent // 100)
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for at in range(0, whole.num_rows, TEXTS):
-            yield whole.slice(at, TEXTS)
-
-
 def list_lengths(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     """The elements reported most often, sorted, and about how many rows have them."""
 
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
 
@@ -88,7 +84,7 @@ def list_lengths(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
             many = seen >= REPORTED
             return pa.RecordBatch.from_arrays([pa.array(found[many].view(np.int64)), pa.array(seen[many])], names=["element", "seen"])
 
-        for batch in _slices(batches):
+        for batch in batches:
             for text in binary_column(batch.column("text")):
                 found = shingles(text, size)
                 held.append(found)
@@ -125,9 +121,10 @@ def posted_sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """(doc_id, tie, class, n, lists, bits) of every row: text hash, set hash, set size, short lists, bitmap."""
     order = docs.sparkSession.sparkContext.broadcast(list_lengths(docs, size))
 
+    @tidy
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, lengths = order.value
-        for batch in _slices(batches):
+        for batch in batches:
             names, sizes, lists, bits = [], [], [], []
             for text in binary_column(batch.column("text")):
                 found = shingles(text, size)
@@ -274,8 +271,9 @@ def probed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, per
     texts = stored(classes.join(wanted, "class").select(F.col("node").alias("doc_id"), "tie"), "wanted")
     rows = docs.select("doc_id", F.xxhash64("text").alias("tie"), "text").join(if_small(texts, SMALL), ["doc_id", "tie"], "left_semi")
 
+    @tidy
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
+        for batch in batches:
             found = [shingles(t, size) for t in binary_column(batch.column("text"))]
             names = np.array([xxhash.xxh64_intdigest(f.tobytes(), SEED) for f in found], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -294,19 +292,18 @@ def probed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, per
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), dealt.count() // PAIR_ROWS)
     placed = asked.unionByName(probes).repartition(tasks, "a", "part").sortWithinPartitions("a", "part", "probes")
 
+    @tidy
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = np.zeros(0, dtype=np.uint64)
-        for whole in batches:
-            for at in range(0, whole.num_rows, TEXTS):
-                batch = whole.slice(at, TEXTS)
-                keep, elements = np.zeros(batch.num_rows, dtype=bool), batch.column("elements")
-                for i, asks in enumerate(batch.column("probes").to_pylist()):
-                    other = elements[i].values.to_numpy().view(np.uint64)
-                    if asks:
-                        keep[i] = reaches(one, other, needed(len(one), len(other), percent))
-                    else:
-                        one = other.copy()
-                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep))
+        for batch in batches:
+            keep, elements = np.zeros(batch.num_rows, dtype=bool), batch.column("elements")
+            for i, asks in enumerate(batch.column("probes").to_pylist()):
+                other = elements[i].values.to_numpy().view(np.uint64)
+                if asks:
+                    keep[i] = reaches(one, other, needed(len(one), len(other), percent))
+                else:
+                    one = other.copy()
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep))
 
     return stored(placed.select("a", "b", "probes", "elements").mapInArrow(check, "a bigint, b bigint").distinct(), "probed")
 
@@ -316,11 +313,12 @@ def links(docs: DataFrame, classes: DataFrame, size: int, percent: int, block_ro
     posted = classes.select("class", F.posexplode("lists").alias("pos", "list"))
     counts = posted.groupBy("list").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
     shared = stored(counts.withColumn("cuts", F.ceil(F.col("rows") / block_rows).cast("int")), "shared")
-    placed = posted.join(if_small(shared, SMALL), "list")
+    placed = posted.join(shared, "list")
     members = stored(placed.join(classes.select("class", "n", "bits"), "class").select("list", "rows", "cuts", "class", "pos", "n", "bits"), "members")
     rows = members.count()
 
     # leaders of the longer lists; a set follows the lowest of its leaders
+    @released
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (whole := _held(batches)) is not None:
             p = Postings(whole, percent)
@@ -338,13 +336,14 @@ def links(docs: DataFrame, classes: DataFrame, size: int, percent: int, block_ro
     now = members.join(joined, "class", "left").withColumn("component", F.coalesce("component", "class"))
     now = stored(now, "members")
     mixed = now.groupBy("list").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    now = now.join(if_small(stored(mixed.select("list"), "mixed"), SMALL), "list", "left_semi")
+    now = now.join(stored(mixed.select("list"), "mixed"), "list", "left_semi")
     mine = F.pmod(F.xxhash64("class"), F.col("cuts")).cast("int")
     cells = now.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
     cells = cells.select(
         "list", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "class", "component", "pos", "n", "bits"
     )
 
+    @released
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (whole := _held(batches)) is None:
             return

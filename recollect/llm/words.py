@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 
 PIECE_BYTES = 4_000_000
+#: Rows of a batch that a task works on at once.
+ROWS = 256
+
+Batches = Iterator[pa.RecordBatch]
 
 #: Fixed by the contract: words are runs of 0-9, A-Z (lower-cased) and everything outside ASCII.
 _WORD = bytes(
@@ -44,18 +50,42 @@ def plain_pieces(raw: bytes | None) -> Iterator[list[bytes]]:
 
 def binary_column(column) -> list[bytes | None]:
     """The UTF-8 bytes of an Arrow string column."""
-    import pyarrow as pa
-
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
     return column.cast(kind).to_pylist()
 
 
 def list_column(values: list[np.ndarray] | list[list], kind):
     """An Arrow list column of ``kind`` from one sequence per row."""
-    import pyarrow as pa
-
     sizes = np.fromiter((len(v) for v in values), dtype=np.int64, count=len(values))
     ends = np.zeros(len(values) + 1, dtype=np.int32)
     np.cumsum(sizes, out=ends[1:])
     flat = np.concatenate([np.asarray(v) for v in values]) if sizes.sum() else np.zeros(0, dtype=np.int64)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat).cast(kind))
+
+
+def sliced(batches: Batches) -> Batches:
+    """The batches in slices of a few rows, so that what is made of the texts stays small."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, ROWS):
+            yield whole.slice(at, ROWS)
+
+
+def released(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """A task body that gives its memory back at the end; workers live on between stages."""
+
+    def body(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+    return body
+
+
+def tidy(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """The same for a task body that works row by row: it gets its batches in slices."""
+    return released(lambda batches: run(sliced(batches)))

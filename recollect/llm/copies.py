@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from recollect.llm.components import smallest_reachable
 from recollect.llm.tables import if_small, narrow
-from recollect.llm.words import binary_column, list_column, plain_pieces
+from recollect.llm.words import binary_column, list_column, plain_pieces, released, tidy
 from recollect.plans.materialize import stored
 from recollect.plans.spread import spread_join
 
@@ -39,8 +39,6 @@ FIRST_SLACK, SLACK = 0.05, 0.2
 BLOCK_ROWS = 2_000
 #: Rows for one task of a bucket join, and pairs of one class that travel together.
 TASK_ROWS, PAIR_ROWS = 50_000, 256
-#: Texts whose shingles a task holds at once.
-TEXTS = 256
 
 
 def shingles(raw: bytes | None, size: int = 5) -> np.ndarray:
@@ -78,17 +76,12 @@ def band_keys(least: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(r.tobytes(), i) for i, r in enumerate(rows)], dtype=np.uint64).view(np.int64)
 
 
-def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for at in range(0, whole.num_rows, TEXTS):
-            yield whole.slice(at, TEXTS)
-
-
 def sketches(docs: DataFrame, size: int) -> DataFrame:
     """(doc_id, tie, class, keys, sketch) of every row: hash of the text, of its shingle set, bands, a byte per order."""
 
+    @tidy
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _sliced(batches):
+        for batch in batches:
             names, keys, bytes_of = [], [], []
             for text in binary_column(batch.column("text")):
                 found = shingles(text, size)
@@ -139,6 +132,7 @@ def crossing_pairs(name, component, sketch, first, second, floor: float) -> list
 def _cells(names: list[str], rows: DataFrame, pairs_of) -> DataFrame:
     """Pairs (a, b), a < b, that ``pairs_of`` finds in each group of ``names`` among ``rows``."""
 
+    @released
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if not held:
@@ -170,8 +164,9 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, f
     texts = docs.select(F.xxhash64("text").alias("tie"), "text").join(if_small(ties, 1_000_000), "tie")
     texts = texts.groupBy("tie").agg(F.first("text").alias("text"))
 
+    @tidy
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _sliced(batches):
+        for batch in batches:
             found = [shingles(t, size) for t in binary_column(batch.column("text"))]
             names = np.array([class_of(f) for f in found], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -183,8 +178,9 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, f
     other = held.select(F.col("class").alias("b"), F.col("shingles").alias("other"))
     both = spread_join(spread_join(pairs, one, ["a"], "inner", "b", PAIR_ROWS), other, ["b"], "inner", "a", PAIR_ROWS)
 
+    @tidy
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _sliced(batches):
+        for batch in batches:
             one, other = batch.column("one"), batch.column("other")
             keep = np.zeros(batch.num_rows, dtype=bool)
             for i in range(batch.num_rows):

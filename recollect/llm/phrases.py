@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recollect.llm.tables import narrow
-from recollect.llm.words import binary_column, list_column, word_pieces
+from recollect.llm.words import binary_column, list_column, tidy, word_pieces
 from recollect.plans.materialize import stored
 
 #: Bytes of benchmark text whose windows are broadcast at once.
@@ -60,6 +60,7 @@ def posting_table(docs: DataFrame, terms: dict[bytes, int], name: str = "posting
     """Store, for every row (row, id, text), the places of ``terms`` in its text."""
     shared = docs.sparkSession.sparkContext.broadcast(terms)
 
+    @tidy
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value.get
         for batch in batches:
@@ -136,6 +137,7 @@ def match_windows(index: DataFrame, windows: Windows, slop: int = 0) -> DataFram
             anchored[order[0][0]].append((order, items))
     shared = index.sparkSession.sparkContext.broadcast(dict(anchored))
 
+    @tidy
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rarest = shared.value
         for batch in batches:
@@ -185,6 +187,7 @@ def _merged(hits: DataFrame) -> DataFrame:
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
     )
 
+    @tidy
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             both = [

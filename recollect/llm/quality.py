@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recollect.llm.tables import if_small, in_sample, narrow
-from recollect.llm.words import binary_column, list_column, plain_pieces
+from recollect.llm.words import binary_column, list_column, plain_pieces, tidy
 from recollect.plans.materialize import stored
 
 #: Documented bound of the labelled sample the regression is fitted to.
@@ -122,6 +122,7 @@ def fit(x: np.ndarray, y: np.ndarray, penalty: float = PENALTY, steps: int = STE
 def measured(docs: DataFrame) -> DataFrame:
     """(doc_id, tie, host, path, x): the features of every row of ``docs`` (doc_id, text, host, path)."""
 
+    @tidy
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = [features(t) for t in binary_column(batch.column("text"))]
@@ -201,6 +202,7 @@ def quality(
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = dict(seen.dtypes)["doc_id"]
 
+    @tidy
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = batch.column("x").flatten().to_numpy().astype(np.float64).reshape(-1, len(FEATURES))

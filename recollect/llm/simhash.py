@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from recollect.llm.components import smallest_reachable
 from recollect.llm.tables import if_small, narrow
-from recollect.llm.words import binary_column, plain_pieces
+from recollect.llm.words import binary_column, plain_pieces, tidy
 from recollect.plans.materialize import stored
 
 #: Fixed by the contract.
@@ -81,6 +81,7 @@ def fingerprints(docs: DataFrame, size: int = 4, distinct: bool = False, confirm
     ``confirm`` is a second fingerprint over shingles of ``confirm_size`` words, by default the same one.
     """
 
+    @tidy
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = binary_column(batch.column("text"))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recollect.llm.tables import narrow
-from recollect.llm.words import list_column
+from recollect.llm.words import list_column, tidy
 from recollect.plans.materialize import new_path
 
 ROW_GROUP_BYTES = 32 << 20
@@ -165,22 +165,21 @@ def write_tokens(
     placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("tie")
     kind = dict(rows.dtypes)["doc_id"]
 
+    @tidy
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, start, file = encoder(tokenizer), 0, TaskContext.get().partitionId()
         end = np.array([end_id], dtype="<i4").tobytes()
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                found = words.encode_all([t or "" for t in batch.column("text").to_pylist()])
-                ids = [np.frombuffer(x + end, dtype="<i4") for x in found]
-                sizes = np.array([len(x) for x in ids], dtype=np.int64)
-                starts = start + np.cumsum(sizes) - sizes
-                start += int(sizes.sum())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(np.full(len(ids), file, dtype=np.int32)), pa.array(starts),
-                     pa.array(sizes), list_column(ids, pa.int32())],
-                    names=["doc_id", "file", "start_in_file", "n_tokens", "ids"],
-                )
+        for batch in batches:
+            found = words.encode_all([t or "" for t in batch.column("text").to_pylist()])
+            ids = [np.frombuffer(x + end, dtype="<i4") for x in found]
+            sizes = np.array([len(x) for x in ids], dtype=np.int64)
+            starts = start + np.cumsum(sizes) - sizes
+            start += int(sizes.sum())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(np.full(len(ids), file, dtype=np.int32)), pa.array(starts),
+                 pa.array(sizes), list_column(ids, pa.int32())],
+                names=["doc_id", "file", "start_in_file", "n_tokens", "ids"],
+            )
 
     encoded = placed.mapInArrow(encode, f"doc_id {kind}, file int, start_in_file bigint, n_tokens bigint, ids array<int>")
     writer = encoded.write.option("compression", "zstd").option("parquet.writer.version", "v2")
@@ -211,6 +210,7 @@ def read_tokens(spark: SparkSession, path: str, first: int | None = None, last:
 def with_checksum(tokens: DataFrame) -> DataFrame:
     """Rows of ``read_tokens`` with the unsigned crc32 of their ids in place of the ids."""
 
+    @tidy
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sums = [zlib.crc32(x.values.to_numpy().astype("<u4").tobytes()) for x in batch.column("ids")]

@@ -104,28 +104,27 @@ def exits(batch: DataFrame, table: DataFrame, names: DataFrame) -> DataFrame:
 
     ``batch`` has (seq, n); null edge columns mean that it leaves at a node.
     """
-    by_handle = table.filter("is_handle").drop("is_handle")
     edge = ["e1", "e2", "end", "top", "owner"]
+    by_handle = table.filter("is_handle").select("h1", "h2", *[F.col(c).alias(f"at_{c}") for c in edge])
     types = dict(table.dtypes)
     state = batch.select("seq", "n", F.lit(0).cast("bigint").alias("a"), F.col("n").alias("b"), *[F.lit(None).cast(types[c]).alias(c) for c in edge])
     longest = batch.agg(F.max("n")).first()[0] or 0
-    for turn in range(longest.bit_length()):  # each probe leaves less than half of the lengths
-        ended, searching = F.expr("a >= b or end is not null"), F.expr("a < b and end is null")
-        going = state.filter(searching).select("seq", "n", "a", "b", two_fattest(F.col("a"), F.col("b")).alias("f"))
-        probe = going.join(_at(names, seq="seq", depth="f", k1="h1", k2="h2"), ["seq", "f"])
-        hit = probe.join(by_handle, ["h1", "h2"], "left")
-        own = _at(names, seq="seq", depth="end", k1="o1", k2="o2")
-        seen = hit.join(own, ["seq", "end"], "left")
-        whole = (F.col("end") <= F.col("n")) & (F.col("o1") == F.col("e1")) & (F.col("o2") == F.col("e2"))
-        missed, through = F.col("end").isNull(), F.coalesce(whole, F.lit(False))
-        leaves = ~missed & ~through
-        moved = seen.select(
-            "seq", "n", F.when(through, F.col("end")).otherwise(F.col("a")).alias("a"),
-            F.when(missed, F.col("f") - 1).when(through, F.greatest("b", "end")).otherwise(F.col("b")).alias("b"),
-            *[F.when(leaves, F.col(c)).alias(c) for c in edge],
+    for probe in range(1, longest.bit_length() + 1):  # each probe leaves less than half of the lengths
+        # sequences that are done ask at no length and so meet nothing
+        asking = F.expr("a < b and end is null")
+        asked = state.withColumn("f", F.when(asking, two_fattest(F.col("a"), F.col("b"))))
+        named = asked.join(_at(names, seq="seq", depth="f", k1="h1", k2="h2"), ["seq", "f"], "left")
+        hit = named.join(by_handle, ["h1", "h2"], "left")
+        seen = hit.join(_at(names, seq="seq", depth="at_end", k1="o1", k2="o2"), ["seq", "at_end"], "left")
+        whole = F.expr("at_end <= n and o1 = at_e1 and o2 = at_e2")
+        missed, through = F.expr("f is not null and at_end is null"), F.coalesce(whole, F.lit(False))
+        leaves = F.col("at_end").isNotNull() & ~through
+        state = seen.select(
+            "seq", "n", F.when(through, F.col("at_end")).otherwise(F.col("a")).alias("a"),
+            F.when(missed, F.col("f") - 1).when(through, F.greatest("b", "at_end")).otherwise(F.col("b")).alias("b"),
+            *[F.when(leaves, F.col(f"at_{c}")).otherwise(F.col(c)).alias(c) for c in edge],
         )
-        state = state.filter(ended).unionByName(moved)
-        if turn % PROBES == PROBES - 1:
+        if probe % PROBES == 0:
             state = stored(state, "search")
     found = stored(state, "search")
     # no node was found below: the edge that begins with the next turn, if there is one

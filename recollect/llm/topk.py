@@ -63,18 +63,17 @@ class SortedLists:
         n, weight = len(self.ids), query.astype(np.float64)
         live = np.flatnonzero(weight)
         wanted = k + int((self.ids == query_id).sum())  # the rows of the query's own id may all be among the best
-        rest = self._survivors(weight[live], live, wanted) if n > 4 * wanted and len(live) else np.arange(n)
+        rest = self._survivors(weight[live], live, wanted, n) if n > 4 * wanted and len(live) else np.arange(n)
         rest = rest[self.ids[rest] != query_id]
         score = self.rows[rest] @ query
         best = np.lexsort((self.ids[rest], -score))[:k]
         return self.ids[rest][best], score[best]
 
-    def _survivors(self, weight: np.ndarray, live: np.ndarray, k: int) -> np.ndarray:
-        """Rows that may be among the k best, by bounds from the sequential reads alone.
+    def _survivors(self, weight: np.ndarray, live: np.ndarray, k: int, n: int) -> np.ndarray:
+        """Rows that may be among the k best.
 
-        The first step reads about as far as the query before had to, later ones half as far again.
+        The first step reads about as far as the query before had to, later ones twice as far.
         """
-        n = len(self.ids)
         way, depth = (weight > 0).astype(np.int64), min(n, self.depth)
         worst = weight * self.values[way, live, -1]
         slack = 1e-9 * np.abs(weight).dot(np.abs(self.values[:, live][:, :, [0, -1]]).max(axis=(0, 2)))
@@ -83,13 +82,15 @@ class SortedLists:
             last = gains[:, -1]
             upper = last.sum() + np.bincount(rows, (gains - last[:, None]).ravel(), n)
             lower = worst.sum() + np.bincount(rows, (gains - worst[:, None]).ravel(), n)
-            floor = np.partition(lower, n - k)[n - k]
+            # the rows that look best are resolved, which raises the k-th score that outsiders have to reach
+            likely = np.argpartition(upper, n - 4 * k)[n - 4 * k :]
+            floor = max(np.partition(lower, n - k)[n - k], np.sort(self.plain[likely][:, live] @ weight)[-k])
             candidates = np.flatnonzero(upper >= floor - slack)
-            unread = last.sum() >= floor - slack  # a row that no list has shown yet may still qualify
-            if depth == n or (not unread and len(candidates) <= max(4 * k, n // 16)):
-                self.depth = max(64, 3 * depth // 4)
-                return candidates  # resolved by their final scores
-            depth = min(n, depth + depth // 2)
+            unread = last.sum() >= floor - slack
+            if depth == n or (not unread and len(candidates) <= n // 2):
+                self.depth = depth if len(candidates) > n // 8 else max(64, 3 * depth // 4)
+                return candidates  # their final scores cost less than reading on
+            depth = min(n, 2 * depth)
 
 
 def _decode(table: pa.Table, dim: int) -> tuple[np.ndarray, np.ndarray]:

@@ -51,6 +51,18 @@ def test_top_k_equals_brute_force(spark, block):
     assert topk.neighbours(df.limit(0)).count() == 0
 
 
+def test_an_id_on_many_vectors_keeps_its_neighbours(spark):
+    r = np.random.default_rng(4)
+    base = r.normal(size=8)
+    rows = [(50, [float(x) for x in base + r.normal(size=8) * 0.01]) for _ in range(20)]
+    rows += [(i, [float(x) for x in r.normal(size=8)]) for i in range(101, 140)]
+    got = topk.neighbours(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()
+    fit = {i: np.floor(256 * np.array(v)).astype(np.int64) for i, v in rows if i != 50}
+    asked = [np.floor(256 * np.array(v)).astype(np.int64) for i, v in rows if i == 50]
+    pairs = sorted({(-int(q @ v), i) for q in asked for i, v in fit.items()})[:5]
+    assert [(x.rank, x.vec_id, x.score) for x in sorted(got, key=lambda x: x.rank)] == [(n, i, -s) for n, (s, i) in enumerate(pairs, 1)]
+
+
 def test_reading_stops_before_the_lists_end():
     r = np.random.default_rng(1)
     rows = np.floor(256 * r.normal(size=(2000, 4))).astype(np.int64)

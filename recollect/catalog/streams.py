@@ -246,11 +246,6 @@ def log_stream(spark, sf):
     )
 
 
-def stored_log(spark, sf):
-    """The rows of ``log_stream`` as a table."""
-    return I.query_log(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
-
-
 def run(spark, stream, name, **kw):
     return Q.run_available(stream, I.scratch(spark, name), I.scratch(spark, name + "-progress"), **kw)
 
@@ -262,9 +257,10 @@ def run(spark, stream, name, **kw):
         FROM query_log GROUP BY 1""",
 )
 def stream_metrics(spark, sf):
-    """Closed windows from the stream, those open at its end from the stored rows."""
-    out = run(spark, Q.stream_metrics(log_stream(spark, sf)), "metrics")
-    out = Q.with_open(out, stored_log(spark, sf), Q.stream_metrics, ["start"])
+    """Closed windows as the stream emits them, open ones from its state."""
+    progress = I.scratch(spark, "metrics-progress")
+    out = Q.run_available(Q.stream_metrics(log_stream(spark, sf)), I.scratch(spark, "metrics"), progress)
+    out = out.unionByName(Q.open_windows(spark, progress))
     return out.select(
         F.col("start").cast("timestamp_ntz").alias("start"), "queries", "hits", "tier1_hits",
         F.round("avg_latency_ms", 9).alias("avg_latency_ms"),
@@ -277,13 +273,16 @@ def stream_metrics(spark, sf):
           f AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 2 HOUR THEN 1 ELSE 0 END AS fresh
                 FROM query_log WINDOW w AS (PARTITION BY tenant_id ORDER BY seq)),
           s AS (SELECT *, sum(fresh) OVER (PARTITION BY tenant_id ORDER BY seq) AS segment FROM f)
-        SELECT tenant_id AS session_id, min(ts) AS start, count(*) AS turn_count FROM s GROUP BY tenant_id, segment
-        HAVING max(ts) + INTERVAL 2 HOUR <= (SELECT max(ts) FROM query_log) - INTERVAL 10 MINUTE""",
+        SELECT tenant_id AS session_id, min(ts) AS start, max(ts) + INTERVAL 2 HOUR AS "end", count(*) AS turn_count FROM s GROUP BY tenant_id, segment""",
 )
 def stream_sessions(spark, sf):
+    """Finished sessions as the stream emits them, those that may go on from its state."""
     requests = log_stream(spark, sf).withColumnRenamed("tenant_id", "session_id")
-    out = run(spark, Q.stream_sessions(requests, "2 hours"), "sessions")
-    return out.select("session_id", F.col("start").cast("timestamp_ntz").alias("start"), "turn_count")
+    progress = I.scratch(spark, "sessions-progress")
+    out = Q.run_available(Q.stream_sessions(requests, "2 hours"), I.scratch(spark, "sessions"), progress)
+    out = out.unionByName(Q.open_sessions(spark, progress))
+    ntz = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
+    return out.select("session_id", ntz("start"), ntz("end"), "turn_count")
 
 
 @query(

@@ -102,41 +102,67 @@ def session_context(alpha: float, decay: float):
     return advance
 
 
-def _split(window: np.ndarray, delta: float) -> int:
-    """First split whose sides differ by more than the bound, 0 if there is none."""
-    n = len(window)
-    if n < WHOLE:
-        return 0
-    left = np.arange(SIDE, n - SIDE + 1)
-    sums = np.cumsum(window)
-    right = n - left
-    gap = np.abs(sums[left - 1] / left - (sums[-1] - sums[left - 1]) / right)
-    bound = np.sqrt(0.5 * (1.0 / left + 1.0 / right) * np.log(4.0 * n / delta))
-    hit = np.flatnonzero(gap >= bound)
-    return int(left[hit[0]]) if len(hit) else 0
-
-
-def _add(window: list, value: float, delta: float, max_window: int) -> tuple[list, int]:
-    """Window after one more value, and the place it was cut at."""
-    window.append(float(value))
-    if len(window) > max_window:
-        window.pop(0)
-    cut = _split(np.asarray(window), delta)
-    return (window[cut:] if cut else window), cut
+class Window:
+    """The newest values of a series with their running sums, in arrays that are moved up rather than made anew.
+
+    A new value adds one sum, a cut or an overflow only moves the start; the change test reads the sums.
+    """
+
+    def __init__(self, values: list | np.ndarray, most: int):
+        self.most, self.start, self.n = most, 0, 0
+        self.values, self.sums = np.zeros(2 * most + 2), np.zeros(2 * most + 3)
+        self.values[: len(values)] = values
+        self.n = len(values)
+        self.sums[1 : self.n + 1] = np.cumsum(self.values[: self.n])
+
+    def add(self, value: float, delta: float) -> int:
+        """Take one more value in, drop what a change cuts off, and return where it was cut (0: no change)."""
+        if self.n == self.most:
+            self.start, self.n = self.start + 1, self.n - 1
+        end = self.start + self.n
+        if end + 1 >= len(self.sums) - 1:
+            self.values[: self.n] = self.values[self.start : end].copy()
+            self.sums[1 : self.n + 1] = np.cumsum(self.values[: self.n])
+            self.sums[0], self.start, end = 0.0, 0, self.n
+        self.values[end] = value
+        self.sums[end + 1] = self.sums[end] + value
+        self.n += 1
+        cut = self.split(delta)
+        self.start, self.n = self.start + cut, self.n - cut
+        return cut
+
+    def split(self, delta: float) -> int:
+        """First split whose sides differ by more than the bound, 0 if there is none."""
+        n = self.n
+        if n < WHOLE:
+            return 0
+        sums = self.sums[self.start : self.start + n + 1]
+        left = np.arange(SIDE, n - SIDE + 1)
+        low = sums[SIDE : n - SIDE + 1] - sums[0]
+        right = n - left
+        gap = np.abs(low / left - (sums[n] - sums[0] - low) / right)
+        bound = np.sqrt(0.5 * (1.0 / left + 1.0 / right) * np.log(4.0 * n / delta))
+        hit = np.flatnonzero(gap >= bound)
+        return int(left[hit[0]]) if len(hit) else 0
+
+    def kept(self) -> list[float]:
+        return self.values[self.start : self.start + self.n].tolist()
 
 
 def drift(delta: float, max_window: int):
     """Change flag, place of the cut and window length per value; state (window,)."""
 
     def advance(state: tuple | None, rows: pd.DataFrame, fresh: np.ndarray):
-        window = list(state[0]) if state is not None else []
+        window = Window([] if state is None else state[0], max_window)
         changed, cuts, sizes = [], [], []
         for value, first in zip(rows["reward"].tolist(), fresh.tolist()):
-            window, cut = _add([] if first else window, value, delta, max_window)
+            if first:
+                window = Window([], max_window)
+            cut = window.add(float(value), delta)
             changed.append(cut > 0)
             cuts.append(cut)
-            sizes.append(len(window))
-        return (window,), {"changed": changed, "cut": cuts, "window_size": sizes}
+            sizes.append(window.n)
+        return (window.kept(),), {"changed": changed, "cut": cuts, "window_size": sizes}
 
     return advance
 
@@ -148,10 +174,13 @@ def bandit(arms: int, delta: float, max_window: int):
     """
 
     def start() -> tuple:
-        return [1.0] * arms, [1.0] * arms, [], 0
+        return [1.0] * arms, [1.0] * arms, Window([], max_window), 0
 
     def advance(state: tuple | None, rows: pd.DataFrame, fresh: np.ndarray):
-        alpha, beta, window, resets = start() if state is None else (*(list(x) for x in state[:3]), int(state[3]))
+        if state is None:
+            alpha, beta, window, resets = start()
+        else:
+            alpha, beta, window, resets = list(state[0]), list(state[1]), Window(state[2], max_window), int(state[3])
         used, a_out, b_out, reset_out, count_out = [], [], [], [], []
         for arm, reward, first in zip(rows["arm"].tolist(), rows["reward"].tolist(), fresh.tolist()):
             if first:
@@ -163,15 +192,14 @@ def bandit(arms: int, delta: float, max_window: int):
             if not pd.isna(reward) and reward != 0.5:
                 alpha[arm] += float(reward)
                 beta[arm] += 1.0 - float(reward)
-                window, cut = _add(window, reward, delta, max_window)
-                if cut:
+                if window.add(float(reward), delta):
                     alpha, beta, resets, reset = [2.0] * arms, [2.0] * arms, resets + 1, True
             used.append(arm)
             a_out.append(alpha[arm])
             b_out.append(beta[arm])
             reset_out.append(reset)
             count_out.append(resets)
-        return (alpha, beta, window, resets), {
+        return (alpha, beta, window.kept(), resets), {
             "used_arm": used, "alpha": a_out, "beta": b_out, "reset": reset_out, "resets": count_out,
         }
 

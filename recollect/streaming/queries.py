@@ -5,7 +5,7 @@ Event time columns are ``timestamp`` (a watermark takes no other type).
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,7 +27,7 @@ def read_stream(spark: SparkSession, path: str, schema, files_per_batch: int | N
 
 
 def stream_metrics(log: DataFrame, width: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
-    """Dashboard counters per event-time window; closed windows only."""
+    """Dashboard counters per event-time window; closed windows only (``open_windows`` has the others)."""
     return (
         log.withWatermark("ts", late)
         .groupBy(F.window("ts", width, slide))
@@ -81,7 +81,7 @@ def stream_exact_dedup(requests: DataFrame, ttl_s: int = 86_400, late: str = "1
 
 
 def stream_sessions(requests: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
-    """Finished sessions with their turns."""
+    """Finished sessions with their turns (``open_sessions`` has the others)."""
     return (
         requests.withWatermark("ts", late)
         .groupBy("session_id", F.session_window("ts", gap))
@@ -186,9 +186,20 @@ def stream_ttl(entries: DataFrame, late: str = "0 seconds") -> DataFrame:
     )
 
 
-def with_open(emitted: DataFrame, rows: DataFrame, build: Callable[[DataFrame], DataFrame], keys: list[str]) -> DataFrame:
-    """What a stream emitted and, by the same aggregation over the stored rows, what was still open at its end."""
-    return emitted.unionByName(build(rows).join(emitted.select(*keys), keys, "left_anti"))
+def open_windows(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The windows of an ended ``stream_metrics`` that the watermark has not closed, from the stream's own state."""
+    state = spark.read.format("statestore").load(checkpoint)
+    counts = F.col("value").cast("struct<queries: bigint, hits: bigint, tier1_hits: bigint, total: double, n: bigint>")
+    return state.select("key.window", counts.alias("c")).select(
+        F.col("window.start").alias("start"), F.col("window.end").alias("end"), "c.queries", "c.hits", "c.tier1_hits",
+        (F.col("c.total") / F.when(F.col("c.n") > 0, F.col("c.n"))).alias("avg_latency_ms"),
+    )
+
+
+def open_sessions(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The sessions of an ended ``stream_sessions`` that may still go on, from the stream's own state."""
+    state = spark.read.format("statestore").load(checkpoint).select("value.*")
+    return state.select("session_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), F.col("count").alias("turn_count"))
 
 
 def run_available(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> DataFrame:

@@ -56,7 +56,7 @@ def test_bucket_does_not_depend_on_arrival(spark, tmp_path):
 
 def test_fusion_does_not_depend_on_arrival(spark, tmp_path):
     rng = np.random.default_rng(1)
-    rows = [("s" if i % 2 else "t", i, i, 700 * i + (5000 if i > 30 else 0), [float(x) for x in rng.standard_normal(4)]) for i in range(60)]
+    rows = [("s" if i % 2 else "t", i, i, 700 * i + 10**6 + (5000 if i > 30 else 0), [float(x) for x in rng.standard_normal(4)]) for i in range(60)]
     df = spark.createDataFrame(rows, "session_id string, query_id bigint, seq bigint, s bigint, embedding array<float>")
     df = df.withColumn("ts", F.timestamp_seconds("s")).drop("s")
     got, _ = streamed(df, "session_id", SO.fusion_rule(), tmp_path, "x", 6, 2, True, "4 hours")
@@ -100,3 +100,35 @@ def test_rows_later_than_allowed_are_dropped(spark, tmp_path):
         stream = Q.read_stream(spark, src, df.schema)
         got = SO.run_ordered(stream, "dependency", SO.breaker_rule(), out, mark, "1 second")
     assert {r.seq for r in got.collect()} == set(range(20, 60))
+
+
+def test_open_windows_and_sessions_come_from_the_state(spark, tmp_path):
+    rows = [(i, i % 3, 10**6 + 900 * i + (20_000 if i > 30 else 0), i % 2 == 0, i % 2 + 1, None if i % 7 == 0 else float(i)) for i in range(60)]
+    df = spark.createDataFrame(rows, "seq bigint, session_id bigint, s bigint, hit boolean, tier int, latency_ms double")
+    df = df.withColumn("ts", F.timestamp_seconds("s"))
+    src = str(tmp_path / "in")
+    files_of(df, src, 5, False)
+    stream = lambda: Q.read_stream(spark, src, df.schema, files_per_batch=2)
+    windows, sessions = str(tmp_path / "w"), str(tmp_path / "s")
+    got = Q.run_available(Q.stream_metrics(stream()), windows, windows + "-mark")
+    still = Q.open_windows(spark, windows + "-mark")
+    want = Q.stream_metrics(df)
+    assert got.count() and still.count() and sorted(map(tuple, got.unionByName(still).collect())) == sorted(map(tuple, want.collect()))
+    got = Q.run_available(Q.stream_sessions(stream()), sessions, sessions + "-mark")
+    still = Q.open_sessions(spark, sessions + "-mark")
+    assert still.count() and sorted(map(tuple, got.unionByName(still).collect())) == sorted(map(tuple, Q.stream_sessions(df).collect()))
+
+
+def test_window_equals_a_list(spark):
+    from recollect.operators import machines as MC
+
+    r = random.Random(6)
+    for most, delta in ((25, 2.0), (40, 30.0), (5000, 0.5)):
+        window, plain = MC.Window([], most), []
+        for i in range(400):
+            value = float(r.random() < (0.9 if i // 60 % 2 else 0.2))
+            plain = [*plain, value][-most:]
+            cut = MC.Window(plain, most).split(delta)
+            plain = plain[cut:]
+            assert window.add(value, delta) == cut and window.kept() == plain
+        assert MC.Window(window.kept(), most).split(delta) == window.split(delta)

@@ -158,6 +158,18 @@ def fedavg_merge(spark, sf):
     return m.select("arm", F.round("threshold", 6).alias("threshold"), F.round("alpha", 6).alias("alpha"), F.round("beta", 6).alias("beta"), "shards")
 
 
+@query(
+    "spread_merged",
+    f"""WITH {SQL_POSTERIOR}, merged AS (SELECT arm, avg(alpha) AS alpha, avg(beta) AS beta FROM posterior GROUP BY arm)
+        SELECT p.shard_id, p.arm, round(p.threshold, 6) AS threshold, p.updates, round(m.alpha, 6) AS alpha, round(m.beta, 6) AS beta
+        FROM posterior p JOIN merged m ON m.arm = p.arm""",
+)
+def spread_merged(spark, sf):
+    """Every shard goes on with the merged posterior."""
+    s = B.spread_merged(posterior(spark, sf))
+    return s.select("shard_id", "arm", F.round("threshold", 6).alias("threshold"), "updates", F.round("alpha", 6).alias("alpha"), F.round("beta", 6).alias("beta"))
+
+
 def _sql_drift(delta: float) -> str:
     return f"""WITH {I.SQL_LOG},
       s AS (SELECT tenant_id, seq, CASE WHEN event_type = 'error' THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS reward FROM query_log),

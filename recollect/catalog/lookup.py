@@ -10,6 +10,7 @@ from recollect.catalog.vectors import DIM, sql_projection
 from recollect.config import CacheConfig
 from recollect.operators import calibration as C
 from recollect.operators import lookup as L
+from recollect.operators import sessions as SE
 from recollect.plans import probes as PR
 from recollect.plans.bounds import Blocks, cells_formed
 
@@ -217,6 +218,31 @@ def two_tier_lookup(spark, sf):
     return _two_tiers(L.two_tier_lookup(I.queries(spark, sf), I.entries(spark, sf), None, now(), CFG))
 
 
+SQL_ANSWERED = f"""{SQL_KEYED}, thresholds AS (SELECT NULL::BIGINT AS entry_id, NULL::DOUBLE AS threshold), {SQL_SEMANTIC},
+        found AS (WITH {SQL_TWO_TIERS}),
+        told AS (SELECT f.*, q.session_id, q.query_text, e.query_text AS answer FROM found f JOIN queries q USING (query_id) LEFT JOIN entries e ON e.entry_id = f.entry_id)"""
+
+
+@query(
+    "answer_messages",
+    f"""WITH {SQL_ANSWERED}
+        SELECT query_id * 2 AS id, session_id, 'user' AS role, md5(query_text) AS text_key, NULL::INTEGER AS tier, NULL::DOUBLE AS similarity FROM told
+        UNION ALL
+        SELECT query_id * 2 + 1, session_id, 'assistant', md5(answer), tier, round(similarity, 6) FROM told WHERE answer IS NOT NULL""",
+)
+def answer_messages(spark, sf):
+    """Every document asked; question and answer stored as chat rows with how the answer came about."""
+    q, e = I.queries(spark, sf), I.entries(spark, sf)
+    out = L.two_tier_lookup(q, e, None, now(), CFG).withColumn("ts", F.lit(I.NOW).cast("timestamp")).withColumn("latency_ms", F.lit(0.0))
+    texts = e.select("entry_id", F.col("query_text").alias("text"))
+    answers = out.filter("hit").select("query_id", "entry_id").join(texts, "entry_id")
+    rows = SE.answer_messages(out, answers)
+    told = SE.parse_meta(F.col("meta"))
+    return rows.select(
+        "id", "session_id", "role", F.md5(F.col("text").cast("binary")).alias("text_key"), told["tier"].alias("tier"), F.round(told["similarity"], 6).alias("similarity")
+    )
+
+
 SQL_LIGHT = f"""
 {I.SQL_QUERIES}, {I.SQL_ENTRIES},
 light AS (SELECT sha256({I.sql_light('query_text')}) AS k, max_by(entry_id, seq) AS entry_id FROM entries GROUP BY 1),

@@ -57,6 +57,11 @@ def oplog_status(spark, sf):
     return RP.oplog_status(oplog(spark, sf))
 
 
+@query("broken_records", f"WITH {SQL_OPLOG} SELECT lsn, op, entry_id FROM oplog WHERE NOT good")
+def broken_records(spark, sf):
+    return RP.broken_records(oplog(spark, sf)).select("lsn", "op", "entry_id")
+
+
 def clocks(spark, sf):
     """Per entry and replica: how often each node wrote to it."""
     log = I.query_log(spark, sf)

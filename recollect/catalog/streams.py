@@ -458,6 +458,28 @@ def feedback_step(spark, sf):
     return told.unionByName(rows(arms, "resets", F.col("shard_id"), F.col("resets"), F.size("window")))
 
 
+@query(
+    "implicit_step",
+    f"""WITH RECURSIVE {I.SQL_LOG},
+        told AS (SELECT 'shard-' || CAST(tenant_id % {FEEDBACK_SHARDS} AS VARCHAR) AS shard_id, seq, {I.SQL_REWARD} AS reward FROM query_log WHERE hit),
+        {SQL_LAST_ARMS},
+        ends AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY shard_id ORDER BY i DESC) = 1)
+        SELECT shard_id, arm, round(a[arm + 1], 6) AS alpha, round(b[arm + 1], 6) AS beta, resets
+        FROM (SELECT shard_id, a, b, resets, unnest(range(10)) AS arm FROM ends)""",
+)
+def implicit_step(spark, sf):
+    """Similarities of all logged hits folded into the arms of their shard, in two steps."""
+    log = I.query_log(spark, sf).withColumn("shard_id", F.concat(F.lit("shard-"), (F.col("tenant_id") % FEEDBACK_SHARDS).cast("string")))
+    half = log.agg(F.percentile_approx("seq", 0.5)).first()[0]
+    arms = None
+    for part in (F.col("seq") <= half, F.col("seq") > half):
+        arms = stored(ST.replaced(arms, stored(ST.implicit_step(arms, log.filter(part)), "moved"), "shard_id"), "arms")
+    each = arms.select("shard_id", "resets", F.posexplode(F.arrays_zip("alpha", "beta")).alias("arm", "ab"))
+    return each.select(
+        "shard_id", F.col("arm").cast("bigint").alias("arm"), F.round("ab.alpha", 6).alias("alpha"), F.round("ab.beta", 6).alias("beta"), "resets"
+    )
+
+
 @query("compare_strategies")
 def compare_strategies(spark, sf):
     """Seven configurations; thresholds lie where the vectors of these tables are similar."""

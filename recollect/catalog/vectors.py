@@ -112,10 +112,31 @@ def project_vectors(spark, sf):
 )
 def embed_distinct(spark, sf):
     """Encode every document once per normalised text; slots, norm and two numbers that depend on every component."""
+    return _embedded(spark, sf, False)
+
+
+@query(
+    "embed_distinct_idf",
+    f"""WITH keyed AS (SELECT doc_id, text, sha256({I.sql_normalize('text')}) AS memo FROM documents),
+        once AS (SELECT memo, min(text) AS text FROM keyed GROUP BY memo),
+        slots AS (SELECT memo, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 128 AS slot
+                  FROM (SELECT memo, unnest({I.sql_words('text')}) AS w FROM once)),
+        weights AS (SELECT slot, 1 + ln(((SELECT count(*) FROM once) + 1.0::DOUBLE) / (count(DISTINCT memo) + 1.0::DOUBLE)) AS weight FROM slots GROUP BY slot),
+        counts AS (SELECT memo, slot, count(*) * any_value(weight) AS n FROM slots JOIN weights USING (slot) GROUP BY ALL),
+        shape AS (SELECT memo, count(*) AS used, sqrt(sum(n * n)) AS size, max(n) AS most, sum(slot * n) AS weighted FROM counts GROUP BY memo)
+        SELECT doc_id, 128 AS dim, CASE WHEN size > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm, CAST(coalesce(used, 0) AS INTEGER) AS used_slots,
+          round(coalesce(most / size, 0.0::DOUBLE), 9) AS largest, round(coalesce(weighted / size, 0.0::DOUBLE), 6) AS weighted
+        FROM keyed LEFT JOIN shape USING (memo)""",
+)
+def embed_distinct_idf(spark, sf):
+    return _embedded(spark, sf, True)
+
+
+def _embedded(spark, sf, idf):
     docs = I.table(spark, sf, "documents").select("doc_id", "text")
     e = F.col("embedding")
     weighted = F.aggregate(F.transform(e, lambda x, i: x * i), F.lit(0.0), lambda a, x: a + x)
-    return V.embed_distinct(docs, "text", dim=128).select(
+    return V.embed_distinct(docs, "text", dim=128, idf=idf).select(
         "doc_id", F.size(e).alias("dim"), F.round(V.norm(e), 6).alias("norm"), F.size(F.filter(e, lambda x: x > 0)).alias("used_slots"),
         F.round(F.array_max(e), 9).alias("largest"), F.round(weighted, 6).alias("weighted"),
     )

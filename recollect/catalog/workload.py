@@ -71,15 +71,41 @@ def workload_summary(spark, sf):
     return W.workload_summary(workload(spark, sf).withColumn("answer_key", W.answer_key()).join(names, "answer_key"))
 
 
+SQL_TURNS = f"""turns AS (SELECT a.conv_id, a.turn, regexp_replace(a.text, '^{I.SQL_SPACE}|{I.SQL_SPACE}$', '', 'g') AS question, b.text AS answer
+          FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1
+          WHERE a.role = 'user' AND b.role = 'assistant')"""
+
+
 @query(
     "load_qa_workload",
-    f"""WITH turns AS (SELECT a.conv_id, a.turn, regexp_replace(a.text, '^{I.SQL_SPACE}|{I.SQL_SPACE}$', '', 'g') AS question, b.text AS answer
-          FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1
-          WHERE a.role = 'user' AND b.role = 'assistant')
+    f"""WITH {SQL_TURNS}
         SELECT conv_id, turn, substr(md5(question), 1, 12) AS id, question, answer FROM turns WHERE length(question) > 0 AND length(answer) > 0""",
 )
 def load_qa_workload(spark, sf):
     """Chat turns written as nested question files and read back through the reader."""
+    return W.load_qa_workload(spark, *_question_files(spark, sf))
+
+
+@query(
+    "qa_workload",
+    f"""WITH {SQL_TURNS},
+        loaded AS (SELECT *, substr(md5(question), 1, 12) AS id FROM turns WHERE length(question) > 0 AND length(answer) > 0),
+        firsts AS (SELECT * FROM loaded QUALIFY row_number() OVER (PARTITION BY question ORDER BY conv_id * 1000 + turn) = 1),
+        drawn AS (SELECT * FROM firsts ORDER BY {I.sql_hash(42, 'id')}, id LIMIT 150),
+        reworded AS (SELECT *, {sql_paraphrase('question', I.sql_hash(42, 'id'))} AS q FROM drawn WHERE {I.sql_hash(42, 'id')} < {CUT}),
+        both_kinds AS (
+          SELECT id, question, answer, false AS is_paraphrase, '' AS original_id FROM drawn
+          UNION ALL SELECT substr(md5(q), 1, 12), q, answer, true, id FROM reworded)
+        SELECT *, {I.sql_hash(43, 'id')} AS mix FROM both_kinds""",
+)
+def qa_workload(spark, sf):
+    """Question files read, made distinct, sampled and paraphrased in one call."""
+    path, fmt, schema = _question_files(spark, sf)
+    return W.qa_workload(spark, path, fmt, F.col("conv_id") * 1000 + F.col("turn"), 150, 0.3, 42, schema)
+
+
+def _question_files(spark, sf):
+    """Path, format and schema of the chat turns as nested question files."""
     c = I.table(spark, sf, "conversations")
     reply = c.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("reply"))
     raw = c.filter("role = 'user'").join(reply, ["conv_id", "turn"]).select(
@@ -89,7 +115,7 @@ def load_qa_workload(spark, sf):
     path = I.scratch(spark, "qa")
     raw.write.mode("overwrite").json(path)
     schema = "conv_id BIGINT, turn BIGINT, question STRING, answers STRUCT<text: ARRAY<STRING>, answer_start: ARRAY<INT>>"
-    return W.load_qa_workload(spark, path, "json", schema)
+    return path, "json", schema
 
 
 def _runs(spark, sf):

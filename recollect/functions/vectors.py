@@ -121,11 +121,12 @@ def projected(vector: Column, dim: int, target: int, seed: int = 42) -> Column:
     return project(vector)
 
 
-def embed_distinct(df: DataFrame, text: str, encoder: Column | None = None, dim: int = 256) -> DataFrame:
+def embed_distinct(df: DataFrame, text: str, encoder: Column | None = None, dim: int = 256, idf: bool = False) -> DataFrame:
     """Add ``embedding``: each distinct normalised text is encoded once.
 
     ``encoder`` is a column expression over ``text`` (an Arrow UDF around a model); without one
-    a hashed bag of words with unit length is used.
+    a hashed bag of words with unit length is used, with ``idf`` weighted by how few of the distinct
+    texts have a word in the same slot (one number per slot is held by the driver).
     """
     from recollect.functions.text import memo_key, words
     from recollect.plans.spread import spread_join
@@ -133,17 +134,24 @@ def embed_distinct(df: DataFrame, text: str, encoder: Column | None = None, dim:
     keyed = df.withColumn("_memo", memo_key(F.col(text)))
     once = keyed.groupBy("_memo").agg(F.min(text).alias(text))
     if encoder is None:
-        encoder = _hashed_words(words(F.col(text)), dim)
+        slots = F.transform(words(F.col(text)), lambda w: word_slot(w, dim))
+        encoder = _hashed_words(slots, dim, slot_weights(once.select(slots.alias("slots")), dim) if idf else np.ones(dim))
     vectors = once.select("_memo", encoder.alias("embedding"))
     joined = spread_join(
-        keyed.withColumn("_row", F.xxhash64(*[F.col(c).cast("string") for c in df.columns if _plain(df, c)])),
+        keyed.withColumn("_row", F.monotonically_increasing_id()),  # equal rows go to different tasks, too
         vectors, ["_memo"], "left", "_row",
     )
     return joined.select(*df.columns, "embedding")
 
 
-def _plain(df: DataFrame, col: str) -> bool:
-    return df.schema[col].dataType.typeName() not in ("array", "map", "struct", "binary", "variant")
+def slot_weights(texts: DataFrame, dim: int) -> np.ndarray:
+    """Weight per slot from ``texts`` (slots): 1 + ln((texts + 1) / (texts with the slot + 1))."""
+    total = texts.count()
+    seen = texts.select(F.explode(F.array_distinct("slots")).alias("slot")).groupBy("slot").count()
+    weights = np.full(dim, 1.0 + np.log(total + 1.0))
+    for r in seen.collect():  # one row per slot
+        weights[r["slot"]] = 1.0 + np.log((total + 1.0) / (r["count"] + 1.0))
+    return weights
 
 
 def word_slot(word: Column, dim: int) -> Column:
@@ -151,17 +159,18 @@ def word_slot(word: Column, dim: int) -> Column:
     return (F.conv(F.substring(F.md5(word.cast("binary")), 1, 8), 16, 10).cast("bigint") % dim).cast("int")
 
 
-def _hashed_words(tokens: Column, dim: int) -> Column:
+def _hashed_words(slots: Column, dim: int, weights: np.ndarray) -> Column:
     @F.arrow_udf("array<double>")
     def encode(slots: pa.Array) -> pa.Array:
         out = np.zeros((len(slots), dim))
         lengths = slots.value_lengths().to_numpy(zero_copy_only=False)
         rows = np.repeat(np.arange(len(slots)), lengths.astype(np.int64))
         np.add.at(out, (rows, slots.flatten().to_numpy(zero_copy_only=False)), 1.0)
+        out *= weights
         size = np.linalg.norm(out, axis=1, keepdims=True)
         out = np.divide(out, size, out=out, where=size > 0)
         return pa.ListArray.from_arrays(
             pa.array(np.arange(0, out.size + 1, dim, dtype=np.int32)), pa.array(out.ravel())
         )
 
-    return encode(F.transform(tokens, lambda w: word_slot(w, dim)))
+    return encode(slots)

@@ -68,4 +68,4 @@ def fedavg_merge(posterior: DataFrame) -> DataFrame:
 def spread_merged(posterior: DataFrame) -> DataFrame:
     """Every shard with the merged posterior in place of its own."""
     merged = fedavg_merge(posterior).select("arm", "alpha", "beta")
-    return posterior.drop("alpha", "beta").join(F.broadcast(merged), "arm")
+    return posterior.drop("alpha", "beta").join(merged, "arm")  # one row per arm

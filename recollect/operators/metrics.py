@@ -91,13 +91,6 @@ def latency_percentiles(log: DataFrame, by: list[str] | None = None, block_rows:
     return exact_quantiles(log, by or [], "latency_ms", points, row_blocks(log, "latency_ms", block_rows))
 
 
-def latency_percentiles_approx(log: DataFrame, by: list[str], accuracy: int = 10_000) -> DataFrame:
-    """The same from a mergeable sketch, within 1 / accuracy of the rank."""
-    ps = F.percentile_approx("latency_ms", [0.5, 0.9, 0.95, 0.99], accuracy)
-    picked = log.groupBy(*by).agg(ps.alias("_p"))
-    return picked.select(*by, *[F.col("_p")[i].alias(n) for i, n in enumerate(("p50", "p90", "p95", "p99"))])
-
-
 #: Size of the quantile sketches and the rank error that goes with it, and of the distinct-count sketches.
 SKETCH_K, SKETCH_ERROR = 400, 0.0133
 DISTINCT_LG_K, DISTINCT_ERROR = 14, 0.025

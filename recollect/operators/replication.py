@@ -19,7 +19,7 @@ BROADCAST_RANGES = 1_000_000
 
 
 def record_crc(lsn: Column, op: Column, payload: Column) -> Column:
-    """Checksum over header (length of operation and payload, lsn, operation) and payload."""
+    """Checksum over header (length of operation and payload, lsn, operation) and payload.  Layout fixed by the contract."""
     header = F.unhex(
         F.concat(
             F.lpad(F.hex((F.octet_length(payload) + 1).cast("bigint")), 8, "0"),
@@ -78,6 +78,7 @@ def oplog_status(oplog: DataFrame) -> DataFrame:
 
 
 def broken_records(oplog: DataFrame) -> DataFrame:
+    """Records whose checksum does not fit, for a look at what was lost."""
     return oplog.filter(~_valid())
 
 

@@ -72,6 +72,21 @@ def append_messages(messages: DataFrame, metadata: DataFrame, new: DataFrame) ->
     return messages.unionByName(new), merged
 
 
+def answer_messages(log: DataFrame, answers: DataFrame) -> DataFrame:
+    """Chat rows (id, session_id, role, text, created_at, meta) of answered queries, as ``append_messages`` takes them.
+
+    ``log``: query_id, seq, session_id, ts, query_text, hit, tier, similarity, latency_ms.  ``answers``: query_id, text.
+    A query becomes the user's message and, where it has an answer, the assistant's with how it came about.
+    """
+    meta = message_meta(F.col("hit"), F.col("tier"), F.col("similarity"), F.col("latency_ms"))
+    asked = F.struct((F.col("seq") * 2).alias("id"), F.lit("user").alias("role"), F.col("query_text").alias("text"), F.lit(None).cast("string").alias("meta"))
+    said = F.struct((F.col("seq") * 2 + 1).alias("id"), F.lit("assistant").alias("role"), F.col("_answer").alias("text"), meta.alias("meta"))
+    both = log.join(answers.select("query_id", F.col("text").alias("_answer")), "query_id", "left")
+    rows = both.select("session_id", F.col("ts").alias("created_at"), F.explode(F.array(asked, said)).alias("m"))
+    rows = rows.select("m.id", "session_id", "m.role", "m.text", "created_at", "m.meta")
+    return rows.filter("role = 'user' or text is not null")
+
+
 def recent_sessions(messages: DataFrame, metadata: DataFrame) -> DataFrame:
     """All sessions, last updated first, with their message counts."""
     counts = messages.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"))

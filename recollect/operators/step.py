@@ -333,6 +333,15 @@ def feedback_merge(
     return ok, recent, tau, moved_arms(arms, rewards, cfg)
 
 
+def implicit_step(arms: DataFrame | None, log: DataFrame, cfg: CacheConfig = DEFAULT) -> DataFrame:
+    """Arms after the implicit rewards of the hits in ``log`` (shard_id, seq, hit, tier, similarity); the calibration is not touched.
+
+    A similarity that says nothing (a reward of exactly 0.5) moves no arm.
+    """
+    rewards = log.filter("hit").select("shard_id", "seq", S.implicit_reward(F.col("tier"), F.col("similarity")).alias("reward"))
+    return moved_arms(arms, rewards, cfg)
+
+
 def replaced(stored: DataFrame | None, changed: DataFrame, key: str) -> DataFrame:
     """A stored state with its changed rows in place of the old ones."""
     if stored is None:

@@ -41,6 +41,17 @@ def load_qa_workload(spark: SparkSession, path: str, fmt: str, schema: str | Non
     return load_qa(reader.format(fmt).load(path))
 
 
+def qa_workload(
+    spark: SparkSession, path: str, fmt: str, first: Column, n: int, share: float = 0.3, seed: int = 42, schema: str | None = None
+) -> DataFrame:
+    """A workload from question files in one go: read, one row per question, a sample of ``n``, paraphrases of a share.
+
+    Of rows with one question that with the lowest ``first`` stays.
+    """
+    rows = load_qa_workload(spark, path, fmt, schema).withColumn("seq", first)
+    return build_workload(sample_queries(distinct_questions(rows), n, seed), share, seed)
+
+
 def distinct_questions(questions: DataFrame) -> DataFrame:
     """The first row per question text; an aggregation, so copies combine before the shuffle."""
     rest = [c for c in questions.columns if c != "question"]

@@ -229,7 +229,8 @@ def near_copies(docs: DataFrame, floor: float = 0.8, size: int = 5, id_col: str
     """Per row of ``docs``: doc_id and component_id, the smallest id reachable over near copies, its own included.
 
     Null and texts without words have the same, empty set.  Rows without an id get the component of the rows with
-    the same set, null if none of them has an id, and link nothing.  Rows sharing an id are one document.
+    the same set, null if none of them has an id, and link nothing.  Rows sharing an id are one document, repeated
+    rows one class.  Texts of any length count whole; other columns are not passed on.  An empty table gives none.
     """
     rows = narrow(docs, doc_id=id_col, text=text_col)
     prints = stored(sketches(rows, size), "sketches")

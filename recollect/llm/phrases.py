@@ -100,9 +100,15 @@ def _near(places: list[int], at: int, slop: int) -> bool:
 def occurrences(
     order: list[tuple[int, int]], places: dict[int, list[int]], sets: dict[int, set[int]], size: int, n_words: int, slop: int
 ) -> list[int]:
-    """Starts of a window whose (term, offset) pairs come rarest first."""
+    """Starts of a window whose (term, offset) pairs come rarest first.
+
+    With ``slop`` the rarest term may itself have moved, and a window may start before or end after the text.
+    """
     term, offset = order[0]
-    starts = [s for p in places[term] if 0 <= (s := p - offset) <= n_words - size]
+    if slop:
+        starts = sorted({p - offset + d for p in places[term] for d in range(-slop, slop + 1)})
+    else:
+        starts = [s for p in places[term] if 0 <= (s := p - offset) <= n_words - size]
     for term, offset in order[1:]:
         if not starts or term not in places:
             return []
@@ -162,8 +168,8 @@ def match_windows(index: DataFrame, windows: Windows, slop: int = 0) -> DataFram
                             found = occurrences(order, places, sets, len(order), n, slop)
                             if found:
                                 items.update(of)
-                                starts += found
-                                ends += [s + len(order) for s in found]
+                                starts += [max(0, s) for s in found]
+                                ends += [min(n, s + len(order)) for s in found]
                 a, b = _covered(np.array(starts, dtype=np.int64), np.array(ends, dtype=np.int64))
                 out_starts.append(a)
                 out_ends.append(b)
@@ -210,7 +216,7 @@ def phrase_hits(
 
     ``items`` has (item, text).  A window is ``window`` consecutive words of an item; an item with fewer, but
     not none, is one window.  With ``slop`` every word may stand up to so many places from where the window
-    has it.  Items without id or words match nothing; items that share an id are one item; null and empty
+    has it; the interval of a hit is the window's place within the text.  Items without id or words match nothing; items that share an id are one item; null and empty
     texts have no words.  ``row`` must be unique; ``id`` is carried along.
     """
     named = items.filter(F.col("item").isNotNull())
@@ -238,7 +244,8 @@ def decontaminate(
 ) -> DataFrame:
     """Per row of ``docs``: its id, ``n_words``, ``n_hit``, ``n_items``, ``items`` and hit ``starts``/``ends``.
 
-    Every row of ``docs`` gives one row, repeated and null ids included.
+    Every row of ``docs`` gives one row, repeated and null ids included.  Null and empty texts have no words and no
+    hits, texts of any length count whole, other columns are not passed on.  An empty table gives none.
     """
     rows = narrow(docs, id=id_col, text=text_col).withColumn("row", F.monotonically_increasing_id())
     named = narrow(items, item=items[item_col].cast("string"), text=item_text_col)

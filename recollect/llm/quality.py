@@ -192,6 +192,8 @@ def quality(
     Null and empty texts have all statistics zero.  Null hosts and paths are sites of their own.  An id with
     several labels takes the smallest; rows sharing an id share its label.  Rows without an id and labels other
     than 0 and 1 are not learned from.  Without labels of both classes the texts say nothing and all rows stay.
+    Texts of any length count whole.  Repeated rows are judged one by one; other columns are not passed on.  An
+    empty table gives none.
     """
     rows = narrow(docs, doc_id=id_col, text=text_col, host=_key(docs[host_col]), path=_key(docs[path_col]))
     seen = stored(measured(rows), "measured")

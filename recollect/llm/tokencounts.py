@@ -233,7 +233,7 @@ def token_counts(
     """Per row of ``docs``: its id, ``n_bytes`` (UTF-8) and ``n_tokens``, without begin or end tokens.
 
     Null and empty texts have none.  Every row gives one row, repeated and null ids included.  Texts over
-    ``chunk_chars`` code points are dealt out chunk by chunk.
+    ``chunk_chars`` code points are dealt out chunk by chunk.  Other columns are not passed on; an empty table gives none.
     """
     rows = narrow(docs, id=id_col, text=text_col).withColumn("row", F.monotonically_increasing_id())
     kind = dict(rows.dtypes)["id"]

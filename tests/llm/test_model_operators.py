@@ -14,6 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from tests.llm.conftest import text_of
 from recollect.llm import components, language_model, mixing, quality, simhash, topk, toxicity
 from recollect.llm.tables import table
 
@@ -266,6 +267,71 @@ def test_site_rates_are_shrunk_by_size(spark):
     assert got["tiny", "p"] == (2, 0.0, 3, 1.0) and got["big", "p"][2] == 400
 
 
+def features_by_hand(text):
+    """The statistics one by one over characters, words and lines."""
+    raw = (text or "").encode()
+    if not raw.split():
+        return [0.0] * 16
+    letters = sum(65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in raw)
+    spaces, digits = sum(b in b" \t\n\r\v\f" for b in raw), sum(48 <= b <= 57 for b in raw)
+    controls = sum((b < 32 or b == 127) and b not in b"\t\n\r\v\f" for b in raw)
+    stops, quotes = sum(b in b".,;:?!" for b in raw), sum(b in b"'\"()-" for b in raw)
+    marks = len(raw) - letters - spaces - digits - controls
+    words = bytes(b + 32 if 65 <= b <= 90 else b for b in raw).split()
+    lines = [x for x in raw.split(b"\n") if x.strip()]
+    rare = [b for b in range(128) if not (chr(b).isalnum() or b < 32 or b == 127 or b in b" .,;:?!'\"()-")]
+    n = len(raw)
+    return [
+        letters / n, sum(65 <= b <= 90 for b in raw) / max(1, letters), digits / n, spaces / n, stops / n, quotes / n, marks / n,
+        (marks - stops - quotes) / n, controls / n, len(set(words)) / len(words), len(set(lines)) / max(1, len(lines)),
+        min(1, sum(map(len, words)) / len(words) / 20), sum(len(w) > 20 for w in words) / len(words),
+        sum(w[-1] in rare or w[-1] == 33 for w in words) / len(words), min(1, len(words) / max(1, len(lines)) / 50),
+        min(1, math.log1p(len(words)) / 12),
+    ]
+
+
+def test_features_equal_plain_counts(odd_texts):
+    for _, text in odd_texts + [(0, "A! b? $$ c# \x01 12 (x) 'y' zz@\n\n A! b?")]:
+        got = quality.features(None if text is None else text.encode())
+        assert np.allclose(got, features_by_hand(text), atol=1e-6), text
+
+
+def test_rates_and_scores_equal_plain_loops(spark):
+    r = random.Random(8)
+    rows = [(i, text_of(i, r.randint(1, 60)) if i % 9 else "!!! ### 00", f"h{i % 4}" if i % 11 else None, f"p{i % 3}") for i in range(160)]
+    labels = [(i, int(i % 9 > 0)) for i in range(0, 160, 3)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string")
+    got = {x.doc_id: x for x in quality.quality(docs, spark.createDataFrame(labels, "doc_id bigint, quality int")).collect()}
+    known, site = dict(labels), {i: (h or "none", (h or "none", p)) for i, _, h, p in rows}
+    e = {i: float(known[i]) if i in known else x.own for i, x in got.items()}
+    rate = (sum(e.values()) + 1) / (len(e) + 2)
+
+    def sums(of):
+        out = {}
+        for i in e:
+            n, s = out.get(of(i), (0, 0.0))
+            out[of(i)] = (n + 1, s + e[i])
+        return out
+
+    def strength(groups, prior):
+        seen = sum(n * (s / n - prior(k)) ** 2 for k, (n, s) in groups.items() if n >= 2)
+        chance = sum(prior(k) * (1 - prior(k)) for k, (n, _) in groups.items() if n >= 2)
+        scale = sum((n - 1) * prior(k) * (1 - prior(k)) for k, (n, _) in groups.items() if n >= 2)
+        return min(max(1 / max((seen - chance) / scale, 1e-9) - 1, quality.WEAKEST), quality.STRONGEST)
+
+    hosts, paths = sums(lambda i: site[i][0]), sums(lambda i: site[i][1])
+    host_k = strength(hosts, lambda k: rate)
+    path_k = strength(paths, lambda k: (hosts[k[0]][1] + host_k * rate) / (hosts[k[0]][0] + host_k))
+    learned = (sum(q for _, q in labels) + 1) / (len(labels) + 2)
+    for i, x in got.items():
+        (hn, hs), (pn, ps) = hosts[site[i][0]], paths[site[i][1]]
+        host_rate = (hs - e[i] + host_k * rate) / (hn - 1 + host_k)
+        path_rate = (ps - e[i] + path_k * host_rate) / (pn - 1 + path_k)
+        odds = math.log(x.own / (1 - x.own)) - math.log(learned / (1 - learned)) + math.log(path_rate / (1 - path_rate))
+        assert x.host_rate == pytest.approx(host_rate, abs=1e-7) and x.path_rate == pytest.approx(path_rate, abs=1e-7)
+        assert x.score == pytest.approx(1 / (1 + math.exp(-odds)), abs=1e-6) and x.keep == (x.score >= 0.25)
+
+
 def test_quality_of_odd_tables(spark, odd_documents, odd_texts, no_documents):
     labels = spark.createDataFrame([(1, 1), (2, 0), (1, 0), (None, 1), (3, None), (4, 7), (99, 1)], "doc_id bigint, quality int")
     got = quality.quality(odd_documents, labels).collect()

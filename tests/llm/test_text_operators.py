@@ -121,6 +121,29 @@ def test_proximity(spark):
     assert near == {1: 1, 2: 1, 3: 0}
 
 
+
+@pytest.mark.parametrize("slop", [0, 1, 2])
+def test_proximity_equals_trying_every_start(spark, slop):
+    r = random.Random(slop)
+    texts = [(i, " ".join(r.choice("abcdef") for _ in range(r.randint(0, 14)))) for i in range(80)]
+    parts = [(i, " ".join(r.choice("abcdef") for _ in range(r.randint(1, 6)))) for i in range(12)]
+    want = {}
+    for d, text in texts:
+        words, hit, found = text.split(), set(), set()
+        for i, part in parts:
+            whole = part.split()
+            for at in range(max(1, len(whole) - 3)):
+                window = whole[at : at + 4]
+                for s in range(-slop, len(words) - len(window) + slop + 1):
+                    if all(any(0 <= p < len(words) and words[p] == w for p in range(s + o - slop, s + o + slop + 1)) for o, w in enumerate(window)):
+                        found.add(str(i))
+                        hit.update(range(max(0, s), min(len(words), s + len(window))))
+        want[d] = (sorted(found), len(hit))
+    docs, items = (spark.createDataFrame(x, f"{n} bigint, text string") for x, n in ((texts, "doc_id"), (parts, "item_id")))
+    got = {x.doc_id: (list(x["items"]), x.n_hit) for x in phrases.decontaminate(docs, items, window=4, slop=slop).collect()}
+    assert got == want and any(n for _, n in want.values())
+
+
 # ---- token counts
 
 

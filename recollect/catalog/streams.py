@@ -21,8 +21,8 @@ from recollect.streaming import queries as Q
 RATE, BURST = 1 / 43_200, 3
 BREAK = CacheConfig(breaker_failures=2, breaker_reset_s=36_000.0)
 SENSITIVE = CacheConfig(drift_delta=50.0)
-#: Order numbers per block, and maps composed at once: small enough that these tables have many blocks.
-SPREAD = {"width": 512, "fan": 4}
+#: Rows per block, and maps composed at once: small enough that the keys of these tables have several levels of blocks.
+SPREAD = {"width": 12, "fan": 2}
 
 
 def talking(spark, sf):
@@ -80,6 +80,13 @@ SELECT tenant_id, seq, allowed, round(tokens, 4) AS tokens FROM b"""
 
 @query("token_bucket", f"WITH {SQL_BUCKET}")
 def token_bucket(spark, sf):
+    out = SQ.token_bucket(I.query_log(spark, sf), RATE, BURST)
+    return out.select("tenant_id", "seq", "allowed", F.round("tokens", 4).alias("tokens"))
+
+
+@query("token_bucket_blocks", f"WITH {SQL_BUCKET}")
+def token_bucket_blocks(spark, sf):
+    """The same with every tenant cut into small blocks, whose maps are composed."""
     out = SQ.token_bucket(I.query_log(spark, sf), RATE, BURST, **SPREAD)
     return out.select("tenant_id", "seq", "allowed", F.round("tokens", 4).alias("tokens"))
 
@@ -112,6 +119,15 @@ def calls(spark, sf):
     f"WITH {SQL_BREAKER} SELECT dependency, seq, ok, seen AS state, seen = 'open' AS rejected, phase AS state_after FROM b",
 )
 def breaker_states(spark, sf):
+    return SQ.breaker_states(calls(spark, sf), BREAK)
+
+
+@query(
+    "breaker_states_blocks",
+    f"WITH {SQL_BREAKER} SELECT dependency, seq, ok, seen AS state, seen = 'open' AS rejected, phase AS state_after FROM b",
+)
+def breaker_states_blocks(spark, sf):
+    """The same with every dependency cut into small blocks, whose maps are composed."""
     return SQ.breaker_states(calls(spark, sf), BREAK, **SPREAD)
 
 
@@ -122,7 +138,7 @@ def breaker_states(spark, sf):
           max_by(phase, seq) AS state FROM b GROUP BY dependency""",
 )
 def breaker_stats(spark, sf):
-    return SQ.breaker_stats(SQ.breaker_states(calls(spark, sf), BREAK, **SPREAD))
+    return SQ.breaker_stats(SQ.breaker_states(calls(spark, sf), BREAK))
 
 
 def sql_cut(window: str, delta: float) -> str:

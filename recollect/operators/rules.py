@@ -98,10 +98,12 @@ def token_bucket(rate: float, burst: int) -> Rule:
         _, _, slope, off = next(p for p in parts(m) if p[0] <= tokens < p[1])
         return [slope * tokens + off, max(m[1], state[1] if len(state) > 1 else m[1])]
 
-    def run(state: Numbers, rows: pd.DataFrame) -> dict[str, list]:
+    def run(state: Numbers, rows: pd.DataFrame, entered: list) -> tuple[Numbers, dict[str, list]]:
         tokens, last = state if len(state) > 1 else (cap, None)
         allowed, left, wait = [], [], []
-        for at in rows["at"].tolist():
+        for at, begins in zip(rows["at"].tolist(), entered, strict=True):
+            if begins is not None:
+                tokens, last = begins if len(begins) > 1 else (cap, None)
             if last is not None and at > last:
                 tokens = min(cap, tokens + (at - last) * scale)
             last = at if last is None else max(at, last)
@@ -110,7 +112,7 @@ def token_bucket(rate: float, burst: int) -> Rule:
             allowed.append(ok)
             left.append(tokens / cost)
             wait.append(max(0, cost - tokens) / scale / 1e6)
-        return {"allowed": allowed, "tokens": left, "retry_after_s": wait}
+        return (state if last is None else [tokens, last]), {"allowed": allowed, "tokens": left, "retry_after_s": wait}
 
     return Rule([cap], mapped, composed, applied, run)
 
@@ -149,11 +151,14 @@ def breaker(failures: int, reset_s: float) -> Rule:
     def applied(m: Numbers, state: Numbers) -> Numbers:
         return list(_exit(_unpacked(m, failures), tuple(state), failures))
 
-    def run(state: Numbers, rows: pd.DataFrame) -> dict[str, list]:
+    def run(state: Numbers, rows: pd.DataFrame, entered: list) -> tuple[Numbers, dict[str, list]]:
         count, failed_at = state
-        phase = OPEN if count >= failures else CLOSED
-        seen, rejected, after, now = [], [], [], None
-        for at, ok in zip(rows["at"].tolist(), rows["ok"].tolist(), strict=True):
+        phase, now = OPEN if count >= failures else CLOSED, None
+        seen, rejected, after = [], [], []
+        for at, ok, begins in zip(rows["at"].tolist(), rows["ok"].tolist(), entered, strict=True):
+            if begins is not None:
+                count, failed_at = begins
+                phase, now = OPEN if count >= failures else CLOSED, None
             now = at if now is None else max(now, at)
             if phase == OPEN and now - failed_at >= reset:
                 phase = HALF_OPEN
@@ -165,7 +170,8 @@ def breaker(failures: int, reset_s: float) -> Rule:
                 else:
                     phase, count, failed_at = (OPEN if phase == HALF_OPEN or count + 1 >= failures else CLOSED), count + 1, now
             after.append(phase)
-        return {"state": seen, "rejected": rejected, "state_after": after}
+        end = [failures, failed_at] if phase == OPEN else [count, 0]
+        return end, {"state": seen, "rejected": rejected, "state_after": after}
 
     return Rule([0, 0], mapped, composed, applied, run)
 

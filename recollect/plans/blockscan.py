@@ -1,10 +1,11 @@
 """Sequential rules over keys of any size: blocks become maps, maps are composed, blocks are entered with their state.
 
 A rule that goes through the rows of a key one by one needs the state its predecessor left.  What a block of rows does
-to *every* state it may be entered with is a map; maps of neighbouring blocks compose to one map.  So blocks are mapped
-in parallel, composed in groups of ``FAN`` level by level until a key is one group, and the states go back down the
-same way.  Then every block is run in parallel from the state it is entered with.  No task sees more than a block of
-rows or ``FAN`` maps, also where all rows have one key.
+to *every* state it may be entered with is a map; maps of neighbouring blocks compose to one map.  So a key with many
+rows is cut into blocks, blocks are mapped in parallel, composed in groups of ``FAN`` level by level until a key is one
+group, and the states go back down the same way.  Then every block is run in parallel from the state it is entered
+with.  No task sees more than a block of rows or ``FAN`` maps, also where all rows have one key; keys with few rows are
+run as they are.
 
 Maps and states are arrays of whole numbers; times are microseconds.
 """
@@ -20,9 +21,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recollect.plans.materialize import stored
-from recollect.plans.running import by_width
+from recollect.plans.ordered import new_keys, ordered_scan
 
-#: Order numbers per block, and maps that one task composes.
+#: Rows per block, and maps that one task composes.
 WIDTH, FAN = 100_000, 256
 
 Numbers = list[int]
@@ -32,15 +33,20 @@ Numbers = list[int]
 class Rule:
     """A sequential rule: the map of a block, maps in a row, a map applied to a state, and the rows themselves.
 
-    ``mapped(rows)`` takes the columns of one block in order; ``rows(state, rows)`` returns the output columns.  The
-    state before the first row is ``start``.
+    ``mapped(rows)`` takes the columns of one block in order.  ``run(state, rows, entered)`` goes through rows of one
+    or more blocks: where ``entered`` has a state, a block begins with it.  It returns the state after the last row and
+    the output columns.  The state before the first row of a key is ``start``.
     """
 
     start: Numbers
     mapped: Callable[[pd.DataFrame], Numbers]
     composed: Callable[[Numbers, Numbers], Numbers]
     applied: Callable[[Numbers, Numbers], Numbers]
-    rows: Callable[[Numbers, pd.DataFrame], dict[str, list]]
+    run: Callable[[Numbers, pd.DataFrame, list], tuple[Numbers, dict[str, list]]]
+
+    def rows(self, state: Numbers, rows: pd.DataFrame) -> dict[str, list]:
+        """Output columns of rows that follow ``state``."""
+        return self.run(state, rows, [None] * len(rows))[1]
 
 
 def micros(ts: str | Column = "ts") -> Column:
@@ -53,13 +59,11 @@ def _blocks(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.Dat
     for batch in batches:
         if batch.empty:
             continue
-        frame = batch[keys]
-        change = (frame != frame.shift()) & ~(frame.isna() & frame.shift().isna())
-        starts = np.flatnonzero(change.any(axis=1).to_numpy())
+        starts = np.flatnonzero(new_keys(batch[keys]))
         starts = starts[starts > 0]
         for lo, hi in zip([0, *starts], [*starts, len(batch)], strict=True):
             part = batch.iloc[lo:hi]
-            if held and not _same(held[0], part, keys):
+            if held and new_keys(pd.concat([held[0].iloc[:1], part.iloc[:1]])[keys])[1]:
                 yield pd.concat(held, ignore_index=True)
                 held = []
             held.append(part)
@@ -67,10 +71,6 @@ def _blocks(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.Dat
         yield pd.concat(held, ignore_index=True)
 
 
-def _same(a: pd.DataFrame, b: pd.DataFrame, keys: list[str]) -> bool:
-    return all((x == y) or (pd.isna(x) and pd.isna(y)) for x, y in zip(a.iloc[0][keys], b.iloc[0][keys], strict=True))
-
-
 def _sorted(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.repartition(*keys).sortWithinPartitions(*keys, *order)
 
@@ -112,20 +112,33 @@ def entry_states(maps: DataFrame, keys: list[str], rule: Rule, fan: int = FAN) -
             grouped = grouped.withColumn("_enter", F.lit(None).cast("array<bigint>"))
         else:
             above = states.select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.col("_block").alias("_above"), F.col("_state").alias("_enter"))
-            same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
-            grouped = grouped.join(above, [*same, F.col("_group") == F.col("_above")], "left").drop("_above", *[f"_of_{k}" for k in keys])
+            grouped = grouped.join(above, [*_null_safe(keys), F.col("_group") == F.col("_above")], "left").drop("_above", *[f"_of_{k}" for k in keys])
         states = stored(_sorted(grouped, [*keys, "_group"], ["_block"]).mapInPandas(inside, f"{types}, _block bigint, _state array<bigint>"), "states")
     return states
 
 
-def block_scan(df: DataFrame, keys: list[str], rule: Rule, keep: list[str], added: str, width: int = WIDTH, fan: int = FAN) -> DataFrame:
-    """Columns ``keep`` and those of the rule (``added``) for each row of ``df`` in order of seq within ``keys``.
+def _null_safe(keys: list[str]) -> list[Column]:
+    return [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
+
 
-    ``seq`` is whole, unique within a key and reasonably dense; ``df`` has the columns the rule reads.
+def with_blocks(df: DataFrame, keys: list[str], width: int) -> DataFrame | None:
+    """Add ``_block``: keys with more than ``width`` rows are cut by their range of seq into about that many rows, others are block 0.
+
+    ``_cut`` tells which keys were cut; there are at most rows / width of them.  None where there are no such keys.
     """
-    src = df.withColumn("_block", by_width("seq", width))
-    types = dict(src.dtypes)
-    named = ", ".join(f"`{k}` {types[k]}" for k in keys)
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("seq").alias("_low"), F.max("seq").alias("_high")).filter(F.col("_n") > width)
+    sizes = stored(sizes.select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.ceil(F.col("_n") / width).alias("_parts"), "_low", "_high"), "large")
+    if sizes.isEmpty():
+        return None
+    joined = df.join(sizes, _null_safe(keys), "left").drop(*[f"_of_{k}" for k in keys])
+    share = (F.col("seq") - F.col("_low")) / (F.col("_high") - F.col("_low") + 1)
+    block = F.when(F.col("_parts").isNotNull(), F.floor(share * F.col("_parts"))).otherwise(0).cast("bigint")
+    return joined.select(*df.columns, block.alias("_block"), F.col("_parts").isNotNull().alias("_cut"))
+
+
+def _entered(src: DataFrame, keys: list[str], rule: Rule, fan: int) -> DataFrame:
+    """Rows with the state their block is entered with; null where their key was not cut."""
+    named = ", ".join(f"`{k}` {dict(src.dtypes)[k]}" for k in keys)
 
     def to_maps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in _blocks(batches, [*keys, "_block"]):
@@ -133,18 +146,32 @@ def block_scan(df: DataFrame, keys: list[str], rule: Rule, keep: list[str], adde
             out["_map"] = [rule.mapped(rows)]
             yield out
 
-    placed = _sorted(src, [*keys, "_block"], ["seq"])
+    placed = _sorted(src.filter("_cut"), [*keys, "_block"], ["seq"])
     states = entry_states(placed.mapInPandas(to_maps, f"{named}, _block bigint, _map array<bigint>"), keys, rule, fan)
     entered = states.select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.col("_block").alias("_at"), "_state")
-    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
-    joined = src.join(entered, [*same, F.col("_block") == F.col("_at")], "left").drop("_at", *[f"_of_{k}" for k in keys])
+    joined = src.join(entered, [*_null_safe(keys), F.col("_block") == F.col("_at")], "left")
+    return joined.drop("_at", "_cut", *[f"_of_{k}" for k in keys])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in _blocks(batches, [*keys, "_block"]):
-            out = rows[keep].copy()
-            for name, values in rule.rows([int(x) for x in rows["_state"].iloc[0]], rows).items():
-                out[name] = values
-            yield out
+
+def block_scan(df: DataFrame, keys: list[str], rule: Rule, keep: list[str], added: str, width: int = WIDTH, fan: int = FAN) -> DataFrame:
+    """Columns ``keep`` and those of the rule (``added``) for each row of ``df`` in order of seq within ``keys``.
+
+    ``seq`` is whole and unique within a key; ``df`` has the columns the rule reads.
+    """
+    types = dict(df.dtypes)
+    src = with_blocks(df, keys, width)
+    if src is None:
+        entered = df.withColumns({"_block": F.lit(0).cast("bigint"), "_state": F.lit(None).cast("array<bigint>")})
+    else:
+        entered = _entered(src, keys, rule, fan)
+
+    def advance(state: Numbers | None, rows: pd.DataFrame, fresh: np.ndarray):
+        entered: list = [None] * len(rows)
+        for i in np.flatnonzero(fresh).tolist():
+            own = rows["_state"].iloc[i]
+            entered[i] = rule.start if own is None else [int(x) for x in own]
+        state, columns = rule.run(rule.start if state is None else state, rows, entered)
+        return state, rows[keep].assign(**columns)
 
     schema = ", ".join(f"`{c}` {types[c]}" for c in keep) + ", " + added
-    return _sorted(joined, [*keys, "_block"], ["seq"]).mapInPandas(run, schema)
+    return ordered_scan(entered, [*keys, "_block"], ["seq"], advance, schema)

@@ -9,6 +9,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 
+def new_keys(frame: pd.DataFrame) -> np.ndarray:
+    """Whether each row differs from the one before; a null is a key like any other."""
+    before = frame.shift()
+    return ((frame != before) & ~(frame.isna() & before.isna())).any(axis=1).to_numpy(copy=True)
+
+
 def ordered_scan(
     df: DataFrame,
     keys: list[str],
@@ -29,9 +35,9 @@ def ordered_scan(
             if batch.empty:
                 continue
             frame = batch[keys]
-            fresh = (frame != frame.shift()).any(axis=1).to_numpy(copy=True)
-            fresh[0] = last is None or tuple(frame.iloc[0]) != last
-            last = tuple(frame.iloc[-1])
+            fresh = new_keys(frame)
+            fresh[0] = last is None or new_keys(pd.concat([last, frame.iloc[:1]]))[1]
+            last = frame.iloc[-1:]
             state, out = advance(state, batch, fresh)
             yield out
 

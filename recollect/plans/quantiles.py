@@ -12,16 +12,26 @@ from recollect.plans.spread import spread_join
 
 
 BLOCK_ROWS = 1_000_000
+#: Quantiles that are asked for together with the number of rows.
+GRID = 512
 
 
 def row_blocks(df: DataFrame, value: str, rows: int = BLOCK_ROWS) -> Column:
-    """Blocks of about ``rows`` rows each along ``value``, cut at approximate quantiles."""
-    blocks = math.ceil(df.count() / rows)
-    if blocks <= 1:
+    """Blocks of about ``rows`` rows each along ``value``, cut at approximate quantiles.
+
+    Rows and quantiles come from one pass; only more than ``GRID`` blocks take another.
+    """
+    grid = [i / GRID for i in range(1, GRID)]
+    count, found = df.agg(F.count(F.lit(1)), F.percentile_approx(value, grid)).first()
+    blocks = math.ceil(count / rows)
+    if blocks <= 1 or not found:
         return F.lit(0).cast("bigint")
-    shares = [i / blocks for i in range(1, blocks)]
-    cuts = df.agg(F.percentile_approx(value, shares, max(10_000, 20 * blocks))).first()[0]
-    return F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts or [])))), lambda c: c < F.col(value))).cast("bigint")
+    if blocks <= GRID:
+        cuts = [found[i * GRID // blocks - 1] for i in range(1, blocks)]
+    else:
+        shares = [i / blocks for i in range(1, blocks)]
+        cuts = df.agg(F.percentile_approx(value, shares, max(10_000, 20 * blocks))).first()[0]
+    return F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c < F.col(value))).cast("bigint")
 
 
 def exact_quantiles(

@@ -173,8 +173,7 @@ def bucket_rule(rate: float, burst: int) -> OrderedRule:
 
     def advance(state: tuple | None, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
         entered = rule.start if state is None else [int(x) for x in state]
-        columns = rule.rows(entered, rows)
-        after = rule.applied(rule.mapped(rows), entered)
+        after, columns = rule.run(entered, rows, [None] * len(rows))
         return tuple(after), pd.DataFrame({"seq": rows["seq"], **columns})
 
     return OrderedRule(
@@ -189,8 +188,7 @@ def breaker_rule(cfg: CacheConfig = DEFAULT) -> OrderedRule:
 
     def advance(state: tuple | None, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
         entered = rule.start if state is None else [int(x) for x in state]
-        columns = rule.rows(entered, rows)
-        after = rule.applied(rule.mapped(rows), entered)
+        after, columns = rule.run(entered, rows, [None] * len(rows))
         return tuple(after), pd.DataFrame({"seq": rows["seq"], "ok": rows["ok"], **columns})
 
     return OrderedRule(

@@ -3,12 +3,14 @@
 Documents with equal sets are first made one class.  MinHash values of a class are banded; classes that share a
 band meet.  No pair is linked before the similarity of its whole shingle sets has been computed.
 
-Two rounds keep large groups from becoming all their pairs.  In the first, a bucket (cut at random where it is
+Rounds keep large groups from becoming all their pairs.  In the first, a bucket (cut at random where it is
 large, differently in every band) proposes pairs with leaders: a class that seems similar enough to a leader
-proposes no further pairs there.  Proposed pairs are verified, and what they link becomes components.  In the
-second, every two classes that share a bucket and are still in different components meet, in a grid of cells
-where the bucket is large, and all of them whose MinHash values leave a similarity of ``floor`` possible are
-verified too.  So pairs are only passed over when a chain of verified pairs already joins them.
+proposes no further pairs there.  Each class follows one of its leaders; those pairs are verified, and what they
+link becomes components.  Then every two classes that share a bucket and are still in different components meet, in a
+grid of cells where the bucket is large.  Of those whose sizes, bitmaps (which bound how much two sets share) and MinHash
+values leave a similarity of ``floor`` possible, the most similar partner of each class is verified in the second round
+and, after what that links is joined, all that are left in the third.  So pairs are only passed over when a chain of
+verified pairs already joins them.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ _DRAWN = np.random.default_rng(SEED).integers(0, 2**64, size=(2, HASHES, 1), dty
 _FLIP, _TIMES = _DRAWN[0], _DRAWN[1] | np.uint64(1)
 #: By how much the estimated similarity of a pair may miss the floor: in the first round, and in the second (5.5 sd).
 FIRST_SLACK, SLACK = 0.05, 0.2
+#: Bits of a set's bitmap.
+BITMAP = 512
 #: Classes of one bucket that one task compares with each other or with as many others.
 BLOCK_ROWS = 2_000
 #: Rows for one task of a bucket join, and pairs of one class that travel together.
@@ -76,44 +80,60 @@ def band_keys(least: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(r.tobytes(), i) for i, r in enumerate(rows)], dtype=np.uint64).view(np.int64)
 
 
+def bitmap(found: np.ndarray) -> bytes:
+    """Parities of the shingles by hash: sets differ in at least as many shingles as their bitmaps in bits."""
+    parity = np.bincount((found >> np.uint64(13)).astype(np.int64) % BITMAP, minlength=BITMAP) & 1
+    return np.packbits(parity.astype(bool)).tobytes()
+
+
 def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, tie, class, keys, sketch) of every row: hash of the text, of its shingle set, bands, a byte per order."""
+    """(doc_id, tie, class, keys, sketch, n, bits) of every row: hash of the text, of its shingle set, bands, a byte per order, its size and bitmap."""
 
     @tidy
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, keys, bytes_of = [], [], []
+            names, keys, bytes_of, sizes, bits = [], [], [], [], []
             for text in binary_column(batch.column("text")):
                 found = shingles(text, size)
                 names.append(class_of(found))
                 least = minima(found)
                 keys.append(band_keys(least) if len(found) else np.zeros(0, dtype=np.int64))
                 bytes_of.append((least >> np.uint64(20)).astype(np.uint8).tobytes())
+                sizes.append(len(found))
+                bits.append(bitmap(found))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("tie"), pa.array(np.array(names, dtype=np.uint64).view(np.int64)),
-                 list_column(keys, pa.int64()), pa.array(bytes_of, pa.binary())],
-                names=["doc_id", "tie", "class", "keys", "sketch"],
+                 list_column(keys, pa.int64()), pa.array(bytes_of, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary())],
+                names=["doc_id", "tie", "class", "keys", "sketch", "n", "bits"],
             )
 
     kind = dict(docs.dtypes)["doc_id"]
     rows = docs.select("doc_id", F.xxhash64("text").alias("tie"), "text")
-    return rows.mapInArrow(make, f"doc_id {kind}, tie bigint, class bigint, keys array<bigint>, sketch binary")
+    return rows.mapInArrow(make, f"doc_id {kind}, tie bigint, class bigint, keys array<bigint>, sketch binary, n bigint, bits binary")
 
 
-def led_pairs(name: np.ndarray, sketch: np.ndarray, floor: float) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of leaders with what seems similar; what seems similar enough leads nothing itself."""
+def led_pairs(name: np.ndarray, sketch: np.ndarray, floor: float) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(leader, follower, agreeing hashes) of what seems similar; what seems similar enough leads nothing itself."""
     left, out = np.argsort(name), []
     while len(left) > 1:
         lead, left = left[0], left[1:]
         alike = (sketch[left] == sketch[lead]).sum(axis=1)
-        near = left[alike >= HASHES * (floor - FIRST_SLACK)]
-        out.append((np.full(len(near), name[lead]), name[near]))
+        near = alike >= HASHES * (floor - FIRST_SLACK)
+        out.append((np.full(int(near.sum()), name[lead]), name[left[near]], alike[near]))
         left = left[alike < HASHES * floor]
     return out
 
 
-def crossing_pairs(name, component, sketch, first, second, floor: float) -> list[tuple[np.ndarray, np.ndarray]]:
+def possible(n: np.ndarray, bits: np.ndarray, a: int, b: np.ndarray, floor: float) -> np.ndarray:
+    """Which of ``b`` can be similar enough to ``a``: sizes and differing bits bound how much sets share."""
+    need = np.ceil(floor * (n[a] + n[b]) / (1 + floor) - 1e-9)
+    differ = np.bitwise_count(bits[b] ^ bits[a]).sum(axis=1, dtype=np.int64)
+    return (np.minimum(n[a], n[b]) >= need) & (differ <= n[a] + n[b] - 2 * need)
+
+
+def crossing_pairs(c: dict[str, np.ndarray], sketch: np.ndarray, first, second, floor: float) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Pairs of a place in ``first`` and one in ``second`` that may reach the floor and are of different components."""
+    name, component = c["class"], c["component"]
     out, others = [], {}
     same_cell = first is second
     for a in first:
@@ -124,13 +144,16 @@ def crossing_pairs(name, component, sketch, first, second, floor: float) -> list
         if same_cell:
             b = b[name[b] > name[a]]
         if len(b):
-            b = b[(sketch[b] == sketch[a]).sum(axis=1) >= HASHES * (floor - SLACK)]
-            out.append((np.full(len(b), name[a]), name[b]))
+            b = b[possible(c["n"], c["bits"], a, b, floor)]
+        if len(b):
+            alike = (sketch[b] == sketch[a]).sum(axis=1)
+            near = alike >= HASHES * (floor - SLACK)
+            out.append((np.full(int(near.sum()), name[a]), name[b[near]], alike[near]))
     return out
 
 
 def _cells(names: list[str], rows: DataFrame, pairs_of) -> DataFrame:
-    """Pairs (a, b), a < b, that ``pairs_of`` finds in each group of ``names`` among ``rows``."""
+    """Pairs (a, b, alike), a < b, that ``pairs_of`` finds in each group of ``names`` among ``rows``."""
 
     @released
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,17 +163,21 @@ def _cells(names: list[str], rows: DataFrame, pairs_of) -> DataFrame:
         whole = pa.Table.from_batches(held)
         group = np.column_stack([whole.column(n).to_numpy().astype(np.int64) for n in names])
         sketch = np.frombuffer(b"".join(whole.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, HASHES)
-        rest = {n: whole.column(n).to_numpy() for n in whole.column_names if n != "sketch"}
+        rest = {n: whole.column(n).to_numpy() for n in whole.column_names if n not in ("sketch", "bits")}
+        if "bits" in whole.column_names:
+            rest["bits"] = np.frombuffer(b"".join(whole.column("bits").to_pylist()), dtype=np.uint64).reshape(-1, BITMAP // 64)
         _, group = np.unique(group, axis=0, return_inverse=True)
         group = group.ravel()
         order = np.argsort(group, kind="stable")
         for places in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
             found = pairs_of(places, rest, sketch) if len(places) > 1 else []
             if found:
-                a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                a, b, alike = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(alike.astype(np.int64))], names=["a", "b", "alike"]
+                )
 
-    return rows.mapInArrow(compare, "a bigint, b bigint").distinct()
+    return rows.mapInArrow(compare, "a bigint, b bigint, alike bigint")
 
 
 def _tasks(df: DataFrame, rows: int) -> int:
@@ -204,25 +231,39 @@ def links(docs: DataFrame, classes: DataFrame, size: int, floor: float, block_ro
     part = F.pmod(F.xxhash64("class", "bucket"), F.col("cuts")).cast("int")
     dealt = members.select("bucket", part.alias("part"), "class", "sketch").repartition(_tasks(docs, rows), "bucket", "part")
     pairs = _cells(["bucket", "part"], dealt, lambda at, c, s: led_pairs(c["class"][at], s[at], floor))
-    first = verified(stored(pairs, "pairs"), docs, classes, size, floor)
-
-    joined = smallest_reachable(first).select(F.col("node").alias("class"), "component")
+    # each class follows the leader that seems most similar
+    led = pairs.groupBy("b").agg(F.min(F.struct((-F.col("alike")).alias("order"), "a")).alias("best")).select("best.a", "b")
+    first = verified(stored(led.select("a", "b"), "pairs"), docs, classes, size, floor)
+
+    edges = first
+    for every in (False, True):
+        pairs = _crossing(docs, classes, members, edges, rows, floor)
+        if not every:  # first only the most similar partner of each class, which joins most of what belongs together
+            both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "alike"))
+            best = both.groupBy("a").agg(F.min(F.struct((-F.col("alike")).alias("order"), "b")).alias("best")).select("a", "best.b")
+            pairs = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        edges = edges.unionByName(verified(stored(pairs.select("a", "b").distinct(), "pairs"), docs, classes, size, floor))
+    return edges
+
+
+def _crossing(docs: DataFrame, classes: DataFrame, members: DataFrame, edges: DataFrame, rows: int, floor: float) -> DataFrame:
+    """Pairs (a, b, alike) that share a bucket, may reach the floor and are not joined by ``edges``."""
+    joined = smallest_reachable(edges).select(F.col("node").alias("class"), "component")
     now = members.select("bucket", "class", "cuts").join(joined, "class", "left").withColumn("component", F.coalesce("component", "class"))
     now = stored(now, "members")
     mixed = now.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    now = now.join(if_small(stored(mixed.select("bucket"), "mixed"), 1_000_000), "bucket").join(classes.select("class", "sketch"), "class")
+    now = now.join(if_small(stored(mixed.select("bucket"), "mixed"), 1_000_000), "bucket").join(classes.select("class", "sketch", "n", "bits"), "class")
     mine = F.pmod(F.xxhash64("class"), F.col("cuts")).cast("int")
     cells = now.select("*", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("other"))
-    cells = cells.select("bucket", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "class", "component", "sketch")
+    cells = cells.select("bucket", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "class", "component", "sketch", "n", "bits")
     cells = cells.repartition(_tasks(docs, rows), "bucket", "low", "high")
 
     def crossing(at, c, s):
         first, second = at[c["mine"][at] == c["low"][at]], at[c["mine"][at] == c["high"][at]]
         inside = c["low"][at[0]] == c["high"][at[0]]
-        return crossing_pairs(c["class"], c["component"], s, first, first if inside else second, floor)
+        return crossing_pairs(c, s, first, first if inside else second, floor)
 
-    pairs = stored(_cells(["bucket", "low", "high"], cells, crossing), "pairs")
-    return first.unionByName(verified(pairs, docs, classes, size, floor))
+    return stored(_cells(["bucket", "low", "high"], cells, crossing), "crossing")
 
 
 def near_copies(docs: DataFrame, floor: float = 0.8, size: int = 5, id_col: str = "doc_id", text_col: str = "text", block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -235,7 +276,8 @@ def near_copies(docs: DataFrame, floor: float = 0.8, size: int = 5, id_col: str
     rows = narrow(docs, doc_id=id_col, text=text_col)
     prints = stored(sketches(rows, size), "sketches")
     classes = prints.groupBy("class").agg(
-        F.min("doc_id").cast("bigint").alias("node"), F.min("tie").alias("tie"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")
+        F.min("doc_id").cast("bigint").alias("node"), F.min("tie").alias("tie"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"),
+        F.first("n").alias("n"), F.first("bits").alias("bits"),
     )
     classes = stored(classes.filter("node is not null"), "classes")
     found = links(rows, classes, size, floor, block_rows)

@@ -20,8 +20,9 @@ In Spark terms:
 
 A group of many near copies must not become all its pairs.  Before the merge, members of a long list follow a leader:
 in each random part of the list, the first set that they may be similar to.  Every set keeps its lowest leader, that
-pair is probed, and what is linked becomes components.  The merge then only takes pairs of different components, so a
-pair is passed over only when probed links already join it.
+pair is probed, and what is linked becomes components.  The merge then only takes pairs of different components, and
+probes first the one of each set whose bitmap differs least, then what is still not joined.  So a pair is passed over
+only when probed links already join it.
 """
 
 from __future__ import annotations
@@ -143,6 +144,9 @@ def posted_sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return rows.mapInArrow(make, f"doc_id {kind}, tie bigint, class bigint, n bigint, lists array<bigint>, bits binary")
 
 
+FOUND = "a bigint, b bigint, least bigint, differ bigint"
+
+
 class Postings:
     """Columns of the postings a task compares, and which pairs of their places may be similar enough."""
 
@@ -151,6 +155,10 @@ class Postings:
         self.name, self.n, self.at = (whole.column(c).to_numpy() for c in ("class", "n", "pos"))
         self.bits = np.frombuffer(b"".join(whole.column("bits").to_pylist()), dtype=np.uint64).reshape(-1, BITMAP // 64)
 
+    def differ(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Bits in which the bitmaps differ: no more than the elements that are in one set only."""
+        return np.bitwise_count(self.bits[a] ^ self.bits[b]).sum(axis=1, dtype=np.int64)
+
     def possible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Which pairs of places can share enough, given sizes, places on the lists, and bitmaps."""
         na, nb = self.n[a], self.n[b]
@@ -160,8 +168,7 @@ class Postings:
         out = (np.minimum(na, nb) >= need) & (rest >= need)
         left = np.flatnonzero(out)
         if len(left):
-            differ = np.bitwise_count(self.bits[a[left]] ^ self.bits[b[left]]).sum(axis=1, dtype=np.int64)
-            out[left] = differ <= na[left] + nb[left] - 2 * need[left]
+            out[left] = self.differ(a[left], b[left]) <= na[left] + nb[left] - 2 * need[left]
         return out
 
 
@@ -220,14 +227,16 @@ def pairs_across(p: Postings, first: np.ndarray, second: np.ndarray, component:
 
 
 def _pairs(p: Postings, found: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    """Batches (a, b, least) of class pairs, a < b, and on how many short lists they meet if they are similar enough."""
+    """Batches (a, b, least, differ) of class pairs, a < b, on how many short lists they meet if they are similar enough, and differing bits."""
     left, right, rows = [], [], 0
 
     def batch() -> pa.RecordBatch:
         a, b = np.concatenate(left), np.concatenate(right)
         least = np.minimum(FOUND_ON, least_needed(np.minimum(p.n[a], p.n[b]), p.percent))
-        a, b = p.name[a], p.name[b]
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(least)], names=["a", "b", "least"])
+        differ, a, b = p.differ(a, b), p.name[a], p.name[b]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(least), pa.array(differ)], names=["a", "b", "least", "differ"]
+        )
 
     for a, b in found:
         if len(a):
@@ -327,13 +336,13 @@ def links(docs: DataFrame, classes: DataFrame, size: int, percent: int, block_ro
 
     part = F.pmod(F.xxhash64("class", "list"), F.col("cuts")).cast("int")
     long = members.filter(F.col("rows") > SHORT_ROWS).select("list", part.alias("part"), "class", "pos", "n", "bits")
-    led = long.repartition(_tasks(docs, rows), "list", "part").mapInArrow(lead, "a bigint, b bigint, least bigint")
+    led = long.repartition(_tasks(docs, rows), "list", "part").mapInArrow(lead, FOUND)
     led = stored(led.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "led")
     first = probed(led, docs, classes, size, percent)
 
     # the merge, over pairs that are not joined yet
     joined = smallest_reachable(first).select(F.col("node").alias("class"), "component")
-    now = members.join(joined, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    now = members.join(if_small(stored(joined, "joined"), SMALL), "class", "left").withColumn("component", F.coalesce("component", "class"))
     now = stored(now, "members")
     mixed = now.groupBy("list").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
     now = now.join(stored(mixed.select("list"), "mixed"), "list", "left_semi")
@@ -363,10 +372,21 @@ def links(docs: DataFrame, classes: DataFrame, size: int, percent: int, block_ro
 
         yield from _pairs(p, found())
 
-    met = cells.repartition(_tasks(docs, rows), "list", "low", "high").mapInArrow(merge, "a bigint, b bigint, least bigint")
-    met = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("lists"), F.first("least").alias("least"))
-    candidates = stored(met.filter("lists >= least").select("a", "b"), "candidates")
-    return first.unionByName(probed(candidates, docs, classes, size, percent))
+    met = cells.repartition(_tasks(docs, rows), "list", "low", "high").mapInArrow(merge, FOUND)
+    met = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("lists"), F.first("least").alias("least"), F.first("differ").alias("differ"))
+    candidates = stored(met.filter("lists >= least").select("a", "b", "differ"), "candidates")
+    # the candidate that differs least for each set, then those that are not joined yet
+    both = candidates.unionByName(candidates.select(F.col("b").alias("a"), F.col("a").alias("b"), "differ"))
+    best = both.groupBy("a").agg(F.min(F.struct("differ", "b")).alias("best")).select("a", "best.b")
+    best = stored(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "best")
+    edges = first.unionByName(probed(best, docs, classes, size, percent))
+    joined = if_small(stored(smallest_reachable(edges).select("node", "component"), "joined"), SMALL)
+    rest = candidates.select("a", "b")
+    for side in ("a", "b"):
+        named = joined.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}"))
+        rest = rest.join(named, side, "left").withColumn(f"of_{side}", F.coalesce(f"of_{side}", side))
+    rest = stored(rest.filter("of_a <> of_b").select("a", "b"), "rest")
+    return edges.unionByName(probed(rest, docs, classes, size, percent))
 
 
 def similar_documents(

@@ -131,8 +131,11 @@ def possible(n: np.ndarray, bits: np.ndarray, a: int, b: np.ndarray, floor: floa
     return (np.minimum(n[a], n[b]) >= need) & (differ <= n[a] + n[b] - 2 * need)
 
 
-def crossing_pairs(c: dict[str, np.ndarray], sketch: np.ndarray, first, second, floor: float) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Pairs of a place in ``first`` and one in ``second`` that may reach the floor and are of different components."""
+def crossing_pairs(c: dict[str, np.ndarray], sketch: np.ndarray, first, second, floor: float, every: bool = True) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of a place in ``first`` and one in ``second`` that may reach the floor and are of different components.
+
+    Without ``every`` only the most similar one for each place of ``first``.
+    """
     name, component = c["class"], c["component"]
     out, others = [], {}
     same_cell = first is second
@@ -148,7 +151,11 @@ def crossing_pairs(c: dict[str, np.ndarray], sketch: np.ndarray, first, second,
         if len(b):
             alike = (sketch[b] == sketch[a]).sum(axis=1)
             near = alike >= HASHES * (floor - SLACK)
-            out.append((np.full(int(near.sum()), name[a]), name[b[near]], alike[near]))
+            b, alike = b[near], alike[near]
+            if not every and len(b):
+                best = np.lexsort((name[b], -alike))[:1]
+                b, alike = b[best], alike[best]
+            out.append((np.full(len(b), name[a]), name[b], alike))
     return out
 
 
@@ -237,7 +244,7 @@ def links(docs: DataFrame, classes: DataFrame, size: int, floor: float, block_ro
 
     edges = first
     for every in (False, True):
-        pairs = _crossing(docs, classes, members, edges, rows, floor)
+        pairs = _crossing(docs, classes, members, edges, rows, floor, every)
         if not every:  # first only the most similar partner of each class, which joins most of what belongs together
             both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "alike"))
             best = both.groupBy("a").agg(F.min(F.struct((-F.col("alike")).alias("order"), "b")).alias("best")).select("a", "best.b")
@@ -246,7 +253,7 @@ def links(docs: DataFrame, classes: DataFrame, size: int, floor: float, block_ro
     return edges
 
 
-def _crossing(docs: DataFrame, classes: DataFrame, members: DataFrame, edges: DataFrame, rows: int, floor: float) -> DataFrame:
+def _crossing(docs: DataFrame, classes: DataFrame, members: DataFrame, edges: DataFrame, rows: int, floor: float, every: bool) -> DataFrame:
     """Pairs (a, b, alike) that share a bucket, may reach the floor and are not joined by ``edges``."""
     joined = smallest_reachable(edges).select(F.col("node").alias("class"), "component")
     now = members.select("bucket", "class", "cuts").join(joined, "class", "left").withColumn("component", F.coalesce("component", "class"))
@@ -261,7 +268,7 @@ def _crossing(docs: DataFrame, classes: DataFrame, members: DataFrame, edges: Da
     def crossing(at, c, s):
         first, second = at[c["mine"][at] == c["low"][at]], at[c["mine"][at] == c["high"][at]]
         inside = c["low"][at[0]] == c["high"][at[0]]
-        return crossing_pairs(c, s, first, first if inside else second, floor)
+        return crossing_pairs(c, s, first, first if inside else second, floor, every)
 
     return stored(_cells(["bucket", "low", "high"], cells, crossing), "crossing")
 

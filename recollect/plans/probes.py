@@ -6,6 +6,10 @@ a probability of holding a neighbour at similarity ``floor`` (planes taken as in
 query as normal, with the logistic curve for its distribution).  The query visits the buckets of all tables by
 decreasing probability until the chance to meet the neighbour in one of them reaches ``reach``.  Tables are not quite
 independent either, so ``reach`` is asked for above the recall that is wanted (0.95 for 0.9).
+
+A query visits thousands of buckets where the floor is low.  As it visits them in one order, the last one says which
+they are: ``Visits`` tells for a pair whether the entry's bucket in any table comes no later, so that nothing is sent
+or held for each bucket.
 """
 
 from __future__ import annotations
@@ -30,6 +34,8 @@ DIGITS = 9
 #: Least chance of a miss in a table, so that its logarithm is finite.
 LEAST = 1e-12
 STRIP = 64
+#: Vectors or pairs looked at together inside a cell.
+SLICE = 16_384
 
 
 @dataclass(frozen=True)
@@ -68,15 +74,20 @@ def buckets_of(vectors: np.ndarray, normals: np.ndarray) -> np.ndarray:
     return ((np.einsum("nd,tbd->ntb", vectors, normals) > 0) * weights).sum(axis=2).astype(np.int32)
 
 
-def visited(vectors: np.ndarray, normals: np.ndarray, p: Probes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, table, bucket) of all buckets the unit ``vectors`` visit."""
-    n, bits = len(vectors), p.bits
+def crossings(vectors: np.ndarray, normals: np.ndarray, p: Probes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per unit vector and table: its bucket, and per plane the chance that a neighbour lies across, and planes from the weakest on."""
     inner = np.einsum("nd,tbd->ntb", vectors, normals)
-    home = ((inner > 0) * (1 << np.arange(bits))).sum(axis=2)
+    home = ((inner > 0) * (1 << np.arange(p.bits))).sum(axis=2)
     margin = np.minimum(np.abs(inner), 1.0)
     spread = math.sqrt(max(1e-12, 1 - p.floor**2)) * np.sqrt(np.maximum(1e-12, 1 - margin**2) / max(1, p.dim - 1))
     cross = 1 / (1 + np.exp(np.minimum(LOGISTIC * p.floor * margin / spread, 500.0)))
-    order = np.argsort(-cross, axis=2, kind="stable")
+    return home, cross, np.argsort(-cross, axis=2, kind="stable")
+
+
+def _by_chance(vectors: np.ndarray, normals: np.ndarray, p: Probes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Per query, in the order of visits: chance, table and bucket, and whether it is visited."""
+    n, bits = len(vectors), p.bits
+    home, cross, order = crossings(vectors, normals, p)
     chance = np.ones((n, p.tables, 1))
     bucket = home[:, :, None]
     for i in range(bits):
@@ -99,11 +110,86 @@ def visited(vectors: np.ndarray, normals: np.ndarray, p: Probes) -> tuple[np.nda
     order = np.lexsort((flat[1], flat[2], -flat[0]))
     chance, bucket, table, gain = (np.take_along_axis(x, order, 1) for x in flat)
     before = np.round(np.cumsum(gain, axis=1) - gain, DIGITS)
-    take = (before < round(-math.log(1 - p.reach), DIGITS)) & (chance > 0)
+    return chance, table, bucket, (before < round(-math.log(1 - p.reach), DIGITS)) & (chance > 0)
+
+
+def visited(vectors: np.ndarray, normals: np.ndarray, p: Probes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, table, bucket) of all buckets the unit ``vectors`` visit."""
+    _, table, bucket, take = _by_chance(vectors, normals, p)
     rows, cols = np.nonzero(take)
     return rows, table[rows, cols], bucket[rows, cols]
 
 
+def last_visits(vectors: np.ndarray, normals: np.ndarray, p: Probes) -> np.ndarray:
+    """Chance, table and bucket of the last bucket each unit vector visits; a chance above 1 where it visits none."""
+    chance, table, bucket, take = _by_chance(vectors, normals, p)
+    many = take.sum(axis=1)
+    at = np.maximum(many - 1, 0)[:, None]
+    last = [np.take_along_axis(x, at, 1)[:, 0] for x in (chance, table, bucket)]
+    return np.stack([np.where(many > 0, last[0], 2.0), last[1], last[2]], axis=1)
+
+
+def unit_rows(vectors: np.ndarray) -> np.ndarray:
+    size = np.linalg.norm(vectors, axis=1, keepdims=True)
+    return np.divide(vectors, size, out=vectors.copy(), where=size > 0)
+
+
+class Visits:
+    """Admission of the pairs whose query visits a bucket of the entry."""
+
+    def __init__(self, p: Probes):
+        self.p, self.normals = p, planes(p)
+
+    def of_entries(self, vectors: np.ndarray, order: np.ndarray) -> np.ndarray:
+        strips = [buckets_of(unit_rows(vectors[at : at + SLICE]), self.normals) for at in range(0, len(vectors), SLICE)]
+        return np.concatenate(strips)
+
+    def of_queries(self, vectors: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, ...]:
+        home, cross, order = crossings(unit_rows(vectors), self.normals, self.p)
+        return home, np.take_along_axis(cross, order, 2), order, asked
+
+    def columns(self, entries: np.ndarray, queries: tuple[np.ndarray, ...]) -> None:
+        return None
+
+    def pairs(self, entries: np.ndarray, queries: tuple[np.ndarray, ...], rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+        met = np.zeros(len(rows), dtype=bool)
+        for table in range(self.p.tables):
+            for at in range(0, len(rows), SLICE):
+                left = at + np.flatnonzero(~met[at : at + SLICE])
+                met[left] = self._in_table(entries[cols[left], table], queries, rows[left], table)
+        return met
+
+    def _in_table(self, own: np.ndarray, queries: tuple[np.ndarray, ...], rows: np.ndarray, table: int) -> np.ndarray:
+        home, cross, order, asked = queries
+        across = home[rows, table] ^ own
+        chance = np.ones(len(rows))
+        for i in range(self.p.bits):
+            one, other = cross[rows, table, i], (across >> order[rows, table, i]) & 1 > 0
+            chance = chance * np.where(other, one if i < WEAK_BITS else 0.0, 1 - one)
+        chance = np.round(chance, DIGITS)
+        least, last_table, last_bucket = asked[rows].T
+        in_time = (table < last_table) | ((table == last_table) & (own <= last_bucket))
+        return (chance > 0) & ((chance > least) | ((chance == least) & in_time))
+
+
+def last_visit(vector: Column, p: Probes) -> Column:
+    """array<double>: what ``Visits`` needs to know of a query that has a vector."""
+    normals = planes(p)
+
+    @F.arrow_udf("array<double>")
+    def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            known = batch.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) > 0
+            found = [np.zeros((0, 3))]
+            vectors = _unit(batch.filter(pa.array(known))) if known.any() else np.zeros((0, p.dim))
+            for at in range(0, len(vectors), STRIP):
+                found.append(last_visits(vectors[at : at + STRIP], normals, p))
+            ends = np.concatenate([[0], np.cumsum(3 * known)]).astype(np.int32)
+            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).ravel()), mask=pa.array(~known))
+
+    return find(vector)
+
+
 def _unit(col: pa.Array) -> np.ndarray:
     v = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(col), -1)
     size = np.linalg.norm(v, axis=1, keepdims=True)

@@ -5,6 +5,9 @@ entry, the longest of its vectors and the lowest similarity any of its entries a
 nearer to a query than the angle to the centre less that radius, so a query is sent to a cluster only where that
 leaves the similarity possible which it needs: the cluster's own limit and, where it has looked into its nearest
 cluster first, its k-th best similarity there.  The rows that come out are those of the join over all blocks.
+
+Clusters that lie together are packed into parts of many entries.  A query is sent once to a part with any cluster it
+needs, and told apart inside: a task compares it with the clusters that may hold a match.
 """
 
 from __future__ import annotations
@@ -19,12 +22,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recollect.plans.materialize import stored
-from recollect.plans.similarity import ENTRY_BLOCK, best_matches
+from recollect.plans.similarity import CELL, ENTRY_BLOCK, PARTS, SPLIT, best_matches
 
 #: Cosines closer than this count as equal, towards visiting.
 SLACK = 1e-6
 #: Entries drawn for each centre.
 DRAWN = 8
+#: Rows compared with all clusters together.
+STRIP = 256
 
 
 @dataclass(frozen=True)
@@ -38,12 +43,13 @@ class Blocks:
 
 @dataclass(frozen=True)
 class Clusters:
-    """Unit centres, and per cluster the cosine of its radius, its longest vector and its lowest limit."""
+    """Unit centres, and per cluster the cosine of its radius, its longest vector, its lowest limit and its part."""
 
     centres: np.ndarray
     cosine: np.ndarray
     length: np.ndarray
     limit: np.ndarray
+    part: np.ndarray
 
     def best_possible(self, queries: np.ndarray) -> np.ndarray:
         """The highest similarity an entry of each cluster can have to each query."""
@@ -55,6 +61,36 @@ class Clusters:
     def admitted(self, queries: np.ndarray, need: np.ndarray) -> np.ndarray:
         return self.best_possible(queries) + SLACK >= np.maximum(self.limit[None, :], need[:, None])
 
+    # Admission of the pairs of a cell: of_entries gives the cluster of each entry, of_queries the clusters each needs.
+
+    def of_entries(self, vectors: np.ndarray, order: np.ndarray) -> np.ndarray:
+        return order
+
+    def of_queries(self, vectors: np.ndarray, asked: np.ndarray) -> np.ndarray:
+        return self.admitted(vectors, asked[:, 0])
+
+    def columns(self, entries: np.ndarray, queries: np.ndarray) -> np.ndarray | None:
+        needed = queries.any(axis=0)[entries]
+        return None if needed.all() else np.flatnonzero(needed)
+
+    def pairs(self, entries: np.ndarray, queries: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+        return queries[rows, entries[cols]]
+
+
+def parts_of(centres: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Part of each cluster: clusters from one that is left on to those nearest to it, until a part is full."""
+    total = int(sizes.sum())
+    many = max(math.ceil(total / CELL), min(PARTS, math.ceil(total / (CELL // SPLIT))), 1)
+    part, room = np.full(len(centres), -1, dtype=np.int64), math.ceil(total / many)
+    for number in range(many):
+        left = np.flatnonzero(part < 0)
+        if not len(left):
+            break
+        order = left[np.argsort(-(centres[left] @ centres[left[0]]), kind="stable")]
+        held = np.cumsum(sizes[order]) - sizes[order]
+        part[order if number == many - 1 else order[held < room]] = number
+    return part
+
 
 def _matrix(col: pa.Array) -> np.ndarray:
     return col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(col), -1)
@@ -66,26 +102,37 @@ def nearest_centre(vector: Column, centres: np.ndarray) -> Column:
     @F.arrow_udf("struct<cluster: int, cosine: double, length: double>")
     def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            v = _matrix(batch)
-            size = np.linalg.norm(v, axis=1)
-            inner = np.divide(v @ centres.T, size[:, None], out=np.zeros((len(v), len(centres))), where=size[:, None] > 0)
-            own = inner.argmax(axis=1)
-            yield pa.StructArray.from_arrays(
-                [pa.array(own, pa.int32()), pa.array(inner[np.arange(len(v)), own]), pa.array(size)], names=["cluster", "cosine", "length"]
-            )
+            vectors = _matrix(batch)
+            own, cosine = np.zeros(len(vectors), np.int32), np.zeros(len(vectors))
+            size = np.linalg.norm(vectors, axis=1)
+            for at in range(0, len(vectors), STRIP):
+                rows = slice(at, at + STRIP)
+                v, long = vectors[rows], size[rows, None]
+                inner = np.divide(v @ centres.T, long, out=np.zeros((len(v), len(centres))), where=long > 0)
+                own[rows] = inner.argmax(axis=1)
+                cosine[rows] = inner[np.arange(len(v)), own[rows]]
+            yield pa.StructArray.from_arrays([pa.array(own), pa.array(cosine), pa.array(size)], names=["cluster", "cosine", "length"])
 
     return find(vector)
 
 
 def visited_clusters(vector: Column, need: Column, clusters: Clusters) -> Column:
-    """array<int>: the clusters that may hold an entry as similar as needed."""
+    """struct<clusters, parts>: how many clusters may hold an entry as similar as needed, and the parts they lie in."""
 
-    @F.arrow_udf("array<int>")
+    @F.arrow_udf("struct<clusters: int, parts: array<int>>")
     def find(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        in_part = np.eye(int(clusters.part.max()) + 1, dtype=np.float32)[clusters.part]
         for vectors, needs in batches:
-            rows, found = np.nonzero(clusters.admitted(_matrix(vectors), needs.to_numpy(zero_copy_only=False)))
-            ends = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(vectors)))]).astype(np.int32)
-            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(found, pa.int32()))
+            v, least = _matrix(vectors), needs.to_numpy(zero_copy_only=False)
+            many, ends, found = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)], [np.zeros(0, np.int64)]
+            for at in range(0, len(v), STRIP):
+                admitted = clusters.admitted(v[at : at + STRIP], least[at : at + STRIP])
+                many.append(admitted.sum(axis=1).astype(np.int32))
+                rows, parts = np.nonzero(admitted.astype(np.float32) @ in_part > 0)
+                ends.append(ends[-1][-1] + np.cumsum(np.bincount(rows, minlength=len(admitted))))
+                found.append(parts)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(ends).astype(np.int32)), pa.array(np.concatenate(found), pa.int32()))
+            yield pa.StructArray.from_arrays([pa.array(np.concatenate(many)), lists], names=["clusters", "parts"])
 
     return find(vector, need)
 
@@ -124,12 +171,12 @@ def clustered(
     placed = known.withColumn("_near", nearest_centre(F.col(vector), centres)).withColumn("_cluster", F.col("_near.cluster"))
     placed = stored(placed, "clusters")
     stats = placed.groupBy("_cluster").agg(
-        F.min("_near.cosine").alias("cosine"), F.max("_near.length").alias("length"), F.min("_limit").alias("limit")
+        F.min("_near.cosine").alias("cosine"), F.max("_near.length").alias("length"), F.min("_limit").alias("limit"), F.count(F.lit(1)).alias("n")
     )
-    cosine, length, least = (np.full(len(centres), x) for x in (1.0, 0.0, np.inf))
+    cosine, length, least, sizes = (np.full(len(centres), x) for x in (1.0, 0.0, np.inf, 0.0))
     for r in stats.collect():  # one row per centre
-        cosine[r["_cluster"]], length[r["_cluster"]], least[r["_cluster"]] = r.cosine, r.length, r.limit
-    return placed.drop("_near"), Clusters(centres, cosine, length, least)
+        cosine[r["_cluster"]], length[r["_cluster"]], least[r["_cluster"]], sizes[r["_cluster"]] = r.cosine, r.length, r.limit, r.n
+    return placed.drop("_near"), Clusters(centres, cosine, length, least, parts_of(centres, sizes))
 
 
 def bounded_matches(
@@ -158,12 +205,17 @@ def bounded_matches(
     if clusters is None:
         return best_matches(queries, placed, k, group=group, **same)
     known = with_vector(queries, vector)
-    home = known.withColumn("_cluster", nearest_centre(F.col(vector), clusters.centres)["cluster"])
+    home = stored(known.withColumn("_cluster", nearest_centre(F.col(vector), clusters.centres)["cluster"]), "homes")
     near = best_matches(home, placed, k, group=["_cluster", *group], **same)
     need = near.filter(F.col("rank") == k).select(F.col("query_id").alias(query_id), F.col("similarity").alias("_need"))
-    asking = known.join(need, query_id, "left").withColumn("_need", F.coalesce("_need", F.lit(-2.0)))
-    sent = asking.withColumn("_cluster", F.explode(visited_clusters(F.col(vector), F.col("_need"), clusters))).drop("_need")
-    return best_matches(sent, placed, k, group=["_cluster", *group], **same)
+    asking = home.join(need, query_id, "left").withColumn("_need", F.coalesce("_need", F.lit(-2.0)))
+    visits = visited_clusters(F.col(vector), F.col("_need"), clusters)["parts"]
+    asked = {"_asked": F.array("_need"), "_order": F.col("_cluster")}
+    sent = stored(asking.withColumns(asked | {"_parts": visits}).drop("_need", "_cluster"), "sent")
+    sent = sent.withColumn("_part", F.explode("_parts")).drop("_parts")
+    parts = F.lit(clusters.part.tolist())[F.col("_cluster")].cast("int")
+    held = placed.withColumns({"_part": parts, "_order": F.col("_cluster")})
+    return best_matches(sent, held, k, group=["_part", *group], admit=clusters, **same)
 
 
 def cells_formed(
@@ -177,7 +229,7 @@ def cells_formed(
         many = 1
     else:
         many = len(clusters.centres)
-        cells = F.coalesce(F.sum(F.size("_visits").cast("bigint")), F.lit(0))
-        known = known.withColumn("_visits", visited_clusters(F.col(vector), F.lit(-2.0), clusters))
+        cells = F.coalesce(F.sum(F.col("_visits").cast("bigint")), F.lit(0))
+        known = known.withColumn("_visits", visited_clusters(F.col(vector), F.lit(-2.0), clusters)["clusters"])
     row = known.agg(F.count(F.lit(1)).alias("queries"), F.lit(many).cast("bigint").alias("clusters"), cells.alias("cells"))
     return row.withColumn("share", F.col("cells") / F.greatest(F.col("queries") * F.col("clusters"), F.lit(1)))

@@ -172,3 +172,72 @@ def test_order_with_gaps_ties_and_nulls(spark):
     q, e = sides(df)
     got = pairs(SI.best_matches(q, e, 10, earlier_only=True, entry_block=1, query_block=1), ("query_id", "entry_id"))
     assert got == sorted((a, b) for a, s, _ in rows for b, t, _ in rows if s is not None and t is not None and t < s)
+
+
+# ---- what is sent
+
+
+@pytest.mark.parametrize(("bits", "tables", "floor"), [(1, 1, 0.5), (6, 4, 0.3), (12, 3, 0.2)])
+def test_the_last_visit_tells_all_visits(bits, tables, floor):
+    rng = np.random.default_rng(bits)
+    p = PR.Probes(DIM, tables, bits, floor)
+    q, e = unit(rng.standard_normal((40, DIM))), unit(rng.standard_normal((300, DIM)))
+    own = PR.buckets_of(e, PR.planes(p))
+    rows, table, bucket = PR.visited(q, PR.planes(p), p)
+    want = np.zeros((len(q), len(e)), dtype=bool)
+    for r, t, b in zip(rows, table, bucket, strict=True):
+        want[r] |= own[:, t] == b
+    visits = PR.Visits(p)
+    asking = visits.of_queries(q, PR.last_visits(q, PR.planes(p), p))
+    r, c = (x.ravel() for x in np.indices(want.shape))
+    assert np.array_equal(visits.pairs(visits.of_entries(e, np.zeros(len(e))), asking, r, c).reshape(want.shape), want) and not want.all()
+
+
+def test_probes_and_blocks_send_a_query_once_per_part(spark, monkeypatch):
+    """Before, a query was sent once per bucket or cluster it needs: here 30 times and more."""
+    rng = np.random.default_rng(21)
+    q, e = sides(frame(spark, unit(rng.standard_normal((300, DIM)))))
+    sent = spark.sparkContext.accumulator(0)
+    kernel = SI._cell_kernel
+
+    def counting(*args):
+        run = kernel(*args)
+
+        def counted(batches):
+            def told():
+                for b in batches:
+                    sent.add(b.num_rows)
+                    yield b
+
+            return run(told())
+
+        return counted
+
+    monkeypatch.setattr(SI, "_cell_kernel", counting)
+    assert L.nearest(q, e, 2, PR.Probes(DIM, 4, 6, 0.3), skip_same=True).count() == 600
+    assert sent.value <= 2 * SI.PARTS * 300
+    before = sent.value
+    assert L.nearest(q, e, 2, B.Blocks(entries=10), skip_same=True).count() == 600
+    assert sent.value - before <= 2 * SI.PARTS * 300 + 600
+
+
+def test_copies_and_chunks_keep_the_lowest_ids(spark):
+    """More copies than a chunk holds, and ids that come twice, in both directions of the ids."""
+    rng = np.random.default_rng(22)
+    v = np.vstack([np.repeat(unit(rng.standard_normal((1, DIM))), 700, axis=0), unit(rng.standard_normal((100, DIM)))])
+    q, e = sides(frame(spark, v[::-1]))
+    sims = np.round(v[::-1].astype(np.float32).astype(float) @ v[::-1].astype(np.float32).astype(float).T, 9)
+    want = sorted((i, j, n) for i in range(800) for n, j in enumerate(sorted((j for j in range(800) if j != i), key=lambda j: (-sims[i, j], j))[:3], 1))
+    assert pairs(SI.best_matches(q, e, 3, skip_same=True)) == want
+    assert pairs(B.bounded_matches(q, e, 3, B.Blocks(entries=100), skip_same=True)) == want
+    p = PR.Probes(DIM, 4, 2, 0.5)
+    once = pairs(L.nearest(q, e, 3, p, skip_same=True))
+    assert pairs(L.nearest(q, e.union(e), 3, p, skip_same=True)) == once and len(once) == 2400
+
+
+def test_parts_hold_every_cluster_once():
+    rng = np.random.default_rng(23)
+    sizes = rng.integers(0, 400, 500)
+    part = B.parts_of(unit(rng.standard_normal((500, DIM))), sizes)
+    assert part.min() == 0 and part.max() == SI.PARTS - 1
+    assert np.bincount(part, weights=sizes).max() <= sizes.sum() / SI.PARTS + sizes.max()

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -53,22 +54,33 @@ def micros(ts: str | Column = "ts") -> Column:
     return F.unix_micros((F.col(ts) if isinstance(ts, str) else ts).cast("timestamp"))
 
 
-def _blocks(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """Whole blocks from batches sorted by ``keys``."""
+def _blocks(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.DataFrame, list[int]]]:
+    """Rows of whole blocks from batches sorted by ``keys``, and where each block begins, with the end.
+
+    Boundaries are found for a batch at once: blocks may be small and very many.
+    """
     held: list[pd.DataFrame] = []
     for batch in batches:
         if batch.empty:
             continue
-        starts = np.flatnonzero(new_keys(batch[keys]))
-        starts = starts[starts > 0]
-        for lo, hi in zip([0, *starts], [*starts, len(batch)], strict=True):
-            part = batch.iloc[lo:hi]
-            if held and new_keys(pd.concat([held[0].iloc[:1], part.iloc[:1]])[keys])[1]:
-                yield pd.concat(held, ignore_index=True)
-                held = []
-            held.append(part)
+        fresh = new_keys(batch[keys])
+        fresh[0] = bool(held) and new_keys(pd.concat([held[-1].iloc[-1:], batch.iloc[:1]])[keys])[1]
+        starts = np.flatnonzero(fresh)
+        if len(starts):
+            held.append(batch.iloc[: starts[-1]])
+            yield _bounded(held, keys)
+            held = [batch.iloc[starts[-1] :]]
+        else:
+            held.append(batch)
     if held:
-        yield pd.concat(held, ignore_index=True)
+        yield _bounded(held, keys)
+
+
+def _bounded(held: list[pd.DataFrame], keys: list[str]) -> tuple[pd.DataFrame, list[int]]:
+    rows = pd.concat(held, ignore_index=True) if len(held) > 1 else held[0].reset_index(drop=True)
+    fresh = new_keys(rows[keys])
+    fresh[0] = True
+    return rows, [*np.flatnonzero(fresh).tolist(), len(rows)]
 
 
 def _sorted(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -81,13 +93,16 @@ def entry_states(maps: DataFrame, keys: list[str], rule: Rule, fan: int = FAN) -
     up = F.floor(F.col("_block") / fan).cast("bigint")
 
     def together(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for group in _blocks(batches, [*keys, "_group"]):
-            whole = [int(x) for x in group["_map"].iloc[0]]
-            for more in group["_map"].iloc[1:]:
-                whole = rule.composed(whole, [int(x) for x in more])
-            row = group.iloc[:1][[*keys, "_group"]].rename(columns={"_group": "_block"})
-            row["_map"] = [whole]
-            yield row
+        for rows, bounds in _blocks(batches, [*keys, "_group"]):
+            maps, found = rows["_map"].tolist(), []
+            for lo, hi in pairwise(bounds):
+                whole = [int(x) for x in maps[lo]]
+                for more in maps[lo + 1 : hi]:
+                    whole = rule.composed(whole, [int(x) for x in more])
+                found.append(whole)
+            out = rows.iloc[bounds[:-1]][[*keys, "_group"]].rename(columns={"_group": "_block"})
+            out["_map"] = found
+            yield out
 
     levels = [stored(maps, "maps")]
     while levels[-1].groupBy(*keys).agg(F.countDistinct(up).alias("n")).filter("n > 1").limit(1).count():
@@ -95,13 +110,14 @@ def entry_states(maps: DataFrame, keys: list[str], rule: Rule, fan: int = FAN) -
         levels.append(stored(grouped.mapInPandas(together, f"{types}, _block bigint, _map array<bigint>"), "maps"))
 
     def inside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for group in _blocks(batches, [*keys, "_group"]):
-            state, states = group["_enter"].iloc[0], []
-            state = rule.start if state is None else [int(x) for x in state]
-            for step in group["_map"]:
-                states.append(state)
-                state = rule.applied([int(x) for x in step], state)
-            out = group[[*keys, "_block"]].copy()
+        for rows, bounds in _blocks(batches, [*keys, "_group"]):
+            maps, enters, states = rows["_map"].tolist(), rows["_enter"].tolist(), []
+            for lo, hi in pairwise(bounds):
+                state = rule.start if enters[lo] is None else [int(x) for x in enters[lo]]
+                for step in maps[lo:hi]:
+                    states.append(state)
+                    state = rule.applied([int(x) for x in step], state)
+            out = rows[[*keys, "_block"]].copy()
             out["_state"] = states
             yield out
 
@@ -141,9 +157,9 @@ def _entered(src: DataFrame, keys: list[str], rule: Rule, fan: int) -> DataFrame
     named = ", ".join(f"`{k}` {dict(src.dtypes)[k]}" for k in keys)
 
     def to_maps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in _blocks(batches, [*keys, "_block"]):
-            out = rows.iloc[:1][[*keys, "_block"]].copy()
-            out["_map"] = [rule.mapped(rows)]
+        for rows, bounds in _blocks(batches, [*keys, "_block"]):
+            out = rows.iloc[bounds[:-1]][[*keys, "_block"]].copy()
+            out["_map"] = [rule.mapped(rows.iloc[lo:hi]) for lo, hi in pairwise(bounds)]
             yield out
 
     placed = _sorted(src.filter("_cut"), [*keys, "_block"], ["seq"])
@@ -166,9 +182,9 @@ def block_scan(df: DataFrame, keys: list[str], rule: Rule, keep: list[str], adde
         entered = _entered(src, keys, rule, fan)
 
     def advance(state: Numbers | None, rows: pd.DataFrame, fresh: np.ndarray):
-        entered: list = [None] * len(rows)
+        entered, states = [None] * len(rows), rows["_state"].tolist()
         for i in np.flatnonzero(fresh).tolist():
-            own = rows["_state"].iloc[i]
+            own = states[i]
             entered[i] = rule.start if own is None else [int(x) for x in own]
         state, columns = rule.run(rule.start if state is None else state, rows, entered)
         return state, rows[keep].assign(**columns)

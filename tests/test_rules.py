@@ -13,6 +13,7 @@ from hypothesis import strategies as st
 from recollect.config import CacheConfig
 from recollect.operators import rules as RL
 from recollect.operators import sequential as SQ
+from recollect.plans import blockscan as BS
 
 SECOND = 1_000_000
 
@@ -153,3 +154,17 @@ def test_carried_contexts_in_cut_sessions(spark):
     assert len(rest) == 600
     for i, r in rest.items():
         assert r.turn == whole[i].turn and np.allclose(r.fused, whole[i].fused, atol=1e-9)
+
+
+def test_small_blocks_are_cut_from_a_batch_at_once():
+    """Before, each block was a frame of its own: blocks of a dozen rows cost far more than their rows."""
+    rng = np.random.default_rng(4)
+    rows = pd.DataFrame({"key": pd.array([None, *np.repeat(["a", "b"], 500)], dtype="object"), "_block": [0, *np.sort(rng.integers(0, 90, 500)), *np.sort(rng.integers(0, 90, 500))]})
+    rows["at"] = np.arange(len(rows))
+    for size in (1, 7, 100, 5000):
+        batches = [rows.iloc[i : i + size] for i in range(0, len(rows), size)]
+        got = list(BS._blocks(iter(batches), ["key", "_block"]))
+        assert len(got) <= len(batches) + 1
+        blocks = [frame["at"].tolist()[lo:hi] for frame, bounds in got for lo, hi in zip(bounds, bounds[1:])]
+        want = [g["at"].tolist() for _, g in rows.groupby(["key", "_block"], dropna=False)]
+        assert sorted(blocks) == sorted(want) and sum(blocks, []) == rows["at"].tolist()

@@ -31,7 +31,20 @@ def row_blocks(df: DataFrame, value: str, rows: int = BLOCK_ROWS) -> Column:
     else:
         shares = [i / blocks for i in range(1, blocks)]
         cuts = df.agg(F.percentile_approx(value, shares, max(10_000, 20 * blocks))).first()[0]
-    return F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c < F.col(value))).cast("bigint")
+    return cuts_below(F.col(value), sorted(set(cuts)))
+
+
+def cuts_below(value: Column, cuts: list) -> Column:
+    """How many of the sorted ``cuts`` lie below ``value``: first among every w-th, then among the w that follow the last of those."""
+    width = math.isqrt(len(cuts) - 1) + 1
+    chunks = [cuts[i : i + width] for i in range(0, len(cuts), width)]
+
+    def below(some: Column) -> Column:
+        return F.size(F.filter(some, lambda c: c < value))
+
+    chunk = below(F.array(*[F.lit(c[0]) for c in chunks])) - 1
+    inside = below(F.get(F.array(*[F.array(*map(F.lit, c)) for c in chunks]), chunk))
+    return F.when(chunk >= 0, chunk * width + inside).otherwise(0).cast("bigint")
 
 
 def exact_quantiles(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from recollect.plans import running as RU
 from recollect.plans import similarity as SI
-from recollect.plans.quantiles import exact_quantiles
+from recollect.plans.quantiles import cuts_below, exact_quantiles
 from recollect.plans.ranks import first_rows, ranked
 from recollect.plans.spread import spread_join
 
@@ -143,3 +143,14 @@ def test_result_does_not_depend_on_partitions(vectors, spark):
     one = SI.best_matches(q.coalesce(1), e, 3).collect()
     many = SI.best_matches(q.repartition(7), e.repartition(5), 3).collect()
     assert sorted(one) == sorted(many)
+
+
+def test_cuts_below_counts_like_a_loop(spark):
+    """Each value is compared with about twice the root of the cuts, not with all of them."""
+    rng = np.random.default_rng(31)
+    values = [None, float("inf"), -float("inf"), *np.round(rng.uniform(-3, 3, 300), 1).tolist()]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for n in (1, 2, 3, 16, 17, 59):
+        cuts = sorted(set(np.round(rng.uniform(-3, 3, 10 * n), 1).tolist()))[:n]
+        got = [r.n for r in df.select(cuts_below(F.col("v"), cuts).alias("n")).collect()]
+        assert got == [0 if v is None else sum(c < v for c in cuts) for v in values]

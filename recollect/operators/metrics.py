@@ -318,9 +318,11 @@ def sketch_frequency(keys: DataFrame, key: str, counters: DataFrame) -> DataFram
 
 
 RADIX = 16
+#: Positions per window of the sums for distances: rows one task sorts with their counters, however long the log.
+REUSE_WIDTH = 65_536
 
 
-def reuse_distance(log: DataFrame, by: list[str], item: str) -> DataFrame:
+def reuse_distance(log: DataFrame, by: list[str], item: str, width: int = REUSE_WIDTH) -> DataFrame:
     """Distinct items used between two uses of an item, null at a first use.
 
     A least-recently-used cache of capacity c hits exactly where the distance is below c.
@@ -330,10 +332,10 @@ def reuse_distance(log: DataFrame, by: list[str], item: str) -> DataFrame:
     below the same prefix are counted along descending previous use with running sums.
     """
     base = log.select(*by, F.col(item).alias("_item"), "seq")
-    placed = numbered(base, by, ["seq"], by_width("seq"), "_x")
+    placed = numbered(base, by, ["seq"], by_width("seq", width), "_x")
     # Written once (a few narrow columns): it is read three times below.
     linked = checkpointed(
-        running(placed, [*by, "_item"], ["seq"], by_width("seq"), _p=highest(F.col("_x"), inclusive=False))
+        running(placed, [*by, "_item"], ["seq"], by_width("seq", width), _p=highest(F.col("_x"), inclusive=False))
     )
     again = linked.filter(F.col("_p").isNotNull())
     rows = log.agg(F.count(F.lit(1)).alias("n")).scalar()
@@ -346,7 +348,7 @@ def reuse_distance(log: DataFrame, by: list[str], item: str) -> DataFrame:
         .withColumn("_down", -F.col("_p"))
     )
     seen = running(
-        digits, [*by, "_level", "_prefix"], ["_down"], by_width("_down"),
+        digits, [*by, "_level", "_prefix"], ["_down"], by_width("_down", width),
         **{f"_c{d}": total((F.col("_digit") == d).cast("bigint"), inclusive=False) for d in range(RADIX - 1)},
     )
     smaller = sum(

@@ -232,6 +232,8 @@ def test_reuse_distance_equals_a_real_stack(spark):
     df = spark.createDataFrame([("t", i, k) for i, k in enumerate(keys)], "tenant_id string, seq bigint, key string")
     got = [r.distance for r in sorted(M.reuse_distance(df, ["tenant_id"], "key").collect(), key=lambda r: r.seq)]
     assert got == lru_distances(keys)
+    narrow = M.reuse_distance(df, ["tenant_id"], "key", width=16)  # many windows, whose sums carry over
+    assert [r.distance for r in sorted(narrow.collect(), key=lambda r: r.seq)] == got
 
 
 def entries(spark, n, tenant="t"):

@@ -15,6 +15,7 @@ from recollect.llm.copies import near_copies
 from recollect.llm.mixing import mixed_documents
 from recollect.llm.phrases import decontaminate
 from recollect.llm.quality import quality
+from recollect.llm.simhash import near_duplicates
 from recollect.llm.tables import if_small, narrow, table
 from recollect.llm.tokenfiles import read_tokens, with_checksum, write_tokens
 from recollect.plans.materialize import new_path, stored
@@ -44,8 +45,13 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays; of rows sharing an id, one row."""
-    found = stored(near_copies(docs, NEAR), "near-copies").filter("doc_id is not null")
+    """Of each group of near copies the document with the smallest id stays; of rows sharing an id, one row.
+
+    Fingerprints group the documents (``op10_simhash``), the similarity of the sets follows: it verifies those groups,
+    and finds the copies at the floor whose fingerprints differ in more bits.
+    """
+    prints = near_duplicates(docs).filter("component_id < doc_id").select("doc_id", F.col("component_id").alias("other"))
+    found = stored(near_copies(docs, NEAR, proposed=stored(prints.distinct(), "fingerprinted")), "near-copies").filter("doc_id is not null")
     copies = stored(found.filter("component_id < doc_id").select("doc_id").distinct(), "copies")
     rows = docs.select(F.struct("*").alias("row"), docs["doc_id"].alias("doc_id"))
     kept = rows.join(if_small(copies, SMALL), "doc_id", "left_anti").select("doc_id", "row")

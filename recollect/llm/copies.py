@@ -226,8 +226,13 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, f
     return stored(both.select("a", "b", "one", "other").mapInArrow(check, "a bigint, b bigint"), "verified")
 
 
-def links(docs: DataFrame, classes: DataFrame, size: int, floor: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Edges (a, b) between classes, all of them verified, whose closure joins every pair found at the floor."""
+def links(
+    docs: DataFrame, classes: DataFrame, size: int, floor: float, block_rows: int = BLOCK_ROWS, proposed: DataFrame | None = None
+) -> DataFrame:
+    """Edges (a, b) between classes, all of them verified, whose closure joins every pair found at the floor.
+
+    Pairs ``proposed`` (a, b), a < b, are verified in the first round.
+    """
     keyed = classes.select("class", F.explode("keys").alias("bucket"))
     counts = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
     shared = stored(counts.withColumn("cuts", F.ceil(F.col("rows") / block_rows).cast("int")), "shared")
@@ -240,7 +245,8 @@ def links(docs: DataFrame, classes: DataFrame, size: int, floor: float, block_ro
     pairs = _cells(["bucket", "part"], dealt, lambda at, c, s: led_pairs(c["class"][at], s[at], floor))
     # each class follows the leader that seems most similar
     led = pairs.groupBy("b").agg(F.min(F.struct((-F.col("alike")).alias("order"), "a")).alias("best")).select("best.a", "b")
-    first = verified(stored(led.select("a", "b"), "pairs"), docs, classes, size, floor)
+    led = led.select("a", "b") if proposed is None else led.select("a", "b").union(proposed).distinct()
+    first = verified(stored(led, "pairs"), docs, classes, size, floor)
 
     edges = first
     for every in (False, True):
@@ -273,7 +279,18 @@ def _crossing(docs: DataFrame, classes: DataFrame, members: DataFrame, edges: Da
     return stored(_cells(["bucket", "low", "high"], cells, crossing), "crossing")
 
 
-def near_copies(docs: DataFrame, floor: float = 0.8, size: int = 5, id_col: str = "doc_id", text_col: str = "text", block_rows: int = BLOCK_ROWS) -> DataFrame:
+def _class_pairs(proposed: DataFrame, prints: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs of classes (a, b), a < b and neither of them empty, from pairs of ids (doc_id, other)."""
+    of_id = prints.filter("n > 0 and doc_id is not null").select("doc_id", "class").join(classes.select("class"), "class", "left_semi").distinct()
+    one, other = of_id.toDF("doc_id", "u"), of_id.toDF("other", "v")
+    both = spread_join(proposed.filter("doc_id <> other").select("doc_id", "other"), other, ["other"], "inner", "doc_id").join(one, "doc_id")
+    return both.filter("u <> v").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+
+
+def near_copies(
+    docs: DataFrame, floor: float = 0.8, size: int = 5, id_col: str = "doc_id", text_col: str = "text", block_rows: int = BLOCK_ROWS,
+    proposed: DataFrame | None = None,
+) -> DataFrame:
     """Per row of ``docs``: doc_id and component_id, the smallest id reachable over near copies, its own included.
 
     Null and texts without words have the same, empty set.  Rows without an id get the component of the rows with
@@ -287,7 +304,9 @@ def near_copies(docs: DataFrame, floor: float = 0.8, size: int = 5, id_col: str
         F.first("n").alias("n"), F.first("bits").alias("bits"),
     )
     classes = stored(classes.filter("node is not null"), "classes")
-    found = links(rows, classes, size, floor, block_rows)
+    if proposed is not None:
+        proposed = _class_pairs(proposed, prints, classes)
+    found = links(rows, classes, size, floor, block_rows, proposed)
     nodes = classes.select("class", "node")
     found = found.join(nodes.toDF("a", "u"), "a").join(nodes.toDF("b", "v"), "b").select(F.col("u").alias("a"), F.col("v").alias("b"))
     by_id = prints.filter("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("a"), "class").join(nodes, "class")

@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from recollect.llm import copies
@@ -84,3 +85,21 @@ def test_bands_find_pairs_at_the_floor():
         keys = [copies.band_keys(copies.minima(s)) for s in (x[:162], x[18:])]  # 144 / 180 in common
         found += bool((keys[0] == keys[1]).any())
     assert found == 300
+
+
+def test_the_pipeline_groups_by_fingerprints_and_verifies(spark, monkeypatch):
+    """Fingerprints propose, the sets decide: proposals below the floor link nothing, copies none proposes are found."""
+    base = [f"a{i}" for i in range(200)]
+    texts = [" ".join(base), " ".join(base + ["more"]), " ".join(base[:100] + ["x"] * 40 + base[100:]), "other words " * 3, ""]
+    df = spark.createDataFrame([*enumerate(texts), (5, None)], "doc_id bigint, text string")
+    asked = []
+
+    def wrong(docs):
+        asked.append(docs.count())
+        return docs.select("doc_id", F.when(F.col("doc_id") == 1, 1).otherwise(0).cast("bigint").alias("component_id"))
+
+    monkeypatch.setattr(corpus_pipeline, "near_duplicates", wrong)
+    kept = sorted(x.doc_id for x in corpus_pipeline.keep_one_of_each(spark, df, "").collect())
+    want = groups_by_hand({i: shingle_set(t) for i, t in enumerate([*texts, None])}, 0.8)
+    assert asked == [6] and kept == [i for i, c in want.items() if i == c]
+    assert kept == [0, 3, 4]

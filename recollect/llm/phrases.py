@@ -168,8 +168,9 @@ def match_windows(index: DataFrame, windows: Windows, slop: int = 0) -> DataFram
                             found = occurrences(order, places, sets, len(order), n, slop)
                             if found:
                                 items.update(of)
-                                starts += [max(0, s) for s in found]
-                                ends += [min(n, s + len(order)) for s in found]
+                                inside = [s for s in found if -len(order) < s < n]  # others lie outside the text
+                                starts += [max(0, s) for s in inside]
+                                ends += [min(n, s + len(order)) for s in inside]
                 a, b = _covered(np.array(starts, dtype=np.int64), np.array(ends, dtype=np.int64))
                 out_starts.append(a)
                 out_ends.append(b)

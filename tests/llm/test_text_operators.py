@@ -121,6 +121,12 @@ def test_proximity(spark):
     assert near == {1: 1, 2: 1, 3: 0}
 
 
+def test_proximity_of_windows_outside_the_text(spark):
+    docs = spark.createDataFrame([(1, "fox"), (2, "red fox")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, "fox")], "item_id bigint, text string")
+    found = {r.doc_id: (r.n_items, r.n_hit, list(zip(r.starts, r.ends, strict=True))) for r in phrases.decontaminate(docs, items, slop=3).collect()}
+    assert found == {1: (1, 1, [(0, 1)]), 2: (1, 2, [(0, 2)])}
+
 
 @pytest.mark.parametrize("slop", [0, 1, 2])
 def test_proximity_equals_trying_every_start(spark, slop):

@@ -10,6 +10,7 @@ first row; a manifest with one row per file has the offset of each, so no task n
 from __future__ import annotations
 
 import json
+import os
 import re
 import unicodedata
 import zlib
@@ -17,36 +18,52 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recollect.llm.tables import narrow
-from recollect.llm.words import list_column, tidy
+from recollect.llm.words import list_column, released, tidy
 from recollect.plans.materialize import new_path
 
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 64 << 10
 PAGE_ROWS = 1_000
-#: Words kept in each of two generations.
-KEPT_WORDS = 400_000
-WORDS_AT_ONCE = 100
-PIECE_CHARS = 1_000_000
+#: Pieces that are kept, and the most bytes of a kept piece.
+KEPT_WORDS, KEPT_CHARS = 200_000, 100
+PIECES_AT_ONCE = 100
+PIECE_CHARS = 4_000_000
+#: White space of Latin-1 besides the space and the controls that no library agrees on.
+LATIN_BLANKS = "\t\n\v\f\r\xa0"
+#: A mark between a letter or digit and a space is a word of its own.
+LATIN_MARK = "([a-z0-9])([.,;:!?]) "
+#: Pieces of printable ASCII.
+PLAIN = "^[!-~]*$"
+
+
+def portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``PIECE_CHARS`` bytes of text, so that what is made of the texts stays small."""
+    for whole in batches:
+        part = np.cumsum(pc.fill_null(pc.binary_length(whole.column("text")), 0).to_numpy().astype(np.int64)) // PIECE_CHARS
+        bounds = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), whole.num_rows]
+        yield from (whole.slice(a, b - a) for a, b in zip(bounds, bounds[1:], strict=False) if b > a)
 
 
 class WordEncoder:
-    """Encodes texts word by word, each distinct word once while it is kept.
+    """Encodes texts piece by piece between spaces, each distinct piece once a batch and seldom again while it is kept.
 
     Exact for tokenizers whose pre-tokenizer cuts normalised text with a pattern of letters, digits and other
     characters and drops white space, and whose tokens tell the end of a word; others are refused.  Texts in
-    Latin-1 are lower-cased and cut into words here; other texts only at spaces and line ends, where no token and no
-    normalisation reaches over.  Texts with a special token's string, or with controls that pattern libraries
-    disagree on, are encoded by the tokenizer as they are.
+    Latin-1 are lower-cased here and their new pieces cut into words; other texts are cut only at spaces and line ends,
+    where no token and no normalisation reaches over.  Texts with a special token's string, or with controls that
+    pattern libraries disagree on, are encoded by the tokenizer as they are.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -62,84 +79,120 @@ class WordEncoder:
         digits = re.escape("".join(c for c in latin if unicodedata.category(c)[0] == "N"))
         self.cut = re.compile(pattern.replace("\\p{L}", letters).replace("\\p{N}", digits)).findall
         self.as_is = [*"\x1c\x1d\x1e\x1f\x85", *(t["content"] for t in spec["added_tokens"])]
+        # printable ASCII in lower case is its own normal form and its own bytes: its words need no more than their spaces
+        self.plain = Tokenizer.from_str(json.dumps({**spec, "normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}))
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith(ending)]] = True
-        self.kept: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
-
-    def _whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype="<i4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _encode_words(self, words: list[str]) -> list[bytes]:
-        """Ids of each word; words go to the tokenizer many in a string and are told apart by their ends."""
-        groups = [words[i : i + WORDS_AT_ONCE] for i in range(0, len(words), WORDS_AT_ONCE)]
-        out: list[bytes] = []
-        for group, ids in zip(groups, self._whole([" ".join(g) for g in groups]), strict=True):
-            ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-            if len(ends) == len(group) and ends[-1] == len(ids):
-                raw = ids.tobytes()
-                out += [raw[4 * a : 4 * b] for a, b in zip([0, *ends], ends, strict=False)]
+        self.none = np.zeros(0, dtype="<i4")
+        self.kept = pa.array([], pa.large_string())
+        self.ids, self.sizes, self.used = self.none, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool)
+
+    def _whole(self, texts: list[str], plain: bool = False) -> list[np.ndarray]:
+        tokenizer = self.plain if plain else self.tokenizer
+        return [np.array(e.ids, dtype="<i4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _marked(self, pieces: pa.Array, plain: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of lower-cased pieces of Latin-1 and how many each has; words go to the tokenizer many in a string."""
+        alone = pc.ascii_is_alpha(pieces).to_numpy(zero_copy_only=False)
+        words, texts = np.ones(len(pieces), dtype=np.int64), pieces.to_pylist()
+        for i in np.flatnonzero(~alone).tolist():
+            cut = self.cut(texts[i])
+            words[i], texts[i] = len(cut), " ".join(cut)
+        groups = [texts[i : i + PIECES_AT_ONCE] for i in range(0, len(texts), PIECES_AT_ONCE)]
+        flat, sizes, at = [self.none], [np.zeros(0, dtype=np.int64)], 0
+        for group, ids in zip(groups, self._whole([" ".join(g) for g in groups], plain), strict=True):
+            ends, last = np.flatnonzero(self.ends[ids]) + 1, np.cumsum(words[at : at + len(group)])
+            at += len(group)
+            if len(ends) == last[-1] and (ends[-1] if len(ends) else 0) == len(ids):  # words are told apart by their ends
+                flat.append(ids)
+                sizes.append(np.diff(np.concatenate([[0], ends])[last], prepend=0))
             else:
-                out += [x.tobytes() for x in self._whole(group)]
-        return out
-
-    def _pieces(self, pieces: list[list[str]], single: bool) -> list[bytes]:
-        """Ids of each list of words; new words of all lists go to the tokenizer together."""
-        kept, before = self.kept, self.before
-        new = []
-        for w in set().union(*pieces).difference(kept):
-            known = before.get(w)
-            if known is None:
-                new.append(w)
-            else:
-                kept[w] = known
-        if new:
-            found = self._encode_words(new) if single else [x.tobytes() for x in self._whole(new)]
-            kept.update(zip(new, found, strict=True))
-        out = [b"".join(map(kept.__getitem__, words)) for words in pieces]
-        if len(kept) > KEPT_WORDS:  # words that are used again come back from the generation before
-            self.kept, self.before = {}, kept
-        return out
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """Ids of each whole text as little-endian 32-bit integers."""
-        parts: list[list[bytes]] = [[] for _ in texts]
-        waiting: dict[bool, list[tuple[int, list[str]]]] = {True: [], False: []}
+                each = self._whole(group)
+                flat += each
+                sizes.append(np.array([len(x) for x in each]))
+        return np.concatenate(flat), np.concatenate(sizes)
+
+    def _texts(self, texts: list[str], latin: bool) -> list[np.ndarray]:
+        """Ids of each text, which is cut at its spaces; pieces that are not kept are encoded together."""
+        whole = pa.array(texts, pa.large_string())
+        if latin:
+            whole = pc.replace_substring_regex(whole, LATIN_MARK, r"\1 \2 ")
+        cut = pc.split_pattern(whole, " ")
+        coded = cut.values.dictionary_encode()
+        at = pc.index_in(coded.dictionary, self.kept).fill_null(-1).to_numpy().copy()
+        new = np.flatnonzero(at < 0)
+        self.used[at[at >= 0]] = True
+        pieces, found = coded.dictionary.take(pa.array(new)), [(self.ids, self.sizes)]
+        if latin:
+            plain = pc.match_substring_regex(pieces, PLAIN).to_numpy(zero_copy_only=False)
+            new, pieces = np.concatenate([new[plain], new[~plain]]), pieces.take(pa.array(np.argsort(~plain, kind="stable")))
+            found += [self._marked(pieces[: plain.sum()], True), self._marked(pieces[plain.sum() :], False)]
+        else:
+            each = self._whole(pieces.to_pylist())
+            found.append((np.concatenate([self.none, *each]), np.array([len(x) for x in each], dtype=np.int64)))
+        at[new] = len(self.kept) + np.arange(len(new))
+        ids, sizes = (np.concatenate(x) for x in zip(*found, strict=True))
+        each = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)])), pa.array(ids))
+        taken = each.take(pa.array(at[coded.indices.to_numpy()]))
+        self._keep(pieces, each, sizes)
+        return np.split(taken.values.to_numpy(), taken.offsets.to_numpy()[cut.offsets.to_numpy()[1:-1]])
+
+    def _keep(self, new: pa.Array, each: pa.LargeListArray, sizes: np.ndarray) -> None:
+        """Keep the new pieces; of too many, those that were used again since the last time."""
+        pieces = pa.concat_arrays([self.kept, new])
+        used = np.concatenate([self.used, np.zeros(len(new), dtype=bool)])
+        stay = pc.binary_length(pieces).to_numpy() <= KEPT_CHARS
+        if len(pieces) > KEPT_WORDS:
+            stay &= used
+            if stay.sum() > KEPT_WORDS // 2:
+                stay[:] = False
+            used[:] = False
+        if not stay.all():
+            pieces, each, sizes, used = pieces.filter(pa.array(stay)), each.filter(pa.array(stay)), sizes[stay], used[stay]
+        self.kept, self.ids, self.sizes, self.used = pieces, each.values.to_numpy(), sizes, used
+
+    def encode_all(self, texts: list[str]) -> list[list[np.ndarray]]:
+        """Ids of each whole text, in parts."""
+        parts: list[list[np.ndarray]] = [[] for _ in texts]
+        waiting: dict[bool, list[tuple[int, str]]] = {True: [], False: []}
         chars = 0
 
         def work() -> None:
             for latin, todo in waiting.items():
-                for (i, _), ids in zip(todo, self._pieces([w for _, w in todo], latin), strict=True):
-                    parts[i].append(ids)
-                todo.clear()
+                if todo:
+                    for (i, _), ids in zip(todo, self._texts([t for _, t in todo], latin), strict=True):
+                        parts[i].append(ids)
+                    todo.clear()
 
         for i, text in enumerate(texts):
             if any(x in text for x in self.as_is):
-                parts[i].append(self._whole([text])[0].tobytes())
+                parts[i].append(self._whole([text])[0])
                 continue
             try:
                 text.encode("latin-1")
-                latin = True
+                latin, plain = True, text.lower()
+                for c in LATIN_BLANKS:
+                    plain = plain.replace(c, " ")
             except UnicodeEncodeError:
-                latin = False
-            plain, at = text.lower() if latin else text.replace("\n", " "), 0
+                latin, plain = False, text.replace("\n", " ")
+            at = 0
             while at < len(plain):
                 end = len(plain) if len(plain) - at <= PIECE_CHARS else plain.rfind(" ", at, at + PIECE_CHARS) + 1
                 if end <= at:
                     end = plain.find(" ", at) + 1 or len(plain)
-                part = plain[at:end]
-                waiting[latin].append((i, self.cut(part) if latin else part.split(" ")))
+                waiting[latin].append((i, plain[at:end]))
                 chars += end - at
                 at = end
                 if chars > PIECE_CHARS:
                     work()
                     chars = 0
         work()
-        return [b"".join(p) for p in parts]
+        return parts
 
     def encode(self, text: str) -> bytes:
-        return self.encode_all([text])[0]
+        """Ids of a whole text as little-endian 32-bit integers."""
+        return b"".join(x.tobytes() for x in self.encode_all([text])[0])
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -165,13 +218,13 @@ def write_tokens(
     placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("tie")
     kind = dict(rows.dtypes)["doc_id"]
 
-    @tidy
+    @released
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, start, file = encoder(tokenizer), 0, TaskContext.get().partitionId()
-        end = np.array([end_id], dtype="<i4").tobytes()
-        for batch in batches:
+        end = np.array([end_id], dtype="<i4")
+        for batch in portions(batches):
             found = words.encode_all([t or "" for t in batch.column("text").to_pylist()])
-            ids = [np.frombuffer(x + end, dtype="<i4") for x in found]
+            ids = [np.concatenate([*x, end]) for x in found]
             sizes = np.array([len(x) for x in ids], dtype=np.int64)
             starts = start + np.cumsum(sizes) - sizes
             start += int(sizes.sum())
@@ -213,7 +266,9 @@ def with_checksum(tokens: DataFrame) -> DataFrame:
     @tidy
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sums = [zlib.crc32(x.values.to_numpy().astype("<u4").tobytes()) for x in batch.column("ids")]
+            ids = batch.column("ids")
+            flat, at = ids.values.to_numpy().astype("<i4", copy=False), ids.offsets.to_numpy().tolist()
+            sums = [zlib.crc32(flat[a:b]) for a, b in zip(at, at[1:], strict=False)]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in ("doc_id", "start", "n_tokens")), pa.array(sums, pa.int64())],
                 names=["doc_id", "start", "n_tokens", "ids_crc32"],

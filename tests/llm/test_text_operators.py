@@ -10,6 +10,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import sentencepiece
@@ -239,6 +240,33 @@ def test_word_encoder_equals_the_library(text):
     assert tokenfiles.encoder(WORDS).encode(text) == want
 
 
+@pytest.mark.parametrize(("kept", "chars"), [(200_000, 4_000_000), (20, 50)])
+def test_word_encoder_forgets_and_stays_right(monkeypatch, kept, chars):
+    monkeypatch.setattr(tokenfiles, "KEPT_WORDS", kept)
+    monkeypatch.setattr(tokenfiles, "PIECE_CHARS", chars)
+    library, words, r = Tokenizer.from_file(WORDS), tokenfiles.WordEncoder(WORDS), random.Random(4)
+    parts = ["the ", "Tion", "ing, ", "?! ", "  ", "\n", "\t", "é", "\xa0", "'s", "don't ", "\x00", "日", "12", ".", "<|ENDOFTEXT|>", "<|endoftext|>", "\x85"]
+    for _ in range(20):
+        texts = ["".join(r.choice(parts[: r.choice([14, len(parts)])]) for _ in range(r.randint(0, 40))) for _ in range(50)]
+        assert [np.concatenate([*x, []]).tolist() for x in words.encode_all(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(words.kept) <= kept
+
+
+def test_word_encoder_keeps_little_memory(monkeypatch):
+    words = tokenfiles.WordEncoder(WORDS)
+    for k in range(4):
+        words.encode_all([" ".join(f"word{i}x" for i in range(k * 90_000, (k + 1) * 90_000))])
+    assert words.kept.nbytes + words.ids.nbytes + words.sizes.nbytes < 20_000_000
+
+
+def test_texts_are_worked_on_in_portions(monkeypatch):
+    monkeypatch.setattr(tokenfiles, "PIECE_CHARS", 10)
+    texts = ["a" * 4, None, "b" * 9, "c" * 30, "", "d"]
+    whole = pa.RecordBatch.from_pydict({"text": pa.array(texts)})
+    found = [b.column("text").to_pylist() for b in tokenfiles.portions(iter([whole, whole.slice(0, 0)]))]
+    assert [t for p in found for t in p] == texts and len(found) > 2
+
+
 def test_word_encoder_refuses_other_tokenizers():
     with pytest.raises(ValueError):
         tokenfiles.WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))

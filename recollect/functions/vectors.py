@@ -129,13 +129,18 @@ def embed_distinct(df: DataFrame, text: str, encoder: Column | None = None, dim:
     texts have a word in the same slot (one number per slot is held by the driver).
     """
     from recollect.functions.text import memo_key, words
+    from recollect.plans.materialize import stored
     from recollect.plans.spread import spread_join
 
     keyed = df.withColumn("_memo", memo_key(F.col(text)))
     once = keyed.groupBy("_memo").agg(F.min(text).alias(text))
     if encoder is None:
         slots = F.transform(words(F.col(text)), lambda w: word_slot(w, dim))
-        encoder = _hashed_words(slots, dim, slot_weights(once.select(slots.alias("slots")), dim) if idf else np.ones(dim))
+        weights = np.ones(dim)
+        if idf:  # texts are grouped and their words hashed once, for the weights and the vectors
+            once = stored(once.select("_memo", slots.alias("slots")), "slots")
+            slots, weights = F.col("slots"), slot_weights(once.select("slots"), dim)
+        encoder = _hashed_words(slots, dim, weights)
     vectors = once.select("_memo", encoder.alias("embedding"))
     joined = spread_join(
         keyed.withColumn("_row", F.monotonically_increasing_id()),  # equal rows go to different tasks, too

@@ -121,6 +121,9 @@ def test_idf_weights(spark):
     raw = np.array([1 * weight(2), 2 * weight(1)])
     assert [weighted[0][slot["one"]], weighted[0][slot["two"]]] == pytest.approx(list(raw / np.linalg.norm(raw)))
     assert plain[0][slot["two"]] == pytest.approx(2 / math.sqrt(5))
+    made = V.embed_distinct(df, "text", dim=64, idf=True)
+    assert "md5" not in made._jdf.queryExecution().optimizedPlan().toString()  # words were hashed once, for the weights
+    assert V.embed_distinct(df.limit(0), "text", dim=64, idf=True).count() == 0
 
 
 def test_workload_in_one_call(spark, tmp_path):

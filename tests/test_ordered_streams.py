@@ -92,6 +92,28 @@ def test_state_goes_after_its_time(spark, tmp_path):
     assert pending.count() == 1  # the last request still waits for the watermark
 
 
+def test_calls_and_state_grow_with_parts_not_with_keys(spark, tmp_path, monkeypatch):
+    from recollect.streaming import parts
+
+    monkeypatch.setattr(parts, "PARTS", 3)
+    rows = [(i, None if i % 7 == 0 else f"k{i % 29}", i % 5 > 2) for i in range(200)]
+    df = spark.createDataFrame(rows, "seq bigint, dependency string, ok boolean").withColumn("ts", F.timestamp_seconds(F.col("seq") * 60 + 10**6))
+    cfg = CacheConfig(breaker_failures=2, breaker_reset_s=600.0)
+    got, mark = streamed(df, "dependency", SO.breaker_rule(cfg), tmp_path, "x", 5, 1, True)
+    cols = ["seq", "ok", "state", "rejected", "state_after"]
+    want = SQ.breaker_states(df.fillna("none", ["dependency"]), cfg)
+    assert sorted(got.select(*cols).collect()) == sorted(want.select(*cols).collect())
+    assert {r.seq for r in got.filter("dependency IS NULL").collect()} == set(range(0, 200, 7))
+    left = spark.read.format("statestore").option("path", mark).option("stateVarName", "state").load()
+    assert left.count() <= 4  # three parts and that of null
+
+
+def test_a_covered_request_of_no_key_waits_without_output(spark, tmp_path):
+    df = spark.createDataFrame([(i, None, i) for i in range(3)], "seq bigint, exact_key string, query_id bigint").withColumn("ts", F.timestamp_seconds(F.col("seq") * 5000 + 10**6))
+    got, _ = streamed(df, "exact_key", SO.dedup_rule(20_000), tmp_path, "x", 1, 1)
+    assert [r.query_id for r in got.collect()] == [0]
+
+
 def test_rows_later_than_allowed_are_dropped(spark, tmp_path):
     df = calls(spark, 60)
     src, out, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))

@@ -16,6 +16,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from recollect.config import DEFAULT, CacheConfig
 from recollect.functions import text as T
 from recollect.operators import machines as MC
+from recollect.streaming.parts import part_of, plain_values
 
 
 def read_stream(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
@@ -162,27 +163,38 @@ def stream_session_fusion(requests: DataFrame, cfg: CacheConfig = DEFAULT) -> Da
 
 
 def stream_ttl(entries: DataFrame, late: str = "0 seconds") -> DataFrame:
-    """Emits (entry_id, expired_at) once event time has passed the expiry of an entry."""
+    """Emits (entry_id, expired_at) once event time has passed the expiry of an entry.
+
+    State is kept for a part of the entries at once: of each its expiry, and ``due``, from when on it is emitted
+    (never by the trigger that brought it, which may still bring a later expiry).
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            (until,) = state.get
+        now = state.getCurrentWatermarkMs()
+        ids, until, due = state.get if state.exists else ([], [], [])
+        known = {i: (int(u), int(d)) for i, u, d in zip(ids, until, due, strict=True)}
+        if not state.hasTimedOut:
+            for b in batches:
+                for i, u in zip(plain_values(b["entry_id"]), b["until_ms"].tolist(), strict=True):
+                    u = max(int(u), known[i][0]) if i in known else int(u)
+                    known[i] = u, max(u, now + 1)
+        gone = [i for i, (_, d) in known.items() if d < now]
+        if gone:
+            out = [known.pop(i)[0] for i in gone]
+            yield pd.DataFrame({"entry_id": gone, "expired_at": pd.to_datetime(pd.Series(out), unit="ms")})
+        if not known:
             state.remove()
-            yield pd.DataFrame({"entry_id": [key[0]], "expired_at": [pd.Timestamp(until, unit="ms")]})
             return
-        until = max(int(b["until_ms"].max()) for b in batches)
-        if state.exists:
-            until = max(until, state.get[0])
-        state.update((until,))
-        state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
+        state.update(([*known], [u for u, _ in known.values()], [d for _, d in known.values()]))
+        state.setTimeoutTimestamp(max(min(d for _, d in known.values()), now + 1))
 
     timed = entries.withWatermark("ts", late).filter(F.col("expires_at").isNotNull()).select(
-        "entry_id", "ts", F.unix_millis("expires_at").alias("until_ms")
+        part_of("entry_id").alias("_part"), "entry_id", "ts", F.unix_millis("expires_at").alias("until_ms")
     )
     types = dict(timed.dtypes)
-    return timed.groupBy("entry_id").applyInPandasWithState(
-        step, f"entry_id {types['entry_id']}, expired_at timestamp", "until long", "append",
-        GroupStateTimeout.EventTimeTimeout,
+    return timed.groupBy("_part").applyInPandasWithState(
+        step, f"entry_id {types['entry_id']}, expired_at timestamp", f"ids array<{types['entry_id']}>, until array<long>, due array<long>",
+        "append", GroupStateTimeout.EventTimeTimeout,
     )
 
 

@@ -92,6 +92,21 @@ def test_ttl_stream_emits_expired_only(spark, tmp_path):
     assert {r.entry_id for r in got.collect()} == {"a", "d"}
 
 
+def test_ttl_stream_keeps_state_by_parts_and_the_latest_expiry(spark, tmp_path, monkeypatch):
+    from recollect.streaming import parts
+
+    monkeypatch.setattr(parts, "PARTS", 2)
+    rows = [(i, f"e{i}", 100 + i, 150 + i) for i in range(20)] + [(20, "e3", 130, 900), (21, None, 131, 140), (22, "late", 500, 600), (23, "last", 2000, 9000)]
+    rows += [(i, f"open{i}", 2000, 9000 + i) for i in range(24, 40)]
+    df = spark.createDataFrame(rows, "seq bigint, entry_id string, at bigint, until bigint")
+    df = df.withColumn("ts", F.timestamp_seconds("at")).withColumn("expires_at", F.timestamp_seconds("until")).drop("at", "until")
+    got = in_two_batches(spark, df, Q.stream_ttl, tmp_path, 20)
+    ends = {r.entry_id: r.at for r in got.select("entry_id", F.unix_seconds("expired_at").alias("at")).collect()}
+    assert got.count() == 22 and ends == {f"e{i}": 150 + i for i in range(20) if i != 3} | {"e3": 900, None: 140, "late": 600}
+    left = spark.read.format("statestore").load(str(tmp_path / "mark"))
+    assert left.count() <= 3
+
+
 def test_snapshot_versions(spark, tmp_path):
     root = str(tmp_path / "t")
     assert snapshots.versions(spark, root) == [] and snapshots.read_version(spark, root) is None

@@ -19,8 +19,8 @@ In Spark terms:
   for a candidate and asking the candidate's sorted elements for the list's n-gram are the same question.
 
 A group of many near copies must not become all its pairs.  Before the merge, members of a long list follow a leader:
-in each random part of the list, the first set that they may be similar to.  Every set keeps its lowest leader, that
-pair is probed, and what is linked becomes components.  The merge then only takes pairs of different components, and
+in each random part of the list, the first set that they may be similar to.  Every set keeps the few leaders or followers
+whose bitmaps differ least, those pairs are probed, and what is linked becomes components.  The merge then only takes pairs of different components, and
 probes first the one of each set whose bitmap differs least, then what is still not joined.  So a pair is passed over
 only when probed links already join it.
 """
@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect.llm.components import smallest_reachable
@@ -53,7 +53,11 @@ ORDERED = 1_000_000
 BITMAP = 256
 #: Postings of one list that one task compares with each other or with as many others.
 BLOCK_ROWS = 2_000
-#: Lists with more postings have leaders; pairs of shorter ones are compared all at once.
+#: Lists with more postings have leaders; of shorter ones there are at most so many pairs for each posting.
+LED_ROWS = 8
+#: Leaders (or followers) of a set that are probed, and an odd number that mixes names into an order.
+LEADERS, MIX = 6, np.int64(-7046029254386353131)
+#: Pairs of lists with no more postings are compared all at once.
 SHORT_ROWS = 32
 #: Postings for one task of the merge, and pairs of one set that are probed together.
 TASK_ROWS, PAIR_ROWS = 200_000, 128
@@ -182,9 +186,9 @@ def group_places(whole: pa.Table, names: list[str]) -> list[np.ndarray]:
     return np.split(order, np.flatnonzero(new))
 
 
-def led_pairs(p: Postings, places: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(leader, follower) places of one part of a list: who may be similar to a leader leads nobody."""
-    left = places[np.argsort(p.name[places], kind="stable")]
+def led_pairs(p: Postings, places: np.ndarray, turn: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(leader, follower) places of one part of a list, in order of ``turn``: who may be similar to a leader leads nobody."""
+    left = places[np.argsort(turn[places], kind="stable")]
     while len(left) > 1:
         lead, left = left[0], left[1:]
         near = p.possible(np.full(len(left), lead), left)
@@ -326,18 +330,23 @@ def links(docs: DataFrame, classes: DataFrame, size: int, percent: int, block_ro
     members = stored(placed.join(classes.select("class", "n", "bits"), "class").select("list", "rows", "cuts", "class", "pos", "n", "bits"), "members")
     rows = members.count()
 
-    # leaders of the longer lists; a set follows the lowest of its leaders
+    # leaders of the longer lists; a set keeps those of its leaders and followers that differ least
     @released
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (whole := _held(batches)) is not None:
             p = Postings(whole, percent)
+            turn = (p.name ^ whole.column("list").to_numpy()) * MIX  # every list has its own leaders
             groups = (g for g in group_places(whole, ["list", "part"]) if len(g) > 1)
-            yield from _pairs(p, (pair for g in groups for pair in led_pairs(p, g)))
+            yield from _pairs(p, (pair for g in groups for pair in led_pairs(p, g, turn)))
 
     part = F.pmod(F.xxhash64("class", "list"), F.col("cuts")).cast("int")
-    long = members.filter(F.col("rows") > SHORT_ROWS).select("list", part.alias("part"), "class", "pos", "n", "bits")
+    long = members.filter(F.col("rows") > LED_ROWS).select("list", part.alias("part"), "class", "pos", "n", "bits")
     led = long.repartition(_tasks(docs, rows), "list", "part").mapInArrow(lead, FOUND)
-    led = stored(led.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "led")
+    led = led.select("a", "b", "differ").distinct()
+    led = led.unionByName(led.select(F.col("b").alias("a"), F.col("a").alias("b"), "differ"))
+    nearest = Window.partitionBy("b").orderBy("differ", "a")
+    led = led.withColumn("place", F.row_number().over(nearest)).filter(F.col("place") <= LEADERS)
+    led = stored(led.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "led")
     first = probed(led, docs, classes, size, percent)
 
     # the merge, over pairs that are not joined yet

@@ -114,3 +114,23 @@ def test_probes_stop_at_the_needed_overlap():
         a, b = (np.unique(r.integers(0, 4000, r.integers(1, 3000)).astype(np.uint64)) for _ in range(2))
         shared = len(np.intersect1d(a, b))
         assert J.reaches(a, b, max(1, shared)) == (shared > 0) and not J.reaches(a, b, shared + 1)
+
+
+def test_a_group_on_short_lists_is_joined_before_the_merge(spark, monkeypatch):
+    r, counts, keep = random.Random(5), {}, J.stored
+
+    def stored(df, name):
+        out = keep(df, name)
+        counts[name] = out.count()
+        return out
+
+    monkeypatch.setattr(J, "stored", stored)
+    base, rows = [f"w{i}" for i in range(400)], []
+    for k in range(30):
+        words = list(base)
+        for at in r.sample(range(400), r.randint(2, 5)):
+            words[at] = f"new{k}x{at}"
+        rows.append((k, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert run(df) == by_hand(rows)
+    assert counts["led"] <= 30 * J.LEADERS and counts["candidates"] <= 100  # of 435 pairs

@@ -402,9 +402,10 @@ def step_inputs(spark, sf):
     docs = I.table(spark, sf, "documents")
     responses = docs.select(
         T.exact_key(F.col("text"), F.col("lang")).alias("exact_key"), F.col("text").alias("response_text"),
-        T.word_count(F.col("text")).cast("bigint").alias("output_tokens"),
-        (T.word_count(F.col("text")) / 1000 * F.lit(0.015)).alias("cost_usd"), (F.col("n_chars") / 10.0).alias("latency_ms"),
+        T.word_count(F.col("text")).cast("bigint").alias("output_tokens"), (F.col("n_chars") / 10.0).alias("latency_ms"),
     )
+    # written once: every step reads all answers
+    responses = stored(responses.withColumn("cost_usd", F.col("output_tokens") / 1000 * F.lit(0.015)), "responses")
     return batch, responses
 
 

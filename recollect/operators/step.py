@@ -18,6 +18,7 @@ from recollect.operators import lookup as L
 from recollect.operators import retention as R
 from recollect.operators import sequential as SQ
 from recollect.plans.materialize import checkpointed
+from recollect.plans.materialize import stored as kept
 from recollect.plans.spread import spread_join
 from recollect.sources import snapshots
 
@@ -27,6 +28,8 @@ ENTRY_SCHEMA = (
     "output_tokens BIGINT, storage_bytes BIGINT, frequency BIGINT, seq BIGINT, last_access TIMESTAMP, "
     "created_at TIMESTAMP, expires_at TIMESTAMP, priority DOUBLE, batch BIGINT"
 )
+#: Rows to be stored whose names may be broadcast.
+SMALL = 100_000
 ENTRY_COLUMNS = [part.strip().split(" ")[0] for part in ENTRY_SCHEMA.split(", ")]
 
 
@@ -110,7 +113,9 @@ def cache_step(
         # Carried contexts sort before every request of the batch.
         contexts = contexts.withColumn("seq", F.lit(-1).cast("bigint"))
 
-    probed, fused = _probe(L.with_exact_key(batch), live, stored, contexts, thresholds, cfg)
+    # Texts stay behind until it is known which rows are stored.
+    narrow = L.with_exact_key(batch).withColumn("_text_hash", F.xxhash64("query_text")).drop("query_text")
+    probed, fused = _probe(narrow, live, stored, contexts, thresholds, cfg)
     hit_id = F.coalesce("exact_id", "near_id")
     hits = probed.filter(hit_id.isNotNull()).withColumn("entry_id", hit_id)
     missed = probed.filter(hit_id.isNull())
@@ -119,7 +124,9 @@ def cache_step(
     answers = responses.groupBy("exact_key").agg(
         F.min_by(F.struct("response_text", "output_tokens", "cost_usd", "latency_ms"), "response_text").alias("a")
     )
-    keys = firsts.join(answers, "exact_key").withColumn("bucket", _bucket(F.col("_first"), dim, cfg)).drop("_first")
+    answers = kept(answers.select("exact_key", "a.*", S.storage_bytes(F.lit(0), F.col("a.response_text")).alias("storage_bytes")), "answers")
+    known_answers = answers.select("exact_key", F.struct("output_tokens", "cost_usd", "latency_ms", "storage_bytes").alias("a"))
+    keys = firsts.join(known_answers, "exact_key").withColumn("bucket", _bucket(F.col("_first"), dim, cfg)).drop("_first")
     asks = checkpointed(
         spread_join(missed, keys, ["exact_key"], "inner", "query_id").withColumn("entry_id", F.concat(F.lit("e"), F.col("query_id").cast("string")))
     )
@@ -162,10 +169,9 @@ def cache_step(
     overflow = max(0, total_old + total_new - cfg.capacity)
     used, level = _evict(used, min(overflow, total_old), inflation)
     fresh = admitted.select(
-        "entry_id", "tenant_id", "exact_key", "query_text", F.col("a.response_text").alias("response_text"),
-        "embedding", "bucket", "session_id", F.col("a.cost_usd").alias("llm_cost_usd"), F.lit(0.0).alias("embed_cost_ms"),
+        "entry_id", "tenant_id", "exact_key", "query_id", "_text_hash", "embedding", "bucket", "session_id", F.col("a.cost_usd").alias("llm_cost_usd"), F.lit(0.0).alias("embed_cost_ms"),
         F.col("a.output_tokens").cast("bigint").alias("output_tokens"),
-        S.storage_bytes(F.lit(0), F.col("a.response_text")).alias("storage_bytes"),
+        F.col("a.storage_bytes").alias("storage_bytes"),
         (F.coalesce("_more", F.lit(0)) + 1).alias("frequency"), "seq", F.coalesce("_last", "ts").alias("last_access"),
         F.col("ts").alias("created_at"), S.stamp_expiry(F.col("ts"), F.lit(cfg.ttl_s)).alias("expires_at"),
         F.lit(batch_id).cast("bigint").alias("batch"),
@@ -173,7 +179,7 @@ def cache_step(
     fresh, level = _evict(
         R.with_priority(fresh, level).withColumn("_all", F.lit("all")), max(0, overflow - total_old), level
     )
-    entries = used.select(*ENTRY_COLUMNS).unionByName(fresh.select(*ENTRY_COLUMNS))
+    entries = used.select(*ENTRY_COLUMNS).unionByName(_with_texts(fresh, batch, answers).select(*ENTRY_COLUMNS))
 
     log = _log_rows(probed, asks, overflow > 0)
     version = batch_id + 1
@@ -195,6 +201,19 @@ def cache_step(
     return snapshots.read_version(spark, f"{root}/query_log", version)
 
 
+def _with_texts(fresh: DataFrame, batch: DataFrame, answers: DataFrame) -> DataFrame:
+    """Rows to be stored with the text of their query and the answer to it."""
+    fresh = checkpointed(fresh)
+    named = fresh.select("query_id", "_text_hash").distinct()
+    keys = fresh.select("exact_key").distinct()
+    if fresh.limit(SMALL + 1).count() <= SMALL:
+        named, keys = F.broadcast(named), F.broadcast(keys)
+    asked = batch.select("query_id", "query_text", F.xxhash64("query_text").alias("_text_hash"))
+    texts = asked.join(named, ["query_id", "_text_hash"], "left_semi").dropDuplicates(["query_id", "_text_hash"])
+    replies = answers.select("exact_key", "response_text").join(keys, "exact_key", "left_semi")
+    return fresh.join(texts, ["query_id", "_text_hash"], "left").join(replies, "exact_key", "left")
+
+
 def _evict(entries: DataFrame, n: int, level: float) -> tuple[DataFrame, float]:
     """Entries without the ``n`` of lowest priority, and the inflation that leaves."""
     if not n:

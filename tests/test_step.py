@@ -187,3 +187,18 @@ def test_batches_equal_a_plain_loop(spark, tmp_path):
         kind = lambda x: "hit" if x.hit else "error" if x.error else "refused" if x.admission_rejected else "stored"
         assert {x.query_id: (kind(x), x.entry_id) for x in log} == want
         assert sorted(x.entry_id for x in ST.read_entries(spark, root).collect()) == sorted(cache)
+
+
+def test_texts_wait_until_it_is_known_what_is_stored(spark, tmp_path, monkeypatch):
+    seen, keep = [], ST.checkpointed
+
+    def checkpointed(df):
+        seen.append(df)
+        return keep(df)
+
+    monkeypatch.setattr(ST, "checkpointed", checkpointed)
+    asked = queries(spark, [(1, "t", "Alpha?", X), (2, "t", "alpha", X), (3, "t", "beta", Y), (4, "t", "unknown", Z)])
+    ST.cache_step(spark, str(tmp_path), 0, asked, responses(spark, ["alpha", "beta"]), now(), 3, None, CFG)
+    assert seen and not any(name in df.schema.simpleString() for df in seen for name in ("query_text", "response_text"))
+    stored = {r.entry_id: (r.query_text, r.response_text, r.storage_bytes) for r in ST.read_entries(spark, str(tmp_path)).collect()}
+    assert stored == {"e1": ("Alpha?", "answer to alpha", 15), "e3": ("beta", "answer to beta", 14)}

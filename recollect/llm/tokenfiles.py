@@ -31,9 +31,10 @@ ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 64 << 10
 PAGE_ROWS = 1_000
 #: Pieces that are kept, and the most bytes of a kept piece.
-KEPT_WORDS, KEPT_CHARS = 200_000, 100
-PIECES_AT_ONCE = 100
-PIECE_CHARS = 4_000_000
+KEPT_WORDS, KEPT_CHARS = 150_000, 100
+PIECES_AT_ONCE, STRINGS_AT_ONCE = 100, 64
+#: Characters of text worked on at once: what is made of them in between takes tens of times as much.
+PIECE_CHARS = 1_000_000
 #: White space of Latin-1 besides the space and the controls that no library agrees on.
 LATIN_BLANKS = "\t\n\v\f\r\xa0"
 #: A mark between a letter or digit and a space is a word of its own.
@@ -89,8 +90,12 @@ class WordEncoder:
         self.ids, self.sizes, self.used = self.none, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool)
 
     def _whole(self, texts: list[str], plain: bool = False) -> list[np.ndarray]:
-        tokenizer = self.plain if plain else self.tokenizer
-        return [np.array(e.ids, dtype="<i4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        """Ids of each string; few strings at a time, as what the tokenizer returns takes many times their bytes."""
+        tokenizer, out = self.plain if plain else self.tokenizer, []
+        for at in range(0, len(texts), STRINGS_AT_ONCE):
+            found = tokenizer.encode_batch_fast(texts[at : at + STRINGS_AT_ONCE], add_special_tokens=False)
+            out += [np.array(e.ids, dtype="<i4") for e in found]
+        return out
 
     def _marked(self, pieces: pa.Array, plain: bool) -> tuple[np.ndarray, np.ndarray]:
         """Ids of lower-cased pieces of Latin-1 and how many each has; words go to the tokenizer many in a string."""

@@ -259,6 +259,22 @@ def test_word_encoder_keeps_little_memory(monkeypatch):
     assert words.kept.nbytes + words.ids.nbytes + words.sizes.nbytes < 20_000_000
 
 
+def test_word_encoder_hands_the_tokenizer_few_strings_at_once(monkeypatch):
+    class Watched:
+        def __init__(self, tokenizer):
+            self.tokenizer, self.most = tokenizer, 0
+
+        def encode_batch_fast(self, texts, **options):
+            self.most = max(self.most, len(texts))
+            return self.tokenizer.encode_batch_fast(texts, **options)
+
+    words, text = tokenfiles.WordEncoder(WORDS), " ".join(f"word{i}x" for i in range(30_000))
+    words.plain = watched = Watched(words.plain)
+    want = words.tokenizer.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(words.encode(text), "<i4").tolist() == want
+    assert 0 < watched.most <= 64 and tokenfiles.PIECE_CHARS <= 1_000_000
+
+
 def test_texts_are_worked_on_in_portions(monkeypatch):
     monkeypatch.setattr(tokenfiles, "PIECE_CHARS", 10)
     texts = ["a" * 4, None, "b" * 9, "c" * 30, "", "d"]

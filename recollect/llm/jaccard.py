@@ -55,7 +55,9 @@ BITMAP = 256
 BLOCK_ROWS = 2_000
 #: Lists with more postings have leaders; of shorter ones there are at most so many pairs for each posting.
 LED_ROWS = 8
-#: Leaders (or followers) of a set that are probed, and an odd number that mixes names into an order.
+#: Bits in which sets that are not related differ much less often; only such a leader counts on lists up to ``SHORT_ROWS``.
+LIKELY = BITMAP // 4
+#: Leaders (or followers) of a set that are probed where so few bits differ, else one, and an odd number that mixes names into an order.
 LEADERS, MIX = 6, np.int64(-7046029254386353131)
 #: Pairs of lists with no more postings are compared all at once.
 SHORT_ROWS = 32
@@ -192,6 +194,8 @@ def led_pairs(p: Postings, places: np.ndarray, turn: np.ndarray) -> Iterator[tup
     while len(left) > 1:
         lead, left = left[0], left[1:]
         near = p.possible(np.full(len(left), lead), left)
+        if len(places) <= SHORT_ROWS:
+            near[near] = p.differ(np.full(int(near.sum()), lead), left[near]) <= LIKELY
         yield np.full(int(near.sum()), lead), left[near]
         left = left[~near]
 
@@ -345,7 +349,8 @@ def links(docs: DataFrame, classes: DataFrame, size: int, percent: int, block_ro
     led = led.select("a", "b", "differ").distinct()
     led = led.unionByName(led.select(F.col("b").alias("a"), F.col("a").alias("b"), "differ"))
     nearest = Window.partitionBy("b").orderBy("differ", "a")
-    led = led.withColumn("place", F.row_number().over(nearest)).filter(F.col("place") <= LEADERS)
+    led = led.withColumn("place", F.row_number().over(nearest))
+    led = led.filter(F.col("place") <= F.when(F.col("differ") <= LIKELY, LEADERS).otherwise(1))
     led = stored(led.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "led")
     first = probed(led, docs, classes, size, percent)
 
